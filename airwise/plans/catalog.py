@@ -1,4 +1,4 @@
 """Import every query module so the registry is complete."""
 
-from airwise.plans import catalog_basic, catalog_env  # noqa: F401
+from airwise.plans import catalog_basic, catalog_env, catalog_joins  # noqa: F401
 from airwise.plans.registry import BENCH, ORACLE, QUERIES, rounded_oracles  # noqa: F401
