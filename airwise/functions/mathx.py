@@ -165,7 +165,7 @@ def date_hash_level(score) -> Column:
 def bmi(height_m, weight_kg) -> Column:
     """MA-10: BMI at 1 dp, kept only for 10 < v < 80."""
     h = as_col(height_m)
-    v = F.round(as_col(weight_kg) / (h * h), 1)
+    v = F.floor(as_col(weight_kg) / (h * h) * 10 + 0.5) / 10  # half up, as Math.round
     return F.when((h > 0) & (v > 10) & (v < 80), v)
 
 

@@ -157,19 +157,29 @@ def display_name(name) -> Column:
     return F.coalesce(F.nullif(F.trim(as_col(name)), F.lit("")), F.lit("there"))
 
 
+def _c_to_f_text(c: Column) -> Column:
+    """Celsius -> Fahrenheit rounded half up (toward +inf), as integer text."""
+    return F.floor(c * 9.0 / 5.0 + 32 + 0.5).cast("long").cast("string")
+
+
+def _fixed1(c: Column) -> Column:
+    """One-decimal text with ties rounded up (toFixed(1) for non-negative values)."""
+    return (F.floor(c * 10 + 0.5) / 10).cast("string")
+
+
 def temp_range_text(tmin, tmax) -> Column:
-    """STR-14: 'a–b' from the non-null ends (integers), '—' when both null."""
-    parts = F.filter(F.array(F.round(as_col(tmin)).cast("int").cast("string"),
-                             F.round(as_col(tmax)).cast("int").cast("string")),
-                     lambda x: x.isNotNull())
-    return F.when(F.size(parts) == 0, F.lit(EM_DASH)).otherwise(F.array_join(parts, "–"))
+    """STR-14: '°F' range from the non-null Celsius ends ('a–b°F'); null when both are null."""
+    parts = F.filter(F.array(_c_to_f_text(as_col(tmin)), _c_to_f_text(as_col(tmax))), lambda x: x.isNotNull())
+    return F.when(F.size(parts) > 0, F.concat(F.array_join(parts, "–"), F.lit("°F")))
 
 
 def pm_text(mean, mx) -> Column:
-    """STR-14: 'Avg x, high y' with the missing parts left out."""
-    a = F.when(as_col(mean).isNotNull(), F.format_string("Avg %.1f", as_col(mean)))
-    h = F.when(as_col(mx).isNotNull(), F.format_string("high %.1f", as_col(mx)))
-    return F.coalesce(F.nullif(F.concat_ws(", ", a, h), F.lit("")), F.lit(EM_DASH))
+    """STR-14: 'Avg x, high y' / 'Avg x' / 'High y' / '—' with one decimal."""
+    m, x = as_col(mean), as_col(mx)
+    return (F.when(m.isNotNull() & x.isNotNull(), F.concat(F.lit("Avg "), _fixed1(m), F.lit(", high "), _fixed1(x)))
+            .when(m.isNotNull(), F.concat(F.lit("Avg "), _fixed1(m)))
+            .when(x.isNotNull(), F.concat(F.lit("High "), _fixed1(x)))
+            .otherwise(F.lit(EM_DASH)))
 
 
 def is_iso_date(c) -> Column:
