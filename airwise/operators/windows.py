@@ -7,8 +7,8 @@ features of one series share one Window spec, so Catalyst sorts once.
 
 Global order (row index, cumulative sums) never uses an unpartitioned
 window.  ``prefix_sums`` range-partitions the data (balanced by sampling),
-takes running sums inside each partition, and adds per-partition offsets
-computed from a table with one row per partition.
+checkpoints that assignment, takes running sums inside each partition, and
+adds per-partition offsets computed from a table with one row per partition.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airwise.functions.dates import as_col
+from airwise.session import cut_lineage
 
 
 def series(key: str | Sequence[str] | None = "location_id", order: str | Sequence[str] = "date"):
@@ -98,33 +99,42 @@ def cycle_pick(values: Sequence, index) -> Column:
 # --------------------------------------------------------------------------
 
 def prefix_sums(df: DataFrame, order: Sequence[Column], values: dict[str, Column],
-                num_partitions: int | None = None) -> DataFrame:
-    """Running sums of ``values`` along a total ``order`` over the whole table.
+                num_partitions: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Running sums of ``values`` along a total ``order`` (within each group of ``keys``).
 
     Adds ``<name>_cum`` (inclusive running sum) and ``<name>_total`` columns.
-    Range partitioning spreads rows evenly; the only small side is the
-    per-partition totals table (one row per partition, size bound = the
-    partition count), which is broadcast.
+    Range partitioning on (keys, order) spreads rows evenly even when one
+    group holds most rows; each task takes running sums of its own slice,
+    and the carry-in of earlier slices comes from a table with one row per
+    (partition, group) - bounded by partitions x groups - that is broadcast.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = list(values)
+    keys = list(keys)
+    key_cols = [F.col(k) for k in keys]
     base = df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()])
-    ranged = (base.repartitionByRange(n, *order)
-              .sortWithinPartitions(*order)
+    ranged = (base.repartitionByRange(n, *key_cols, *order)
+              .sortWithinPartitions(*key_cols, *order)
               .withColumn("_pid", F.spark_partition_id()))
-    w_in = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # Both branches below must see the same partition of every row.  A range
+    # shuffle over a shuffled input is not bit-for-bit repeatable (sampling
+    # sees rows in fetch order), so the slice assignment is materialised once
+    # with a reliable checkpoint in the shared checkpoint folder.
+    ranged = cut_lineage(ranged)
+    w_in = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.sum(f"_v_{k}").over(w_in).alias(f"_l_{k}") for k in names])
-    totals = ranged.groupBy("_pid").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
-    w_all = Window.orderBy("_pid")
+    totals = ranged.groupBy("_pid", *keys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
+    w_all = Window.partitionBy(*keys).orderBy("_pid")
     offsets = totals.select(
-        "_pid",
+        "_pid", *keys,
         *[F.coalesce(F.sum(f"_t_{k}").over(w_all.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
           .alias(f"_o_{k}") for k in names],
         *[F.sum(f"_t_{k}").over(w_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
           .alias(f"_g_{k}") for k in names],
     )
-    out = local.join(F.broadcast(offsets), "_pid", "inner")
+    join_keys = ["_pid", *keys]
+    out = local.join(F.broadcast(offsets), join_keys, "inner")
     cols = [c for c in df.columns]
     return out.select(*cols,
                       *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).alias(f"{k}_cum") for k in names],
