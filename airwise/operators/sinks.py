@@ -129,8 +129,11 @@ def upsert_users(old: DataFrame, new: DataFrame, now: Column, key: str = "user_i
     cols = []
     for c in [c for c in old.columns if c not in (key, "profile", "createdAt", "updatedAt")]:
         cols.append((F.coalesce(F.col(f"_n_{c}"), F.col(f"_o_{c}")) if c in top else F.col(f"_o_{c}")).alias(c))
-    prof = F.struct(*[F.coalesce(F.col(f"_n_profile.{k}") if "profile" in new.columns else F.lit(None),
-                                 F.col(f"_o_profile.{k}")).alias(k) for k in profile_keys])
+    new_fields = {f.name for f in new.schema["profile"].dataType.fields} if "profile" in new.columns else set()
+    old_fields = {f.name for f in old.schema["profile"].dataType.fields}
+    prof = F.struct(*[F.coalesce(*([F.col(f"_n_profile.{k}")] if k in new_fields else []),
+                                 *([F.col(f"_o_profile.{k}")] if k in old_fields else []),
+                                 F.lit(None).cast("string")).alias(k) for k in profile_keys])
     cols.append(prof.alias("profile"))
     cols.append(F.coalesce(F.col("_o_createdAt"), now).alias("createdAt"))
     cols.append(F.when(F.col("_in_new"), now).otherwise(F.col("_o_updatedAt")).alias("updatedAt"))
