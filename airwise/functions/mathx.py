@@ -15,30 +15,45 @@ MPH_TO_KMH = 1.60934
 INHG_TO_PA = 3386.389
 INCH_TO_MM = 25.4
 
-# AQI -> PM2.5 segments as coded (upper AQI bound, PM at the
-# segment start, PM span, AQI at the segment start, AQI span).  Up to 12 the
-# AQI is passed through unchanged; above 500 the result is 500.4.
-AQI_TO_PM_SEGMENTS = [
-    (50, 12.1, 23.3, 0, 50),
-    (100, 35.5, 19.9, 50, 50),
-    (150, 55.5, 94.9, 100, 50),
-    (200, 150.5, 99.9, 150, 50),
-    (300, 250.5, 99.9, 200, 100),
-    (500, 350.5, 149.9, 300, 200),
+# AQI -> PM2.5 breakpoints as coded (concentration low, concentration
+# high, AQI high).  Up to AQI 12 the value passes through; above 500 -> 500.4.
+AQI_PM_BREAKPOINTS = [
+    (0.0, 12.0, 12),
+    (12.1, 35.4, 50),
+    (35.5, 55.4, 100),
+    (55.5, 150.4, 150),
+    (150.5, 250.4, 200),
+    (250.5, 350.4, 300),
+    (350.5, 500.4, 500),
 ]
 
-# PM2.5 -> AQI segments (upper PM bound, AQI start, PM start,
-# AQI span, PM span); above 500.4 the AQI is 500.
-PM_TO_AQI_SEGMENTS = [
-    (12.0, 0, 0.0, 50, 12.0),
-    (35.4, 50, 12.0, 50, 23.4),
-    (55.4, 100, 35.4, 50, 20.0),
-    (150.4, 150, 55.4, 100, 95.0),
-    (250.4, 200, 150.4, 100, 100.0),
-    (500.4, 300, 250.4, 200, 250.0),
+# PM2.5 -> AQI breakpoints (concentration low, concentration high,
+# AQI low, AQI high); negative -> 0, above 500.4 -> 500.
+PM_AQI_BREAKPOINTS = [
+    (0.0, 12.0, 0, 50),
+    (12.0, 35.4, 50, 100),
+    (35.4, 55.4, 100, 150),
+    (55.4, 150.4, 150, 250),
+    (150.4, 250.4, 200, 300),
+    (250.4, 500.4, 300, 500),
 ]
 
 
+def aqi_pm_segments():
+    """(aqi_hi, c_lo, c_span, aqi_lo, aqi_span) per segment above the identity part."""
+    out = []
+    prev_hi = 0
+    for c_lo, c_hi, aqi_hi in AQI_PM_BREAKPOINTS[1:]:
+        out.append((aqi_hi, c_lo, c_hi - c_lo, prev_hi, aqi_hi - prev_hi))
+        prev_hi = aqi_hi
+    return out
+
+
+def pm_aqi_segments():
+    """(c_hi, aqi_lo, c_lo, factor) per segment; factor = AQI span / concentration span."""
+    return [(c_hi, a_lo, c_lo, (a_hi - a_lo) / (c_hi - c_lo)) for c_lo, c_hi, a_lo, a_hi in PM_AQI_BREAKPOINTS]
+
+
 def f_to_c(f) -> Column:
     """MA-01: Fahrenheit to Celsius."""
     return (as_col(f) - 32) * 5.0 / 9.0
@@ -68,19 +83,20 @@ def aqi_to_pm25(aqi) -> Column:
     """MA-02: AQI to a PM2.5 estimate (identity up to 12, jump at 12)."""
     a = as_col(aqi).cast("double")
     expr = F.when(a <= 12, a)
-    for hi, pm0, pm_span, a0, a_span in AQI_TO_PM_SEGMENTS:
-        expr = expr.when(a <= hi, pm0 + (a - a0) * pm_span / a_span)
+    for hi, c_lo, c_span, a_lo, a_span in aqi_pm_segments():
+        expr = expr.when(a <= hi, c_lo + (a - a_lo) * c_span / a_span)
     return expr.otherwise(F.lit(500.4))
 
 
 def pm25_to_aqi(pm) -> Column:
-    """MA-03: PM2.5 to AQI with the segment table, cap 500, then int truncation."""
+    """MA-03: PM2.5 to AQI with the segment table (negative -> 0, above 500.4 -> 500), int truncation."""
     p = as_col(pm).cast("double")
-    expr = F.when(p <= 12.0, F.greatest(F.lit(0.0), p * 50.0 / 12.0))
-    for hi, a0, p0, a_span, p_span in PM_TO_AQI_SEGMENTS[1:]:
-        expr = expr.when(p <= hi, a0 + (p - p0) * a_span / p_span)
-    expr = expr.otherwise(F.lit(500.0))
-    return F.least(expr, F.lit(500.0)).cast("int")
+    segs = pm_aqi_segments()
+    hi0, _, _, f0 = segs[0]
+    expr = F.when(p <= hi0, F.when(p >= 0, p * f0).otherwise(F.lit(0.0)))
+    for hi, a_lo, c_lo, factor in segs[1:]:
+        expr = expr.when(p <= hi, a_lo + (p - c_lo) * factor)
+    return expr.otherwise(F.lit(500.0)).cast("int")
 
 
 def proba_to_score(p) -> Column:

@@ -286,18 +286,27 @@ def q_ma01(spark, d):
                      M.rain_to_mm(v, r_uom).alias("rain_mm"))
 
 
-@query("ma_02_03_aqi_pm_segments", """
+def _aqi_pm_sql(a: str) -> str:
+    parts = [f"WHEN {a} <= 12 THEN {a}"]
+    for hi, c_lo, c_span, a_lo, a_span in M.aqi_pm_segments():
+        parts.append(f"WHEN {a} <= {hi} THEN {c_lo!r}::DOUBLE + ({a} - {a_lo}) * {c_span!r}::DOUBLE / {a_span}")
+    return "CASE " + " ".join(parts) + " ELSE 500.4::DOUBLE END"
+
+
+def _pm_aqi_sql(p: str) -> str:
+    segs = M.pm_aqi_segments()
+    hi0, _, _, f0 = segs[0]
+    parts = [f"WHEN {p} <= {hi0!r}::DOUBLE THEN CASE WHEN {p} >= 0 THEN {p} * {f0!r}::DOUBLE ELSE 0.0::DOUBLE END"]
+    for hi, a_lo, c_lo, factor in segs[1:]:
+        parts.append(f"WHEN {p} <= {hi!r}::DOUBLE THEN {a_lo} + ({p} - {c_lo!r}::DOUBLE) * {factor!r}::DOUBLE")
+    return "CAST(trunc(CASE " + " ".join(parts) + " ELSE 500.0::DOUBLE END) AS INTEGER)"
+
+
+@query("ma_02_03_aqi_pm_segments", f"""
 WITH x AS (SELECT event_id, CAST(value AS DOUBLE) AS a, value / 2 AS p FROM events
            UNION ALL SELECT -1, 12.0, 12.0 UNION ALL SELECT -2, 12.1, 35.4 UNION ALL SELECT -3, 50.0, 500.4
            UNION ALL SELECT -4, 500.0, 600.0 UNION ALL SELECT -5, 501.0, -1.0)
-SELECT event_id,
-  CASE WHEN a <= 12 THEN a WHEN a <= 50 THEN 12.1 + (a - 0) * 23.3 / 50 WHEN a <= 100 THEN 35.5 + (a - 50) * 19.9 / 50
-       WHEN a <= 150 THEN 55.5 + (a - 100) * 94.9 / 50 WHEN a <= 200 THEN 150.5 + (a - 150) * 99.9 / 50
-       WHEN a <= 300 THEN 250.5 + (a - 200) * 99.9 / 100 WHEN a <= 500 THEN 350.5 + (a - 300) * 149.9 / 200 ELSE 500.4 END AS pm_from_aqi,
-  CAST(trunc(least(CASE WHEN p <= 12.0 THEN greatest(0.0, p * 50.0 / 12.0) WHEN p <= 35.4 THEN 50 + (p - 12.0) * 50 / 23.4
-       WHEN p <= 55.4 THEN 100 + (p - 35.4) * 50 / 20.0 WHEN p <= 150.4 THEN 150 + (p - 55.4) * 100 / 95.0
-       WHEN p <= 250.4 THEN 200 + (p - 150.4) * 100 / 100.0 WHEN p <= 500.4 THEN 300 + (p - 250.4) * 200 / 250.0 ELSE 500.0 END, 500.0)) AS INTEGER) AS aqi_from_pm
-FROM x""", [])
+SELECT event_id, {_aqi_pm_sql('a')} AS pm_from_aqi, {_pm_aqi_sql('p')} AS aqi_from_pm FROM x""", [])
 def q_ma02(spark, d):
     """MA-02 (AQI -> PM2.5 segments) and MA-03 (PM2.5 -> AQI, cap 500, truncation), with edge values."""
     ev = T.raw(spark, d, "events").select("event_id", F.col("value").alias("a"), (F.col("value") / 2).alias("p"))
