@@ -75,8 +75,9 @@ def parse_location(loc_id) -> Column:
 def text_to_location_id(text) -> Column:
     """STR-05: 'lat,lon' -> rounded id, ZIP/ZIP+4 -> 'zip_#####', blank -> null, else as is."""
     s = F.trim(as_col(text))
-    lat = F.round(F.regexp_extract(s, LATLON_RE, 1).try_cast("double"), 4)
-    lon = F.round(F.regexp_extract(s, LATLON_RE, 2).try_cast("double"), 4)
+    # Math.round(x * 1e4) / 1e4: half rounds toward +infinity on the binary product
+    lat = F.floor(F.regexp_extract(s, LATLON_RE, 1).try_cast("double") * 10000 + 0.5) / 10000
+    lon = F.floor(F.regexp_extract(s, LATLON_RE, 2).try_cast("double") * 10000 + 0.5) / 10000
     return (F.when(s.isNull() | (s == ""), F.lit(None).cast("string"))
             .when(s.rlike(LATLON_RE), F.concat(_num_text(lat), F.lit("_"), _num_text(lon)))
             .when(s.rlike(ZIP_RE), F.concat(F.lit("zip_"), F.substring(s, 1, 5)))

@@ -70,7 +70,7 @@ def q_prj01(spark, d):
 
 @query("prj_02_to_daily_row", """
 SELECT CASE WHEN zip_code IS NOT NULL AND zip_code <> '' THEN 'zip_' || zip_code
-            ELSE CAST(round(latitude, 4) AS VARCHAR) || '_' || CAST(round(longitude, 4) AS VARCHAR) END AS location_id,
+            ELSE CAST(sround(latitude, 4) AS VARCHAR) || '_' || CAST(sround(longitude, 4) AS VARCHAR) END AS location_id,
        date, PM2_5_mean, CAST(CAST(trunc(AQI) AS INTEGER) AS DOUBLE) AS AQI, temp_min,
        CASE WHEN pollen_tree IS NOT NULL OR pollen_grass IS NOT NULL THEN pollen_weed END AS pollen_weed, month, holiday_flag
 FROM daily_big""", ["daily_big"])
@@ -165,7 +165,7 @@ def q_prj11(spark, d):
 
 @query("prj_13_14_risk_records", f"""
 SELECT location_id, strftime(date, '%Y-%m-%d') AS rec_date,
-       round(CASE WHEN p < 0.2 THEN 1 + p * 5 WHEN p < 0.5 THEN 2 + (p - 0.2::DOUBLE) * 10 ELSE 4 + (p - 0.5::DOUBLE) * 2 END, 1) AS score,
+       sround(CASE WHEN p < 0.2 THEN 1 + p * 5 WHEN p < 0.5 THEN 2 + (p - 0.2::DOUBLE) * 10 ELSE 4 + (p - 0.5::DOUBLE) * 2 END, 1) AS score,
        CASE WHEN p < 0.2 THEN 'Low' WHEN p < 0.5 THEN 'Moderate' ELSE 'High' END AS label,
        dayname(date) AS daily_dow,
        (['winter', 'spring', 'summer', 'fall'])[CAST(floor((month(date) % 12 + 3) / 3) - 1 AS INTEGER) % 4 + 1] AS daily_season

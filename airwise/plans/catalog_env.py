@@ -75,7 +75,7 @@ PROBA_SQL = ("greatest(0.05::DOUBLE, least(0.95::DOUBLE, 0.15::DOUBLE + least(0.
 
 
 def score_sql(p: str) -> str:
-    return (f"round(CASE WHEN {p} < 0.2 THEN 1 + {p} * 5 WHEN {p} < 0.5 THEN 2 + ({p} - 0.2::DOUBLE) * 10 "
+    return (f"sround(CASE WHEN {p} < 0.2 THEN 1 + {p} * 5 WHEN {p} < 0.5 THEN 2 + ({p} - 0.2::DOUBLE) * 10 "
             f"ELSE 4 + ({p} - 0.5::DOUBLE) * 2 END, 1)")
 
 

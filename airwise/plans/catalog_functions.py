@@ -17,7 +17,7 @@ from airwise.sources import tables as T
 @query("str_01_02_03_04_location_ids", """
 WITH l AS (SELECT DISTINCT location_id, latitude, longitude, zip_code FROM daily_big),
 x AS (SELECT *, CASE WHEN zip_code IS NOT NULL AND zip_code <> '' THEN 'zip_' || zip_code
-                     ELSE CAST(round(latitude, 4) AS VARCHAR) || '_' || CAST(round(longitude, 4) AS VARCHAR) END AS loc_id
+                     ELSE CAST(sround(latitude, 4) AS VARCHAR) || '_' || CAST(sround(longitude, 4) AS VARCHAR) END AS loc_id
       FROM l)
 SELECT location_id, printf('%.4f_%.4f', latitude, longitude) AS location_key, loc_id,
        regexp_replace(loc_id, '[_ ]', '', 'g') AS dash_id,
@@ -66,8 +66,8 @@ s AS (SELECT c_custkey, trim(txt) AS s FROM t)
 SELECT c_custkey,
   CASE WHEN s IS NULL OR s = '' THEN NULL
        WHEN regexp_matches(s, '^(-?\\d+\\.?\\d*),(-?\\d+\\.?\\d*)$')
-         THEN regexp_replace(CAST(round(CAST(regexp_extract(s, '^(-?\\d+\\.?\\d*),(-?\\d+\\.?\\d*)$', 1) AS DOUBLE), 4) AS VARCHAR), '\\.0$', '')
-              || '_' || regexp_replace(CAST(round(CAST(regexp_extract(s, '^(-?\\d+\\.?\\d*),(-?\\d+\\.?\\d*)$', 2) AS DOUBLE), 4) AS VARCHAR), '\\.0$', '')
+         THEN regexp_replace(CAST(floor(CAST(regexp_extract(s, '^(-?\\d+\\.?\\d*),(-?\\d+\\.?\\d*)$', 1) AS DOUBLE) * 10000 + 0.5) / 10000 AS VARCHAR), '\\.0$', '')
+              || '_' || regexp_replace(CAST(floor(CAST(regexp_extract(s, '^(-?\\d+\\.?\\d*),(-?\\d+\\.?\\d*)$', 2) AS DOUBLE) * 10000 + 0.5) / 10000 AS VARCHAR), '\\.0$', '')
        WHEN regexp_matches(s, '^\\d{5}(-\\d{4})?$') THEN 'zip_' || substr(s, 1, 5)
        ELSE s END AS location_id
 FROM s""", [])
@@ -207,7 +207,7 @@ SELECT location_id, date,
        WHEN (CASE WHEN pollen_tree <= 12 THEN pollen_tree ELSE pollen_tree / 5 END) <= 7 THEN 'Moderate' ELSE 'High' END AS tree_severity
 FROM (SELECT location_id, date, CASE WHEN date < DATE '1996-01-01' THEN NULL ELSE temp_min END AS temp_min, temp_max,
              CASE WHEN date < DATE '1995-06-01' THEN NULL ELSE PM2_5_mean END AS PM2_5_mean, PM2_5_max,
-             round(pollen_weed, 1) AS pollen_weed, pollen_tree FROM daily_big)""", ["daily_big"])
+             sround(pollen_weed, 1) AS pollen_weed, pollen_tree FROM daily_big)""", ["daily_big"])
 def q_str12(spark, d):
     """STR-12 ('—' for nulls), STR-14 (temperature range / PM text), MA-11 (pollen severity)."""
     e = T.daily_big(spark, d)
@@ -318,10 +318,10 @@ def q_ma02(spark, d):
 
 @query("ma_06_07_class_scores", """
 WITH x AS (SELECT doc_id, [1 - p, p * 0.5, p * 0.3, p * 0.2] AS probs FROM scored)
-SELECT doc_id, round(list_sum(list_transform(range(1, 5), lambda i: probs[i] * i)), 2) AS expected_score,
-       round(list_max(probs), 2) AS probability,
+SELECT doc_id, sround(list_sum(list_transform(range(1, 5), lambda i: probs[i] * i)), 2) AS expected_score,
+       sround(list_max(probs), 2) AS probability,
        CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS argmax,
-       round(greatest(1.0::DOUBLE, least(5.0::DOUBLE, CASE WHEN list_sum(list_transform(range(1, 5), lambda i: probs[i] * i)) - 1.5 <= 0 THEN 1.5
+       sround(greatest(1.0::DOUBLE, least(5.0::DOUBLE, CASE WHEN list_sum(list_transform(range(1, 5), lambda i: probs[i] * i)) - 1.5 <= 0 THEN 1.5
              ELSE list_sum(list_transform(range(1, 5), lambda i: probs[i] * i)) - 1.5 END)), 2) AS display_score
 FROM x""", ["scored"])
 def q_ma06(spark, d):
@@ -338,7 +338,7 @@ def q_ma06(spark, d):
 
 @query("ma_09_12_date_hash_and_clamp", """
 SELECT date, n_orders,
-  round(greatest(1.0::DOUBLE, least(5.0::DOUBLE, 1.5 + (list_sum(list_transform(string_split(strftime(date, '%Y-%m-%d'), ''), lambda ch: ascii(ch))) % 30) / 10.0::DOUBLE)), 1) AS hash_score,
+  sround(greatest(1.0::DOUBLE, least(5.0::DOUBLE, 1.5 + (list_sum(list_transform(string_split(strftime(date, '%Y-%m-%d'), ''), lambda ch: ascii(ch))) % 30) / 10.0::DOUBLE)), 1) AS hash_score,
   least(greatest(coalesce(TRY_CAST(CASE WHEN n_orders % 4 = 0 THEN 'x' ELSE CAST(n_orders - 9 AS VARCHAR) END AS DOUBLE), 0.0), 0.0), 3.0) AS clamped
 FROM trends""", ["trends"])
 def q_ma09(spark, d):

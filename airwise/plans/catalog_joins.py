@@ -67,7 +67,7 @@ def q_jn03(spark, d):
 
 
 @query("jn_04_join_last_env", """
-WITH last AS (SELECT date, max_by(AQI, latitude) AS AQI, max_by(location_id, latitude) AS env_location
+WITH last AS (SELECT date, arg_max_null(AQI, latitude) AS AQI, arg_max_null(location_id, latitude) AS env_location
               FROM env_daily GROUP BY date)
 SELECT c.user_id, c.date, c.symptomScore, l.AQI, l.env_location FROM checkins c JOIN last l ON c.date = l.date""",
        ["checkins", "env_daily"])
@@ -155,7 +155,7 @@ def q_jn10(spark, d):
 
 
 @query("jn_11_ag_17_override_scores", """
-WITH pred AS (SELECT user_id, date, round(greatest(1.0::DOUBLE, least(5.0::DOUBLE, 1 + 4 * (symptomScore / 9))), 2) AS score
+WITH pred AS (SELECT user_id, date, sround(greatest(1.0::DOUBLE, least(5.0::DOUBLE, 1 + 4 * (symptomScore / 9))), 2) AS score
               FROM checkins),
 ns AS (SELECT user_id, bool_and(coalesce(wheeze, 0) = 0 AND coalesce(cough, 0) = 0 AND coalesce(chestTightness, 0) = 0) AS no_symptoms
        FROM checkins WHERE date < DATE '2024-01-10' GROUP BY user_id),
@@ -176,7 +176,7 @@ def q_jn11(spark, d):
 @query("jn_12_match_or_last", f"""
 WITH locs AS (SELECT DISTINCT location_id FROM env_daily),
 wanted AS (SELECT location_id, CAST(unnest(generate_series(DATE '2024-01-27', DATE '2024-02-02', INTERVAL 1 DAY)) AS DATE) AS date FROM locs),
-last AS (SELECT location_id, max_by(AQI, date) AS AQI, max_by(PM2_5_mean, date) AS PM2_5_mean FROM env_daily GROUP BY location_id)
+last AS (SELECT location_id, arg_max_null(AQI, date) AS AQI, arg_max_null(PM2_5_mean, date) AS PM2_5_mean FROM env_daily GROUP BY location_id)
 SELECT w.location_id, w.date, e.location_id IS NOT NULL AS exact_match,
        CASE WHEN e.location_id IS NOT NULL THEN e.AQI ELSE l.AQI END AS AQI,
        CASE WHEN e.location_id IS NOT NULL THEN e.PM2_5_mean ELSE l.PM2_5_mean END AS PM2_5_mean

@@ -115,18 +115,18 @@ def q_src07(spark, d):
 a AS (SELECT location_id, date,
   min(CASE WHEN variable = 'minTemperature' THEN value END) AS mn, max(CASE WHEN variable = 'maxTemperature' THEN value END) AS mx,
   min(CASE WHEN variable = 'temperature' THEN value END) AS tmn, max(CASE WHEN variable = 'temperature' THEN value END) AS tmx,
-  avg(CASE WHEN variable = 'relativeHumidity' THEN value END) AS hm, max(CASE WHEN variable = 'relativeHumidity' THEN value END) AS hx,
-  avg(CASE WHEN variable = 'windSpeed' THEN value END) AS w,
-  avg(CASE WHEN variable = 'pressure' THEN value END) AS p, max(CASE WHEN variable = 'pressure' THEN uom END) AS pu,
+  sum(CAST(CASE WHEN variable = 'relativeHumidity' THEN value END AS DECIMAL(24, 6))) / count(CASE WHEN variable = 'relativeHumidity' THEN value END) AS hm, max(CASE WHEN variable = 'relativeHumidity' THEN value END) AS hx,
+  sum(CAST(CASE WHEN variable = 'windSpeed' THEN value END AS DECIMAL(24, 6))) / count(CASE WHEN variable = 'windSpeed' THEN value END) AS w,
+  sum(CAST(CASE WHEN variable = 'pressure' THEN value END AS DECIMAL(24, 6))) / count(CASE WHEN variable = 'pressure' THEN value END) AS p, max(CASE WHEN variable = 'pressure' THEN uom END) AS pu,
   sum(CASE WHEN variable = 'quantitativePrecipitation' THEN value END) AS r,
   max(CASE WHEN variable = 'quantitativePrecipitation' THEN uom END) AS ru
   FROM ivd GROUP BY location_id, date)
 SELECT location_id, date,
-  round((CASE WHEN mn IS NULL AND mx IS NULL THEN tmn ELSE mn END - 32) * 5.0::DOUBLE / 9.0, 2) AS temp_min_c,
-  round((CASE WHEN mn IS NULL AND mx IS NULL THEN tmx ELSE mx END - 32) * 5.0::DOUBLE / 9.0, 2) AS temp_max_c,
-  round(hm, 2) AS humidity_mean, round(hx, 2) AS humidity_max, round(w * 1.60934::DOUBLE, 2) AS wind_speed_kmh,
-  round(CASE WHEN contains(lower(coalesce(pu, '')), 'pa') THEN p ELSE p * 3386.389::DOUBLE END, 2) AS pressure_pa,
-  round(CASE WHEN lower(coalesce(ru, '')) IN ('in', 'inch') THEN r * 25.4::DOUBLE ELSE r END, 2) AS rain_mm
+  sround((CASE WHEN mn IS NULL AND mx IS NULL THEN tmn ELSE mn END - 32) * 5.0::DOUBLE / 9.0, 2) AS temp_min_c,
+  sround((CASE WHEN mn IS NULL AND mx IS NULL THEN tmx ELSE mx END - 32) * 5.0::DOUBLE / 9.0, 2) AS temp_max_c,
+  sround(hm, 2) AS humidity_mean, sround(hx, 2) AS humidity_max, sround(w * 1.60934::DOUBLE, 2) AS wind_speed_kmh,
+  sround(CASE WHEN contains(lower(coalesce(pu, '')), 'pa') THEN p ELSE p * 3386.389::DOUBLE END, 2) AS pressure_pa,
+  sround(CASE WHEN lower(coalesce(ru, '')) IN ('in', 'inch') THEN r * 25.4::DOUBLE ELSE r END, 2) AS rain_mm
 FROM a""", ["readings"])
 def q_ag06(spark, d):
     """AG-06 (+MA-01): grid intervals -> daily weather per location with unit conversion."""
@@ -153,7 +153,7 @@ def q_src08(spark, d):
 @query("ag_05_daily_observations", "WITH " + PAYLOAD_SQL + "," + OBS_SQL + f""",
 x AS (SELECT location_id, date, AQI,
         CASE WHEN ParameterName = 'PM2.5' THEN coalesce(concentration, {_aqi_pm_sql('AQI')}) END AS pm FROM ob)
-SELECT location_id, date, round(avg(pm), 2) AS pm25_mean, round(max(pm), 2) AS pm25_max, CAST(trunc(max(AQI)) AS INTEGER) AS aqi
+SELECT location_id, date, sround(sum(CAST(pm AS DECIMAL(24, 6))) / count(pm), 2) AS pm25_mean, sround(max(pm), 2) AS pm25_max, CAST(trunc(max(AQI)) AS INTEGER) AS aqi
 FROM x GROUP BY location_id, date""", ["readings"])
 def q_ag05(spark, d):
     """AG-05 (+MA-02): observations -> daily PM2.5 mean / max (2 dp) and max AQI."""
@@ -167,9 +167,10 @@ sr AS (SELECT location_id, date, pm AS pm_60m, CAST(k AS DOUBLE) AS pm_24h FROM
 
 
 @query("src_09_ag_07_sensor_daily", "WITH " + PAYLOAD_SQL + "," + SENSOR_SQL + f""",
-a AS (SELECT location_id, date, coalesce(avg(pm_24h), avg(pm_60m)) AS m, coalesce(max(pm_24h), max(pm_60m)) AS x
+a AS (SELECT location_id, date, coalesce(sum(CAST(pm_24h AS DECIMAL(24, 6))) / count(pm_24h),
+                                         sum(CAST(pm_60m AS DECIMAL(24, 6))) / count(pm_60m)) AS m, coalesce(max(pm_24h), max(pm_60m)) AS x
       FROM sr GROUP BY location_id, date)
-SELECT location_id, date, round(m, 2) AS pm25_mean, round(x, 2) AS pm25_max,
+SELECT location_id, date, sround(m, 2) AS pm25_mean, sround(x, 2) AS pm25_max,
        {_pm_aqi_sql('m')} AS aqi
 FROM a""", ["readings"])
 def q_src09(spark, d):

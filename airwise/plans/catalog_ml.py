@@ -152,11 +152,11 @@ def q_ml15b(spark, d):
 
 
 @query("fe_05_severity_features", """
-WITH last AS (SELECT date, max_by(AQI, latitude) AS aqi, max_by(PM2_5_mean, latitude) AS pm25_mean,
-                     max_by(PM2_5_max, latitude) AS pm25_max, max_by(pollen_tree, latitude) AS tree,
-                     max_by(pollen_grass, latitude) AS grass, max_by(pollen_weed, latitude) AS weed,
-                     max_by(humidity, latitude) AS humidity_mean, max_by(humidity + 5, latitude) AS humidity_max,
-                     max_by(wind, latitude) AS wind, max_by(rain, latitude) AS rain, max_by(temp_max, latitude) AS temp_max
+WITH last AS (SELECT date, arg_max_null(AQI, latitude) AS aqi, arg_max_null(PM2_5_mean, latitude) AS pm25_mean,
+                     arg_max_null(PM2_5_max, latitude) AS pm25_max, arg_max_null(pollen_tree, latitude) AS tree,
+                     arg_max_null(pollen_grass, latitude) AS grass, arg_max_null(pollen_weed, latitude) AS weed,
+                     arg_max_null(humidity, latitude) AS humidity_mean, arg_max_null(humidity + 5, latitude) AS humidity_max,
+                     arg_max_null(wind, latitude) AS wind, arg_max_null(rain, latitude) AS rain, arg_max_null(temp_max, latitude) AS temp_max
               FROM env_daily WHERE NOT (location_id = '9' AND day(date) % 3 = 0) GROUP BY date)
 SELECT c.user_id, c.date,
   coalesce(l.aqi, 0) AS aqi, coalesce(coalesce(nullif(l.pm25_mean, 0), l.pm25_max), 0) AS pm25,

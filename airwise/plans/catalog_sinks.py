@@ -188,7 +188,7 @@ def q_snk10(spark, d):
 @query("snk_01_02_11_aj_04_round_trips", """
 SELECT location_id, strftime(date, '%Y-%m-%d') AS date, PM2_5_mean, risk_score FROM (
   SELECT location_id, date, PM2_5_mean,
-         round(CASE WHEN p < 0.2 THEN 1 + p * 5 WHEN p < 0.5 THEN 2 + (p - 0.2::DOUBLE) * 10 ELSE 4 + (p - 0.5::DOUBLE) * 2 END, 1) AS risk_score
+         sround(CASE WHEN p < 0.2 THEN 1 + p * 5 WHEN p < 0.5 THEN 2 + (p - 0.2::DOUBLE) * 10 ELSE 4 + (p - 0.5::DOUBLE) * 2 END, 1) AS risk_score
   FROM (SELECT *, greatest(0.05::DOUBLE, least(0.95::DOUBLE, 0.15::DOUBLE + least(0.2::DOUBLE, coalesce(AQI, 0) / 400)
             + least(0.15::DOUBLE, coalesce(PM2_5_mean, 0) / 200)
             + least(0.1::DOUBLE, (coalesce(pollen_tree, 0) + coalesce(pollen_grass, 0) + coalesce(pollen_weed, 0)) / 80))) AS p

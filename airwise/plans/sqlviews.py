@@ -9,6 +9,38 @@ is what the correctness check measures.
 from __future__ import annotations
 
 
+def sround(expr: str, n: int) -> str:
+    """DuckDB twin of Spark's round(double, n): HALF_UP on the shortest decimal text of
+    the double (Python's round agrees except at exact binary ties)."""
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 18)), {n}) AS DOUBLE)"
+
+
+def expand_sround(sql: str) -> str:
+    """Rewrite every ``sround(expr, n)`` pseudo-call in ``sql`` with :func:`sround`."""
+    out, i = [], 0
+    while True:
+        j = sql.find("sround(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k, cut = 0, j + 6, None
+        while True:
+            c = sql[k]
+            if c == "(":
+                depth += 1
+            elif c == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            elif c == "," and depth == 1:
+                cut = k
+            k += 1
+        expr, n = sql[j + 7:cut], int(sql[cut + 1:k].strip())
+        out.append(sql[i:j])
+        out.append(sround(expand_sround(expr), n))
+        i = k + 1
+
+
 def holiday_sql(d: str) -> str:
     """DuckDB expression: US holiday flag of date expression ``d``."""
     fixed = " OR ".join(f"(month({d}) = {m} AND day({d}) = {dd})"
@@ -131,7 +163,7 @@ def with_views(body: str, *names: str) -> str:
     for n in names:
         visit(n)
     ctes = [f"{n} AS ({VIEWS[n][0].strip()})" for n in order]
-    body = body.strip()
+    body = expand_sround(body.strip())
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes + [body[5:]])
     return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body

@@ -19,10 +19,15 @@ from airwise.functions import mathx as M
 
 
 def round_dp(c: Column, n: int) -> Column:
-    """Round on the binary value of x * 10^n (half away from zero), like Python's
-    round() except at exact binary ties."""
-    k = 10.0 ** n
-    return F.round(c * k) / k
+    """Python-style round(x, n): Spark's HALF_UP on the double's shortest decimal text,
+    which agrees with Python's round except at exact binary ties."""
+    return F.round(c, n)
+
+def mean_exact(c: Column) -> Column:
+    """Aggregate: mean over the values taken as decimals (exact sum, then one division),
+    so a rounded daily mean does not depend on the order partial sums are combined in."""
+    return F.sum(c.cast("decimal(24,6)")) / F.count(c)
+
 
 # ------------------------------------------------------------------ SRC-06
 
@@ -75,22 +80,24 @@ def daily_grid(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     g = intervals.groupBy(*keys, "date").agg(
         F.min(vals("minTemperature")).alias("_mn"), F.max(vals("maxTemperature")).alias("_mx"),
         F.min(vals("temperature")).alias("_tmn"), F.max(vals("temperature")).alias("_tmx"),
-        F.avg(vals("relativeHumidity")).alias("_hm"), F.max(vals("relativeHumidity")).alias("_hx"),
-        F.avg(vals("windSpeed")).alias("_w"),
-        F.avg(vals("pressure")).alias("_p"), F.max(F.when(v == "pressure", F.col("uom"))).alias("_pu"),
+        mean_exact(vals("relativeHumidity")).alias("_hm"), F.max(vals("relativeHumidity")).alias("_hx"),
+        mean_exact(vals("windSpeed")).cast("double").alias("_w"),
+        mean_exact(vals("pressure")).alias("_p"), F.max(F.when(v == "pressure", F.col("uom"))).alias("_pu"),
         F.sum(vals("quantitativePrecipitation")).alias("_r"),
         F.max(F.when(v == "quantitativePrecipitation", F.col("uom"))).alias("_ru"))
     no_minmax = F.col("_mn").isNull() & F.col("_mx").isNull()
     tmin = F.when(no_minmax, F.col("_tmn")).otherwise(F.col("_mn"))
     tmax = F.when(no_minmax, F.col("_tmx")).otherwise(F.col("_mx"))
-    pa = F.when(F.lower(F.coalesce(F.col("_pu"), F.lit(""))).contains("pa"), F.col("_p")).otherwise(F.col("_p") * M.INHG_TO_PA)
+    pa = F.when(F.lower(F.coalesce(F.col("_pu"), F.lit(""))).contains("pa"), F.col("_p")) \
+        .otherwise(F.col("_p").cast("double") * M.INHG_TO_PA)
     rain = F.when(F.lower(F.coalesce(F.col("_ru"), F.lit(""))).isin("in", "inch"), F.col("_r") * M.INCH_TO_MM) \
         .otherwise(F.col("_r"))
     return g.select(*keys, "date", round_dp(M.f_to_c(tmin), 2).alias("temp_min_c"),
-                    round_dp(M.f_to_c(tmax), 2).alias("temp_max_c"), round_dp(F.col("_hm"), 2).alias("humidity_mean"),
+                    round_dp(M.f_to_c(tmax), 2).alias("temp_max_c"),
+                    round_dp(F.col("_hm"), 2).cast("double").alias("humidity_mean"),
                     round_dp(F.col("_hx"), 2).alias("humidity_max"),
                     round_dp(M.mph_to_kmh(F.col("_w")), 2).alias("wind_speed_kmh"),
-                    round_dp(pa, 2).alias("pressure_pa"), round_dp(rain, 2).alias("rain_mm"))
+                    round_dp(pa, 2).cast("double").alias("pressure_pa"), round_dp(rain, 2).alias("rain_mm"))
 
 
 # ------------------------------------------------------------------ SRC-08 / AG-05
@@ -117,10 +124,10 @@ def parse_observations(df: DataFrame, payload: str, keep: Sequence[str] = (), ex
 def daily_sensors(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """AG-07 + MA-03 on parsed sensor rows: mean/max of the 24 h values, else the 60 min
     values (2 dp); AQI from the mean, truncated."""
-    g = rows.groupBy(*keys).agg(F.coalesce(F.avg("pm_24h"), F.avg("pm_60m")).alias("_m"),
+    g = rows.groupBy(*keys).agg(F.coalesce(mean_exact(F.col("pm_24h")), mean_exact(F.col("pm_60m"))).alias("_m"),
                                 F.coalesce(F.max("pm_24h"), F.max("pm_60m")).alias("_x"))
-    return g.select(*keys, round_dp(F.col("_m"), 2).alias("pm25_mean"), round_dp(F.col("_x"), 2).alias("pm25_max"),
-                    M.pm25_to_aqi(F.col("_m")).alias("aqi"))
+    return g.select(*keys, round_dp(F.col("_m"), 2).cast("double").alias("pm25_mean"),
+                    round_dp(F.col("_x"), 2).alias("pm25_max"), M.pm25_to_aqi(F.col("_m").cast("double")).alias("aqi"))
 
 
 def daily_observations(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -128,8 +135,8 @@ def daily_observations(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
     row has no concentration its AQI is converted back to PM (MA-02)."""
     is_pm = F.col("ParameterName") == "PM2.5"
     pm = F.when(is_pm, F.coalesce(F.col("concentration"), M.aqi_to_pm25(F.col("AQI"))))
-    return obs.groupBy(*keys).agg(F.avg(pm).alias("_m"), F.max(pm).alias("_x"), F.max("AQI").alias("_a")) \
-        .select(*keys, round_dp(F.col("_m"), 2).alias("pm25_mean"), round_dp(F.col("_x"), 2).alias("pm25_max"),
+    return obs.groupBy(*keys).agg(mean_exact(pm).alias("_m"), F.max(pm).alias("_x"), F.max("AQI").alias("_a")) \
+        .select(*keys, round_dp(F.col("_m"), 2).cast("double").alias("pm25_mean"), round_dp(F.col("_x"), 2).alias("pm25_max"),
                 F.col("_a").cast("int").alias("aqi"))
 
 
