@@ -17,14 +17,17 @@ from pyspark.sql import types as T
 from airwise.plans.sqlviews import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {}  # without the comparison rounding
 ORACLE: dict[str, str] = {}
 BENCH: list[str] = []
 
 
 def round6(c):
-    """round(x * 1e6) / 1e6 (half away from zero on the binary product), +0.0 folds -0.0.
-    This is the same arithmetic DuckDB's round(x, 6) uses, so equal inputs give equal bits."""
-    return F.round(c.cast("double") * 1e6) / 1e6 + F.lit(0.0)
+    """sign(x) * floor(|x| * 1e6 + 0.5) / 1e6 (half away from zero on the binary product),
+    +0.0 folds -0.0.  This is the arithmetic of DuckDB's round(x, 6), so equal inputs give
+    equal bits, and it stays in generated code (no per-value BigDecimal)."""
+    x = c.cast("double")
+    return F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6 + F.lit(0.0)
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -49,6 +52,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] | list[str]
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        RAW[name] = fn
         if sql is not None:
             ORACLE[name] = with_views(sql, *views)
         if bench:
