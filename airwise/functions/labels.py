@@ -83,7 +83,8 @@ def quantile_bins(df: DataFrame, c: str, out: str = "risk", qs=(0.2, 0.4, 0.6, 0
     """LB-07: 1..5 by right-closed bins on interpolated quantile edges:
     bin = 1 + number of edges strictly below the value (null stays null).
     Equal edges are allowed (Q21)."""
-    edges = df.agg(F.percentile(F.col(c), list(qs))).scalar()  # scalar subquery
+    from airwise.operators.quantiles import exact_quantiles
+    edges = exact_quantiles(df, c, list(qs))  # one row, distributed exact quantiles
     x = F.col(c)
-    n_below = sum(F.coalesce((F.element_at(edges, i + 1) < x).cast("int"), F.lit(0)) for i in range(len(qs)))
+    n_below = sum(F.coalesce((edges.select(f"q{i}").scalar() < x).cast("int"), F.lit(0)) for i in range(len(qs)))
     return df.withColumn(out, F.when(x.isNotNull(), (n_below + 1).cast("int")))

@@ -2,8 +2,8 @@
 
 All rollups are hash aggregates with a map-side partial step, so a hot key
 (a location with a third of all readings) contributes one partial row per
-task to the shuffle.  Exact statistics use ``percentile`` (exact, linear
-interpolation) and ``stddev_samp``; nothing is sampled.
+task to the shuffle.  Exact quantiles come from ``operators.quantiles`` (distributed,
+linear interpolation), moments from ``avg`` / ``stddev_samp``; nothing is sampled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airwise.functions.dates import as_col
+from airwise.operators.quantiles import exact_quantiles
+from airwise.operators.quantiles import quantile as exact_quantile
 
 
 def daily_weather(hourly: DataFrame, key: str = "location_id", ts: str = "ts", temp: str = "temp",
@@ -59,15 +61,6 @@ def daily_pollen(hourly: DataFrame, key: str = "location_id", ts: str = "time")
         F.max(F.greatest(*[F.col(c) for c in WEED])).alias("pollen_weed"))
 
 
-def daily_observations(obs: DataFrame, key: str = "location_id", date: str = "date") -> DataFrame:
-    """AG-05: PM2.5 observations -> mean / max (2 dp) and max AQI as int."""
-    pm = obs.where(F.upper(F.col("ParameterName")).isin("PM2.5", "PM25"))
-    return pm.groupBy(key, date).agg(
-        F.round(F.avg("concentration"), 2).alias("pm25_mean"),
-        F.round(F.max("concentration"), 2).alias("pm25_max"),
-        F.max("AQI").cast("int").alias("aqi"))
-
-
 def daily_sensors(rows: DataFrame, key: str = "location_id", date: str = "date") -> DataFrame:
     """AG-07: mean / max of 24 h values, falling back to the 60 min values."""
     return rows.groupBy(key, date).agg(
@@ -83,11 +76,11 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
 def describe_col(df: DataFrame, c: str) -> DataFrame:
     """AG-09: count, mean, std (n-1), min, quartiles (linear interpolation), max."""
     x = F.col(c).cast("double")
-    q = F.percentile(x, [0.25, 0.5, 0.75])
+    q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
     return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                  F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max")) \
-        .select("count", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-                F.col("_q")[2].alias("q75"), "max")
+                  F.min(x).alias("min"), F.max(x).alias("max")) \
+        .select("count", "mean", "std", "min", q.select("q0").scalar().alias("q25"),
+                q.select("q1").scalar().alias("q50"), q.select("q2").scalar().alias("q75"), "max")
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -122,8 +115,8 @@ def n_distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def quantile(df: DataFrame, c: str, q: float) -> Column:
-    """AG-16: exact interpolated quantile as a scalar-subquery column."""
-    return df.agg(F.percentile(F.col(c), q)).scalar()
+    """AG-16: exact interpolated quantile as a scalar-subquery column (distributed)."""
+    return exact_quantile(df, c, q)
 
 
 def users_without_symptoms(df: DataFrame, key: str = "user_id",

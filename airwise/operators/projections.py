@@ -236,12 +236,11 @@ def feature_columns(df: DataFrame, target: str | None = None, exclude: Sequence[
 
 def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """PRJ-16: numeric nulls -> exact column median (0 when the column is all null).
-
-    One aggregate computes every median (a scalar subquery per column, all
-    from the same one-row aggregate)."""
-    med = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols])
+    Each median is a distributed exact quantile inlined as a scalar subquery."""
+    from airwise.operators.quantiles import median
+    meds = {c: median(df, c) for c in cols}
     return df.select(*[
-        (F.coalesce(F.col(c).cast("double"), F.coalesce(med.select(c).scalar(), F.lit(0.0))).alias(c)
+        (F.coalesce(F.col(c).cast("double"), F.coalesce(meds[c], F.lit(0.0))).alias(c)
          if c in cols else F.col(c)) for c in df.columns])
 
 

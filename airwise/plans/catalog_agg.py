@@ -8,6 +8,7 @@ from airwise.functions import strings as S
 from airwise.operators import aggregates as AG
 from airwise.operators import joins as J
 from airwise.plans.catalog_env import PROBA_SQL, fe01_sql, lb01_sql
+from airwise.operators import quantiles as Q
 from airwise.plans.registry import query
 from airwise.sources import tables as T
 
@@ -157,8 +158,9 @@ FROM scored""", ["scored"])
 def q_ag16(spark, d):
     """AG-16 (interpolated quantiles) and AG-18 (positive rate)."""
     s = T.scored(spark, d)
-    return s.agg(F.percentile("p", 0.5).alias("p_median"), F.percentile("p", 0.9).alias("p90"),
-                 F.avg(F.col("y").cast("double")).alias("positive_rate"))
+    q = Q.exact_quantiles(s, "p", [0.5, 0.9])
+    return s.agg(F.avg(F.col("y").cast("double")).alias("positive_rate")).select(
+        q.select("q0").scalar().alias("p_median"), q.select("q1").scalar().alias("p90"), "positive_rate")
 
 
 @query("ag_19_week_summary", """

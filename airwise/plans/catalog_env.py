@@ -9,6 +9,7 @@ from airwise.functions import labels as L
 from airwise.functions import mathx as M
 from airwise.operators import windows as W
 from airwise.plans import features as FE
+from airwise.operators import quantiles as Q
 from airwise.plans.registry import query
 from airwise.sources import tables as T
 
@@ -379,6 +380,6 @@ FROM trends, q""", ["trends"])
 def q_lb0607(spark, d):
     """LB-06 (quantile threshold, AG-16) and LB-07 (1..5 quantile bins)."""
     t = T.trends(spark, d)
-    thr = t.agg(F.percentile("n_orders", 0.8)).scalar()  # scalar subquery, one value
+    thr = Q.quantile(t, "n_orders", 0.8)  # distributed exact quantile, one value
     out = t.withColumn("flare_day", L.flare_by_threshold("n_orders", thr))
     return L.quantile_bins(out, "n_orders", "risk").select("date", "n_orders", "flare_day", "risk")

@@ -14,6 +14,7 @@ from airwise.operators import sorts as SL
 from airwise.operators import stats as STS
 from airwise.operators import windows as W
 from airwise.plans import features as FE
+from airwise.operators import quantiles as Q
 from airwise.plans.registry import query
 from airwise.sources import tables as T
 
@@ -216,7 +217,7 @@ def q_fe07(spark, d):
         .select("location_id", "date", "PM2_5_mean", "temp_min")
     ds = J.join_trends(e, T.trends(spark, d))
     ds = ds.withColumn("trend", W.ffill_bfill("n_orders", W.series("location_id")).cast("double")).drop("n_orders")
-    thr = ds.agg(F.percentile("trend", 0.8)).scalar()
+    thr = Q.quantile(ds, "trend", 0.8)
     ds = ds.withColumn("flare_day", L.flare_by_threshold("trend", thr))
     ds = L.quantile_bins(ds, "trend", "risk")
     ds = P.rename_trend(ds, "allergy").withColumnRenamed("location_id", "locationid")
