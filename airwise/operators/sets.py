@@ -95,3 +95,69 @@ def synthetic_env(rows: DataFrame, variant: str = "risk") -> DataFrame:
 def batch_ids(index, size: int = 7) -> Column:
     """ST-05: batch number of a 0-based day index."""
     return F.floor(as_col(index) / size).cast("int")
+
+
+# ---------------------------------------------------------------- ST-03 source rules
+
+def air_priority(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], prefer_secondary: bool = False,
+                 has_coords: Column | None = None) -> DataFrame:
+    """ST-03 (air quality): the preferred source unless it reports an error.
+
+    Default order primary -> secondary: move on only when the primary errors and the
+    location has coordinates, and keep the primary if the secondary errors too.
+    ``prefer_secondary`` (with coordinates): secondary first, primary whenever the
+    secondary errors.  Sources share the value columns and an ``error`` column."""
+    keys = list(keys)
+    vals = [c for c in primary.columns if c not in keys]
+    p = primary.select(*keys, F.struct(*vals).alias("_a"))
+    s = secondary.select(*keys, F.struct(*vals).alias("_b"))
+    j = p.join(s, keys, "full")
+    coords = has_coords if has_coords is not None else F.lit(True)
+    a_err = F.col("_a").isNull() | F.col("_a.error").isNotNull()
+    b_err = F.col("_b").isNull() | F.col("_b.error").isNotNull()
+    pick_b = (coords & ~b_err) if prefer_secondary else (a_err & coords & ~b_err)
+    src = F.when(pick_b, F.lit("secondary")).otherwise(F.lit("primary"))
+    return j.select(*keys, *[F.when(pick_b, F.col(f"_b.{c}")).otherwise(F.col(f"_a.{c}")).alias(c) for c in vals],
+                    src.alias("source"))
+
+
+def pollen_priority(forecast: DataFrame, station: DataFrame, calendar: DataFrame, keys: Sequence[str],
+                    region: Column) -> DataFrame:
+    """ST-03 (pollen): the forecast unless all three indices are null without an error;
+    then, in the southern region, the station report if it has any index, else the
+    regional calendar; outside the known regions the (empty) forecast stays."""
+    keys = list(keys)
+    idx = ["tree_index", "grass_index", "weed_index"]
+    f = forecast.select(*keys, region.alias("_region"), *idx, "error")
+    st_ = station.select(*keys, F.struct(*idx).alias("_s"))
+    ca = calendar.select(*keys, F.struct(*idx).alias("_c"))
+    j = f.join(st_, keys, "left").join(ca, keys, "left")
+    empty = F.col("tree_index").isNull() & F.col("grass_index").isNull() & F.col("weed_index").isNull() \
+        & F.col("error").isNull()
+    station_ok = F.col("_s").isNotNull() & (F.col("_s.tree_index").isNotNull() | F.col("_s.grass_index").isNotNull()
+                                            | F.col("_s.weed_index").isNotNull())
+    use_station = empty & (F.col("_region") == "US_South") & station_ok
+    use_calendar = empty & F.col("_region").isNotNull() & ~use_station
+    src = F.when(use_station, "station").when(use_calendar, "calendar").otherwise("forecast")
+    return j.select(*keys, *[F.when(use_station, F.col(f"_s.{c}")).when(use_calendar, F.col(f"_c.{c}"))
+                             .otherwise(F.col(c)).alias(c) for c in idx],
+                    F.when(use_station | use_calendar, F.lit(None).cast("string")).otherwise(F.col("error")).alias("error"),
+                    src.alias("source"))
+
+
+def env_source_priority(store: DataFrame, forecast: DataFrame, generated: DataFrame, key: str, n_days: int) -> DataFrame:
+    """ST-03 (environment): per location, the stored rows when the store holds at least
+    min(2, n_days + 1) rows of the window; else the forecast rows when there are any;
+    else the generated rows.  Decided per location with one count per source."""
+    need = min(2, n_days + 1)
+    s_cnt = store.groupBy(key).agg(F.count(F.lit(1)).alias("_ns"))
+    f_cnt = forecast.groupBy(key).agg(F.count(F.lit(1)).alias("_nf"))
+    locs = generated.select(key).distinct().join(s_cnt, key, "left").join(f_cnt, key, "left")
+    choice = locs.select(key, F.when(F.coalesce(F.col("_ns"), F.lit(0)) >= need, "store")
+                         .when(F.coalesce(F.col("_nf"), F.lit(0)) > 0, "forecast").otherwise("generated").alias("source"))
+    cols = [c for c in generated.columns]
+    parts = [store.select(*cols).withColumn("source", F.lit("store")),
+             forecast.select(*cols).withColumn("source", F.lit("forecast")),
+             generated.select(*cols).withColumn("source", F.lit("generated"))]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return u.join(choice, [key, "source"], "left_semi")

@@ -204,3 +204,125 @@ def q_fe08(spark, d):
                                 F.lit("2024-01-24 00:00:00").cast("timestamp"))
     return saved.select("user_id", "date", M.display_score("risk").alias("display_score"),
                         M.display_level(M.display_score("risk")).alias("level"))
+
+
+# ---------------------------------------------------------------- ST-03 source rules
+
+POLLEN_SQL = """
+WITH f AS (SELECT location_id, date,
+    CASE WHEN day(date) % 4 = 0 THEN NULL ELSE pollen_tree END AS tree_index,
+    CASE WHEN day(date) % 4 = 0 THEN NULL ELSE pollen_grass END AS grass_index,
+    CASE WHEN day(date) % 4 = 0 THEN NULL ELSE pollen_weed END AS weed_index,
+    CASE WHEN day(date) % 9 = 0 THEN 'timeout' END AS error,
+    CASE WHEN latitude BETWEEN 24 AND 50 AND longitude BETWEEN -125 AND -66
+         THEN CASE WHEN latitude < 37 THEN 'US_South' ELSE 'US' END END AS region FROM env_daily),
+st AS (SELECT location_id, date, CAST(floor(AQI / 50) AS DOUBLE) AS tree_index,
+              CASE WHEN day(date) % 3 = 0 THEN NULL ELSE CAST(floor(humidity / 25) AS DOUBLE) END AS grass_index,
+              CAST(NULL AS DOUBLE) AS weed_index FROM env_daily WHERE day(date) % 2 = 0),
+cal(month, tree_index, grass_index, weed_index) AS (VALUES
+  (1, 4, 0, 0), (2, 4, 0, 0), (3, 4, 1, 0), (4, 4, 2, 0), (5, 3, 4, 0), (6, 2, 4, 1),
+  (7, 2, 3, 2), (8, 2, 2, 3), (9, 2, 1, 4), (10, 1, 0, 4), (11, 1, 0, 2), (12, 3, 0, 0)),
+j AS (SELECT f.*, s.tree_index AS s_t, s.grass_index AS s_g, s.weed_index AS s_w, s.location_id IS NOT NULL AS has_s,
+             CAST(c.tree_index AS DOUBLE) AS c_t, CAST(c.grass_index AS DOUBLE) AS c_g, CAST(c.weed_index AS DOUBLE) AS c_w
+      FROM f LEFT JOIN st s ON s.location_id = f.location_id AND s.date = f.date
+      LEFT JOIN cal c ON f.region IS NOT NULL AND c.month = month(f.date)),
+k AS (SELECT *, (tree_index IS NULL AND grass_index IS NULL AND weed_index IS NULL AND error IS NULL) AS empty,
+             has_s AND (s_t IS NOT NULL OR s_g IS NOT NULL OR s_w IS NOT NULL) AS s_ok FROM j)
+SELECT location_id, date,
+  CASE WHEN empty AND region = 'US_South' AND s_ok THEN s_t WHEN empty AND region IS NOT NULL THEN c_t ELSE tree_index END AS tree_index,
+  CASE WHEN empty AND region = 'US_South' AND s_ok THEN s_g WHEN empty AND region IS NOT NULL THEN c_g ELSE grass_index END AS grass_index,
+  CASE WHEN empty AND region = 'US_South' AND s_ok THEN s_w WHEN empty AND region IS NOT NULL THEN c_w ELSE weed_index END AS weed_index,
+  CASE WHEN empty AND region IS NOT NULL THEN NULL ELSE error END AS error,
+  CASE WHEN empty AND region = 'US_South' AND s_ok THEN 'station' WHEN empty AND region IS NOT NULL THEN 'calendar' ELSE 'forecast' END AS source
+FROM k"""
+
+
+@query("st_03_pollen_source_priority", POLLEN_SQL, ["env_daily"])
+def q_st03_pollen(spark, d):
+    """ST-03 (pollen): forecast unless empty without error; then station (southern region,
+    any index) or the regional calendar (JN-16, MA-16)."""
+    e = T.env_daily(spark, d)
+    day = F.dayofmonth("date")
+    gap = day % 4 == 0
+    forecast = e.select("location_id", "date", "latitude", "longitude",
+                        F.when(gap, F.lit(None).cast("double")).otherwise(F.col("pollen_tree")).alias("tree_index"),
+                        F.when(gap, F.lit(None).cast("double")).otherwise(F.col("pollen_grass")).alias("grass_index"),
+                        F.when(gap, F.lit(None).cast("double")).otherwise(F.col("pollen_weed")).alias("weed_index"),
+                        F.when(day % 9 == 0, F.lit("timeout")).alias("error"))
+    station = e.where(day % 2 == 0).select(
+        "location_id", "date", F.floor(F.col("AQI") / 50).cast("double").alias("tree_index"),
+        F.when(day % 3 == 0, F.lit(None).cast("double")).otherwise(F.floor(F.col("humidity") / 25).cast("double"))
+        .alias("grass_index"), F.lit(None).cast("double").alias("weed_index"))
+    calendar = J.join_pollen_calendar(e.select("location_id", "date", "latitude", "longitude")) \
+        .select("location_id", "date", "tree_index", "grass_index", "weed_index")
+    return ST.pollen_priority(forecast, station, calendar, ["location_id", "date"],
+                              M.pollen_region("latitude", "longitude"))
+
+
+AIR_SQL = """
+WITH a AS (SELECT location_id, date, PM2_5_mean AS pm25, AQI AS aqi, CASE WHEN day(date) % 5 = 0 THEN 'http 500' END AS error
+           FROM env_daily),
+b AS (SELECT location_id, date, PM2_5_max AS pm25, AQI / 2 AS aqi, CASE WHEN day(date) % 7 = 0 THEN 'no sensors' END AS error
+      FROM env_daily WHERE location_id <> '9'),
+j AS (SELECT coalesce(a.location_id, b.location_id) AS location_id, coalesce(a.date, b.date) AS date,
+             a.location_id IS NULL OR a.error IS NOT NULL AS a_err, b.location_id IS NULL OR b.error IS NOT NULL AS b_err,
+             coalesce(a.location_id, b.location_id) <> '8' AS coords,
+             a.pm25 AS a_pm, a.aqi AS a_aqi, a.error AS a_e, b.pm25 AS b_pm, b.aqi AS b_aqi, b.error AS b_e
+      FROM a FULL OUTER JOIN b ON a.location_id = b.location_id AND a.date = b.date),
+m AS (SELECT *, 'default' AS mode, a_err AND coords AND NOT b_err AS pick_b FROM j
+      UNION ALL SELECT *, 'prefer_secondary', coords AND NOT b_err FROM j)
+SELECT location_id, date, mode, CASE WHEN pick_b THEN b_pm ELSE a_pm END AS pm25,
+       CASE WHEN pick_b THEN b_aqi ELSE a_aqi END AS aqi, CASE WHEN pick_b THEN b_e ELSE a_e END AS error,
+       CASE WHEN pick_b THEN 'secondary' ELSE 'primary' END AS source FROM m"""
+
+
+@query("st_03_air_source_priority", AIR_SQL, ["env_daily"])
+def q_st03_air(spark, d):
+    """ST-03 (air quality): move on only on error; keep the first result when the fallback
+    also errors; the preference can be reversed; no coordinates -> no fallback."""
+    e = T.env_daily(spark, d)
+    day = F.dayofmonth("date")
+    a = e.select("location_id", "date", F.col("PM2_5_mean").alias("pm25"), F.col("AQI").alias("aqi"),
+                 F.when(day % 5 == 0, F.lit("http 500")).alias("error"))
+    b = e.where(F.col("location_id") != "9").select(
+        "location_id", "date", F.col("PM2_5_max").alias("pm25"), (F.col("AQI") / 2).alias("aqi"),
+        F.when(day % 7 == 0, F.lit("no sensors")).alias("error"))
+    coords = F.col("location_id") != "8"
+    out = []
+    for mode, pref in (("default", False), ("prefer_secondary", True)):
+        out.append(ST.air_priority(a, b, ["location_id", "date"], prefer_secondary=pref, has_coords=coords)
+                   .withColumn("mode", F.lit(mode)))
+    return out[0].unionByName(out[1])
+
+
+ENV_PRIORITY_SQL = """
+WITH win AS (SELECT * FROM env_daily WHERE date BETWEEN DATE '2024-01-28' AND DATE '2024-02-03'),
+store AS (SELECT location_id, date, AQI, PM2_5_mean FROM win
+          WHERE location_id NOT IN ('7', '8', '9') OR (location_id = '7' AND date = DATE '2024-01-30')),
+locs AS (SELECT DISTINCT location_id FROM env_daily),
+days AS (SELECT location_id, CAST(unnest(generate_series(DATE '2024-01-28', DATE '2024-02-03', INTERVAL 1 DAY)) AS DATE) AS date FROM locs),
+j AS (SELECT location_id, date, ((date_diff('day', DATE '0001-01-01', date) + 1) % 7) / 7.0::DOUBLE AS j FROM days),
+gen AS (SELECT location_id, date, CAST(40 + floor(30 * j) AS DOUBLE) AS AQI, 10.0 + 8 * j AS PM2_5_mean FROM j),
+fc AS (SELECT location_id, date, 40.0 + 30 * j AS AQI, 10.0 + 8 * j AS PM2_5_mean FROM j WHERE location_id = '8'),
+cnt AS (SELECT l.location_id, (SELECT count(*) FROM store s WHERE s.location_id = l.location_id) AS ns,
+               (SELECT count(*) FROM fc f WHERE f.location_id = l.location_id) AS nf FROM locs l),
+ch AS (SELECT location_id, CASE WHEN ns >= 2 THEN 'store' WHEN nf > 0 THEN 'forecast' ELSE 'generated' END AS source FROM cnt),
+u AS (SELECT *, 'store' AS source FROM store UNION ALL SELECT *, 'forecast' FROM fc UNION ALL SELECT *, 'generated' FROM gen)
+SELECT u.* FROM u JOIN ch ON ch.location_id = u.location_id AND ch.source = u.source"""
+
+
+@query("st_03_env_source_priority", ENV_PRIORITY_SQL, ["env_daily"])
+def q_st03_env(spark, d):
+    """ST-03 (environment): stored rows when the store covers >= min(2, n+1) days of the
+    window, else forecast rows, else generated rows (ST-04), decided per location."""
+    e = T.env_daily(spark, d)
+    s, t = F.lit("2024-01-28").cast("date"), F.lit("2024-02-03").cast("date")
+    win = e.where(F.col("date").between(s, t))
+    store = win.where(~F.col("location_id").isin("7", "8", "9")
+                      | ((F.col("location_id") == "7") & (F.col("date") == F.lit("2024-01-30").cast("date")))) \
+        .select("location_id", "date", "AQI", "PM2_5_mean")
+    days = ST.expand_dates(e.select("location_id").distinct(), s, t).drop("day_idx")
+    gen = ST.synthetic_env(days, "risk").select("location_id", "date", "AQI", "PM2_5_mean")
+    fc = ST.synthetic_env(days.where(F.col("location_id") == "8"), "forecast").select("location_id", "date", "AQI",
+                                                                                     "PM2_5_mean")
+    return ST.env_source_priority(store, fc, gen, "location_id", n_days=6)
