@@ -73,9 +73,9 @@ def join_checkins(df: DataFrame, checkins: DataFrame, keys: Sequence[str] = ("us
     return j.na.fill(0, subset=list(cols))
 
 
-def join_labels(env: DataFrame, labels: DataFrame, key: str = "date") -> DataFrame:
-    """JN-08: inner join env x labels on date."""
-    return env.join(labels, key, "inner")
+def join_labels(env: DataFrame, labels: DataFrame, key: str | Sequence[str] = "date") -> DataFrame:
+    """JN-08: inner join env x labels on date (or on (location, date) for many series)."""
+    return env.join(labels, key if isinstance(key, str) else list(key), "inner")
 
 
 def cache_misses(wanted: DataFrame, cache: DataFrame, keys: Sequence[str] = ("user_id", "date")) -> DataFrame:
@@ -95,10 +95,12 @@ def cached_rows(cache: DataFrame, users: DataFrame, dates: DataFrame, user: str
 
 
 def override_scores(pred: DataFrame, no_symptom_users: DataFrame, env_scores: DataFrame, score: str = "score",
-                    user: str = "user_id", date: str = "date") -> DataFrame:
-    """JN-11: users without symptoms take the env-only score of the date when one exists."""
+                    user: str = "user_id", date: str = "date", keys: Sequence[str] | None = None) -> DataFrame:
+    """JN-11: users without symptoms take the env-only score of the date (of their
+    location when ``keys`` = (location, date)) when one exists."""
+    k = list(keys) if keys else [date]
     j = (pred.join(no_symptom_users.select(user, "no_symptoms"), user, "left")
-             .join(env_scores.select(date, F.col(score).alias("_env_score")), date, "left"))
+             .join(env_scores.select(*k, F.col(score).alias("_env_score")), k, "left"))
     new = F.when(F.coalesce(F.col("no_symptoms"), F.lit(False)) & F.col("_env_score").isNotNull(),
                  F.col("_env_score")).otherwise(F.col(score))
     return j.withColumn(score, new).drop("_env_score", "no_symptoms")

@@ -106,7 +106,8 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], values: dict[str, Column
     Range partitioning on (keys, order) spreads rows evenly even when one
     group holds most rows; each task takes running sums of its own slice,
     and the carry-in of earlier slices comes from a table with one row per
-    (partition, group) - bounded by partitions x groups - that is broadcast.
+    (partition, group): broadcast when there are no groups (bounded by the
+    partition count), otherwise joined as AQE sees fit.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -134,7 +135,10 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], values: dict[str, Column
           .alias(f"_g_{k}") for k in names],
     )
     join_keys = ["_pid", *keys]
-    out = local.join(F.broadcast(offsets), join_keys, "inner")
+    # Without group keys the offsets table has one row per partition (a proven bound), so
+    # it is broadcast; with group keys its size depends on the group count, so the join
+    # strategy is left to AQE's runtime statistics.
+    out = local.join(F.broadcast(offsets) if not keys else offsets, join_keys, "inner")
     cols = [c for c in df.columns]
     return out.select(*cols,
                       *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).alias(f"{k}_cum") for k in names],

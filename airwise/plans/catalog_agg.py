@@ -104,21 +104,18 @@ def q_ag09(spark, d):
 
 
 @query("ag_10_null_counts", """
-WITH x AS (SELECT c.user_id, c.date, e.pollen_tree, e.pollen_grass, e.pollen_weed
-           FROM checkins c LEFT JOIN (SELECT * FROM daily_big WHERE location_id = '7' AND date >= DATE '2000-01-01') e
-           ON c.date - INTERVAL 1460 DAY = e.date),
-n AS (SELECT 'user_id' AS "column", count(*) FILTER (WHERE user_id IS NULL) AS nulls FROM x
-      UNION ALL SELECT 'date', count(*) FILTER (WHERE date IS NULL) FROM x
-      UNION ALL SELECT 'pollen_tree', count(*) FILTER (WHERE pollen_tree IS NULL) FROM x
-      UNION ALL SELECT 'pollen_grass', count(*) FILTER (WHERE pollen_grass IS NULL) FROM x
-      UNION ALL SELECT 'pollen_weed', count(*) FILTER (WHERE pollen_weed IS NULL) FROM x)
-SELECT "column", nulls FROM n WHERE nulls > 0""", ["checkins", "daily_big"])
+WITH n AS (SELECT 'location_id' AS "column", count(*) FILTER (WHERE location_id IS NULL) AS nulls FROM daily_big
+      UNION ALL SELECT 'zip_code', count(*) FILTER (WHERE zip_code IS NULL) FROM daily_big
+      UNION ALL SELECT 'PM2_5_mean', count(*) FILTER (WHERE PM2_5_mean IS NULL) FROM daily_big
+      UNION ALL SELECT 'pollen_tree', count(*) FILTER (WHERE pollen_tree IS NULL) FROM daily_big
+      UNION ALL SELECT 'pollen_grass', count(*) FILTER (WHERE pollen_grass IS NULL) FROM daily_big
+      UNION ALL SELECT 'pollen_weed', count(*) FILTER (WHERE pollen_weed IS NULL) FROM daily_big)
+SELECT "column", nulls FROM n WHERE nulls > 0""", ["daily_big"])
 def q_ag10(spark, d):
-    """AG-10: null count per column (only > 0), one aggregate + unpivot."""
-    c = T.checkins(spark, d).select("user_id", F.date_sub("date", 1460).alias("date"))
-    e = T.daily_big(spark, d).where(F.col("date") >= "2000-01-01") \
-        .select("location_id", "date", "pollen_tree", "pollen_grass", "pollen_weed")
-    return AG.null_counts(J.load_merged(c, e, location="7"))
+    """AG-10: null count per column (only > 0) over the whole table, one aggregate + unpivot."""
+    b = T.daily_big(spark, d).select("location_id", "zip_code", "PM2_5_mean", "pollen_tree", "pollen_grass",
+                                     "pollen_weed")
+    return AG.null_counts(b)
 
 
 @query("ag_11_correlations", "WITH " + EDA_SQL + """

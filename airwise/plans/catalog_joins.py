@@ -66,6 +66,16 @@ def q_jn03(spark, d):
     return J.load_merged(c, e, location="3")
 
 
+@query("jn_03_load_merged_all_locations", """
+SELECT c.user_id, c.date, c.symptomScore, e.AQI, e.PM2_5_mean
+FROM checkins c LEFT JOIN env_daily e ON c.date = e.date""", ["checkins", "env_daily"])
+def q_jn03b(spark, d):
+    """JN-03 without a location: the date-only join fans out over every location (Q19, kept)."""
+    c = T.checkins(spark, d).select("user_id", "date", "symptomScore")
+    e = T.env_daily(spark, d).select("location_id", "date", "AQI", "PM2_5_mean")
+    return J.load_merged(c, e)
+
+
 @query("jn_04_join_last_env", """
 WITH last AS (SELECT date, arg_max_null(AQI, latitude) AS AQI, arg_max_null(location_id, latitude) AS env_location
               FROM env_daily GROUP BY date)
@@ -111,19 +121,20 @@ def q_fe04(spark, d):
 
 
 @query("jn_08_join_labels", """
-WITH lab AS (SELECT date, flare_nextday FROM (
-  SELECT date, lead(CAST(symptomScore >= 4 AS INTEGER)) OVER (ORDER BY date) AS flare_nextday
-  FROM checkins WHERE user_id = 5) WHERE flare_nextday IS NOT NULL)
-SELECT e.date, e.AQI, e.PM2_5_mean, lab.flare_nextday FROM (SELECT * FROM env_daily WHERE location_id = '5') e
-JOIN lab ON e.date = lab.date""", ["checkins", "env_daily"])
+WITH lab AS (SELECT user_id, CAST(user_id % 10 AS VARCHAR) AS location_id, date, flare_nextday FROM (
+  SELECT user_id, date, lead(CAST(symptomScore >= 4 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY date) AS flare_nextday
+  FROM checkins) WHERE flare_nextday IS NOT NULL)
+SELECT lab.user_id, e.date, e.AQI, e.PM2_5_mean, lab.flare_nextday
+FROM env_daily e JOIN lab ON e.location_id = lab.location_id AND e.date = lab.date""", ["checkins", "env_daily"])
 def q_jn08(spark, d):
-    """JN-08 (+WN-10): env of one location inner-joined to that user's next-day labels."""
+    """JN-08 (+WN-10): env inner-joined to every user's next-day labels (env of the user's location)."""
     from airwise.operators import windows as W
     from airwise.functions import labels as L
-    lab = T.checkins(spark, d).where(F.col("user_id") == 5).select("user_id", "date", L.severe("symptomScore").alias("flare"))
-    lab = W.next_day_label(lab, "user_id", "flare", "flare_nextday").select("date", "flare_nextday")
-    e = T.env_daily(spark, d).where(F.col("location_id") == "5").select("date", "AQI", "PM2_5_mean")
-    return J.join_labels(e, lab)
+    lab = T.checkins(spark, d).select("user_id", "date", L.severe("symptomScore").alias("flare"))
+    lab = W.next_day_label(lab, "user_id", "flare", "flare_nextday") \
+        .select("user_id", (F.col("user_id") % 10).cast("string").alias("location_id"), "date", "flare_nextday")
+    e = T.env_daily(spark, d).select("location_id", "date", "AQI", "PM2_5_mean")
+    return J.join_labels(e, lab, ["location_id", "date"]).select("user_id", "date", "AQI", "PM2_5_mean", "flare_nextday")
 
 
 CACHE_SQL_BASE = f"""
@@ -144,12 +155,12 @@ def q_jn09(spark, d):
 
 @query("jn_10_cached_rows", "WITH " + CACHE_SQL_BASE + f"""
 SELECT user_id, date, risk FROM cache
-WHERE user_id IN (SELECT user_id FROM checkins WHERE user_id < 60) AND date IN ({FORECAST_SQL})""", ["checkins"])
+WHERE user_id IN (SELECT user_id FROM checkins WHERE symptomScore >= 6) AND date IN ({FORECAST_SQL})""", ["checkins"])
 def q_jn10(spark, d):
     """JN-10: cached rows of the requested users and dates (two left-semi joins)."""
     c = T.checkins(spark, d)
     cache = c.where(F.col("user_id") % 2 == 0).select("user_id", "date", F.col("symptomScore").alias("risk"))
-    users = c.where(F.col("user_id") < 60).select("user_id").distinct()
+    users = c.where(F.col("symptomScore") >= 6).select("user_id").distinct()  # users asking for a forecast
     dates = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("date") for x in FORECAST_DAYS])).alias("date"))
     return J.cached_rows(cache, users, dates)
 
@@ -159,18 +170,19 @@ WITH pred AS (SELECT user_id, date, sround(greatest(1.0::DOUBLE, least(5.0::DOUB
               FROM checkins),
 ns AS (SELECT user_id, bool_and(coalesce(wheeze, 0) = 0 AND coalesce(cough, 0) = 0 AND coalesce(chestTightness, 0) = 0) AS no_symptoms
        FROM checkins WHERE date < DATE '2024-01-10' GROUP BY user_id),
-env AS (SELECT date, CAST(1 + 4 * (AQI / 200) AS DOUBLE) AS score FROM env_daily WHERE location_id = '0')
+env AS (SELECT location_id, date, CAST(1 + 4 * (AQI / 200) AS DOUBLE) AS score FROM env_daily)
 SELECT p.user_id, p.date,
        CASE WHEN coalesce(ns.no_symptoms, false) AND env.score IS NOT NULL THEN env.score ELSE p.score END AS score
-FROM pred p LEFT JOIN ns ON p.user_id = ns.user_id LEFT JOIN env ON p.date = env.date""", ["checkins", "env_daily"])
+FROM pred p LEFT JOIN ns ON p.user_id = ns.user_id
+LEFT JOIN env ON env.location_id = CAST(p.user_id % 10 AS VARCHAR) AND p.date = env.date""", ["checkins", "env_daily"])
 def q_jn11(spark, d):
     """JN-11 + AG-17 + MA-05: users with no symptoms take the env-only score of the date."""
     c = T.checkins(spark, d)
-    pred = c.select("user_id", "date", M.binary_score(F.col("symptomScore") / 9).alias("score"))
+    pred = c.select("user_id", (F.col("user_id") % 10).cast("string").alias("location_id"), "date",
+                    M.binary_score(F.col("symptomScore") / 9).alias("score"))
     ns = AG.users_without_symptoms(c.where(F.col("date") < "2024-01-10"))
-    env = T.env_daily(spark, d).where(F.col("location_id") == "0") \
-        .select("date", (1 + 4 * (F.col("AQI") / 200)).alias("score"))
-    return J.override_scores(pred, ns, env)
+    env = T.env_daily(spark, d).select("location_id", "date", (1 + 4 * (F.col("AQI") / 200)).alias("score"))
+    return J.override_scores(pred, ns, env, keys=["location_id", "date"]).select("user_id", "date", "score")
 
 
 @query("jn_12_match_or_last", f"""

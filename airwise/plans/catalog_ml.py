@@ -200,8 +200,7 @@ def q_fe06(spark, d):
 
 
 @query("fe_07_dataset_build", """
-WITH ds AS (SELECT e.location_id, e.date, e.PM2_5_mean, e.temp_min, t.n_orders FROM daily_big e LEFT JOIN trends t ON e.date = t.date
-            WHERE e.location_id IN ('3', '17', '42')),
+WITH ds AS (SELECT e.location_id, e.date, e.PM2_5_mean, e.temp_min, t.n_orders FROM daily_big e LEFT JOIN trends t ON e.date = t.date),
 f AS (SELECT *, coalesce(last_value(n_orders IGNORE NULLS) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                          first_value(n_orders IGNORE NULLS) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS tv
       FROM ds),
@@ -213,8 +212,7 @@ FROM f, q""", ["daily_big", "trends"])
 def q_fe07(spark, d):
     """FE-07: env + trends (JN-02), ffill/bfill (WN-11), flare by p80 (LB-06), risk quintiles
     (LB-07), trends renamed (PRJ-12), known columns first (PRJ-09)."""
-    e = T.daily_big(spark, d).where(F.col("location_id").isin("3", "17", "42")) \
-        .select("location_id", "date", "PM2_5_mean", "temp_min")
+    e = T.daily_big(spark, d).select("location_id", "date", "PM2_5_mean", "temp_min")
     ds = J.join_trends(e, T.trends(spark, d))
     ds = ds.withColumn("trend", W.ffill_bfill("n_orders", W.series("location_id")).cast("double")).drop("n_orders")
     thr = Q.quantile(ds, "trend", 0.8)

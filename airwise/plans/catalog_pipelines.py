@@ -59,8 +59,7 @@ TRAINING_SCHEMA = ("locationid string, date date, PM2_5_mean double, temp_min do
 
 
 @query("src_05_training_csv_roundtrip", """
-WITH ds AS (SELECT e.location_id, e.date, e.PM2_5_mean, e.temp_min, t.n_orders FROM daily_big e LEFT JOIN trends t ON e.date = t.date
-            WHERE e.location_id IN ('3', '17', '42')),
+WITH ds AS (SELECT e.location_id, e.date, e.PM2_5_mean, e.temp_min, t.n_orders FROM daily_big e LEFT JOIN trends t ON e.date = t.date),
 f AS (SELECT *, coalesce(last_value(n_orders IGNORE NULLS) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                          first_value(n_orders IGNORE NULLS) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS tv
       FROM ds),
@@ -196,10 +195,12 @@ def q_fe08(spark, d):
     scored = MD.score(model, x, ["user_id", "date"]).withColumn("score", M.binary_score("p"))
     from airwise.operators import aggregates as AG
     no_sym = AG.users_without_symptoms(T.checkins(spark, d).where(F.col("date") < start))
-    env_scores = T.env_daily(spark, d).where(F.col("location_id") == "0").select(
-        "date", M.binary_score(M.rule_probability("AQI", "PM2_5_mean",
-                                                  M.pollen_total("pollen_tree", "pollen_grass", "pollen_weed"))).alias("score"))
-    final = J.override_scores(scored.select("user_id", "date", "score"), no_sym, env_scores)
+    env_scores = T.env_daily(spark, d).select(
+        "location_id", "date",
+        M.binary_score(M.rule_probability("AQI", "PM2_5_mean",
+                                          M.pollen_total("pollen_tree", "pollen_grass", "pollen_weed"))).alias("score"))
+    pred = scored.select("user_id", (F.col("user_id") % 10).cast("string").alias("location_id"), "date", "score")
+    final = J.override_scores(pred, no_sym, env_scores, keys=["location_id", "date"]).drop("location_id")
     saved = SK.save_predictions(cache, final.withColumnRenamed("score", "risk"), "risk",
                                 F.lit("2024-01-24 00:00:00").cast("timestamp"))
     return saved.select("user_id", "date", M.display_score("risk").alias("display_score"),
