@@ -50,22 +50,55 @@ REC_SCHEMA = "array<struct<id:string,title:string,description:string>>"
 REC_WRAPPER_SCHEMA = ("struct<recommendations:array<struct<id:string,title:string,description:string>>,"
                       "items:array<struct<id:string,title:string,description:string>>,"
                       "recs:array<struct<id:string,title:string,description:string>>>")
-
-
-def parse_recommendations(text) -> Column:
-    """AJ-03: JSON list out of model text.  Code fences are stripped; parsing
-    starts at the first '[' or, for an object, uses recommendations / items /
-    recs.  Items need a non-blank title and description.  Bad JSON -> empty."""
-    t = F.trim(F.regexp_replace(as_col(text), r"```(?:json)?", ""))
-    from_bracket = F.substring(t, F.instr(t, "["), F.lit(1 << 30))
-    as_list = F.from_json(from_bracket, REC_SCHEMA)
-    as_obj = F.from_json(t, REC_WRAPPER_SCHEMA)
-    obj_list = F.coalesce(as_obj["recommendations"], as_obj["items"], as_obj["recs"])
-    chosen = F.when(t.startswith("{"), obj_list).when(F.instr(t, "[") > 0, as_list)
-    items = F.filter(F.coalesce(chosen, F.array().cast(REC_SCHEMA)),
-                     lambda x: (F.length(F.trim(F.coalesce(x["title"], F.lit("")))) > 0)
-                     & (F.length(F.trim(F.coalesce(x["description"], F.lit("")))) > 0))
-    return items
+FENCE_RE = r"```(?:json)?\s*([\s\S]*?)```"
+
+# The default recommendation list used when a reply yields nothing.
+DEFAULT_RECOMMENDATIONS = [
+    ("limit-outdoor", "Limit Outdoor Activities",
+     "Pollen levels are high today. Consider staying indoors during peak hours."),
+    ("inhaler", "Keep Rescue Inhaler Nearby",
+     "Your risk is elevated. Make sure your quick-relief inhaler is accessible."),
+    ("monitor", "Monitor Symptoms Closely",
+     "Track any wheezing, coughing, or chest tightness throughout the day."),
+    ("air-quality", "Check Air Quality Before Exercise",
+     "Air quality is poor. Choose early morning or evening for outdoor activities."),
+    ("windows", "Close Windows Today",
+     "Keep windows closed to prevent outdoor allergens from entering your home."),
+]
+
+
+def parse_recommendations(text, with_default: bool = True) -> Column:
+    """AJ-03 (+STR-10): recommendation list out of model text.
+
+    The first code fence's content is used when there is one; parsing starts at the
+    first '[' (the whole rest must be the JSON array), else an object with
+    recommendations / items / recs.  Items need a non-blank title and description;
+    ids become slugs, 'rec-<i>' (i = position in the reply) when empty.  When nothing
+    is left the default list is returned (``with_default``)."""
+    from airwise.functions.strings import slug
+
+    def ws_trim(c):  # trims every kind of whitespace, not only spaces
+        return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+    raw = ws_trim(F.coalesce(as_col(text), F.lit("")))
+    raw = F.when(raw.rlike(FENCE_RE), ws_trim(F.regexp_extract(raw, FENCE_RE, 1))).otherwise(raw)
+    start = F.instr(raw, "[")
+    tail = ws_trim(F.substring(raw, start, F.lit(1 << 30)))
+    as_list = F.when(tail.endswith("]"), F.from_json(tail, REC_SCHEMA))
+    obj = F.from_json(raw, REC_WRAPPER_SCHEMA)
+    chosen = F.when(start > 0, as_list).when(raw.startswith("{"),
+                                             F.coalesce(obj["recommendations"], obj["items"], obj["recs"]))
+    arr = F.coalesce(chosen, F.array().cast(REC_SCHEMA))
+    shaped = F.transform(arr, lambda x, i: F.struct(
+        slug(F.coalesce(x["id"], F.lit("")), i).alias("id"),
+        ws_trim(F.coalesce(x["title"], F.lit(""))).alias("title"),
+        ws_trim(F.coalesce(x["description"], F.lit(""))).alias("description")))
+    items = F.filter(shaped, lambda x: (F.length(x["title"]) > 0) & (F.length(x["description"]) > 0))
+    if not with_default:
+        return items
+    default = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("title"), F.lit(dsc).alias("description"))
+                        for i, t, dsc in DEFAULT_RECOMMENDATIONS])
+    return F.when(F.size(items) > 0, items).otherwise(default)
 
 
 def argmax(arr) -> Column:

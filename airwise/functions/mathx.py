@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from airwise.functions.dates import as_col
 
+
+def _ws_trim(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
 # Unit factors.
 MPH_TO_KMH = 1.60934
 INHG_TO_PA = 3386.389
@@ -233,14 +237,14 @@ POLLEN_LEVELS = [("none", 0), ("low", 1), ("medium", 2), ("heavy", 3), ("extreme
 def level_index(word) -> Column:
     """MA-17: level word -> index; unknown -> null."""
     m = F.create_map(*[x for k, v in POLLEN_LEVELS for x in (F.lit(k), F.lit(v))])
-    return F.element_at(m, F.lower(F.trim(as_col(word))))
+    return F.element_at(m, F.lower(_ws_trim(as_col(word))))
 
 
 def category_index(value, names: list[str]) -> Column:
     """MA-18: category text (any case) or number (modulo) -> 0-based index; unknown -> 0."""
     v = as_col(value).cast("string")
     lowered = F.array(*[F.lit(n.lower()) for n in names])
-    pos = F.array_position(lowered, F.lower(F.trim(v))) - 1
+    pos = F.array_position(lowered, F.lower(_ws_trim(v))) - 1
     num = v.try_cast("int")
     return (F.when(num.isNotNull(), F.pmod(num, F.lit(len(names))))
             .when(pos >= 0, pos.cast("int"))

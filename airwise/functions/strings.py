@@ -25,6 +25,12 @@ LEADING_NUMBER_RE = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 EM_DASH = "—"
 
 
+def ws_trim(c) -> Column:
+    """Trim every kind of leading/trailing whitespace (JavaScript trim / Python strip);
+    Spark's trim only removes spaces."""
+    return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
+
+
 def _num_text(x: Column) -> Column:
     """Number as JavaScript prints it for short decimals: no trailing '.0'."""
     return F.regexp_replace(x.cast("string"), r"\.0$", "")
@@ -74,7 +80,7 @@ def parse_location(loc_id) -> Column:
 
 def text_to_location_id(text) -> Column:
     """STR-05: 'lat,lon' -> rounded id, ZIP/ZIP+4 -> 'zip_#####', blank -> null, else as is."""
-    s = F.trim(as_col(text))
+    s = ws_trim(as_col(text))
     # Math.round(x * 1e4) / 1e4: half rounds toward +infinity on the binary product
     lat = F.floor(F.regexp_extract(s, LATLON_RE, 1).try_cast("double") * 10000 + 0.5) / 10000
     lon = F.floor(F.regexp_extract(s, LATLON_RE, 2).try_cast("double") * 10000 + 0.5) / 10000
@@ -86,23 +92,23 @@ def text_to_location_id(text) -> Column:
 
 def height_in(text) -> Column:
     """STR-06: feet'inches" text -> inches; no ' -> null; unparsable -> null."""
-    s = F.regexp_replace(F.lower(F.trim(as_col(text))), " ", "")
+    s = F.regexp_replace(F.lower(ws_trim(as_col(text))), " ", "")
     feet = F.substring_index(s, "'", 1).try_cast("double")
     after = F.substring(s, F.instr(s, "'") + 1, F.lit(100000))
-    inches_txt = F.trim(F.regexp_replace(after, '"', ""))
+    inches_txt = ws_trim(F.regexp_replace(after, '"', ""))
     inches = F.when(inches_txt == "", F.lit(0.0)).otherwise(inches_txt.try_cast("double"))
     return F.when(F.instr(s, "'") > 0, feet * 12.0 + inches)
 
 
 def weight_lb(text) -> Column:
     """STR-07: '150 lbs' -> 150.0; bad -> null."""
-    s = F.trim(F.replace(F.replace(F.lower(as_col(text)), F.lit("lbs"), F.lit("")), F.lit("lb"), F.lit("")))
+    s = ws_trim(F.replace(F.replace(F.lower(as_col(text)), F.lit("lbs"), F.lit("")), F.lit("lb"), F.lit("")))
     return s.try_cast("double")
 
 
 def height_m(text) -> Column:
     """STR-08: height text -> metres (cm, m, ft-in, ft only) with range checks."""
-    s = F.trim(as_col(text))
+    s = ws_trim(as_col(text))
     cm = F.regexp_extract(s, HEIGHT_CM_RE, 1).try_cast("double")
     m = F.regexp_extract(s, HEIGHT_M_RE, 1).try_cast("double")
     ft = F.regexp_extract(s, HEIGHT_FT_IN_RE, 1).try_cast("int")
@@ -120,7 +126,7 @@ def height_m(text) -> Column:
 
 def weight_kg(text) -> Column:
     """STR-09: weight text -> kg (kg, lb or bare number, other leading number)."""
-    s = F.trim(as_col(text))
+    s = ws_trim(as_col(text))
     kg = F.regexp_extract(s, WEIGHT_KG_RE, 1).try_cast("double")
     lb = F.regexp_extract(s, WEIGHT_LB_RE, 1).try_cast("double")
     lead = F.regexp_extract(s, LEADING_NUMBER_RE, 1).try_cast("double")
@@ -155,7 +161,7 @@ def dash_if_null(c, fmt: str | None = None) -> Column:
 
 def display_name(name) -> Column:
     """STR-13: trimmed name, 'there' when blank."""
-    return F.coalesce(F.nullif(F.trim(as_col(name)), F.lit("")), F.lit("there"))
+    return F.coalesce(F.nullif(ws_trim(as_col(name)), F.lit("")), F.lit("there"))
 
 
 def _c_to_f_text(c: Column) -> Column:

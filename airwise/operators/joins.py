@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from airwise.functions.strings import ws_trim
+
 from airwise.functions import mathx as M
 from airwise.operators import windows as W
 
@@ -134,7 +136,7 @@ def alerts(users: DataFrame, risk: DataFrame, tomorrow, default_location: str, l
            risk_loc: str = "location_id") -> DataFrame:
     """JN-14: each user with tomorrow's risk of their location (blank -> default)."""
     u = users.withColumn("alert_location",
-                         F.coalesce(F.nullif(F.trim(F.col(loc_col)), F.lit("")), F.lit(default_location)))
+                         F.coalesce(F.nullif(ws_trim(F.col(loc_col)), F.lit("")), F.lit(default_location)))
     r = risk.where(F.col("date") == F.lit(tomorrow).cast("date")).withColumnRenamed(risk_loc, "alert_location")
     return u.join(r, "alert_location", "inner")
 

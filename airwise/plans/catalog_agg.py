@@ -212,15 +212,15 @@ WITH {fe01_sql('env_daily')},
 {lb01_sql()},
 risk AS (SELECT location_id, CASE WHEN {PROBA_SQL} >= 0.5
               THEN 'high' ELSE 'other' END AS level FROM lb WHERE date = DATE '2024-01-27'),
-a AS (SELECT u.user_id, r.level = 'high' AND coalesce(length(trim(u.email)) > 0, false) AS sent
-      FROM users u JOIN risk r ON r.location_id = coalesce(nullif(trim(u.location), ''), '0'))
+a AS (SELECT u.user_id, r.level = 'high' AND coalesce(length(wtrim(u.email)) > 0, false) AS sent
+      FROM users u JOIN risk r ON r.location_id = coalesce(nullif(wtrim(u.location), ''), '0'))
 SELECT count(*) AS checked, count(*) FILTER (WHERE sent) AS sent, count(*) FILTER (WHERE NOT sent) AS skipped FROM a""",
        ["env_daily", "users"])
 def q_ag23(spark, d):
     """AG-23: alert run summary (users checked, sent, skipped) over the JN-14 list."""
     from airwise.plans.catalog_joins import alert_list
     a = alert_list(spark, d)
-    sent = (F.col("level") == "high") & F.coalesce(F.length(F.trim("email")) > 0, F.lit(False))
+    sent = (F.col("level") == "high") & F.coalesce(F.length(S.ws_trim("email")) > 0, F.lit(False))
     return AG.alert_summary(a.withColumn("sent", sent))
 
 

@@ -240,7 +240,7 @@ def q_flt04(spark, d):
 
 
 @query("flt_06_with_email", """
-SELECT user_id, email FROM users WHERE length(trim(email)) > 0""", ["users"])
+SELECT user_id, email FROM users WHERE length(wtrim(email)) > 0""", ["users"])
 def q_flt06(spark, d):
     """FLT-06: users with a non-empty e-mail."""
     return FL.with_email(T.users(spark, d).select("user_id", "email"))

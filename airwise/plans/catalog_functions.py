@@ -62,7 +62,7 @@ WITH t AS (SELECT c_custkey,
        WHEN c_custkey % 6 = 3 THEN '   '
        WHEN c_custkey % 6 = 4 THEN ' ' || c_name || ' '
        ELSE CAST(c_custkey % 90 AS VARCHAR) || ',' || CAST(c_custkey % 7 AS VARCHAR) END AS txt FROM customer),
-s AS (SELECT c_custkey, trim(txt) AS s FROM t)
+s AS (SELECT c_custkey, wtrim(txt) AS s FROM t)
 SELECT c_custkey,
   CASE WHEN s IS NULL OR s = '' THEN NULL
        WHEN regexp_matches(s, '^(-?\\d+\\.?\\d*),(-?\\d+\\.?\\d*)$')
@@ -110,7 +110,7 @@ WEIGHT_SQL = """CASE WHEN c_custkey % 6 = 0 THEN CAST(50 + c_custkey % 60 AS VAR
 
 
 @query("str_06_07_08_09_ma_10_body_metrics", f"""
-WITH t AS (SELECT c_custkey, trim({HEIGHT_SQL}) AS h, trim({WEIGHT_SQL}) AS w FROM customer),
+WITH t AS (SELECT c_custkey, wtrim({HEIGHT_SQL}) AS h, wtrim({WEIGHT_SQL}) AS w FROM customer),
 p AS (SELECT c_custkey, h, w,
   CASE WHEN h = '' THEN NULL
        WHEN regexp_matches(h, '(?i)^(\\d+(?:\\.\\d+)?)\\s*cm$') THEN
@@ -147,10 +147,10 @@ p AS (SELECT c_custkey, h, w,
   END AS weight_kg,
   CASE WHEN position('''' IN replace(lower(h), ' ', '')) > 0 THEN
     TRY_CAST(split_part(replace(lower(h), ' ', ''), '''', 1) AS DOUBLE) * 12
-    + CASE WHEN trim(replace(substr(replace(lower(h), ' ', ''), position('''' IN replace(lower(h), ' ', '')) + 1), '"', '')) = '' THEN 0
-           ELSE TRY_CAST(trim(replace(substr(replace(lower(h), ' ', ''), position('''' IN replace(lower(h), ' ', '')) + 1), '"', '')) AS DOUBLE) END
+    + CASE WHEN wtrim(replace(substr(replace(lower(h), ' ', ''), position('''' IN replace(lower(h), ' ', '')) + 1), '"', '')) = '' THEN 0
+           ELSE TRY_CAST(wtrim(replace(substr(replace(lower(h), ' ', ''), position('''' IN replace(lower(h), ' ', '')) + 1), '"', '')) AS DOUBLE) END
   END AS height_in,
-  TRY_CAST(trim(replace(replace(lower(w), 'lbs', ''), 'lb', '')) AS DOUBLE) AS weight_lb
+  TRY_CAST(wtrim(replace(replace(lower(w), 'lbs', ''), 'lb', '')) AS DOUBLE) AS weight_lb
   FROM t)
 SELECT c_custkey, height_m, weight_kg, height_in, weight_lb,
   CASE WHEN height_m > 0 AND floor(weight_kg / (height_m * height_m) * 10 + 0.5) / 10 > 10
@@ -161,7 +161,7 @@ def q_str06(spark, d):
     """STR-06 (height in), STR-07 (weight lb), STR-08 (height m), STR-09 (weight kg), MA-10 (BMI)."""
     c = T.raw(spark, d, "customer")
     k = F.col("c_custkey")
-    t = c.select("c_custkey", F.trim(_heights(k)).alias("h"), F.trim(_weights(k)).alias("w"))
+    t = c.select("c_custkey", S.ws_trim(_heights(k)).alias("h"), S.ws_trim(_weights(k)).alias("w"))
     hm, wk = S.height_m("h"), S.weight_kg("w")
     p = t.select("c_custkey", hm.alias("height_m"), wk.alias("weight_kg"), S.height_in("h").alias("height_in"),
                  S.weight_lb("w").alias("weight_lb"))
@@ -171,7 +171,7 @@ def q_str06(spark, d):
 @query("str_10_11_13_messages", """
 WITH t AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages)
 SELECT page_id, CASE WHEN s = '' THEN 'rec-' || CAST(page_id AS VARCHAR) ELSE s END AS slug,
-       coalesce(nullif(trim(title), ''), 'there') AS display
+       coalesce(nullif(wtrim(title), ''), 'there') AS display
 FROM (SELECT page_id, title, regexp_replace(lower(regexp_replace(coalesce(title, ''), '\\s+', '-', 'g')), '[^a-z0-9-]', '', 'g') AS s FROM t)""",
        [])
 def q_str10(spark, d):
@@ -182,12 +182,12 @@ def q_str10(spark, d):
 
 
 @query("str_11_chat_messages", """
-SELECT conv_id, turn, CASE WHEN role IN ('model', 'assistant') THEN 'model' ELSE 'user' END AS role, trim(text) AS text
-FROM conversations WHERE length(trim(text)) > 0""", [])
+SELECT conv_id, turn, CASE WHEN role IN ('model', 'assistant') THEN 'model' ELSE 'user' END AS role, wtrim(text) AS text
+FROM conversations WHERE length(wtrim(text)) > 0""", [])
 def q_str11(spark, d):
     """STR-11: message normalisation (model/assistant -> model, else user), trimmed, empties dropped."""
     c = T.raw(spark, d, "conversations")
-    return c.select("conv_id", "turn", S.chat_role("role").alias("role"), F.trim("text").alias("text")) \
+    return c.select("conv_id", "turn", S.chat_role("role").alias("role"), S.ws_trim("text").alias("text")) \
         .where(F.length("text") > 0)
 
 
@@ -356,10 +356,10 @@ WITH x AS (SELECT conv_id, turn,
   (['wind', 'sprout', 'thermometer', 'droplets', 'other'])[CAST((conv_id + turn) % 5 AS INTEGER) + 1] AS icon_key
   FROM conversations)
 SELECT conv_id, turn,
-  CASE lower(trim(word)) WHEN 'none' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'heavy' THEN 3 WHEN 'extremely heavy' THEN 4 END AS level_idx,
+  CASE lower(wtrim(word)) WHEN 'none' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'heavy' THEN 3 WHEN 'extremely heavy' THEN 4 END AS level_idx,
   CASE WHEN TRY_CAST(dow AS INTEGER) IS NOT NULL THEN CAST(((TRY_CAST(dow AS INTEGER) % 7) + 7) % 7 AS INTEGER)
-       WHEN list_position(['monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday'], lower(trim(dow))) IS NOT NULL
-         THEN CAST(list_position(['monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday'], lower(trim(dow))) - 1 AS INTEGER)
+       WHEN list_position(['monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday'], lower(wtrim(dow))) IS NOT NULL
+         THEN CAST(list_position(['monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday'], lower(wtrim(dow))) - 1 AS INTEGER)
        ELSE 0 END AS dow_idx,
   CASE icon_key WHEN 'wind' THEN 'Wind' WHEN 'sprout' THEN 'Sprout' WHEN 'thermometer' THEN 'Thermometer' WHEN 'droplets' THEN 'Droplets' END AS icon
 FROM x""", [])
@@ -391,19 +391,18 @@ WITH t AS (SELECT conv_id, turn,
   '{"id": "' || role || ' ' || CAST(turn AS VARCHAR) || '", "title": "' || CASE WHEN turn % 4 = 0 THEN '  ' ELSE role END
   || '", "description": "' || regexp_replace(text, '["\\\n\r\t]', ' ', 'g') || '"}' AS item FROM conversations),
 r AS (SELECT conv_id, turn, '[' || item || ', ' || item || ']' AS arr FROM t),
-p AS (SELECT conv_id, turn,
-  CASE WHEN conv_id % 3 = 1 THEN json_extract(arr, '$') ELSE json_extract(arr, '$') END AS j FROM r),
-items AS (SELECT conv_id, turn, unnest(from_json(j, '[{"id": "VARCHAR", "title": "VARCHAR", "description": "VARCHAR"}]')) AS it FROM p)
-SELECT conv_id, turn, CAST(count(*) FILTER (WHERE length(trim(coalesce(it.title, ''))) > 0
-                                        AND length(trim(coalesce(it.description, ''))) > 0) AS INTEGER) AS n_items,
-       min(CASE WHEN length(trim(coalesce(it.title, ''))) > 0 THEN
-           CASE WHEN s = '' THEN 'rec-0' ELSE s END END) AS first_slug
-FROM (SELECT *, regexp_replace(lower(regexp_replace(coalesce(it.id, ''), '\s+', '-', 'g')), '[^a-z0-9-]', '', 'g') AS s FROM items)
-GROUP BY conv_id, turn""", [])
+items AS (SELECT conv_id, turn, unnest(from_json(arr, '[{"id": "VARCHAR", "title": "VARCHAR", "description": "VARCHAR"}]')) AS it
+          FROM r WHERE conv_id % 3 <> 1),
+kept AS (SELECT conv_id, turn, count(*) AS n,
+                min(regexp_replace(lower(regexp_replace(coalesce(it.id, ''), '\s+', '-', 'g')), '[^a-z0-9-]', '', 'g')) AS s
+         FROM items WHERE length(wtrim(coalesce(it.title, ''))) > 0 AND length(wtrim(coalesce(it.description, ''))) > 0
+         GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, CAST(coalesce(k.n, 5) AS INTEGER) AS n_items, coalesce(k.s, 'limit-outdoor') AS first_slug
+FROM conversations c LEFT JOIN kept k ON k.conv_id = c.conv_id AND k.turn = c.turn""", [])
 def q_aj03(spark, d):
-    """AJ-03 (JSON list out of model text: fences, object wrappers, prose before '['; items need
-    title and description) and STR-10 (slug of the item id)."""
+    """AJ-03 (JSON list out of model text: fence content, first '[' onward, object wrappers;
+    items need title and description; default list when nothing is left) and STR-10 (ids as slugs)."""
     c = T.raw(spark, d, "conversations")
     items = c.select("conv_id", "turn", A.parse_recommendations(_reply_text()).alias("items"))
     return items.select("conv_id", "turn", F.size("items").cast("int").alias("n_items"),
-                        F.when(F.size("items") > 0, S.slug(F.col("items")[0]["id"], F.lit(0))).alias("first_slug"))
+                        F.col("items")[0]["id"].alias("first_slug"))

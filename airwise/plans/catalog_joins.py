@@ -233,15 +233,15 @@ risk AS (SELECT location_id, date,
    CASE WHEN {PROBA_SQL} < 0.2 THEN 'low'
         WHEN {PROBA_SQL} < 0.5 THEN 'moderate' ELSE 'high' END AS level
    FROM lb WHERE date = DATE '2024-01-27')
-SELECT u.user_id, u.email, coalesce(nullif(trim(u.location), ''), '0') AS alert_location, r.level,
-       r.level = 'high' AND coalesce(length(trim(u.email)) > 0, false) AS sent,
-       coalesce(nullif(trim(u.name), ''), 'there') AS greeting
-FROM users u JOIN risk r ON r.location_id = coalesce(nullif(trim(u.location), ''), '0')""", ["env_daily", "users"])
+SELECT u.user_id, u.email, coalesce(nullif(wtrim(u.location), ''), '0') AS alert_location, r.level,
+       r.level = 'high' AND coalesce(length(wtrim(u.email)) > 0, false) AS sent,
+       coalesce(nullif(wtrim(u.name), ''), 'there') AS greeting
+FROM users u JOIN risk r ON r.location_id = coalesce(nullif(wtrim(u.location), ''), '0')""", ["env_daily", "users"])
 def q_jn14(spark, d):
     """JN-14 (+FLT-06/09, STR-13): users x tomorrow's risk of their location; who gets an alert."""
     from airwise.functions import strings as S
     a = alert_list(spark, d)
-    sent = (F.col("level") == "high") & F.coalesce(F.length(F.trim("email")) > 0, F.lit(False))
+    sent = (F.col("level") == "high") & F.coalesce(F.length(S.ws_trim("email")) > 0, F.lit(False))
     return a.select("user_id", "email", "alert_location", "level",
                     sent.alias("sent"),
                     S.display_name("name").alias("greeting"))

@@ -201,9 +201,9 @@ WITH p AS (SELECT page_id, html || CASE WHEN page_id % 4 = 0 THEN '' ELSE
   || (['HEAVY', 'Low', 'medium', 'NONE', 'Extremely Heavy'])[(page_id + 2) % 5 + 1] || ' 3</p>' END AS html FROM pages),
 m AS (SELECT page_id,
   nullif(regexp_extract(html, '(?i)href=["'']([^"'']*pollen-mold-count-[^"'']+)["'']', 1), '') AS report_link,
-  replace(lower(trim(regexp_extract(html, '(?i)TREE\\s*POLLEN\\s*(HEAVY|LOW|MEDIUM|NONE|Extremely\\s*Heavy)\\s*[\\d,]*', 1))), ' ', '') AS tw,
-  replace(lower(trim(regexp_extract(html, '(?i)GRASS\\s*POLLEN\\s*(HEAVY|LOW|MEDIUM|NONE|Extremely\\s*Heavy)\\s*[\\d,]*', 1))), ' ', '') AS gw,
-  replace(lower(trim(regexp_extract(html, '(?i)WEED\\s*POLLEN\\s*(HEAVY|LOW|MEDIUM|NONE|Extremely\\s*Heavy)\\s*[\\d,]*', 1))), ' ', '') AS ww
+  replace(lower(wtrim(regexp_extract(html, '(?i)TREE\\s*POLLEN\\s*(HEAVY|LOW|MEDIUM|NONE|Extremely\\s*Heavy)\\s*[\\d,]*', 1))), ' ', '') AS tw,
+  replace(lower(wtrim(regexp_extract(html, '(?i)GRASS\\s*POLLEN\\s*(HEAVY|LOW|MEDIUM|NONE|Extremely\\s*Heavy)\\s*[\\d,]*', 1))), ' ', '') AS gw,
+  replace(lower(wtrim(regexp_extract(html, '(?i)WEED\\s*POLLEN\\s*(HEAVY|LOW|MEDIUM|NONE|Extremely\\s*Heavy)\\s*[\\d,]*', 1))), ' ', '') AS ww
   FROM p),
 i AS (SELECT page_id, report_link,
   CASE tw WHEN 'none' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'heavy' THEN 3 WHEN 'extremelyheavy' THEN 4 END AS tree_index,

@@ -15,6 +15,29 @@ def sround(expr: str, n: int) -> str:
     return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 18)), {n}) AS DOUBLE)"
 
 
+def expand_wtrim(sql: str) -> str:
+    """Rewrite ``wtrim(x)`` pseudo-calls as a whitespace trim (JavaScript trim / Python strip)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("wtrim(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + 5
+        while True:
+            c = sql[k]
+            if c == "(":
+                depth += 1
+            elif c == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j])
+        out.append(f"regexp_replace({expand_wtrim(sql[j + 6:k])}, '^\\s+|\\s+$', '', 'g')")
+        i = k + 1
+
+
 def expand_sround(sql: str) -> str:
     """Rewrite every ``sround(expr, n)`` pseudo-call in ``sql`` with :func:`sround`."""
     out, i = [], 0
@@ -163,7 +186,7 @@ def with_views(body: str, *names: str) -> str:
     for n in names:
         visit(n)
     ctes = [f"{n} AS ({VIEWS[n][0].strip()})" for n in order]
-    body = expand_sround(body.strip())
+    body = expand_wtrim(expand_sround(body.strip()))
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes + [body[5:]])
     return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airwise.functions.strings import ws_trim
+
 from airwise.functions import dates as D
 from airwise.functions import mathx as M
 
@@ -168,7 +170,7 @@ def extract_levels(df: DataFrame, html: str, keep: Sequence[str] = (), link_mark
     cols = []
     for kind, name in kinds:
         word = F.regexp_extract(h, r"(?i)" + kind + r"\s*POLLEN\s*" + LEVEL_WORDS + r"\s*[\d,]*", 1)
-        cols.append(F.element_at(m, F.regexp_replace(F.lower(F.trim(word)), " ", "")).alias(name))
+        cols.append(F.element_at(m, F.regexp_replace(F.lower(ws_trim(word)), " ", "")).alias(name))
     out = df.select(*keep, F.nullif(link, F.lit("")).alias("report_link"), *cols)
     names = [n for _, n in kinds]
     return out.where(F.greatest(*[F.col(n).isNotNull() for n in names]))
