@@ -249,3 +249,34 @@ def q_sl03b(spark, d):
     from airwise.plans.catalog_env import outlook
     o = outlook(T.daily_big(spark, d)).withColumn("key", F.concat_ws("|", "location_id", F.col("date").cast("string")))
     return SL.precision_at_k(o, "proba", "y", 0.2, tie="key")
+
+
+OVR_LONG_SQL = """
+l AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS cls,
+             CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings),
+c AS (SELECT cls, score, sum(CASE WHEN label = cls THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN label = cls THEN 0 ELSE 1 END) AS neg
+      FROM l WHERE cls < 10 GROUP BY cls, score)"""
+
+
+@query("ml_09_macro_auc", "WITH " + OVR_LONG_SQL + """,
+w AS (SELECT *, sum(neg) OVER (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - neg AS neg_below FROM c),
+a AS (SELECT cls, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                       THEN CAST(sum(pos * neg_below + 0.5 * pos * neg) AS DOUBLE) / CAST(sum(pos) * sum(neg) AS DOUBLE) END AS auc
+      FROM w GROUP BY cls)
+SELECT avg(auc) AS macro_auc FROM a""", [])
+def q_ml09b(spark, d):
+    """ML-09: macro mean of the one-vs-rest AUCs (classes with an undefined AUC skipped)."""
+    v = T.vectors(spark, d).select(F.transform("embedding", lambda x: x.cast("double")).alias("scores"), "label")
+    return STS.macro_auc(STS.ovr_auc(v, "scores", "label", CLASSES10))
+
+
+@query("ml_12_ovr_roc_curves", "WITH " + OVR_LONG_SQL + """
+SELECT cls, score AS threshold,
+       sum(neg) OVER o / nullif(sum(neg) OVER (PARTITION BY cls), 0) AS fpr,
+       sum(pos) OVER o / nullif(sum(pos) OVER (PARTITION BY cls), 0) AS tpr
+FROM c WINDOW o AS (PARTITION BY cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", [])
+def q_ml12c(spark, d):
+    """ML-12: one-vs-rest ROC curves per class (per-class distributed prefix sums)."""
+    v = T.vectors(spark, d).select(F.transform("embedding", lambda x: x.cast("double")).alias("scores"), "label")
+    return STS.ovr_roc_curves(v, "scores", "label", CLASSES10).select(F.col("cls").cast("int").alias("cls"),
+                                                                      "threshold", "fpr", "tpr")
