@@ -71,13 +71,19 @@ def rounded_oracles(schema_dir: str = "/root/testdata/sf0.001") -> dict[str, str
     against the smallest data set; any failure leaves the SQL unwrapped."""
     if len(_WRAPPED) == len(ORACLE):
         return dict(_WRAPPED)
+    import os
+
+    candidates = [schema_dir] + [f"/root/testdata/sf{x}" for x in ("0.001", "0.01", "0.1")]
+    found = next((c for c in candidates if os.path.exists(f"{c}/events.parquet")), None)
+    if found is None:
+        return dict(ORACLE)
     try:
         import duckdb
 
         con = duckdb.connect()
         for t in ("region nation customer supplier part orders lineitem events documents embeddings "
                   "pages benchmark labels conversations").split():
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{schema_dir}/{t}.parquet')")
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{found}/{t}.parquet')")
     except Exception:  # noqa: BLE001
         return dict(ORACLE)
     for name, sql in ORACLE.items():
