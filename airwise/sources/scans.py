@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airwise.sources.tables import nan_to_null
+
 
 class EmptySourceError(RuntimeError):
     pass
@@ -20,9 +22,10 @@ def read_daily_env(spark: SparkSession, path: str, location_id: str | None = Non
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.load(path).withColumn("date", F.to_date("date"))
+    df = reader.load(path)
     if location_id is not None:
-        df = df.where(F.col("location_id") == location_id)
+        df = df.where(F.col("location_id") == location_id)  # before any projection: pushed down
+    df = nan_to_null(df.withColumn("date", F.to_date("date")))
     if df.isEmpty():
         raise EmptySourceError(f"no rows in {path} for location_id={location_id}")
     return df
@@ -75,4 +78,4 @@ def read_training_csv(spark: SparkSession, path: str, schema: T.StructType | str
     """SRC-05: training CSV with header (schema given, never inferred at scale)."""
     r = spark.read.option("header", True)
     df = r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
-    return df, training_target(df.columns)
+    return nan_to_null(df), training_target(df.columns)

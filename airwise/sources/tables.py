@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airwise.functions import dates as D
 from airwise.functions import mathx as M
@@ -19,7 +20,18 @@ RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lin
               "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN -> null in every floating column at read time (pandas treats them alike, Spark
+    does not: NaN sorts above every number and wins ``max``)."""
+    cols = [F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)).alias(f.name)
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
+            for f in df.schema.fields]
+    return df.select(*cols)
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A landed table as is (no projection in front of the scan, so filters on its
+    columns are pushed into the parquet reader)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
