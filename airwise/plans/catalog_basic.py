@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airwise.functions import dates as D
 from airwise.functions import mathx as M
 from airwise.functions import strings as S
 from airwise.operators import filters as FL
@@ -17,9 +16,6 @@ from airwise.plans.sqlviews import holiday_sql, season_sql
 from airwise.sources import scans as SC
 from airwise.sources import tables as T
 
-VALS = ["PM2_5_mean", "PM2_5_max", "AQI", "temp_min", "temp_max", "humidity", "wind", "pressure", "rain",
-        "pollen_tree", "pollen_grass", "pollen_weed"]
-
 # ---------------------------------------------------------------- scans
 
 @query("src_01_02_env_scan_location_range", """

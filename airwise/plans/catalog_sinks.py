@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airwise.operators import projections as P
 from airwise.operators import sinks as SK
 from airwise.plans.registry import query
 from airwise.sources import tables as T
