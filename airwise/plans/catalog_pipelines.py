@@ -327,3 +327,41 @@ def q_st03_env(spark, d):
     fc = ST.synthetic_env(days.where(F.col("location_id") == "8"), "forecast").select("location_id", "date", "AQI",
                                                                                      "PM2_5_mean")
     return ST.env_source_priority(store, fc, gen, "location_id", n_days=6)
+
+
+@query("fe_09_week_forecast_model")
+def q_fe09_model(spark, d):
+    """FE-09 with the model path: the general model (FE-01 + LB-01, ML-01/06) is trained on
+    the stored history; the forecast window is completed with generated rows (JN-13, ST-04),
+    FE-01 features are computed over history + window per location, the rows are scored
+    (ML-13) and turned into {date, risk, activeRiskFactors, daily} records (MA-04, AJ-01, PRJ-14)."""
+    from airwise.functions import labels as LBL
+    from airwise.plans.training import GENERAL_CAT, GENERAL_NUM
+
+    start, days = "2024-01-27", 7
+    env = T.env_daily(spark, d)
+    hist = env.where(F.col("date") < start)
+    train = LBL.high_risk_tomorrow(FE.env_features_general(hist)).withColumn("month", F.col("month").cast("double"))
+    train = cut_lineage(MD.impute(train, train, GENERAL_NUM, GENERAL_CAT))
+    model = MD.make_pipeline(GENERAL_NUM, GENERAL_CAT, MD.gbt("y", max_iter=10)).fit(train)
+
+    s = F.lit(start).cast("date")
+    wanted = ST.expand_dates(env.select("location_id").distinct(), s, F.date_add(s, days - 1)).drop("day_idx")
+    synth = ST.synthetic_env(wanted, "forecast")
+    window = J.match_or_synthetic(wanted, env, synth.select(*[c for c in synth.columns]))
+    cols = ["location_id", "date", "PM2_5_mean", "PM2_5_max", "AQI", "temp_min", "temp_max", "humidity", "wind",
+            "pressure", "rain", "pollen_tree", "pollen_grass", "pollen_weed", "day_of_week", "month", "season",
+            "holiday_flag"]
+    window = window.select(*[F.col(c) if c in window.columns else F.lit(None).alias(c) for c in cols])
+    series = hist.select(*cols).unionByName(window.select(*[F.col(c).cast(t) for c, t in hist.select(*cols).dtypes]))
+    feats = FE.env_features_general(series, drop_incomplete=False).where(F.col("date") >= start) \
+        .withColumn("month", F.col("month").cast("double"))
+    x = MD.impute(train, feats, GENERAL_NUM, GENERAL_CAT)
+    scored = MD.score(model, x, ["location_id", "date", "AQI", "PM2_5_mean", "pollen_total", "temp_min", "humidity"])
+    rec = P.risk_record(F.date_format("date", "yyyy-MM-dd"), F.col("p"),
+                        A.risk_factors("AQI", "PM2_5_mean", "pollen_total"),
+                        F.struct("AQI", "PM2_5_mean", "pollen_total", "temp_min", "humidity"))
+    out = scored.select("location_id", rec.alias("record"))
+    return out.select("location_id", F.col("record.date").alias("date"), F.col("record.risk.score").alias("score"),
+                      F.col("record.risk.level").alias("level"),
+                      A.factor_ids(F.col("record.activeRiskFactors")).alias("factors"))
