@@ -89,7 +89,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "readings": ("""
         SELECT event_id, CAST(user_id % 10 AS VARCHAR) AS location_id, user_id, ts,
                CAST(ts AS DATE) AS date, value AS pm, event_type AS kind,
-               CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+               TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
         FROM events""", []),
     "env_agg": ("""
         SELECT location_id, date,

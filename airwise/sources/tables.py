@@ -52,7 +52,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("ts").alias("date"),
         F.col("value").alias("pm"),
         F.col("event_type").alias("kind"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.get_json_object("props", "$.k").try_cast("int").alias("k"),  # dirty text -> null, not a failed job
     )
 
 

@@ -88,7 +88,7 @@ def checkin_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """SS-03: check-in records clamped (MA-12), then the first record per (user, date)
     within the watermark kept (later duplicates dropped)."""
     c = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("date"),
-                      M.clamp_number(F.get_json_object("props", "$.k").cast("int") - 50, 0, 3).alias("wheeze"),
+                      M.clamp_number(F.get_json_object("props", "$.k").try_cast("int") - 50, 0, 3).alias("wheeze"),
                       M.clamp_number(F.col("value") / 100, 0, 1440).alias("exerciseMinutes"))
     return c.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "date"])
 
