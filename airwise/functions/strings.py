@@ -192,3 +192,20 @@ def pm_text(mean, mx) -> Column:
 def is_iso_date(c) -> Column:
     """FLT-07: YYYY-MM-DD text."""
     return F.coalesce(as_col(c).rlike(ISO_DATE_RE), F.lit(False))
+
+
+def js_number(c) -> Column:
+    """A number as JavaScript template text prints it (integers without '.0'), '—' for null."""
+    return F.coalesce(_num_text(as_col(c)), F.lit(EM_DASH))
+
+
+def day_line(date_txt, dow, label, score, factor_labels, aqi, pm, tmin, tmax, hum, tree, grass, weed) -> Column:
+    """STR-12 / AG-24: one forecast day as the assistant context line, '—' for missing parts."""
+    t = lambda c: F.coalesce(as_col(c).cast("string"), F.lit(EM_DASH))
+    factors = F.coalesce(F.nullif(F.array_join(as_col(factor_labels), ", "), F.lit("")), F.lit(EM_DASH))
+    return F.concat(
+        F.lit("- "), t(date_txt), F.lit(" ("), t(dow), F.lit("): Risk "), t(label), F.lit(" (score "),
+        js_number(score), F.lit("). Factors: "), factors, F.lit(". AQI: "), js_number(aqi),
+        F.lit(", PM2.5 mean: "), js_number(pm), F.lit(", temp: "), js_number(tmin), F.lit("–"), js_number(tmax),
+        F.lit(" °C, humidity: "), js_number(hum), F.lit("%. Pollen: tree "), js_number(tree), F.lit(", grass "),
+        js_number(grass), F.lit(", weed "), js_number(weed), F.lit("."))

@@ -224,18 +224,47 @@ def q_ag23(spark, d):
     return AG.alert_summary(a.withColumn("sent", sent))
 
 
-@query("ag_24_week_digest", """
-WITH x AS (SELECT location_id, date,
-  strftime(date, '%Y-%m-%d') || ': AQI ' || coalesce(CAST(CAST(AQI AS INTEGER) AS VARCHAR), '—')
-  || ', pollen ' || coalesce(CAST(CAST(trunc(pollen_tree) AS INTEGER) AS VARCHAR), '—') AS line
-  FROM env_daily WHERE date BETWEEN DATE '2024-01-24' AND DATE '2024-01-30')
+def _jsn(x: str) -> str:
+    return f"coalesce(regexp_replace(CAST({x} AS VARCHAR), '\\.0$', ''), '—')"
+
+
+AG24_PROBA = PROBA_SQL.replace("pollen_total", "(coalesce(pollen_tree, 0) + coalesce(pollen_grass, 0) + coalesce(pollen_weed, 0))")
+
+
+@query("ag_24_str_12_week_digest", f"""
+WITH e AS (SELECT location_id, date, sround(AQI, 2) AS AQI, sround(PM2_5_mean, 2) AS PM2_5_mean,
+                  sround(temp_min, 2) AS temp_min, sround(temp_max, 2) AS temp_max, sround(humidity, 2) AS humidity,
+                  sround(pollen_tree, 2) AS pollen_tree, sround(pollen_grass, 2) AS pollen_grass,
+                  sround(pollen_weed, 2) AS pollen_weed, day_of_week
+           FROM env_daily WHERE date BETWEEN DATE '2024-01-24' AND DATE '2024-01-30'),
+p AS (SELECT *, {AG24_PROBA} AS p FROM e),
+x AS (SELECT location_id, date,
+  '- ' || strftime(date, '%Y-%m-%d') || ' (' || day_of_week || '): Risk '
+  || CASE WHEN p < 0.2 THEN 'Low' WHEN p < 0.5 THEN 'Moderate' ELSE 'High' END
+  || ' (score ' || {_jsn("sround(CASE WHEN p < 0.2 THEN 1 + p * 5 WHEN p < 0.5 THEN 2 + (p - 0.2::DOUBLE) * 10 ELSE 4 + (p - 0.5::DOUBLE) * 2 END, 1)")}
+  || '). Factors: ' || coalesce(nullif(concat_ws(', ', CASE WHEN AQI >= 101 THEN 'Poor Air Quality' END,
+        CASE WHEN PM2_5_mean >= 35 THEN 'High PM2.5' END,
+        CASE WHEN coalesce(pollen_tree, 0) + coalesce(pollen_grass, 0) + coalesce(pollen_weed, 0) >= 8 THEN 'High Pollen' END,
+        CASE WHEN temp_min < 5 THEN 'Cold Temperature' END, CASE WHEN humidity >= 80 THEN 'High Humidity' END), ''),
+        'Environmental conditions')
+  || '. AQI: ' || {_jsn("AQI")} || ', PM2.5 mean: ' || {_jsn("PM2_5_mean")} || ', temp: ' || {_jsn("temp_min")}
+  || '–' || {_jsn("temp_max")} || ' °C, humidity: ' || {_jsn("humidity")} || '%. Pollen: tree ' || {_jsn("pollen_tree")}
+  || ', grass ' || {_jsn("pollen_grass")} || ', weed ' || {_jsn("pollen_weed")} || '.' AS line FROM p)
 SELECT location_id, string_agg(line, chr(10) ORDER BY date) AS digest FROM x GROUP BY location_id""", ["env_daily"])
 def q_ag24(spark, d):
-    """AG-24 (+STR-12): ordered per-location week digest text (bounded 7-row groups)."""
+    """AG-24 + STR-12: ordered per-location week digest of the assistant context lines
+    (risk, factor labels, measures with '—' for missing parts); groups hold 7 rows."""
+    from airwise.functions import arrays as A
+    from airwise.functions import mathx as M
     e = T.env_daily(spark, d).where(F.col("date").between("2024-01-24", "2024-01-30"))
-    line = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(": AQI "),
-                    S.dash_if_null(F.col("AQI").cast("int")), F.lit(", pollen "),
-                    S.dash_if_null(F.col("pollen_tree").cast("int")))
+    meas = ["AQI", "PM2_5_mean", "temp_min", "temp_max", "humidity", "pollen_tree", "pollen_grass", "pollen_weed"]
+    e = e.select("location_id", "date", "day_of_week", *[F.round(c, 2).alias(c) for c in meas])  # stored at 2 dp
+    pt = M.pollen_total("pollen_tree", "pollen_grass", "pollen_weed")
+    p = M.rule_probability("AQI", "PM2_5_mean", pt)
+    factors = F.transform(A.risk_factors("AQI", "PM2_5_mean", pt, "temp_min", "humidity"), lambda f: f["label"])
+    line = S.day_line(F.date_format("date", "yyyy-MM-dd"), "day_of_week", M.level_label(M.proba_to_level(p)),
+                      M.proba_to_score(p), factors, "AQI", "PM2_5_mean", "temp_min", "temp_max", "humidity",
+                      "pollen_tree", "pollen_grass", "pollen_weed")
     return AG.week_digest(e, "location_id", line)
 
 
