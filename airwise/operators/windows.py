@@ -88,6 +88,19 @@ def next_day_label(df: DataFrame, key: str, label: str, out: str) -> DataFrame:
     return df.withColumn(out, F.lead(label, 1).over(w)).where(F.col(out).isNotNull())
 
 
+# Fallback risk levels cycled over the days of a forecast (score, level, label).
+FALLBACK_LEVELS = [(1.5, "low", "Low"), (2.0, "low", "Low"), (2.5, "moderate", "Moderate"),
+                   (3.0, "moderate", "Moderate"), (3.5, "moderate", "Moderate"), (4.0, "high", "High"),
+                   (4.5, "high", "High")]
+
+
+def fallback_levels(day_index) -> Column:
+    """WN-17: the static risk struct of day ``i`` of a forecast: FALLBACK_LEVELS[i mod 7]."""
+    arr = F.array(*[F.struct(F.lit(s).alias("score"), F.lit(lv).alias("level"), F.lit(lb).alias("label"))
+                    for s, lv, lb in FALLBACK_LEVELS])
+    return F.element_at(arr, (F.pmod(as_col(day_index), F.lit(len(FALLBACK_LEVELS))) + 1).cast("int"))
+
+
 def cycle_pick(values: Sequence, index) -> Column:
     """WN-17: values[index mod len] as a column."""
     arr = F.array(*[F.lit(v) for v in values])

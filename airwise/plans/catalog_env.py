@@ -320,15 +320,27 @@ def q_wn16(spark, d):
         .select("user_id", "date", "symptomScore")
 
 
-@query("wn_17_cycle_levels", """
-SELECT date, (['low', 'moderate', 'high', 'moderate', 'low', 'low', 'moderate'])[((date - DATE '1995-01-01') % 7) + 1] AS level
-FROM trends""", ["trends"])
+@query("wn_17_fallback_levels", """
+WITH l AS (SELECT DISTINCT location_id FROM env_daily),
+d AS (SELECT location_id, unnest(generate_series(0, 13)) AS i FROM l)
+SELECT location_id, CAST(DATE '2024-01-27' + CAST(i AS INTEGER) AS DATE) AS date,
+       ([1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5])[i % 7 + 1]::DOUBLE AS score,
+       (['low', 'low', 'moderate', 'moderate', 'moderate', 'high', 'high'])[i % 7 + 1] AS level,
+       (['Low', 'Low', 'Moderate', 'Moderate', 'Moderate', 'High', 'High'])[i % 7 + 1] AS label,
+       dayname(DATE '2024-01-27' + CAST(i AS INTEGER)) AS day_of_week,
+       (['winter', 'spring', 'summer', 'fall'])[CAST(floor((month(DATE '2024-01-27' + CAST(i AS INTEGER)) % 12 + 3) / 3) AS INTEGER)] AS season
+FROM d""", ["env_daily"])
 def q_wn17(spark, d):
-    """WN-17: cyclic fallback level by day index modulo 7."""
-    t = T.trends(spark, d)
-    idx = F.datediff(F.col("date"), F.lit("1995-01-01").cast("date"))
-    return t.select("date", W.cycle_pick(["low", "moderate", "high", "moderate", "low", "low", "moderate"], idx)
-                    .alias("level"))
+    """WN-17: static fallback week: day i of the window takes level i mod 7 (per location,
+    rows generated by explode, no join), weekday and season from the date."""
+    from airwise.functions import dates as D
+    from airwise.operators import sets as ST
+    s = F.lit("2024-01-27").cast("date")
+    days = ST.expand_dates(T.env_daily(spark, d).select("location_id").distinct(), s, F.date_add(s, 13))
+    lv = W.fallback_levels("day_idx")
+    return days.select("location_id", "date", lv["score"].alias("score"), lv["level"].alias("level"),
+                       lv["label"].alias("label"), D.weekday_name("date").alias("day_of_week"),
+                       D.season_name(F.month("date")).alias("season"))
 
 
 # ---------------------------------------------------------------- labels
