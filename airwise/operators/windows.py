@@ -192,9 +192,15 @@ def n_folds_rule(n, rule: str = "main"):
 def expanding_folds(df: DataFrame, k, order: Sequence[Column]) -> DataFrame:
     """WN-14: expanding-window CV.  test size = n // (k + 1); fold i (1..k) tests
     rows [n - (k - i + 1) * t, n - (k - i) * t) and trains on all earlier rows.
-    Adds ``test_fold`` (fold whose test block holds the row, null if none)."""
+    Adds ``test_fold`` (fold whose test block holds the row, null if none).  ``k`` is a
+    number, or a rule name of ``n_folds_rule`` evaluated on the row count in the plan."""
     idx = row_index(df, order)
-    kk = as_col(k) if not isinstance(k, int) else F.lit(k)
+    if isinstance(k, int):
+        kk = F.lit(k)
+    elif isinstance(k, str):
+        kk = n_folds_rule(F.col("n_rows"), k)
+    else:
+        kk = as_col(k)
     t = F.floor(F.col("n_rows") / (kk + 1))
     start = F.col("n_rows") - kk * t
     fold = F.when((t > 0) & (F.col("row_idx") >= start), F.floor((F.col("row_idx") - start) / t) + 1)
