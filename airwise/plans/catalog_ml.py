@@ -280,3 +280,11 @@ def q_ml12c(spark, d):
     v = T.vectors(spark, d).select(F.transform("embedding", lambda x: x.cast("double")).alias("scores"), "label")
     return STS.ovr_roc_curves(v, "scores", "label", CLASSES10).select(F.col("cls").cast("int").alias("cls"),
                                                                       "threshold", "fpr", "tpr")
+
+
+@query("ml_02_05_07_11_15_stratified_models")
+def q_ml_strat(spark, d):
+    """ML-15 stratified split, ML-02 scaling fitted on train, ML-04 weights, ML-05 random forest
+    with the reference settings and ML-07 logistic regression, scored with ML-11 on the test rows."""
+    from airwise.plans.training import stratified_models
+    return stratified_models(spark, d)
