@@ -55,14 +55,15 @@ GRID_VARIABLES = ["minTemperature", "maxTemperature", "temperature", "relativeHu
 def explode_intervals(df: DataFrame, payload: str, keep: Sequence[str] = (),
                       variables: Sequence[str] = GRID_VARIABLES) -> DataFrame:
     """SRC-07: grid forecast -> (variable, uom, valid_time, date, value); values that
-    are not numbers are dropped; the date is the interval start in its own offset."""
+    are not numbers are dropped; the date is the interval start in its own offset.
+
+    ``properties`` is parsed as a map (variable -> series) and exploded once, which
+    is cheaper than a struct with one field per variable followed by an array of them."""
     series = "struct<uom:string,values:array<struct<validTime:string,value:string>>>"
-    schema = "struct<properties:struct<" + ",".join(f"{v}:{series}" for v in variables) + ">>"
-    p = df.select(*keep, F.from_json(F.col(payload), schema)["properties"].alias("_p"))
-    per_var = p.select(*keep, F.explode(F.array(*[
-        F.struct(F.lit(v).alias("variable"), F.col(f"_p.{v}.uom").alias("uom"), F.col(f"_p.{v}.values").alias("vals"))
-        for v in variables])).alias("_s"))
-    rows = per_var.select(*keep, "_s.variable", "_s.uom", F.explode("_s.vals").alias("_v"))
+    schema = f"struct<properties:map<string,{series}>>"
+    per_var = df.select(*keep, F.explode(F.from_json(F.col(payload), schema)["properties"]).alias("variable", "_s")) \
+        .where(F.col("variable").isin(list(variables)))
+    rows = per_var.select(*keep, "variable", F.col("_s.uom").alias("uom"), F.explode("_s.values").alias("_v"))
     vt = F.col("_v.validTime")
     out = rows.select(*keep, "variable", "uom", vt.alias("valid_time"),
                       F.when(F.instr(vt, "/") > 0, D.interval_start_date(vt)).alias("date"),
