@@ -15,6 +15,7 @@ from airwise.operators import stats as STS
 from airwise.operators import windows as W
 from airwise.plans import features as FE
 from airwise.operators import quantiles as Q
+from airwise.plans.catalog_env import PROBA_SQL, fe01_sql, lb01_sql
 from airwise.plans.registry import query
 from airwise.sources import tables as T
 
@@ -243,7 +244,11 @@ def q_ml_search(spark, d):
     return search_and_weights(spark, d)
 
 
-@query("sl_03_precision_at_k_outlook", None)
+@query("sl_03_precision_at_k_outlook", "WITH " + fe01_sql("daily_big") + "," + lb01_sql() + f""",
+r AS (SELECT y, row_number() OVER (ORDER BY {PROBA_SQL} DESC, location_id || '|' || CAST(date AS VARCHAR)) - 1 AS i,
+             count(*) OVER () AS n FROM lb)
+SELECT avg(CAST(y AS DOUBLE)) AS precision_at_k, count(*) AS k, max(n) AS n
+FROM r WHERE i < greatest(1, ceil(n * 0.2))""", ["daily_big"])
 def q_sl03b(spark, d):
     """SL-03 on the outlook: precision of the top 20% location-days by rule probability."""
     from airwise.plans.catalog_env import outlook
