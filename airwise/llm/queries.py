@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwise.llm import decontam
+from airwise.llm import decontam, simhash_golay
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -26,3 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op10_decontamination", decontam.ORACLE_SQL)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+@query("op4_simhash_golay")
+def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_golay.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
