@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from airwise.llm import decontam, simhash_golay
+from airwise.llm import decontam, packing, simhash_golay
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    """File of the public byte-level vocabulary; another path can be given in AIRWISE_TOKENIZER."""
+    import public_tokenizers
+
+    return os.environ.get("AIRWISE_TOKENIZER") or str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -31,3 +40,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_simhash_golay")
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+
+
+@query("op8_exact_packing")
+def op8_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
