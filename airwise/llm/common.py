@@ -27,6 +27,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of few rows for the Python passes over whole texts, so long texts don't pile up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lowered, all other characters kept."""
     return F.translate(c, UPPER, UPPER.lower())

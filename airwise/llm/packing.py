@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airwise.llm.common import stored, text_of
+from airwise.llm.common import stored, text_batches, text_of
 
 CAPACITY = 1024
 END = 2
@@ -71,6 +71,7 @@ class Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, nr): the pieces, numbered by length within their task."""
+    text_batches(docs.sparkSession)
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwise.llm import decontam, packing, simhash_golay
+from airwise.llm import decontam, line_quality, packing, simhash_golay
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -45,3 +45,8 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_exact_packing")
 def op8_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op3_line_frequency", line_quality.ORACLE_SQL)
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.line_quality(table(spark, sf_dir, "documents"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airwise.llm.common import components, stored, text_of
+from airwise.llm.common import components, stored, text_batches, text_of
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -67,6 +67,8 @@ def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row."""
+    text_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, size) for t in texts], dtype="int64")
