@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwise.llm import decontam, line_quality, packing, simhash_golay
+from airwise.llm import decontam, line_quality, packing, pii_bootstrap, simhash_golay
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op8_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_line_frequency", line_quality.ORACLE_SQL)
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op6_pii_bootstrap")
+def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.personal_data(table(spark, sf_dir, "documents"))
