@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwise.llm import decontam, line_quality, packing, pii_bootstrap, simhash_golay
+from airwise.llm import decontam, line_quality, packing, pii_bootstrap, simhash_golay, warc
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +55,8 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pii_bootstrap")
 def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op1_warc_normaliser", warc.ORACLE_SQL)
+def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
