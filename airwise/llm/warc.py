@@ -168,8 +168,9 @@ def normalise(spark: SparkSession, source: str, target: str) -> None:
 
 
 def _members(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.option("lineSep", SYNC.decode("latin-1")).option("encoding", "ISO-8859-1").schema("value string, kind string").text(path) \
-        .where(F.col("kind") == kind).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
+    rows = spark.read.option("lineSep", SYNC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    here = F.col("kind") == kind if "kind" in rows.columns else F.lit(False)  # no archive was written for an empty table
+    return rows.where(here).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
