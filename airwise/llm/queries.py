@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwise.llm import decontam, line_quality, packing, pii_bootstrap, simhash_golay, warc
+from airwise.llm import decontam, line_quality, packing, pii_bootstrap, simhash_golay, toxicity_pu, warc
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_warc_normaliser", warc.ORACLE_SQL)
 def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
+@query("op7_toxicity_pu")
+def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_pu.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
