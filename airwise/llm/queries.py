@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwise.llm import decontam, line_quality, packing, pii_bootstrap, simhash_golay, toxicity_pu, warc
+from airwise.llm import bwt_dedup, decontam, line_quality, packing, pii_bootstrap, simhash_golay, toxicity_pu, warc
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_toxicity_pu")
 def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_pu.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_bwt_dedup")
+def op9_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"))
