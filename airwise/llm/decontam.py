@@ -1,10 +1,10 @@
 """Operator 10, benchmark decontamination: a broadcast hash set of the test set's word n-grams.
 
 Every run of ``size`` consecutive words of a benchmark item is a window (an item of fewer words,
-but not none, is one window).  A document's words are turned into an array of window hashes by
-built-in expressions, exploded and probed against the hash set inside one generated stage; a hit
-is verified by comparing the words themselves, so a hash collision can't mark anything.  Only hits
-are shuffled.
+but not none, is one window).  A document's word array is exploded into window starts; a window's hash is
+computed and probed against the hash set inside one generated stage, and a hit is verified by
+comparing the words themselves, so a hash collision can't mark anything.  Hits are stored once;
+nothing else is shuffled but counts.
 
 The hash set is broadcast in blocks: windows are counted first, and when there are more than
 ``block`` of them they are dealt into as many blocks as needed by their hash, each joined with
@@ -20,23 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airwise.llm.common import text_keys, text_of, word_array
+from airwise.llm.common import stored, text_keys, text_of, word_array
 
 WINDOW = 10
 #: Windows in one broadcast block: with their words about 150 bytes each, so at most some 75 MB.
 BLOCK = 500_000
 
 
-def _window_hash(words: Column, i: Column, n: int) -> Column:
-    return F.xxhash64(*[F.get(words, i + k) for k in range(n)])
-
-
-def _hashes(words: Column, n: int) -> Column:
-    """Hash of the window of n words that starts at each word."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n),
-                                                  lambda i: _window_hash(words, i, n)))
-
-
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item, len, h, win): every window of every item, once per item."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
@@ -57,12 +47,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int =
     counts = {r["len"]: r["n"] for r in wins.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     out = None
     for n, total in sorted(counts.items()):
-        at = words.select("*", F.posexplode(_hashes(F.col("w"), n)).alias("s", "h"))
+        # one row per window start; its hash is computed in generated code from the words of the row
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n))
+        at = words.select("*", F.explode_outer(starts).alias("s")) \
+            .withColumn("h", F.xxhash64(*[F.get("w", F.col("s") + k) for k in range(n)]))
         blocks = -(-total // block)
         for b in range(blocks):
             part = wins.where((F.col("len") == n) & (F.pmod(F.col("h"), F.lit(blocks)) == b)).select(F.col("h"), "win")
             found = at.join(F.broadcast(part), "h") \
-                .where(F.concat_ws(" ", F.slice("w", F.col("s") + 1, F.lit(n))) == F.col("win")) \
+                .where(F.col("s").isNotNull() & (F.concat_ws(" ", F.slice("w", F.col("s") + 1, F.lit(n))) == F.col("win"))) \
                 .select("doc_id", "th", "tm", "s", (F.col("s") + n).alias("e"), "h", F.lit(n).alias("len"), "win")
             out = found if out is None else out.unionByName(found)
     if out is None:
@@ -90,7 +83,7 @@ def _by_content(left: DataFrame, right: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
     spans (word intervals [s, e) of all hits)."""
-    found = hits(docs, benchmark, size, block)
+    found = stored(hits(docs, benchmark, size, block), "benchmark-hits")
     keys = ["doc_id", "th", "tm"]
     spans = found.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
     owners = benchmark_windows(benchmark, size).select("item", "len", "h", "win")
