@@ -20,7 +20,10 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -34,39 +37,45 @@ from airwise.llm.common import stored, text_batches, text_of
 
 CAPACITY = 1024
 END = 2
-#: Chunks whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: The byte-level pre-tokenizer's pattern, and what is left to the tokenizers library.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG = 50_000  # characters from which on a text is searched for long runs
+HIGH, RUN = re.compile("[^\x00-\u024F]"), re.compile(r"\s{1000}|\S{10000}")
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that a character of a byte-level vocabulary stands for: printable ones for themselves, the
+    others for the characters from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of texts, as little-endian 32-bit bytes.
+    """Ids of texts by a byte-level tokenizers file, as little-endian 32-bit bytes.
 
-    The byte-level vocabulary never joins a space with what stands before it, so a text without
-    two spaces in a row is cut before each space, and the ids of a chunk are remembered.  Other
-    texts are encoded whole.
+    In such a vocabulary ids follow the order of merges, so it is given to tiktoken's faster merger as
+    ranks.  A text with characters above Latin, whose classes depend on a library's Unicode version, is
+    encoded by tokenizers itself, and so is one with a run of white space or of one word too long for the pattern search.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.of = Tokenizer.from_file(path)
-        self.of.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch(texts, add_special_tokens=False)]
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        added, byte = set(self.plain.get_added_tokens_decoder()), _byte_of()
+        ranks = {bytes(byte[c] for c in token): i for token, i in self.plain.get_vocab().items() if i not in added}
+        self.fast = tiktoken.Encoding("byte-level", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for a in range(0, len(texts), 64):
-            cut = [t.replace(" ", "\0 ").split("\0") if "  " not in t and "\0" not in t else None for t in texts[a:a + 64]]
-            known = self.known
-            new = list({c for parts in cut if parts for c in parts if c not in known})
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list({c for parts in cut if parts for c in parts})
-            known.update(zip(new, self._ids(new)))
-            for t, parts in zip(texts[a:a + 64], cut):
-                yield b"".join(map(known.__getitem__, parts)) if parts else self._ids([t])[0]
+    def encode(self, text: str) -> bytes:
+        if (not text.isascii() and HIGH.search(text)) or (len(text) > LONG and RUN.search(text)):
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.fast.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -78,8 +87,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         encoder, task, seen = Encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             rows = []
-            for doc, ids in zip(b["doc_id"], encoder.encode(b["t"].tolist())):
-                ids += last
+            for doc, text in zip(b["doc_id"], b["t"]):
+                ids = encoder.encode(text) + last
                 n = len(ids) // 4
                 stop = n if n <= capacity else (n % capacity or capacity)
                 start = piece = 0
