@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwise.llm import bwt_dedup, decontam, line_quality, packing, pii_bootstrap, simhash_golay, toxicity_pu, warc
+from airwise.llm import bwt_dedup, decontam, license_scan, line_quality, packing, pii_bootstrap, simhash_golay, toxicity_pu, url_lists, warc
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +70,13 @@ def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bwt_dedup")
 def op9_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op2_license_scan", license_scan.oracle_sql())
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(table(spark, sf_dir, "documents"))
+
+
+@query("op5_url_temporal_lists", url_lists.ORACLE_SQL)
+def op5_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.pages_as_of(table(spark, sf_dir, "pages"))
