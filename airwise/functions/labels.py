@@ -56,22 +56,25 @@ def seed_rule(aqi, pm) -> Column:
 
 
 def seeded_coin(key, seed: int = 42) -> Column:
-    """LB-04 random variant: deterministic 0/1 from a hash of the key and seed."""
-    return F.pmod(F.xxhash64(as_col(key), F.lit(seed)), F.lit(2)).cast("int")
+    """LB-04 random variant: deterministic 0/1, the parity of the first hex digit of MD5(seed:key)."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), as_col(key).cast("string")))
+    return (F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % 2).cast("int")
 
 
 def demo_next_day(df: DataFrame, key: str = "location_id", seed: int = 7) -> DataFrame:
     """LB-05: label = tomorrow AQI > 50 or PM > 15; last day 0.  When only one
-    class occurs, flip the label of the rows whose hash falls in the lower
-    half (deterministic), so both classes exist."""
+    class occurs, exactly half of the rows (n // 2, one at least) are flipped: the
+    first ones in the order of MD5(seed:key:date), so both classes exist."""
     w = W.series(key)
     nxt = _true(W.lead("AQI", w) > 50) | _true(W.lead("PM2_5_mean", w) > 15)
     out = df.withColumn("flare", nxt.cast("int"))
     # Scalar subqueries: each is one aggregate row inlined into the plan.
     lo = out.agg(F.min("flare")).scalar()
     hi = out.agg(F.max("flare")).scalar()
-    flip = F.pmod(F.xxhash64(F.col(key), F.col("date"), F.lit(seed)), F.lit(2)) == 0
-    return out.withColumn("flare", F.when((lo == hi) & flip, 1 - F.col("flare")).otherwise(F.col("flare")))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("date").cast("string")))
+    ranked = W.row_index(out.withColumn("_h", h), [F.col("_h"), F.col(key), F.col("date")])
+    flip = F.col("row_idx") < F.greatest(F.lit(1), F.floor(F.col("n_rows") / 2))
+    return ranked.withColumn("flare", F.when((lo == hi) & flip, 1 - F.col("flare")).otherwise(F.col("flare"))).select(*out.columns)
 
 
 def flare_by_threshold(value, threshold) -> Column:

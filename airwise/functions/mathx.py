@@ -78,9 +78,8 @@ def pressure_to_pa(v, uom) -> Column:
 
 
 def rain_to_mm(v, uom) -> Column:
-    """MA-01: rain in mm; inches when the unit text says in/inch."""
-    u = F.lower(as_col(uom))
-    return F.when(u.contains("inch") | u.contains("in"), as_col(v) * INCH_TO_MM).otherwise(as_col(v))
+    """MA-01: rain in mm; inches when the unit is exactly in or inch (any case)."""
+    return F.when(F.lower(as_col(uom)).isin("in", "inch"), as_col(v) * INCH_TO_MM).otherwise(as_col(v))
 
 
 def aqi_to_pm25(aqi) -> Column:

@@ -35,12 +35,11 @@ def join_trends(env: DataFrame, trends: DataFrame, key: str = "date") -> DataFra
 def load_merged(checkins: DataFrame, env: DataFrame, location: str | None = None,
                 loc_col: str = "location_id") -> DataFrame:
     """JN-03: check-ins left join env on date only (fans out over locations
-    unless a location is given); clashing env columns get the suffix _env."""
+    unless a location is given); clashing env columns get the suffix _env.
+    The schema is the same when env is empty: its columns are then null."""
     if location is not None:
         env = env.where(F.col(loc_col) == location)
     env = env.drop(loc_col)
-    if env.isEmpty():
-        return checkins
     clash = (set(checkins.columns) & set(env.columns)) - {"date"}
     env = env.select(*[F.col(c).alias(c + "_env" if c in clash else c) for c in env.columns])
     return checkins.join(env, "date", "left")
@@ -215,8 +214,3 @@ def assemble(aq: DataFrame, wx: DataFrame, pollen: DataFrame, ctx: DataFrame,
                     F.when(no_coords, error_struct("weather")).otherwise(F.col("weather")).alias("weather"),
                     F.when(no_coords, error_struct("pollen")).otherwise(F.col("pollen")).alias("pollen"),
                     "time_context")
-
-
-def bbox_cells_upper_bound(lat: float) -> int:
-    """Documentation helper: cells one point can expand to along longitude."""
-    return int(2 / max(math.cos(math.radians(lat)), 0.01)) + 3

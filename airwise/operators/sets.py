@@ -92,11 +92,6 @@ def synthetic_env(rows: DataFrame, variant: str = "risk") -> DataFrame:
     return rows.select("*", *common, *pollen, *cal)
 
 
-def batch_ids(index, size: int = 7) -> Column:
-    """ST-05: batch number of a 0-based day index."""
-    return F.floor(as_col(index) / size).cast("int")
-
-
 # ---------------------------------------------------------------- ST-03 source rules
 
 def air_priority(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], prefer_secondary: bool = False,

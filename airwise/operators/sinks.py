@@ -44,22 +44,22 @@ def upsert_replace(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def upsert_merge(old: DataFrame, new: DataFrame, keys: Sequence[str], set_cols: Sequence[str] | None = None,
-                 with_count: bool = True) -> tuple[DataFrame, DataFrame]:
-    """SNK-04: bulk ``$set`` upsert: present (non-null) new values win, the rest
-    is kept.  Returns (table, one-row count of rows inserted + changed); an
-    update that changes nothing is not counted."""
+                 null_keeps_old: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SNK-04: bulk ``$set`` upsert: every column that ``new`` brings is set, nulls included; the
+    rest is kept.  With ``null_keeps_old`` a null counts as not supplied.  Returns (table, one-row
+    count of rows inserted + changed); an update that changes nothing is not counted."""
     keys = list(keys)
     cols = [c for c in (set_cols or [c for c in new.columns if c not in keys])]
     o = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in old.columns if c not in keys], F.lit(True).alias("_in_old"))
     n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_new"))
     j = o.join(n, keys, "full")
+    given = lambda c: F.col(f"_n_{c}").isNotNull() if null_keeps_old else F.lit(True)
     out_cols = []
     for c in old.columns:
         if c in keys:
             continue
         if c in cols:
-            out_cols.append(F.when(F.col("_in_new") & F.col(f"_n_{c}").isNotNull(), F.col(f"_n_{c}"))
-                            .otherwise(F.col(f"_o_{c}")).alias(c))
+            out_cols.append(F.when(F.col("_in_new") & given(c), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c))
         else:
             out_cols.append(F.col(f"_o_{c}").alias(c))
     for c in cols:
@@ -68,7 +68,7 @@ def upsert_merge(old: DataFrame, new: DataFrame, keys: Sequence[str], set_cols:
     changed = F.lit(False)
     for c in cols:
         if c in old.columns:
-            changed = changed | (F.col(f"_n_{c}").isNotNull() & ~F.col(f"_n_{c}").eqNullSafe(F.col(f"_o_{c}")))
+            changed = changed | (given(c) & ~F.col(f"_n_{c}").eqNullSafe(F.col(f"_o_{c}")))
     inserted = F.col("_in_new") & F.col("_in_old").isNull()
     touched = inserted | (F.col("_in_new") & F.col("_in_old") & changed)
     table = j.select(*keys, *out_cols)
@@ -109,7 +109,13 @@ def nest_checkins(users: DataFrame, checkins: DataFrame, key: str = "user_id") -
 
 
 def append_checkin(users: DataFrame, new: DataFrame, key: str = "user_id", arr: str = "checkIns") -> DataFrame:
-    """SNK-07: append new check-ins to each user's array; unknown users are a no-op."""
+    """SNK-07: append new check-ins to each user's array; unknown users are a no-op.
+
+    New rows are first reduced to one per (user, date), the last under the order of all their
+    columns, so a user's additions are bounded by the calendar."""
+    rest = [c for c in new.columns if c not in (key, "date")]
+    new = new.groupBy(key, "date").agg(F.max(F.struct(*rest)).alias("_last")).select(
+        key, *[F.col(f"_last.{c}").alias(c) if c != "date" else F.col(c) for c in new.columns if c != key])
     add = new.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in new.columns if c != key]))).alias("_add"))
     j = users.join(add, key, "left")
     return j.withColumn(arr, F.when(F.col("_add").isNull(), F.col(arr))
@@ -144,7 +150,7 @@ def save_predictions(cache: DataFrame, preds: DataFrame, target: str, now: Colum
                      keys: Sequence[str] = ("user_id", "date")) -> DataFrame:
     """SNK-09: upsert predictions by (user_id, date) with the target column and updated_at."""
     new = preds.select(*keys, F.col(target), now.alias("updated_at"))
-    table, _ = upsert_merge(cache, new, keys, [target, "updated_at"], with_count=False)
+    table, _ = upsert_merge(cache, new, keys, [target, "updated_at"])
     return table
 
 
@@ -155,16 +161,24 @@ def dedupe_keys(df: DataFrame, keys: Sequence[str] = ("location_id", "date"), or
 
 
 def write_daily(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """SNK-10: daily table laid out by date partitions, sorted by location inside
-    each file; dynamic overwrite replaces only the dates present in ``df``."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (df.repartition("date").sortWithinPartitions("location_id")
-       .write.mode(mode).partitionBy("date").parquet(path))
+    """SNK-10: daily table laid out by date partitions, sorted by location inside each file; dynamic
+    overwrite replaces only the dates present in ``df``.  The rebalance keeps a date's rows together
+    where they are few and lets AQE split a date that holds most rows over several tasks and files."""
+    (df.hint("rebalance", "date").sortWithinPartitions("date", "location_id")
+       .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
     return path
 
 
 def write_report(lines: DataFrame, path: str) -> str:
-    """SNK-11: a text report, one line per row, in order (single small file)."""
-    lines.coalesce(1).write.mode("overwrite").text(path)
+    """SNK-11: a text report: (line_no, value) rows, one file per range of line numbers.  Files are in
+    order, and so are the lines in a file."""
+    (lines.repartitionByRange("line_no").sortWithinPartitions("line_no")
+        .select(F.concat_ws("\t", F.format_string("%012d", "line_no"), "value").alias("value")).write.mode("overwrite").text(path))
     return path
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """SNK-11 read back: (line_no, value)."""
+    raw = spark.read.text(path)
+    return raw.select(F.substring_index("value", "\t", 1).cast("long").alias("line_no"),
+                      F.expr("substring(value, instr(value, '\t') + 1)").alias("value"))

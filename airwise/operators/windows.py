@@ -64,10 +64,11 @@ def lead(c, w, n: int = 1) -> Column:
 
 
 def ffill_bfill(c, w) -> Column:
-    """WN-11: forward fill, then back fill, along the series order."""
-    back = F.last(as_col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(as_col(c), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return F.coalesce(back, ahead)
+    """WN-11: forward fill, then back fill, along the series order.  Only the rows before a series'
+    first value are left to the back fill, and all of them get that value: it is one aggregate
+    over the whole series, computed once, so both frames are linear."""
+    return F.coalesce(F.last(as_col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                      F.first(as_col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -259,13 +259,13 @@ def q_flt07(spark, d):
 
 @query("flt_08_bbox", """
 SELECT location_id, date FROM daily_big
-WHERE latitude BETWEEN 37.0 - 150.0 / 111.0 AND 37.0 + 150.0 / 111.0
-  AND longitude BETWEEN -100.0 - 150.0 / (111.0 * greatest(cos(radians(37.0)), 0.01))
-                    AND -100.0 + 150.0 / (111.0 * greatest(cos(radians(37.0)), 0.01))""", ["daily_big"])
+WHERE latitude BETWEEN 28.0 - 350.0 / 111.0 AND 28.0 + 350.0 / 111.0
+  AND longitude BETWEEN -121.0 - 350.0 / (111.0 * greatest(cos(radians(28.0)), 0.01))
+                    AND -121.0 + 350.0 / (111.0 * greatest(cos(radians(28.0)), 0.01))""", ["daily_big"])
 def q_flt08(spark, d):
-    """FLT-08: rows inside the bounding box of 150 km around (37, -100)."""
+    """FLT-08: rows inside the bounding box of 350 km around (28, -121)."""
     df = T.daily_big(spark, d)
-    return df.where(FL.in_bbox("latitude", "longitude", 37.0, -100.0, 150.0)).select("location_id", "date")
+    return df.where(FL.in_bbox("latitude", "longitude", 28.0, -121.0, 350.0)).select("location_id", "date")
 
 
 @query("flt_09_high_risk_only", "WITH " + fe01_sql("env_daily") + "," + lb01_sql() + f"""

@@ -381,6 +381,15 @@ def q_lb04(spark, d):
     return T.daily_big(spark, d).select("location_id", "date", L.seed_rule("AQI", "PM2_5_mean").alias("flare"))
 
 
+@query("lb_04_seeded_coin", """
+SELECT location_id, date, CAST(CAST('0x' || substr(md5('42:' || location_id || '|' || CAST(date AS VARCHAR)), 1, 1) AS INTEGER) % 2 AS INTEGER) AS coin
+FROM daily_big""", ["daily_big"])
+def q_lb04b(spark, d):
+    """LB-04, random variant: a seeded coin per (location, date)."""
+    key = F.concat_ws("|", "location_id", F.col("date").cast("string"))
+    return T.daily_big(spark, d).select("location_id", "date", L.seeded_coin(key).alias("coin"))
+
+
 @query("lb_06_07_quantile_labels", """
 WITH q AS (SELECT quantile_cont(n_orders, 0.8) AS thr,
                   quantile_cont(n_orders, [0.2, 0.4, 0.6, 0.8]) AS edges FROM trends)

@@ -272,15 +272,16 @@ def q_dt07(spark, d):
 SELECT event_id, (value - 32) * 5.0::DOUBLE / 9.0 AS temp_c, CAST(floor(value * 9.0::DOUBLE / 5.0 + 32 + 0.5) AS INTEGER) AS temp_f,
        value * 1.60934::DOUBLE AS wind_kmh,
        CASE WHEN contains(lower(CASE WHEN event_id % 2 = 0 THEN 'Pa' ELSE 'inHg' END), 'pa') THEN value ELSE value * 3386.389::DOUBLE END AS pressure_pa,
-       CASE WHEN contains(lower(CASE WHEN event_id % 3 = 0 THEN 'inch' ELSE 'mm' END), 'inch')
-              OR contains(lower(CASE WHEN event_id % 3 = 0 THEN 'inch' ELSE 'mm' END), 'in') THEN value * 25.4::DOUBLE ELSE value END AS rain_mm
+       CASE WHEN event_id % 5 IN (0, 1) THEN value * 25.4::DOUBLE ELSE value END AS rain_mm
 FROM events""", [])
 def q_ma01(spark, d):
     """MA-01: F->C, C->F (rounded half up), mph->km/h, inHg->Pa unless the unit says Pa, in->mm."""
     ev = T.raw(spark, d, "events")
     v = F.col("value")
     p_uom = F.when(F.col("event_id") % 2 == 0, F.lit("Pa")).otherwise(F.lit("inHg"))
-    r_uom = F.when(F.col("event_id") % 3 == 0, F.lit("inch")).otherwise(F.lit("mm"))
+    # exactly "in" or "inch" is inches; a unit that merely holds these letters is not
+    units = F.array(*[F.lit(u) for u in ("inch", "IN", "mm", "wmoUnit:min", None)])
+    r_uom = F.element_at(units, (F.col("event_id") % 5 + 1).cast("int"))
     return ev.select("event_id", M.f_to_c(v).alias("temp_c"), M.c_to_f_rounded(v).alias("temp_f"),
                      M.mph_to_kmh(v).alias("wind_kmh"), M.pressure_to_pa(v, p_uom).alias("pressure_pa"),
                      M.rain_to_mm(v, r_uom).alias("rain_mm"))

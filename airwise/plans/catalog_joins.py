@@ -66,16 +66,6 @@ def q_jn03(spark, d):
     return J.load_merged(c, e, location="3")
 
 
-@query("jn_03_load_merged_all_locations", """
-SELECT c.user_id, c.date, c.symptomScore, e.AQI, e.PM2_5_mean
-FROM checkins c LEFT JOIN env_daily e ON c.date = e.date""", ["checkins", "env_daily"])
-def q_jn03b(spark, d):
-    """JN-03 without a location: the date-only join fans out over every location (Q19, kept)."""
-    c = T.checkins(spark, d).select("user_id", "date", "symptomScore")
-    e = T.env_daily(spark, d).select("location_id", "date", "AQI", "PM2_5_mean")
-    return J.load_merged(c, e)
-
-
 @query("jn_04_join_last_env", """
 WITH last AS (SELECT date, arg_max_null(AQI, latitude) AS AQI, arg_max_null(location_id, latitude) AS env_location
               FROM env_daily GROUP BY date)
@@ -91,27 +81,30 @@ def q_jn04(spark, d):
 
 FE04_SQL = f"""
 WITH u AS (SELECT DISTINCT user_id FROM checkins),
-ud AS (SELECT user_id, unnest([{FORECAST_SQL}]) AS date FROM u),
+ud AS (SELECT user_id, unnest([{FORECAST_SQL}]) AS date FROM u UNION SELECT user_id, date FROM checkins),
 prof AS (SELECT user_id, profile_gender, profile_height FROM users),
 j AS (SELECT ud.user_id, ud.date, p.profile_gender, p.profile_height,
              coalesce(c.wheeze, 0) AS wheeze, coalesce(c.cough, 0) AS cough,
              coalesce(c.chestTightness, 0) AS chestTightness, coalesce(c.exerciseMinutes, 0) AS exerciseMinutes
       FROM ud LEFT JOIN prof p ON ud.user_id = p.user_id
       LEFT JOIN checkins c ON c.user_id = ud.user_id AND c.date = ud.date)
-SELECT *, wheeze + cough + chestTightness AS symptom_score,
+SELECT * FROM (SELECT *, wheeze + cough + chestTightness AS symptom_score,
        coalesce(lag(wheeze) OVER w, 0) AS wheeze_lag1, coalesce(lag(cough) OVER w, 0) AS cough_lag1,
        coalesce(lag(chestTightness) OVER w, 0) AS chestTightness_lag1,
        coalesce(lag(exerciseMinutes) OVER w, 0) AS exerciseMinutes_lag1,
        coalesce(lag(wheeze + cough + chestTightness) OVER w, 0) AS symptom_score_lag1
-FROM j WINDOW w AS (PARTITION BY user_id ORDER BY date)"""
+FROM j WINDOW w AS (PARTITION BY user_id ORDER BY date)) WHERE date IN ({FORECAST_SQL})"""
 
 
 def personal_enrichment(spark, d):
-    users = T.checkins(spark, d).select("user_id").distinct()
-    ud = J.users_x_dates(users, FORECAST_DAYS)
+    """Users x forecast days.  Lags see the whole history: the window's rows are joined with all
+    check-in days, lagged, and only then cut to the window."""
+    days = T.checkins(spark, d).select("user_id", "date")
+    window = J.users_x_dates(days.select("user_id").distinct(), FORECAST_DAYS)
+    ud = window.select("user_id", "date").union(days).distinct()
     prof = P.widen_profile(T.users(spark, d), ["gender", "height"])
     j = J.join_checkins(J.join_profile(ud, prof), T.checkins(spark, d))
-    return FE.symptom_lags(j)
+    return FE.symptom_lags(j).where(F.col("date").isin([F.lit(x).cast("date") for x in FORECAST_DAYS]))
 
 
 @query("fe_04_jn_05_06_07_personal_enrichment", FE04_SQL, ["checkins", "users"])

@@ -21,6 +21,29 @@ from airwise.sources import tables as T
 
 CLASSES10 = list(range(10))
 
+# Ten class scores per vector: minus the squared distance to each class's centroid over all 64 entries.
+SCORE_SQL = """
+e AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+cen AS (SELECT label AS cls, i, avg(x) AS m FROM e GROUP BY label, i),
+l AS (SELECT vec_id, e.label, CAST(cls AS INTEGER) AS cls, round(-sum((x - m) * (x - m)), 9) AS score
+      FROM e JOIN cen ON e.i = cen.i GROUP BY vec_id, e.label, cls)"""
+
+
+def class_scores(spark, d):
+    """vec_id, label, scores: one score per class (0..9; null for a class without rows).  The centroids
+    are a table with one row per class; it is inlined as a scalar array."""
+    v = T.vectors(spark, d)
+    means = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    one = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
+    centroids = one.agg(F.map_from_entries(F.collect_list(F.struct("label", F.transform("c", lambda y: y["m"]))))).scalar()
+    rows = v.select("vec_id", "label", F.transform("embedding", lambda y: y.cast("double")).alias("x"), centroids.alias("cs"))
+
+    def score(cls):
+        far = F.zip_with("x", F.try_element_at("cs", F.lit(cls).cast(v.schema["label"].dataType)), lambda a, b: (a - b) * (a - b))
+        return F.round(-F.aggregate(far, F.lit(0.0), lambda a, b: a + b), 9)
+
+    return rows.select("vec_id", "label", F.array(*[score(c) for c in CLASSES10]).alias("scores"))
+
 
 @query("ml_08_roc_auc", """
 WITH c AS (SELECT p AS score, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS neg
@@ -34,19 +57,16 @@ def q_ml08(spark, d):
     return STS.roc_auc(T.scored(spark, d), "p", "y")
 
 
-@query("ml_09_ovr_auc", """
-WITH l AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS cls,
-                  CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings),
+@query("ml_09_ovr_auc", "WITH " + SCORE_SQL + """,
 c AS (SELECT cls, score, sum(CASE WHEN label = cls THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN label = cls THEN 0 ELSE 1 END) AS neg
-      FROM l WHERE cls < 10 GROUP BY cls, score),
+      FROM l GROUP BY cls, score),
 w AS (SELECT *, sum(neg) OVER (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - neg AS neg_below FROM c)
 SELECT cls, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
                  THEN CAST(sum(pos * neg_below + 0.5 * pos * neg) AS DOUBLE) / CAST(sum(pos) * sum(neg) AS DOUBLE) END AS auc
 FROM w GROUP BY cls""", [])
 def q_ml09(spark, d):
-    """ML-09: one-vs-rest AUC per class (score of class c = embedding[c]), per-class prefix sums."""
-    v = T.vectors(spark, d).select(F.transform("embedding", lambda x: x.cast("double")).alias("scores"), "label")
-    return STS.ovr_auc(v, "scores", "label", CLASSES10).select(F.col("cls").cast("int").alias("cls"), "auc")
+    """ML-09: one-vs-rest AUC per class (centroid scores), per-class prefix sums."""
+    return STS.ovr_auc(class_scores(spark, d), "scores", "label", CLASSES10).select(F.col("cls").cast("int").alias("cls"), "auc")
 
 
 @query("ml_10_brier_and_rates", """
@@ -57,13 +77,12 @@ def q_ml10(spark, d):
     return STS.brier(s, "p", "y").select("brier", s.agg(F.avg(F.col("y").cast("double"))).scalar().alias("positive_rate"))
 
 
-PRED_SQL = """
-pr AS (SELECT vec_id, label AS y, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS pred FROM embeddings)"""
+PRED_SQL = SCORE_SQL + """,
+pr AS (SELECT vec_id, label AS y, CAST(arg_min(cls, (-score, cls)) AS INTEGER) AS pred FROM l GROUP BY vec_id, label)"""
 
 
 def _vec_preds(spark, d):
-    v = T.vectors(spark, d)
-    return v.select("vec_id", F.col("label").alias("y"), A.argmax(F.slice("embedding", 1, 10)).alias("pred"))
+    return class_scores(spark, d).select("vec_id", F.col("label").alias("y"), A.argmax(F.col("scores")).alias("pred"))
 
 
 @query("ml_11_class_report", "WITH " + PRED_SQL + """,
@@ -147,9 +166,12 @@ def q_ml15(spark, d):
     return s.groupBy("y", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ml_15_stratified_split_rows")
+@query("ml_15_stratified_split_rows", """
+WITH r AS (SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS i,
+                  count(*) OVER (PARTITION BY y) AS n FROM scored)
+SELECT doc_id, y, CASE WHEN i <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM r""", ["scored"])
 def q_ml15b(spark, d):
-    """ML-15: the split rows themselves (hash order is Spark's, so no SQL twin)."""
+    """ML-15: the split rows themselves (order: MD5 of seed and key, then key)."""
     return MD.stratified_split(T.scored(spark, d), "y", "doc_id", 0.8, seed=42).select("doc_id", "y", "split")
 
 
@@ -159,7 +181,7 @@ WITH last AS (SELECT date, arg_max_null(AQI, latitude) AS aqi, arg_max_null(PM2_
                      arg_max_null(pollen_grass, latitude) AS grass, arg_max_null(pollen_weed, latitude) AS weed,
                      arg_max_null(humidity, latitude) AS humidity_mean, arg_max_null(humidity + 5, latitude) AS humidity_max,
                      arg_max_null(wind, latitude) AS wind, arg_max_null(rain, latitude) AS rain, arg_max_null(temp_max, latitude) AS temp_max
-              FROM env_daily WHERE NOT (location_id = '9' AND day(date) % 3 = 0) GROUP BY date)
+              FROM env_daily GROUP BY date)
 SELECT c.user_id, c.date,
   coalesce(l.aqi, 0) AS aqi, coalesce(coalesce(nullif(l.pm25_mean, 0), l.pm25_max), 0) AS pm25,
   coalesce(l.tree, 0) AS tree_index, coalesce(l.grass, 0) AS grass_index, coalesce(l.weed, 0) AS weed_index,
@@ -256,11 +278,9 @@ def q_sl03b(spark, d):
     return SL.precision_at_k(o, "proba", "y", 0.2, tie="key")
 
 
-OVR_LONG_SQL = """
-l AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS cls,
-             CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings),
+OVR_LONG_SQL = SCORE_SQL + """,
 c AS (SELECT cls, score, sum(CASE WHEN label = cls THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN label = cls THEN 0 ELSE 1 END) AS neg
-      FROM l WHERE cls < 10 GROUP BY cls, score)"""
+      FROM l GROUP BY cls, score)"""
 
 
 @query("ml_09_macro_auc", "WITH " + OVR_LONG_SQL + """,
@@ -271,8 +291,7 @@ a AS (SELECT cls, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
 SELECT avg(auc) AS macro_auc FROM a""", [])
 def q_ml09b(spark, d):
     """ML-09: macro mean of the one-vs-rest AUCs (classes with an undefined AUC skipped)."""
-    v = T.vectors(spark, d).select(F.transform("embedding", lambda x: x.cast("double")).alias("scores"), "label")
-    return STS.macro_auc(STS.ovr_auc(v, "scores", "label", CLASSES10))
+    return STS.macro_auc(STS.ovr_auc(class_scores(spark, d), "scores", "label", CLASSES10))
 
 
 @query("ml_12_ovr_roc_curves", "WITH " + OVR_LONG_SQL + """
@@ -282,8 +301,7 @@ SELECT cls, score AS threshold,
 FROM c WINDOW o AS (PARTITION BY cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", [])
 def q_ml12c(spark, d):
     """ML-12: one-vs-rest ROC curves per class (per-class distributed prefix sums)."""
-    v = T.vectors(spark, d).select(F.transform("embedding", lambda x: x.cast("double")).alias("scores"), "label")
-    return STS.ovr_roc_curves(v, "scores", "label", CLASSES10).select(F.col("cls").cast("int").alias("cls"),
+    return STS.ovr_roc_curves(class_scores(spark, d), "scores", "label", CLASSES10).select(F.col("cls").cast("int").alias("cls"),
                                                                       "threshold", "fpr", "tpr")
 
 

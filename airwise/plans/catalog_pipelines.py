@@ -102,6 +102,16 @@ def q_lb05(spark, d):
         .select("location_id", "date", "flare")
 
 
+@query("lb_05_demo_one_class", """
+WITH r AS (SELECT location_id, date, row_number() OVER (ORDER BY md5('7:' || location_id || ':' || CAST(date AS VARCHAR)), location_id, date) AS i,
+                  count(*) OVER () AS n FROM daily_big)
+SELECT location_id, date, CAST(i <= greatest(1, n // 2) AS INTEGER) AS flare FROM r""", ["daily_big"])
+def q_lb05b(spark, d):
+    """LB-05 on clean air everywhere (one class): exactly half of the rows are flipped."""
+    clean = T.daily_big(spark, d).select("location_id", "date", F.lit(20.0).alias("AQI"), F.lit(5.0).alias("PM2_5_mean"))
+    return L.demo_next_day(clean).select("location_id", "date", "flare")
+
+
 WEEK_SQL = f"""
 WITH locs AS (SELECT DISTINCT location_id FROM env_daily),
 wanted AS (SELECT location_id, CAST(unnest(generate_series(DATE '2024-01-27', DATE '2024-02-02', INTERVAL 1 DAY)) AS DATE) AS date FROM locs),

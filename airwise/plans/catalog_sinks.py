@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airwise.operators import sinks as SK
+from airwise.operators import windows as W
 from airwise.plans.registry import query
 from airwise.sources import tables as T
 
@@ -44,9 +45,9 @@ def q_snk03(spark, d):
 
 @query("snk_04_upsert_merge", "WITH " + OLD_NEW_SQL + """
 SELECT coalesce(o.location_id, n.location_id) AS location_id, coalesce(o.date, n.date) AS date,
-       CASE WHEN n.location_id IS NOT NULL AND n.PM2_5_mean IS NOT NULL THEN n.PM2_5_mean ELSE o.PM2_5_mean END AS PM2_5_mean,
-       CASE WHEN n.location_id IS NOT NULL AND n.AQI IS NOT NULL THEN n.AQI ELSE o.AQI END AS AQI,
-       CASE WHEN n.location_id IS NOT NULL AND n.pollen_tree IS NOT NULL THEN n.pollen_tree ELSE o.pollen_tree END AS pollen_tree
+       CASE WHEN n.location_id IS NOT NULL THEN n.PM2_5_mean ELSE o.PM2_5_mean END AS PM2_5_mean,
+       CASE WHEN n.location_id IS NOT NULL THEN n.AQI ELSE o.AQI END AS AQI,
+       CASE WHEN n.location_id IS NOT NULL THEN n.pollen_tree ELSE o.pollen_tree END AS pollen_tree
 FROM old o FULL OUTER JOIN new n ON o.location_id = n.location_id AND o.date = n.date""", ["daily_big"])
 def q_snk04(spark, d):
     """SNK-04: bulk $set upsert (present new values win, others kept)."""
@@ -57,9 +58,8 @@ def q_snk04(spark, d):
 
 @query("snk_04_upsert_count", "WITH " + OLD_NEW_SQL + """
 SELECT count(*) FILTER (WHERE o.location_id IS NULL
-   OR (n.PM2_5_mean IS NOT NULL AND o.PM2_5_mean IS DISTINCT FROM n.PM2_5_mean)
-   OR (n.AQI IS NOT NULL AND o.AQI IS DISTINCT FROM n.AQI)
-   OR (n.pollen_tree IS NOT NULL AND o.pollen_tree IS DISTINCT FROM n.pollen_tree)) AS n_upserted
+   OR o.PM2_5_mean IS DISTINCT FROM n.PM2_5_mean OR o.AQI IS DISTINCT FROM n.AQI
+   OR o.pollen_tree IS DISTINCT FROM n.pollen_tree) AS n_upserted
 FROM new n LEFT JOIN old o ON o.location_id = n.location_id AND o.date = n.date""", ["daily_big"])
 def q_snk04b(spark, d):
     """SNK-04: rows inserted + changed (a no-op update does not count)."""
@@ -171,17 +171,17 @@ def q_snk09(spark, d):
 
 
 @query("snk_10_dedupe_and_write_daily", """
-SELECT location_id, date, max(PM2_5_mean) AS PM2_5_mean FROM daily_big WHERE date >= DATE '2001-01-01' GROUP BY location_id, date""",
+SELECT location_id, date, max(PM2_5_mean) AS PM2_5_mean FROM daily_big GROUP BY location_id, date""",
        ["daily_big"])
 def q_snk10(spark, d):
     """SNK-10: duplicates removed on (location_id, date), written date-partitioned
-    (dynamic overwrite) and read back with partition pruning."""
-    b = T.daily_big(spark, d).where(F.col("date") >= "2001-01-01").select("location_id", "date", "PM2_5_mean")
+    (dynamic overwrite) and read back."""
+    b = T.daily_big(spark, d).select("location_id", "date", "PM2_5_mean")
     dup = b.unionByName(b.withColumn("PM2_5_mean", F.col("PM2_5_mean") - 1))
     clean = SK.dedupe_keys(dup, ["location_id", "date"], [F.col("PM2_5_mean").desc()])
     path = SK.scratch_path(spark, "daily")
     SK.write_daily(clean, path)
-    return spark.read.parquet(path).where(F.col("date") >= "2001-01-01").select("location_id", "date", "PM2_5_mean")
+    return spark.read.parquet(path).select("location_id", "date", "PM2_5_mean")
 
 
 @query("snk_01_02_11_aj_04_round_trips", """
@@ -193,8 +193,8 @@ SELECT location_id, strftime(date, '%Y-%m-%d') AS date, PM2_5_mean, risk_score F
             + least(0.1::DOUBLE, (coalesce(pollen_tree, 0) + coalesce(pollen_grass, 0) + coalesce(pollen_weed, 0)) / 80))) AS p
         FROM env_daily))""", ["env_daily"])
 def q_snk01(spark, d):
-    """SNK-01 (CSV with header), SNK-02/AJ-04 (JSON records of nested risk structs), SNK-11
-    (text report): written under the shared checkpoint folder and read back."""
+    """SNK-01 (CSV with header), SNK-02/AJ-04 (JSON records of nested risk structs) and SNK-11 (text
+    report in the order of location and date): written under the shared checkpoint folder and read back."""
     from airwise.functions import mathx as M
     e = T.env_daily(spark, d)
     p = M.rule_probability("AQI", "PM2_5_mean", M.pollen_total("pollen_tree", "pollen_grass", "pollen_weed"))
@@ -202,9 +202,13 @@ def q_snk01(spark, d):
                    M.risk_struct(p).alias("risk"))
     jpath = SK.write_json(rec, SK.scratch_path(spark, "records"))
     cpath = SK.write_csv(e.select("location_id", "date", "PM2_5_mean"), SK.scratch_path(spark, "csv"))
-    SK.write_report(rec.select(F.to_json(F.struct("*")).alias("value")), SK.scratch_path(spark, "report"))
+    lines = W.row_index(rec.select("location_id", "date", F.to_json(F.struct("location_id", "date")).alias("value")),
+                        [F.col("location_id"), F.col("date")], "line_no").select("line_no", "value")
+    rpath = SK.write_report(lines, SK.scratch_path(spark, "report"))
+    r = SK.read_report(spark, rpath).select(F.from_json("value", "location_id string, date string").alias("k")).select("k.*")
     j = spark.read.schema("location_id string, date string, PM2_5_mean double, "
                           "risk struct<score:double,level:string,label:string>").json(jpath)
     c = spark.read.option("header", True).schema("location_id string, date date, PM2_5_mean double").csv(cpath)
     return j.join(c.select("location_id", F.date_format("date", "yyyy-MM-dd").alias("date")), ["location_id", "date"]) \
+        .join(r, ["location_id", "date"]) \
         .select("location_id", "date", "PM2_5_mean", F.col("risk.score").alias("risk_score"))

@@ -23,20 +23,26 @@ def q_ss01(spark, d):
 
 
 @query("ss_02_streaming_idempotent_upsert", """
-SELECT CAST(user_id % 10 AS VARCHAR) AS location_id, CAST(ts AS DATE) AS date, avg(value) AS PM2_5_mean, max(value) AS PM2_5_max
+SELECT CAST(user_id % 10 AS VARCHAR) AS location_id, CAST(ts AS DATE) AS date, count(value) AS n, avg(value) AS PM2_5_mean,
+       max(value) AS PM2_5_max
 FROM events GROUP BY 1, 2""", [])
 def q_ss02(spark, d):
     """SS-02: foreachBatch upsert (SNK-04) of each micro-batch's daily rollup into the table."""
     out, ck = SS.scratch(spark, "ss02")
     r = SS.readings_stream(SS.event_stream(spark, d)).withColumn("date", F.to_date("ts"))
-    final = SS.upsert_batches(r, out, ck, ["location_id", "date"])
-    return spark.read.parquet(final)
+    return SS.read_upserted(spark, SS.upsert_batches(r, out, ck, ["location_id", "date"]))
 
 
 @query("ss_03_streaming_checkin_dedupe", """
-SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events""", [])
+WITH c AS (SELECT user_id, event_id, ts, CAST(ts AS DATE) AS date,
+             greatest(0, least(3, CAST(json_extract_string(props, '$.k') AS INTEGER) - 50)) AS wheeze,
+             greatest(0.0, least(1440.0, value / 100)) AS exerciseMinutes,
+             row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM events)
+SELECT user_id, date, event_id, CAST(wheeze AS DOUBLE) AS wheeze, CAST(exerciseMinutes AS DOUBLE) AS exerciseMinutes FROM c
+WHERE i = 1 AND CAST(date + INTERVAL 1 DAY AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""", [])
 def q_ss03(spark, d):
-    """SS-03: clamped check-ins, first record per (user, date) within the watermark."""
+    """SS-03: clamped check-ins, first record per (user, date) by time, emitted behind the watermark."""
     out, ck = SS.scratch(spark, "ss03")
     SS.run_to_parquet(SS.checkin_stream(SS.event_stream(spark, d)), out, ck)
-    return spark.read.parquet(out).select("user_id", "date")
+    return spark.read.parquet(out).select("user_id", "date", "event_id", F.col("wheeze").cast("double").alias("wheeze"),
+                                          F.col("exerciseMinutes").cast("double").alias("exerciseMinutes"))

@@ -19,8 +19,7 @@ def _or(a, b):
 
 
 def severity_features(spark, d):
-    env = T.env_daily(spark, d).where(~((F.col("location_id") == "9") & (F.dayofmonth("date") % 3 == 0)))
-    env = env.select("date", F.col("AQI").alias("aqi"), F.col("PM2_5_mean").alias("pm25_mean"),
+    env = T.env_daily(spark, d).select("date", F.col("AQI").alias("aqi"), F.col("PM2_5_mean").alias("pm25_mean"),
                      F.col("PM2_5_max").alias("pm25_max"), F.col("pollen_tree").alias("tree"),
                      F.col("pollen_grass").alias("grass"), F.col("pollen_weed").alias("weed"),
                      F.col("humidity").alias("humidity_mean"), (F.col("humidity") + 5).alias("humidity_max"),
@@ -43,6 +42,3 @@ def severity_features(spark, d):
                     L.severe("symptomScore").alias("y"))
 
 
-def severity_vector(df):
-    """The 11 features as one array column (model input order)."""
-    return df.select("user_id", "date", F.array(*SEVERITY_FEATURES).alias("x"), "y")

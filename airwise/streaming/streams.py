@@ -48,49 +48,58 @@ def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append
 
 
 def upsert_batches(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> str:
-    """SS-02: continuous idempotent upsert: every micro-batch is merged (SNK-04) into the
-    table state of the previous batch and written as version ``batch=<id>``; a retried
-    batch rewrites the same version with the same content."""
+    """SS-02: continuous idempotent upsert of daily values.
+
+    The state of a (key, day) is mergeable: count, sum and maximum.  A micro-batch reads the newest
+    state of the days it touches, adds its own, and writes these days only, under its batch id
+    (``date=<day>/batch=<id>``).  States of the same or a later batch are not read, so a retried
+    batch overwrites its own files with the same content.  ``read_upserted`` takes each day's newest
+    batch and derives the mean.  ``keys`` must hold ``date``."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = (batch.groupBy(*keys).agg(F.avg("pm").alias("PM2_5_mean"), F.max("pm").alias("PM2_5_max")))
-        prev = [v for v in _versions(spark, target) if v < batch_id]
-        if prev:
-            old = spark.read.parquet(f"{target}/batch={max(prev)}")
-            table, _ = SK.upsert_merge(old, new, keys)
-        else:
-            table = new
-        table.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        new = batch.groupBy(*keys).agg(F.count("pm").alias("n"), F.sum("pm").alias("total"), F.max("pm").alias("PM2_5_max"))
+        if _exists(spark, target):
+            days = new.select(F.col("date").alias("_day")).distinct()
+            old = _newest(spark.read.parquet(target).where(F.col("batch") < batch_id)).join(days, F.col("date").eqNullSafe(F.col("_day")), "left_semi")
+            new = old.select(*new.columns).unionByName(new).groupBy(*keys).agg(
+                F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("PM2_5_max").alias("PM2_5_max"))
+        new.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(target)
 
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return f"{target}/batch={max(_versions(spark, target))}"
-
-
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(target)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name.split("=", 1)[1]))
-    return out
+    return target
+
+
+def _newest(state: DataFrame) -> DataFrame:
+    """The rows of each day's newest batch."""
+    top = state.groupBy(F.col("date").alias("_d")).agg(F.max("batch").alias("_b"))
+    return state.join(top, F.col("date").eqNullSafe(F.col("_d")) & (F.col("batch") == F.col("_b"))).drop("_d", "_b")
+
+
+def read_upserted(spark: SparkSession, target: str) -> DataFrame:
+    """SS-02 table: keys, n, PM2_5_mean, PM2_5_max."""
+    return _newest(spark.read.parquet(target)).withColumn("PM2_5_mean", F.col("total") / F.col("n")).drop("total", "batch")
+
+
+def _exists(spark: SparkSession, target: str) -> bool:
+    """Whether a batch has been committed below ``target`` (asked of Spark's own file system)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def checkin_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """SS-03: check-in records clamped (MA-12), then the first record per (user, date)
-    within the watermark kept (later duplicates dropped)."""
-    c = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("date"),
+    """SS-03: check-in records clamped (MA-12); the first record per (user, date) by (time, event id)
+    is kept.  The order is total, so neither arrival nor file order matters.  A day is emitted once
+    the watermark passes its end; records later than that are dropped."""
+    c = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"),
                       M.clamp_number(F.get_json_object("props", "$.k").try_cast("int") - 50, 0, 3).alias("wheeze"),
                       M.clamp_number(F.col("value") / 100, 0, 1440).alias("exerciseMinutes"))
-    return c.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "date"])
+    record = F.struct("ts", "event_id", "wheeze", "exerciseMinutes")
+    first = c.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(F.min(record).alias("r"))
+    return first.select("user_id", F.to_date(F.col("w.start")).alias("date"), "r.event_id", "r.wheeze", "r.exerciseMinutes")
 
 
 def scratch(spark: SparkSession, name: str) -> tuple[str, str]:

@@ -34,22 +34,44 @@ def test_watermark_drops_late_readings(spark):
     assert res.where(F.dayofmonth("date") == 1).count() == 0
 
 
-def test_foreach_batch_upsert_is_idempotent(spark):
+def test_foreach_batch_upsert_merges_days_and_is_idempotent(spark):
+    """Every day is split over three files (so over three micro-batches): mean, maximum and count equal
+    those of the batch twin; a second run changes nothing, and a batch writes only the days it touches."""
     ev = spark.read.parquet(f"{SMALL}/events.parquet")
     folder = tempfile.mkdtemp(prefix="airwise-stream-")
     out, ck = SS.scratch(spark, "t-ss02")
-    _land(spark, folder, ev.where(F.dayofmonth("ts") < 15), "a")
 
     def run():
         r = SS.readings_stream(SS.event_stream(spark, folder)).withColumn("date", F.to_date("ts"))
-        return spark.read.parquet(SS.upsert_batches(r, out, ck, ["location_id", "date"]))
+        return SS.read_upserted(spark, SS.upsert_batches(r, out, ck, ["location_id", "date"]))
 
-    run()
-    _land(spark, folder, ev.where(F.dayofmonth("ts") >= 15), "b")
-    table = run()
-    again = run()  # nothing new: same table
+    def rows(df):
+        return {(r["location_id"], r["date"]): (r["n"], round(r["PM2_5_mean"], 9), r["PM2_5_max"]) for r in df.collect()}
+
+    for k in range(3):
+        _land(spark, folder, ev.where(F.col("event_id") % 3 == k), f"p{k}")
+        run()
+    table = rows(run())  # nothing new
     want = ev.groupBy((F.col("user_id") % 10).cast("string").alias("location_id"), F.to_date("ts").alias("date")) \
-        .agg(F.max("value").alias("PM2_5_max"))
-    got = table.select("location_id", "date", "PM2_5_max")
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    assert again.exceptAll(table).count() == 0
+        .agg(F.count("value").alias("n"), F.avg("value").alias("PM2_5_mean"), F.max("value").alias("PM2_5_max"))
+    assert table == rows(want)
+    day = ev.agg(F.min(F.to_date("ts"))).first()[0]
+    _land(spark, folder, ev.where(F.to_date("ts") == F.lit(day)), "again")
+    before = spark.read.parquet(out).agg(F.max("batch")).first()[0]
+    run()
+    later = spark.read.parquet(out).where(F.col("batch") > before)
+    assert [r[0] for r in later.select("date").distinct().collect()] == [day]
+
+
+def test_checkins_keep_the_first_by_time(spark):
+    """The first record of a user's day wins whatever file it comes in."""
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    folder = tempfile.mkdtemp(prefix="airwise-stream-")
+    _land(spark, folder, ev.where(F.col("event_id") % 2 == 0), "b")
+    _land(spark, folder, ev.where(F.col("event_id") % 2 == 1), "a")
+    out, ck = SS.scratch(spark, "t-ss03")
+    SS.run_to_parquet(SS.checkin_stream(SS.event_stream(spark, folder, max_files=10)), out, ck)
+    got = {(r["user_id"], r["date"]): r["event_id"] for r in spark.read.parquet(out).collect()}
+    want = ev.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.min(F.struct("ts", "event_id")).alias("x")).select("user_id", "date", "x.event_id")
+    known = {(r["user_id"], r["date"]): r["event_id"] for r in want.collect()}
+    assert got and all(known[k] == v for k, v in got.items())
