@@ -86,8 +86,8 @@ def read_upserted(spark: SparkSession, target: str) -> DataFrame:
 
 def _exists(spark: SparkSession, target: str) -> bool:
     """Whether a batch has been committed below ``target`` (asked of Spark's own file system)."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/date=*")
+    return bool(list(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []))
 
 
 def checkin_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
