@@ -82,6 +82,17 @@ def flare_by_threshold(value, threshold) -> Column:
     return _true(as_col(value) >= as_col(threshold)).cast("int")
 
 
+def flare_and_bins(df: DataFrame, c: str, flare: str = "flare_day", risk: str = "risk", q: float = 0.8,
+                   qs=(0.2, 0.4, 0.6, 0.8)) -> DataFrame:
+    """LB-06 and LB-07 on one column: threshold and bin edges from one pass over its values."""
+    from airwise.operators.quantiles import exact_quantiles
+    points = exact_quantiles(df, c, [q, *qs])
+    x = F.col(c)
+    n_below = sum(F.coalesce((points.select(f"q{i + 1}").scalar() < x).cast("int"), F.lit(0)) for i in range(len(qs)))
+    return df.withColumn(flare, flare_by_threshold(x, points.select("q0").scalar())) \
+        .withColumn(risk, F.when(x.isNotNull(), (n_below + 1).cast("int")))
+
+
 def quantile_bins(df: DataFrame, c: str, out: str = "risk", qs=(0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """LB-07: 1..5 by right-closed bins on interpolated quantile edges:
     bin = 1 + number of edges strictly below the value (null stays null).

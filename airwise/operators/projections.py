@@ -236,12 +236,10 @@ def feature_columns(df: DataFrame, target: str | None = None, exclude: Sequence[
 
 def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """PRJ-16: numeric nulls -> exact column median (0 when the column is all null).
-    Each median is a distributed exact quantile inlined as a scalar subquery."""
-    from airwise.operators.quantiles import median
-    meds = {c: median(df, c) for c in cols}
-    return df.select(*[
-        (F.coalesce(F.col(c).cast("double"), F.coalesce(meds[c], F.lit(0.0))).alias(c)
-         if c in cols else F.col(c)) for c in df.columns])
+    All medians come from one pass, inlined as one scalar map."""
+    from airwise.operators.quantiles import fill_with, medians
+    meds = medians(df, cols)
+    return df.select(*[fill_with(meds, c) if c in cols else F.col(c) for c in df.columns])
 
 
 def pick_score(df: DataFrame, target: str | None = None) -> Column:

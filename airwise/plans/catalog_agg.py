@@ -14,15 +14,15 @@ from airwise.sources import tables as T
 
 
 def _eda_frame(spark, d):
-    """Check-ins joined to one location's env (JN-03) - the EDA input."""
-    c = T.checkins(spark, d).select("user_id", "date", "rescueUsed", "symptomScore")
+    """Check-ins left-joined to the env of their user's location - the EDA input."""
+    c = T.checkins(spark, d).select("user_id", (F.col("user_id") % 10).cast("string").alias("location_id"), "date", "rescueUsed", "symptomScore")
     e = T.env_daily(spark, d).select("location_id", "date", "PM2_5_mean", "AQI", "humidity", "pollen_weed", "rain")
-    return J.load_merged(c, e, location="4")
+    return c.join(e, ["location_id", "date"], "left").drop("location_id")
 
 
 EDA_SQL = """
 eda AS (SELECT c.user_id, c.date, c.rescueUsed, c.symptomScore, e.PM2_5_mean, e.AQI, e.humidity, e.pollen_weed, e.rain
-        FROM checkins c LEFT JOIN (SELECT * FROM env_daily WHERE location_id = '4') e ON c.date = e.date)"""
+        FROM checkins c LEFT JOIN env_daily e ON c.date = e.date AND e.location_id = CAST(c.user_id % 10 AS VARCHAR))"""
 
 
 def hourly_payload(spark, d, n_hours: int = 72):
@@ -196,14 +196,22 @@ def q_ag22(spark, d):
 
 
 @query("ag_21_fold_summary", """
-WITH m AS (SELECT lang AS fold, avg(CAST(y AS DOUBLE)) AS precision, avg(p) AS recall FROM scored GROUP BY lang)
+WITH r AS (SELECT y, CAST(p >= 0.1 AS INTEGER) AS pred, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM scored),
+k AS (SELECT *, greatest(2, least(5, n // 50)) AS k FROM r), f AS (SELECT *, n // (k + 1) AS t FROM k),
+b AS (SELECT y, pred, (i - (n - k * t)) // t + 1 AS fold FROM f WHERE t > 0 AND i >= n - k * t),
+m AS (SELECT fold, coalesce(count(*) FILTER (WHERE y = 1 AND pred = 1) / nullif(count(*) FILTER (WHERE pred = 1), 0), 0.0) AS precision,
+             coalesce(count(*) FILTER (WHERE y = 1 AND pred = 1) / nullif(count(*) FILTER (WHERE y = 1), 0), 0.0) AS recall FROM b GROUP BY fold)
 SELECT avg(precision) AS precision_mean, stddev_pop(precision) AS precision_std,
        avg(recall) AS recall_mean, stddev_pop(recall) AS recall_std FROM m""", ["scored"])
 def q_ag21(spark, d):
-    """AG-21: mean and population std of per-fold metrics (folds = language groups here)."""
-    s = T.scored(spark, d)
-    m = s.groupBy(F.col("lang").alias("fold")).agg(F.avg(F.col("y").cast("double")).alias("precision"),
-                                                   F.avg("p").alias("recall"))
+    """AG-21 over the test blocks of expanding chronological folds (WN-14, the personalised rule): precision and
+    recall of a fixed score per fold, then mean and population std."""
+    from airwise.operators import windows as W
+    s = W.expanding_folds(T.scored(spark, d).select("doc_id", "y", "p"), "personal", [F.col("doc_id")]).where("test_fold IS NOT NULL")
+    hit, pred = F.count_if((F.col("y") == 1) & (F.col("p") >= 0.1)), F.col("p") >= 0.1
+    m = s.groupBy("test_fold").agg(
+        F.coalesce(F.try_divide(hit, F.count_if(pred)), F.lit(0.0)).alias("precision"),
+        F.coalesce(F.try_divide(hit, F.count_if(F.col("y") == 1)), F.lit(0.0)).alias("recall"))
     return AG.fold_summary(m, ["precision", "recall"])
 
 

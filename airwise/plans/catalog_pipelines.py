@@ -9,6 +9,7 @@ from airwise.functions import arrays as A
 from airwise.functions import labels as L
 from airwise.functions import mathx as M
 from airwise.operators import joins as J
+from airwise.operators import filters as FLT
 from airwise.operators import models as MD
 from airwise.operators import projections as P
 from airwise.operators import sets as ST
@@ -81,16 +82,26 @@ def q_src05(spark, d):
 
 
 @query("flt_05_short_history_fallback", """
-SELECT location_id, date, temp_max - temp_min AS temp_range, PM2_5_max - PM2_5_mean AS pm_spike,
-       humidity * (coalesce(PM2_5_mean, 0) + 1e-6) AS humid_x_pm,
-       CAST(pollen_tree IS NULL AS INTEGER) AS pollen_tree_missing, coalesce(pollen_tree, 0) AS pollen_tree
-FROM env_daily WHERE location_id = '1' AND date <= DATE '2024-01-05'""", ["env_daily"])
+WITH f AS (SELECT *, CASE WHEN location_id = '1' AND day(date) > 5 THEN NULL ELSE location_id END AS loc,
+                  CASE WHEN location_id = '2' THEN NULL ELSE AQI END AS aqi2 FROM env_daily),
+b AS (SELECT loc AS location_id, date, PM2_5_mean, PM2_5_max, aqi2 AS AQI, temp_min, temp_max, humidity, wind, pressure, rain,
+        coalesce(pollen_tree, 0) AS pollen_tree, coalesce(pollen_grass, 0) AS pollen_grass, coalesce(pollen_weed, 0) AS pollen_weed,
+        CAST(pollen_tree IS NULL AS INTEGER) AS pollen_tree_missing, temp_max - temp_min AS temp_range, PM2_5_max - PM2_5_mean AS pm_spike,
+        humidity * (coalesce(PM2_5_mean, 0) + 1e-6) AS humid_x_pm, row_number() OVER (PARTITION BY loc ORDER BY date) AS i,
+        count(*) OVER (PARTITION BY loc) AS n FROM f WHERE loc IS NOT NULL),
+g AS (SELECT *, (PM2_5_mean IS NOT NULL AND PM2_5_max IS NOT NULL AND AQI IS NOT NULL AND temp_min IS NOT NULL AND temp_max IS NOT NULL
+        AND humidity IS NOT NULL AND wind IS NOT NULL AND pressure IS NOT NULL AND rain IS NOT NULL) AS ok FROM b),
+h AS (SELECT *, ok AND i >= 7 AND bool_and(ok) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS whole FROM g),
+r AS (SELECT *, bool_or(whole) OVER (PARTITION BY location_id) AS full_history FROM h)
+SELECT location_id, date, coalesce(AQI, 0) AS AQI, temp_range, pm_spike, humid_x_pm, pollen_tree_missing, pollen_tree, full_history
+FROM r WHERE whole OR NOT full_history""", ["env_daily"])
 def q_flt05(spark, d):
-    """FLT-05 (+FE-02, MA-13/14): five days of history cannot fill a 7-day window, so the
-    un-lagged features are used with all-null columns dropped and nulls set to 0."""
-    short = T.env_daily(spark, d).where((F.col("location_id") == "1") & (F.col("date") <= "2024-01-05"))
-    out = FE.flare_features_or_fallback(short)
-    return out.select("location_id", "date", "temp_range", "pm_spike", "humid_x_pm", "pollen_tree_missing", "pollen_tree")
+    """FLT-05 (+FE-02, MA-13/14), per series: in the fixture location 1 has five days only and location 2 no
+    AQI at all, so both fall back to their un-lagged features; the others keep their full rows."""
+    env = T.env_daily(spark, d).where(~((F.col("location_id") == "1") & (F.dayofmonth("date") > 5))) \
+        .withColumn("AQI", F.when(F.col("location_id") != "2", F.col("AQI")))
+    out = FE.flare_features_or_fallback(env)
+    return out.select("location_id", "date", "AQI", "temp_range", "pm_spike", "humid_x_pm", "pollen_tree_missing", "pollen_tree", "full_history")
 
 
 @query("lb_05_demo_next_day_labels", """
@@ -162,13 +173,16 @@ def q_fe09(spark, d):
                     A.factor_ids(F.col("record.activeRiskFactors")).alias("factors"))
 
 
-PERSONAL_NUM = ["PM2_5_mean", "AQI", "humidity", "wind", "pollen_total", "pm25_delta", "pm25_roll3_mean",
-                "aqi_roll3_mean", "wheeze_lag1", "cough_lag1", "chestTightness_lag1", "exerciseMinutes_lag1",
-                "symptom_score_lag1"]
+# AQI, PM, the pollen total and today's symptoms define the risk label, so they are no features of it.
+PERSONAL_NUM = ["humidity", "wind", "temp_min", "temp_max", "pressure", "rain", "pm25_delta", "pm25_roll3_mean", "pm25_roll7_mean",
+                "aqi_roll3_mean", "aqi_roll7_mean", "pollen_total_lag1", "wheeze_lag1", "cough_lag1", "chestTightness_lag1",
+                "exerciseMinutes_lag1", "symptom_score_lag1"]
+PERSONAL_START, PERSONAL_DAYS = "2024-01-24", 7
 
 
 def _personal_frame(spark, d, users):
-    """Users x days with their location's env time features (FE-03) and symptom lags (FE-04)."""
+    """Users x days with their location's env time features (FE-03) and symptom lags (FE-04), over the
+    whole history: callers cut to a window after the lags."""
     env = T.env_daily(spark, d)
     u = users.withColumn("location_id", (F.col("user_id") % 10).cast("string"))
     ue = u.join(env, "location_id", "inner").drop("location_id")
@@ -178,43 +192,162 @@ def _personal_frame(spark, d, users):
     return FE.symptom_lags(j)
 
 
-@query("fe_08_personalized_forecast")
-def q_fe08(spark, d):
-    """FE-08: personalised 7-day forecast.  Train (LB-02 risk label, PRJ-15 features, ML-01,
-    ML-04, ML-07, ML-16 bundle) on history before the forecast window; then the cache test
-    (JN-09, all-or-nothing), scoring (PRJ-10, ML-13, MA-05), the no-symptom override with
-    env-only scores (AG-17, JN-11, MA-08), cache upsert (SNK-09) and display scores (MA-07, MA-19)."""
-    start, days = "2024-01-24", 7
+def personal_training(spark, d):
+    """(frame with risk, history before the window with a validation mark): the mark takes a fifth of the rows
+    by MD5 of user and day (early stopping), the order is chronological for the folds."""
     users = T.checkins(spark, d).select("user_id").distinct()
     frame = _personal_frame(spark, d, users)
     frame = frame.withColumn("risk", L.personal_risk("symptom_score", "AQI", "PM2_5_mean", "pollen_total"))
-    hist = frame.where(F.col("date") < start)
+    h = F.md5(F.concat_ws(":", F.lit("42"), F.col("user_id").cast("string"), F.col("date").cast("string")))
+    hist = frame.where(F.col("date") < PERSONAL_START) \
+        .withColumn("validation", F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % 5 == 0)
+    return users, frame, hist
+
+
+def personal_gbt():
+    """The personalised learner: boosted trees, depth 5, step 0.05, 200 rounds, early stopping on a fifth."""
+    return MD.gbt("risk", max_depth=5, step=0.05, max_iter=200, validation_col="validation")
+
+
+def personalized_flow(spark, d, cache, users, score):
+    """FE-08 after training: the cache test (JN-09, all or nothing); on a hit the cached rows, else
+    ``score(wanted)`` (user_id, date, score), the no-symptom override with env-only scores (AG-17, JN-11,
+    MA-08) and the cache upsert (SNK-09).  Returns (rows, hit)."""
+    from airwise.operators import aggregates as AG
+
+    dates = SL.next_dates(T.env_daily(spark, d), PERSONAL_START, PERSONAL_DAYS)
+    wanted = J.users_x_dates(users, [r[0] for r in dates.collect()])  # at most PERSONAL_DAYS dates
+    if J.cache_is_complete(wanted, cache):
+        return J.cached_rows(cache, users, dates), True
+    pred = score(wanted).select("user_id", (F.col("user_id") % 10).cast("string").alias("location_id"), "date", "score")
+    no_sym = AG.users_without_symptoms(T.checkins(spark, d).where(F.col("date") < PERSONAL_START))
+    env_scores = T.env_daily(spark, d).select("location_id", "date", M.binary_score(M.rule_probability(
+        "AQI", "PM2_5_mean", M.pollen_total("pollen_tree", "pollen_grass", "pollen_weed"))).alias("score"))
+    final = J.override_scores(pred, no_sym, env_scores, keys=["location_id", "date"]).drop("location_id")
+    return SK.save_predictions(cache, final.withColumnRenamed("score", "risk"), "risk",
+                               F.lit("2024-01-24 00:00:00").cast("timestamp")), False
+
+
+def _shown(rows):
+    return rows.select("user_id", "date", M.display_score("risk").alias("display_score"), M.display_level(M.display_score("risk")).alias("level"))
+
+
+@query("fe_08_personalized_forecast")
+def q_fe08(spark, d):
+    """FE-08: personalised 7-day forecast with the trained model: boosted trees with early stopping on the
+    history before the window (LB-02 label, PRJ-15 features, ML-01, ML-06, ML-16 bundle), then the
+    flow with an empty cache and display scores (MA-05, MA-07, MA-19)."""
+    users, frame, hist = personal_training(spark, d)
     num, _ = P.feature_columns(hist.select(*PERSONAL_NUM, "risk"), target="risk")
-    train = cut_lineage(MD.balanced_weights(MD.impute(hist, hist, num), "risk"))
-    model = MD.make_pipeline(num, [], MD.logistic("risk", max_iter=50, weight_col="weight")).fit(train)
+    FLT.assert_trainable(hist, "risk", min_rows=50, user="user_id")
+    fill = MD.Imputer(hist, num)
+    model = MD.make_pipeline(num, [], personal_gbt()).fit(cut_lineage(fill(hist.select(*num, "risk", "validation"))))
     path = MD.save_bundle(model, SK.scratch_path(spark, "personal-model"), num, "risk", "binary")
     model, meta = MD.load_bundle(path)
 
-    dates = [r[0] for r in SL.next_dates(T.env_daily(spark, d), start, days).collect()]  # <= 7 dates
-    wanted = J.users_x_dates(users, dates)
+    def score(wanted):
+        x = fill(frame.join(wanted, ["user_id", "date"], "left_semi"))
+        x = P.align_features(x, meta["feature_cols"], keep=["user_id", "date"])
+        return MD.score(model, x, ["user_id", "date"]).withColumn("score", M.binary_score("p"))
+
     cache = spark.createDataFrame([], "user_id long, date date, risk double, updated_at timestamp")
-    if J.cache_is_complete(wanted, cache):
-        return J.cached_rows(cache, users, wanted.select("date").distinct())
-    future = frame.join(wanted, ["user_id", "date"], "left_semi")
-    x = P.align_features(MD.impute(hist, future, meta["feature_cols"]), meta["feature_cols"], keep=["user_id", "date"])
-    scored = MD.score(model, x, ["user_id", "date"]).withColumn("score", M.binary_score("p"))
+    return _shown(personalized_flow(spark, d, cache, users, score)[0])
+
+
+def _rule_scores(spark, d):
+    """A scorer without training, so the flow has a SQL twin: the rule probability of the user's location and
+    day, raised by yesterday's symptoms."""
+    users = T.checkins(spark, d).select("user_id").distinct()
+    frame = _personal_frame(spark, d, users)
+
+    def score(wanted):
+        p = M.rule_probability("AQI", "PM2_5_mean", "pollen_total") + F.col("symptom_score_lag1") * 0.02
+        return frame.join(wanted, ["user_id", "date"], "left_semi").select("user_id", "date", M.binary_score(p).alias("score"))
+
+    return users, score
+
+
+FE08_SQL = f"""
+u AS (SELECT DISTINCT user_id FROM checkins),
+days AS (SELECT date FROM (SELECT DISTINCT date FROM env_daily WHERE date >= DATE '2024-01-24') ORDER BY date LIMIT 7),
+wanted AS (SELECT user_id, date FROM u, days),
+full_cache AS (SELECT user_id, date, 1.0::DOUBLE + ((user_id + day(date)) % 5) * 0.75::DOUBLE AS risk, TIMESTAMP '2024-01-20 00:00:00' AS updated_at FROM wanted),
+fr AS (SELECT u.user_id, e.date, e.location_id, e.AQI, e.PM2_5_mean,
+         coalesce(e.pollen_tree, 0) + coalesce(e.pollen_grass, 0) + coalesce(e.pollen_weed, 0) AS pollen_total,
+         coalesce(c.wheeze, 0) + coalesce(c.cough, 0) + coalesce(c.chestTightness, 0) AS sym
+       FROM u JOIN env_daily e ON e.location_id = CAST(u.user_id % 10 AS VARCHAR) LEFT JOIN checkins c ON c.user_id = u.user_id AND c.date = e.date),
+lg AS (SELECT *, coalesce(lag(sym) OVER (PARTITION BY user_id ORDER BY date), 0) AS sym1 FROM fr),
+ns AS (SELECT user_id, bool_and(wheeze = 0 AND cough = 0 AND chestTightness = 0) AS no_symptoms FROM checkins WHERE date < DATE '2024-01-24' GROUP BY user_id),
+sc AS (SELECT l.user_id, l.date,
+         sround(greatest(1.0, least(5.0, 1 + 4 * ({PROBA_SQL} + CASE WHEN coalesce(ns.no_symptoms, false) THEN 0 ELSE sym1 * 0.02::DOUBLE END))), 2) AS risk
+       FROM lg l JOIN wanted w ON w.user_id = l.user_id AND w.date = l.date LEFT JOIN ns ON ns.user_id = l.user_id)"""
+
+
+def _full_cache(users, dates):
+    w = J.users_x_dates(users, dates)
+    return w.select("user_id", "date", (1.0 + ((F.col("user_id") + F.dayofmonth("date")) % 5) * 0.75).alias("risk"),
+                    F.lit("2024-01-20 00:00:00").cast("timestamp").alias("updated_at"))
+
+
+def _window_dates(spark, d):
+    return [r[0] for r in SL.next_dates(T.env_daily(spark, d), PERSONAL_START, PERSONAL_DAYS).collect()]
+
+
+@query("fe_08_cache_hit", "WITH " + FE08_SQL + """
+SELECT user_id, date, risk, updated_at FROM full_cache""", ["checkins", "env_daily"])
+def q_fe08_hit(spark, d):
+    """FE-08, cache complete: the cached rows come back and nothing is scored."""
+    users, score = _rule_scores(spark, d)
+    rows, hit = personalized_flow(spark, d, _full_cache(users, _window_dates(spark, d)), users, score)
+    assert hit
+    return rows.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+@query("fe_08_cache_one_pair_short", "WITH " + FE08_SQL + """
+SELECT coalesce(s.user_id, c.user_id) AS user_id, coalesce(s.date, c.date) AS date, coalesce(s.risk, c.risk) AS risk,
+       CASE WHEN s.user_id IS NOT NULL THEN TIMESTAMP '2024-01-24 00:00:00' ELSE c.updated_at END AS updated_at
+FROM sc s FULL OUTER JOIN (SELECT * FROM full_cache WHERE NOT (user_id = (SELECT min(user_id) FROM u) AND date = (SELECT max(date) FROM days))) c
+  ON c.user_id = s.user_id AND c.date = s.date""", ["checkins", "env_daily"])
+def q_fe08_miss(spark, d):
+    """FE-08, one pair missing: all pairs are scored (all or nothing), the no-symptom override applies and the
+    saved table holds the new scores."""
+    users, score = _rule_scores(spark, d)
+    dates = _window_dates(spark, d)
+    gap = users.agg(F.min("user_id")).scalar()
+    cache = _full_cache(users, dates).where(~((F.col("user_id") == gap) & (F.col("date") == F.lit(max(dates)))))
+    rows, hit = personalized_flow(spark, d, cache, users, score)
+    assert not hit
+    return rows.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+@query("fe_08_cross_validation")
+def q_fe08_cv(spark, d):
+    """The personalised trainer's report: expanding chronological folds (WN-14, min(5, n // 50)), the boosted
+    trees fitted on each, AUC (ML-08), precision and recall (ML-11) of the test block, folds with one
+    class skipped, and mean and population std over the folds (AG-21)."""
     from airwise.operators import aggregates as AG
-    no_sym = AG.users_without_symptoms(T.checkins(spark, d).where(F.col("date") < start))
-    env_scores = T.env_daily(spark, d).select(
-        "location_id", "date",
-        M.binary_score(M.rule_probability("AQI", "PM2_5_mean",
-                                          M.pollen_total("pollen_tree", "pollen_grass", "pollen_weed"))).alias("score"))
-    pred = scored.select("user_id", (F.col("user_id") % 10).cast("string").alias("location_id"), "date", "score")
-    final = J.override_scores(pred, no_sym, env_scores, keys=["location_id", "date"]).drop("location_id")
-    saved = SK.save_predictions(cache, final.withColumnRenamed("score", "risk"), "risk",
-                                F.lit("2024-01-24 00:00:00").cast("timestamp"))
-    return saved.select("user_id", "date", M.display_score("risk").alias("display_score"),
-                        M.display_level(M.display_score("risk")).alias("level"))
+    from airwise.operators import stats as STS
+    from airwise.operators import windows as W
+
+    _, _, hist = personal_training(spark, d)
+    num, _ = P.feature_columns(hist.select(*PERSONAL_NUM, "risk"), target="risk")
+    FLT.assert_trainable(hist, "risk", min_rows=50, user="user_id")
+    folds = cut_lineage(W.expanding_folds(hist.select("user_id", "date", *num, "risk", "validation"), "personal", [F.col("date"), F.col("user_id")]))
+    k = folds.first()["n_folds"]
+    rows = []
+    for i in range(1, k + 1):
+        start = F.col("n_rows") - (k - i + 1) * F.col("test_size")
+        train, test = folds.where(F.col("row_idx") < start), folds.where(F.col("test_fold") == i)
+        if test.select("risk").distinct().count() < 2 or train.select("risk").distinct().count() < 2:
+            continue
+        fill = MD.Imputer(train, num)
+        model = MD.make_pipeline(num, [], personal_gbt()).fit(fill(train))
+        scored = cut_lineage(MD.score(model, fill(test), ["risk"]))
+        auc = STS.roc_auc(scored, "p", "risk").first()["auc"]
+        rep = STS.class_report(scored.select(F.col("risk").alias("y"), F.col("prediction").alias("pred")), "y", "pred", [0, 1]).where("cls = 1").first()
+        rows.append((i, float(auc), float(rep["precision"]), float(rep["recall"])))
+    per_fold = spark.createDataFrame(rows, "fold int, auc double, precision double, recall double")
+    return AG.fold_summary(per_fold, ["auc", "precision", "recall"]).withColumn("n_folds", F.lit(len(rows)))
 
 
 # ---------------------------------------------------------------- ST-03 source rules
@@ -352,8 +485,10 @@ def q_fe09_model(spark, d):
     env = T.env_daily(spark, d)
     hist = env.where(F.col("date") < start)
     train = LBL.high_risk_tomorrow(FE.env_features_general(hist)).withColumn("month", F.col("month").cast("double"))
-    train = cut_lineage(MD.impute(train, train, GENERAL_NUM, GENERAL_CAT))
-    model = MD.make_pipeline(GENERAL_NUM, GENERAL_CAT, MD.gbt("y", max_iter=10)).fit(train)
+    FLT.assert_trainable(train, "y")
+    fill = MD.Imputer(train, GENERAL_NUM, GENERAL_CAT)  # fitted once, used for training and scoring
+    train = cut_lineage(fill(train))
+    model = MD.make_pipeline(GENERAL_NUM, GENERAL_CAT, MD.gbt("y")).fit(train)
 
     s = F.lit(start).cast("date")
     wanted = ST.expand_dates(env.select("location_id").distinct(), s, F.date_add(s, days - 1)).drop("day_idx")
@@ -366,7 +501,7 @@ def q_fe09_model(spark, d):
     series = hist.select(*cols).unionByName(window.select(*[F.col(c).cast(t) for c, t in hist.select(*cols).dtypes]))
     feats = FE.env_features_general(series, drop_incomplete=False).where(F.col("date") >= start) \
         .withColumn("month", F.col("month").cast("double"))
-    x = MD.impute(train, feats, GENERAL_NUM, GENERAL_CAT)
+    x = fill(feats)
     scored = MD.score(model, x, ["location_id", "date", "AQI", "PM2_5_mean", "pollen_total", "temp_min", "humidity"])
     rec = P.risk_record(F.date_format("date", "yyyy-MM-dd"), F.col("p"),
                         A.risk_factors("AQI", "PM2_5_mean", "pollen_total"),

@@ -7,7 +7,7 @@ Window operator (one sort per series).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airwise.functions import mathx as M
@@ -90,31 +90,44 @@ def flare_derived(df: DataFrame) -> DataFrame:
 
 
 def env_features_flare(df: DataFrame, key: str = "location_id") -> DataFrame:
-    """FE-02: 16 columns x (lag1, lag2, full roll3 mean, full roll7 mean) in one select,
-    then rows with any null feature dropped (FLT-04).  The empty-result fallback
-    (FLT-05) is ``flare_features_or_fallback``."""
+    """FE-02: 16 columns x (lag1, lag2, full roll3 mean, full roll7 mean), then rows with any null
+    feature dropped (FLT-04).  The fallback for short series (FLT-05) is ``flare_features_or_fallback``."""
+    rows, feats = _flare_rows(df, key)
+    return rows.na.drop("any", subset=feats)
+
+
+def _flare_rows(df: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
+    """All rows with the features, and the features' names.  The 3-row mean follows from the value and its
+    two lags; the 7-row mean is one sum and one count over the same frame."""
     base = flare_derived(df)
     w = W.series(key)
     cols = []
     for c in FLARE_BASE_COLS:
-        cols += [W.lag(c, w, 1).alias(f"{c}_lag1"), W.lag(c, w, 2).alias(f"{c}_lag2"),
-                 W.rolling_full(c, w, 3).alias(f"{c}_roll3"), W.rolling_full(c, w, 7).alias(f"{c}_roll7")]
+        cols += [W.lag(c, w, 1).alias(f"{c}_lag1"), W.lag(c, w, 2).alias(f"{c}_lag2"), W.rolling_full(c, w, 7).alias(f"{c}_roll7")]
     out = base.select("*", *cols)
+    three = {f"{c}_roll3": (F.col(f"{c}_lag2") + F.col(f"{c}_lag1") + F.col(c)) / 3.0 for c in FLARE_BASE_COLS}
     feats = FLARE_BASE_COLS + [f"{c}_{s}" for c in FLARE_BASE_COLS for s in ("lag1", "lag2", "roll3", "roll7")]
-    return out.na.drop("any", subset=feats)
+    return out.select(*base.columns, *[three[f].alias(f) if f in three else F.col(f) for f in feats if f not in base.columns]), feats
 
 
 def flare_features_or_fallback(df: DataFrame, key: str = "location_id") -> DataFrame:
-    """FLT-05: FE-02, but when that leaves no row use the un-lagged features with
-    all-null columns dropped and the remaining nulls set to 0.  The emptiness
-    test is one ``isEmpty`` (a limit-1 job), the all-null test one aggregate."""
-    full = env_features_flare(df, key)
-    if not full.isEmpty():
-        return full
-    base = flare_derived(df)
-    counts = base.agg(*[F.count(F.col(c)).alias(c) for c in base.columns]).first().asDict()
-    keep = [c for c in base.columns if counts[c] > 0]
-    return base.select(*keep).na.fill(0).na.fill(False)
+    """FLT-05, decided per series: a series with at least one row whose features are all there keeps
+    those rows; a shorter one keeps all its rows with the un-lagged features, nulls set to 0 and
+    the lagged columns null.  ``full_history`` tells which.  One window over the series counts its
+    full rows, so one long series doesn't turn the fallback off for the others, and nothing runs
+    before the plan does."""
+    rows, feats = _flare_rows(df, key)
+    whole = F.lit(True)
+    for c in feats:
+        whole = whole & F.col(c).isNotNull()
+    marked = rows.withColumn("_whole", whole)
+    marked = marked.withColumn("full_history", F.max("_whole").over(Window.partitionBy(key)))
+    kept = marked.where(F.col("_whole") | ~F.col("full_history")).drop("_whole")
+    zero = {t.name: F.lit(False) if t.dataType.simpleString() == "boolean" else F.lit(0).cast(t.dataType)
+            for t in kept.schema.fields if t.dataType.simpleString() in ("boolean", "int", "bigint", "double", "float")}
+    lagged = set(feats) - set(FLARE_BASE_COLS)
+    return kept.select(*[F.when(F.col("full_history"), F.col(c)).otherwise(F.coalesce(F.col(c), zero[c])).alias(c)
+                         if c in zero and c not in lagged and c != "full_history" else F.col(c) for c in kept.columns])
 
 
 def user_time_features(df: DataFrame, key: str | None = "user_id") -> DataFrame:
