@@ -277,10 +277,28 @@ def q_ag24(spark, d):
 
 
 @query("fe_10_eda_report_lines", "WITH " + EDA_SQL + """,
-vc AS (SELECT 'count rescueUsed=' || CAST(rescueUsed AS VARCHAR) || ': ' || CAST(count(*) AS VARCHAR) AS line FROM eda GROUP BY rescueUsed),
-ds AS (SELECT 'describe symptomScore: count ' || CAST(count(symptomScore) AS VARCHAR) || ', max ' || CAST(max(symptomScore) AS VARCHAR) AS line FROM eda)
-SELECT line FROM vc UNION ALL SELECT line FROM ds""", ["checkins", "env_daily"])
+m AS (SELECT 0 AS section, '' AS rank, 'rows: ' || count(*) AS line FROM eda
+  UNION ALL SELECT 1, CAST(rescueUsed AS VARCHAR), 'count rescueUsed=' || CAST(rescueUsed AS VARCHAR) || ': ' || CAST(count(*) AS VARCHAR) FROM eda GROUP BY rescueUsed
+  UNION ALL SELECT 2, stat, 'describe symptomScore ' || stat || ': ' || printf('%.3f', value) FROM (
+    SELECT unnest(['mean', 'std', 'min', 'q25', 'q50', 'q75', 'max']) AS stat,
+           unnest([avg(symptomScore), stddev_samp(symptomScore), min(symptomScore), quantile_cont(symptomScore, 0.25), quantile_cont(symptomScore, 0.5),
+                   quantile_cont(symptomScore, 0.75), max(symptomScore)]) AS value FROM eda)
+  UNION ALL SELECT 3, c, 'missing ' || c || ': ' || CAST(n AS VARCHAR) FROM (
+    SELECT unnest(['user_id', 'date', 'rescueUsed', 'symptomScore', 'PM2_5_mean', 'AQI', 'humidity', 'pollen_weed', 'rain']) AS c,
+           unnest([count(*) - count(user_id), count(*) - count(date), count(*) - count(rescueUsed), count(*) - count(symptomScore), count(*) - count(PM2_5_mean),
+                   count(*) - count(AQI), count(*) - count(humidity), count(*) - count(pollen_weed), count(*) - count(rain)]) AS n FROM eda) WHERE n > 0
+  UNION ALL SELECT 4, printf('%.9f %s', 1 - abs(r), c), 'correlation symptomScore ' || c || ': ' || printf('%.3f', r) FROM (
+    SELECT unnest(['PM2_5_mean', 'AQI', 'humidity', 'pollen_weed', 'rain']) AS c,
+           unnest([corr(PM2_5_mean, symptomScore), corr(AQI, symptomScore), corr(humidity, symptomScore), corr(pollen_weed, symptomScore), corr(rain, symptomScore)]) AS r
+    FROM eda) WHERE r IS NOT NULL)
+SELECT row_number() OVER (ORDER BY section, rank) AS line_no, line FROM m""", ["checkins", "env_daily"])
 def q_fe10(spark, d):
-    """FE-10: EDA report lines (AG-08, AG-09) as one text table (SNK-11 writes it)."""
-    from airwise.plans.eda import report_lines
-    return report_lines(_eda_frame(spark, d))
+    """FE-10: the whole report (row count, AG-08, AG-09, AG-10, AG-11) in a fixed order, written with SNK-11 and
+    read back."""
+    from airwise.operators import sinks as SK
+    from airwise.operators import windows as W
+    from airwise.plans.eda import full_report
+    lines = full_report(_eda_frame(spark, d), ["PM2_5_mean", "AQI", "humidity", "pollen_weed", "rain"])
+    lines = W.row_index(lines, [F.col("section"), F.col("rank")], "i").select((F.col("i") + 1).alias("line_no"), F.col("line").alias("value"))
+    path = SK.write_report(lines, SK.scratch_path(spark, "eda-report"))
+    return SK.read_report(spark, path).select("line_no", F.col("value").alias("line"))

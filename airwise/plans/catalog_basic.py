@@ -42,6 +42,34 @@ def q_src03(spark, d):
     return P.widen_profile(T.users(spark, d))
 
 
+@query("src_01_read_daily_env", """
+SELECT location_id, date, PM2_5_mean, AQI FROM daily_big WHERE location_id = '7'""", ["daily_big"])
+def q_src01b(spark, d):
+    """SRC-01: the daily table written, then read by the operator with its location filter; a location
+    without rows is an error."""
+    from airwise.operators import sinks as SK
+    path = SK.scratch_path(spark, "daily-env")
+    T.daily_big(spark, d).select("location_id", "date", "PM2_5_mean", "AQI").write.parquet(path)
+    try:
+        SC.read_daily_env(spark, path, "no such place")
+        raise AssertionError("an empty read must be an error")
+    except SC.EmptySourceError:
+        return SC.read_daily_env(spark, path, "7")
+
+
+@query("src_03_read_users", """
+SELECT u.user_id, u.profile_name AS name, (SELECT CAST(count(*) AS INTEGER) FROM checkins c WHERE c.user_id = u.user_id) AS n_checkins
+FROM users u""", ["users", "checkins"])
+def q_src03b(spark, d):
+    """SRC-03: nested users written, then read by the operator: profile and checkIns only."""
+    from airwise.operators import sinks as SK
+    path = SK.scratch_path(spark, "users")
+    nested = SK.nest_checkins(T.users(spark, d).select("user_id", "email", "profile"), T.checkins(spark, d))
+    nested.withColumnRenamed("user_id", "_id").write.parquet(path)
+    u = SC.read_users(spark, path)
+    return u.select("user_id", F.col("profile.name").alias("name"), F.coalesce(F.array_size("checkIns"), F.lit(0)).alias("n_checkins"))
+
+
 # ---------------------------------------------------------------- projections
 
 FLAT_SQL = f"""
@@ -323,10 +351,12 @@ def q_sl04(spark, d):
 
 
 @query("sl_05_tail_by_date", """
-SELECT date, n_orders FROM (SELECT * FROM trends ORDER BY date DESC LIMIT 30) ORDER BY date""", ["trends"])
+SELECT date, n_orders FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS i, count(*) OVER () AS n FROM trends)
+WHERE i <= greatest(30, n // 5)""", ["trends"])
 def q_sl05(spark, d):
-    """SL-05: last 30 days (report window) in ascending order."""
-    return SL.tail_by_date(T.trends(spark, d), 30)
+    """SL-05: the report window, the last max(30, n // 5) days, in ascending order."""
+    t = T.trends(spark, d)
+    return SL.tail_by_date(t, SL.report_window(t.count()))
 
 
 @query("sl_06_next_dates", """

@@ -17,6 +17,7 @@ from airwise.plans import features as FE
 from airwise.operators import quantiles as Q
 from airwise.plans.catalog_env import PROBA_SQL, fe01_sql, lb01_sql
 from airwise.plans.registry import query
+from airwise.plans.sqlviews import calendar_sql
 from airwise.sources import tables as T
 
 CLASSES10 = list(range(10))
@@ -197,52 +198,76 @@ def q_fe05(spark, d):
     return severity_features(spark, d)
 
 
-@query("fe_06_wn_15_model_matrix", """
+MATRIX_NUM = ["latitude", "longitude", "PM2_5_mean", "PM2_5_max", "AQI", "temp_min", "temp_max", "humidity", "wind", "pressure", "rain",
+              "pollen_tree", "pollen_grass", "pollen_weed", "month"]
+_MEDIANS = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in MATRIX_NUM)
+_FILLED = ", ".join(f"CAST(coalesce(e.{c}, st.m_{c}, 0) AS DOUBLE) AS {c}" for c in MATRIX_NUM)
+
+
+@query("fe_06_wn_15_model_matrix", f"""
 WITH tr AS (SELECT * FROM env_daily WHERE date < DATE '2024-01-22'),
-st AS (SELECT quantile_cont(pollen_tree, 0.5) AS mt, quantile_cont(pollen_weed, 0.5) AS mw FROM tr),
+st AS (SELECT {_MEDIANS} FROM tr),
+zp AS (SELECT zip_code, CAST(dense_rank() OVER (ORDER BY zip_code) - 1 AS INTEGER) AS zip_code_code FROM (SELECT DISTINCT zip_code FROM tr WHERE zip_code IS NOT NULL)),
 dw AS (SELECT day_of_week, CAST(dense_rank() OVER (ORDER BY day_of_week) - 1 AS INTEGER) AS day_of_week_code
        FROM (SELECT DISTINCT day_of_week FROM tr)),
 se AS (SELECT season, CAST(dense_rank() OVER (ORDER BY season) - 1 AS INTEGER) AS season_code FROM (SELECT DISTINCT season FROM tr))
-SELECT e.location_id, e.date, coalesce(e.pollen_tree, coalesce(st.mt, 0)) AS pollen_tree,
-       coalesce(e.pollen_weed, coalesce(st.mw, 0)) AS pollen_weed,
+SELECT e.location_id, e.date, {_FILLED}, coalesce(zp.zip_code_code, 0) AS zip_code_code,
        coalesce(dw.day_of_week_code, 0) AS day_of_week_code, coalesce(se.season_code, 0) AS season_code,
        CAST(CAST(e.holiday_flag AS INTEGER) AS DOUBLE) AS holiday_flag
-FROM env_daily e CROSS JOIN st LEFT JOIN dw ON dw.day_of_week = e.day_of_week LEFT JOIN se ON se.season = e.season""",
+FROM env_daily e CROSS JOIN st LEFT JOIN zp ON zp.zip_code = e.zip_code LEFT JOIN dw ON dw.day_of_week = e.day_of_week LEFT JOIN se ON se.season = e.season""",
        ["env_daily"])
 def q_fe06(spark, d):
     """FE-06 (+PRJ-16, WN-15): model matrix fitted on the training window: median fill,
     sorted category codes (unseen -> 0), bool -> number."""
     e = T.env_daily(spark, d)
     train = e.where(F.col("date") < "2024-01-22")
-    x = MD.impute(train, e.select("location_id", "date", "pollen_tree", "pollen_weed", "day_of_week", "season",
-                                  "holiday_flag"), ["pollen_tree", "pollen_weed"])
-    x = MD.label_codes(train, x, "day_of_week")
-    x = MD.label_codes(train, x, "season")
-    return x.select("location_id", "date", "pollen_tree", "pollen_weed", "day_of_week_code", "season_code",
+    x = MD.impute(train, e, MATRIX_NUM)
+    for c in ("zip_code", "day_of_week", "season"):
+        x = MD.label_codes(train, x, c)
+    return x.select("location_id", "date", *MATRIX_NUM, "zip_code_code", "day_of_week_code", "season_code",
                     F.col("holiday_flag").cast("int").cast("double").alias("holiday_flag"))
 
 
-@query("fe_07_dataset_build", """
-WITH ds AS (SELECT e.location_id, e.date, e.PM2_5_mean, e.temp_min, t.n_orders FROM daily_big e LEFT JOIN trends t ON e.date = t.date),
+AIR_COLS = ["PM2_5_mean", "PM2_5_max", "AQI"]
+WEATHER_COLS = ["temp_min", "temp_max", "humidity", "wind", "pressure", "rain"]
+_MEASURES = AIR_COLS + WEATHER_COLS
+
+
+FE07_BASE = f"""
+w AS (SELECT location_id, date, {', '.join(WEATHER_COLS)} FROM daily_big WHERE (CAST(location_id AS INTEGER) + day(date)) % 7 <> 0),
+a AS (SELECT location_id, date, {', '.join(AIR_COLS)} FROM daily_big WHERE (CAST(location_id AS INTEGER) + day(date)) % 11 <> 0),
+wa AS (SELECT coalesce(w.location_id, a.location_id) AS location_id, coalesce(w.date, a.date) AS date, {', '.join(_MEASURES)}
+       FROM w FULL OUTER JOIN a ON w.location_id = a.location_id AND w.date = a.date),
+p AS (SELECT location_id, date, latitude, longitude, zip_code, pollen_tree, pollen_grass, pollen_weed FROM daily_big),
+ds AS (SELECT e.*, p.latitude, p.longitude, p.zip_code, p.pollen_tree, p.pollen_grass, p.pollen_weed, t.n_orders
+       FROM wa e LEFT JOIN p ON p.location_id = e.location_id AND p.date = e.date LEFT JOIN trends t ON e.date = t.date)"""
+
+
+@query("fe_07_dataset_build", "WITH " + FE07_BASE + f""",
 f AS (SELECT *, coalesce(last_value(n_orders IGNORE NULLS) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                          first_value(n_orders IGNORE NULLS) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS tv
       FROM ds),
 q AS (SELECT quantile_cont(tv, 0.8) AS thr, quantile_cont(tv, [0.2, 0.4, 0.6, 0.8]) AS edges FROM f)
-SELECT location_id AS locationid, date, PM2_5_mean, temp_min, CAST(tv AS DOUBLE) AS google_trends_allergy,
+SELECT location_id AS locationid, latitude, longitude, zip_code, date, {', '.join(_MEASURES)}, pollen_tree, pollen_grass, pollen_weed,
+       {calendar_sql()}, CAST(tv AS DOUBLE) AS google_trends_allergy,
        CAST(tv >= thr AS INTEGER) AS flare_day,
        CAST(1 + (tv > edges[1])::INTEGER + (tv > edges[2])::INTEGER + (tv > edges[3])::INTEGER + (tv > edges[4])::INTEGER AS INTEGER) AS risk
 FROM f, q""", ["daily_big", "trends"])
 def q_fe07(spark, d):
-    """FE-07: env + trends (JN-02), ffill/bfill (WN-11), flare by p80 (LB-06), risk quintiles
-    (LB-07), trends renamed (PRJ-12), known columns first (PRJ-09)."""
-    e = T.daily_big(spark, d).select("location_id", "date", "PM2_5_mean", "temp_min")
-    ds = J.join_trends(e, T.trends(spark, d))
+    """FE-07: daily weather and air (each with gaps) joined full outer (JN-01), place and pollen, trends
+    (JN-02), ffill/bfill (WN-11), calendar columns, flare by p80 (LB-06), risk quintiles (LB-07), trends
+    renamed (PRJ-12), known columns first (PRJ-09): the 24-column data set."""
+    b = T.daily_big(spark, d)
+    k = F.col("location_id").cast("int") + F.dayofmonth("date")
+    e = J.join_weather_air(b.where(k % 7 != 0).select("location_id", "date", *WEATHER_COLS),
+                           b.where(k % 11 != 0).select("location_id", "date", *AIR_COLS))
+    place = b.select("location_id", "date", "latitude", "longitude", "zip_code", "pollen_tree", "pollen_grass", "pollen_weed")
+    ds = J.join_trends(e.join(place, ["location_id", "date"], "left"), T.trends(spark, d))
     ds = ds.withColumn("trend", W.ffill_bfill("n_orders", W.series("location_id")).cast("double")).drop("n_orders")
-    thr = Q.quantile(ds, "trend", 0.8)
-    ds = ds.withColumn("flare_day", L.flare_by_threshold("trend", thr))
-    ds = L.quantile_bins(ds, "trend", "risk")
+    ds = ds.select("*", *T._calendar_cols())
+    ds = L.flare_and_bins(ds, "trend")
     ds = P.rename_trend(ds, "allergy").withColumnRenamed("location_id", "locationid")
-    return P.order_columns(ds, ["locationid", "latitude", "longitude", "zip_code", "date", "PM2_5_mean", "temp_min"])
+    return P.order_columns(ds, ["locationid", "latitude", "longitude", "zip_code", "date", *_MEASURES])
 
 
 def _general_training_frame(spark, d):

@@ -16,6 +16,7 @@ from airwise.operators import sets as ST
 from airwise.operators import sinks as SK
 from airwise.operators import sorts as SL
 from airwise.plans import features as FE
+from airwise.plans.catalog_ml import FE07_BASE
 from airwise.plans.catalog_env import PROBA_SQL, score_sql
 from airwise.plans.registry import query
 from airwise.session import cut_lineage
@@ -59,8 +60,7 @@ TRAINING_SCHEMA = ("locationid string, date date, PM2_5_mean double, temp_min do
                    "google_trends_allergy double, flare_day int, risk int")
 
 
-@query("src_05_training_csv_roundtrip", """
-WITH ds AS (SELECT e.location_id, e.date, e.PM2_5_mean, e.temp_min, t.n_orders FROM daily_big e LEFT JOIN trends t ON e.date = t.date),
+@query("src_05_training_csv_roundtrip", "WITH " + FE07_BASE + """,
 f AS (SELECT *, coalesce(last_value(n_orders IGNORE NULLS) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                          first_value(n_orders IGNORE NULLS) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS tv
       FROM ds),
@@ -197,7 +197,8 @@ def personal_training(spark, d):
     by MD5 of user and day (early stopping), the order is chronological for the folds."""
     users = T.checkins(spark, d).select("user_id").distinct()
     frame = _personal_frame(spark, d, users)
-    frame = frame.withColumn("risk", L.personal_risk("symptom_score", "AQI", "PM2_5_mean", "pollen_total"))
+    # the landed proxy's AQI is twice a day's largest index; halved it is on a daily scale (else every day is a risk)
+    frame = frame.withColumn("risk", L.personal_risk("symptom_score", F.col("AQI") / 2, "PM2_5_mean", "pollen_total"))
     h = F.md5(F.concat_ws(":", F.lit("42"), F.col("user_id").cast("string"), F.col("date").cast("string")))
     hist = frame.where(F.col("date") < PERSONAL_START) \
         .withColumn("validation", F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % 5 == 0)
@@ -482,7 +483,7 @@ def q_fe09_model(spark, d):
     from airwise.plans.training import GENERAL_CAT, GENERAL_NUM
 
     start, days = "2024-01-27", 7
-    env = T.env_daily(spark, d)
+    env = T.env_daily(spark, d).withColumn("AQI", F.col("AQI") / 2)  # the proxy on a daily scale, else every day is high risk
     hist = env.where(F.col("date") < start)
     train = LBL.high_risk_tomorrow(FE.env_features_general(hist)).withColumn("month", F.col("month").cast("double"))
     FLT.assert_trainable(train, "y")

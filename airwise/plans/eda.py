@@ -8,24 +8,22 @@ from pyspark.sql import functions as F
 from airwise.operators import aggregates as AG
 
 
-def report_lines(merged: DataFrame, outcome: str = "rescueUsed", score: str = "symptomScore") -> DataFrame:
-    """Value counts of the outcome and a describe line of the score, as text rows."""
-    vc = AG.value_counts(merged, outcome).select(
-        F.concat(F.lit(f"count {outcome}="), F.col(outcome).cast("string"), F.lit(": "),
-                 F.col("count").cast("string")).alias("line"))
-    ds = merged.agg(F.count(score).alias("n"), F.max(score).alias("mx")).select(
-        F.concat(F.lit(f"describe {score}: count "), F.col("n").cast("string"), F.lit(", max "),
-                 F.col("mx").cast("string")).alias("line"))
-    return vc.unionByName(ds)
+def full_report(merged: DataFrame, numeric: list[str], outcome: str = "rescueUsed", score: str = "symptomScore") -> DataFrame:
+    """(section, rank, line): row count, value counts of the outcome, a describe of the score, null counts per
+    column with nulls, and correlations with the score by falling size.  Section and rank are the order."""
+    none = F.lit("")
 
+    def part(df: DataFrame, section: int, rank, line) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), rank.cast("string").alias("rank"), line.alias("line"))
 
-def full_report(merged: DataFrame, numeric: list[str], outcome: str = "symptomScore") -> DataFrame:
-    """Describe, null counts and correlations as report lines."""
-    d = AG.describe_col(merged, outcome)
-    d_line = d.select(F.concat_ws(" ", F.lit(f"{outcome}:"), *[F.concat(F.lit(f"{c}="), F.col(c).cast("string"))
-                                                                for c in d.columns]).alias("line"))
-    n_line = AG.null_counts(merged).select(F.concat(F.lit("  "), F.col("column"), F.lit(": "),
-                                                    F.col("nulls").cast("string")).alias("line"))
-    c_line = AG.correlations(merged, outcome, numeric).select(
-        F.concat(F.lit("  "), F.col("column"), F.lit(": "), F.format_number(F.col("r"), 3)).alias("line"))
-    return d_line.unionByName(n_line).unionByName(c_line)
+    rows = part(merged.agg(F.count(F.lit(1)).alias("n")), 0, none, F.concat(F.lit("rows: "), F.col("n").cast("string")))
+    counts = AG.value_counts(merged, outcome)
+    vc = part(counts, 1, F.coalesce(F.col(outcome).cast("string"), none),
+              F.concat(F.lit(f"count {outcome}="), F.coalesce(F.col(outcome).cast("string"), F.lit("null")), F.lit(": "), F.col("count").cast("string")))
+    d = AG.describe_col(merged, score).unpivot([], ["mean", "std", "min", "q25", "q50", "q75", "max"], "stat", "value")
+    desc = part(d, 2, F.col("stat"), F.concat(F.lit(f"describe {score} "), F.col("stat"), F.lit(": "), F.format_string("%.3f", "value")))
+    nulls = part(AG.null_counts(merged), 3, F.col("column"), F.concat(F.lit("missing "), F.col("column"), F.lit(": "), F.col("nulls").cast("string")))
+    c = AG.correlations(merged, score, numeric).where("r IS NOT NULL")
+    corr = part(c, 4, F.format_string("%.9f %s", 1 - F.abs("r"), F.col("column")),
+                F.concat(F.lit(f"correlation {score} "), F.col("column"), F.lit(": "), F.format_string("%.3f", "r")))
+    return rows.unionByName(vc).unionByName(desc).unionByName(nulls).unionByName(corr)

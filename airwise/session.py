@@ -7,7 +7,9 @@ setting is absent (tests, local runs) do we pick a scratch folder ourselves.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,13 +55,18 @@ def apply_engine_conf(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only if unset."""
+    """Return the cluster's checkpoint folder; set a scratch one only if unset and the master is local
+    (an error on a cluster).  A folder made here goes when the process ends."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(d)
         return d
+    master = spark.conf.get("spark.master", "local")
+    if not (master.startswith("local") and not master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder: each node of a cluster has a /tmp of its own")
     d = tempfile.mkdtemp(prefix="airwise-ckpt-", dir=os.environ.get("AIRWISE_SCRATCH", "/tmp"))
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
