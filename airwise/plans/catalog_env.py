@@ -49,7 +49,21 @@ fe AS (
   SELECT * FROM fe_c WHERE {notnull})
 """
 
-FE01_NOTNULL = " AND ".join(f"{c} IS NOT NULL" for c in FE.GENERAL_FEATURES)
+# The feature lists of FE-01 and FE-02, written out for the SQL twins.
+FE01_SQL_FEATURES = [
+    "PM2_5_mean", "PM2_5_max", "AQI", "temp_min", "temp_max", "humidity", "wind", "pressure", "rain",
+    "pollen_tree", "pollen_grass", "pollen_weed", "pollen_tree_missing", "pollen_grass_missing",
+    "pollen_weed_missing", "pollen_total", "temp_swing", "pm25_x_humidity", "pollen_x_wind", "pm25_mean_lag1",
+    "pm25_max_lag1", "aqi_lag1", "pollen_lag1", "pm25_delta", "pm25_mean_roll3_mean", "pm25_mean_roll3_max",
+    "aqi_roll3_mean", "aqi_roll3_max", "pm25_mean_roll7_mean", "pm25_mean_roll7_max", "aqi_roll7_mean",
+    "aqi_roll7_max",
+]
+FE02_SQL_COLS = [
+    "PM2_5_mean", "PM2_5_max", "AQI", "temp_min", "temp_max", "temp_range", "humidity", "wind", "pressure",
+    "rain", "pm_spike", "humid_x_pm", "wind_x_pm", "pollen_tree", "pollen_grass", "pollen_weed",
+]
+
+FE01_NOTNULL = " AND ".join(f"{c} IS NOT NULL" for c in FE01_SQL_FEATURES)
 
 LB01_SQL = """
 lb_a AS (
@@ -128,7 +142,7 @@ def q_outlook_big(spark, d):
 
 # ---------------------------------------------------------------- FE-01..03
 
-FE01_COLS = ["location_id", "date"] + FE.GENERAL_FEATURES
+FE01_COLS = ["location_id", "date"] + FE01_SQL_FEATURES
 
 
 @query("fe_01_env_features_general",
@@ -139,7 +153,7 @@ def q_fe01(spark, d):
 
 
 def _fe02_sql(src: str) -> str:
-    cols = FE.FLARE_BASE_COLS
+    cols = FE02_SQL_COLS
     wins = []
     for c in cols:
         wins += [f"lag({c}, 1) OVER w AS {c}_lag1", f"lag({c}, 2) OVER w AS {c}_lag2",
@@ -165,8 +179,8 @@ f_b AS (
 SELECT location_id, date, pollen_tree_missing, {', '.join(feats)} FROM f_b WHERE {notnull}"""
 
 
-FE02_OUT = (["location_id", "date", "pollen_tree_missing"] + FE.FLARE_BASE_COLS
-            + [f"{c}_{s}" for c in FE.FLARE_BASE_COLS for s in ("lag1", "lag2", "roll3", "roll7")])
+FE02_OUT = (["location_id", "date", "pollen_tree_missing"] + FE02_SQL_COLS
+            + [f"{c}_{s}" for c in FE02_SQL_COLS for s in ("lag1", "lag2", "roll3", "roll7")])
 
 
 @query("fe_02_env_features_flare", _fe02_sql("daily_big"), ["daily_big"])
@@ -221,12 +235,13 @@ def q_fe03(spark, d):
 SELECT date, coalesce(avg(PM2_5_mean) OVER p3, 0) AS pm25_roll3_mean,
        coalesce(avg(PM2_5_mean) OVER p7, 0) AS pm25_roll7_mean,
        coalesce(PM2_5_mean - lag(PM2_5_mean) OVER (ORDER BY date), 0) AS pm25_delta
-FROM env_daily WHERE location_id = '3'
+FROM (SELECT date, avg(PM2_5_mean) AS PM2_5_mean FROM env_daily GROUP BY date)
 WINDOW p3 AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
        p7 AS (ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""", ["env_daily"])
 def q_wn08(spark, d):
-    """WN-08: the unpartitioned rolling form on a one-location frame (FLT-01 first)."""
-    one = T.env_daily(spark, d).where(F.col("location_id") == "3")
+    """WN-08: the unpartitioned rolling form on one series: the daily mean over all locations (a row per
+    calendar day, which bounds the one window)."""
+    one = T.env_daily(spark, d).groupBy("date").agg(F.avg("PM2_5_mean").alias("PM2_5_mean"))
     w = W.series(None)
     return one.select("date", W.rolling_prev("PM2_5_mean", w, 3).alias("pm25_roll3_mean"),
                       W.rolling_prev("PM2_5_mean", w, 7).alias("pm25_roll7_mean"),

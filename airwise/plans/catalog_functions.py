@@ -287,19 +287,37 @@ def q_ma01(spark, d):
                      M.rain_to_mm(v, r_uom).alias("rain_mm"))
 
 
+# Fixed values: (AQI up to, PM from, PM span, AQI from, AQI span) of AQI -> PM2.5, written out for the SQL twin.
+AQI_PM_SQL_SEGMENTS = [
+    (50, 12.1, 23.299999999999997, 0, 50),
+    (100, 35.5, 19.9, 50, 50),
+    (150, 55.5, 94.9, 100, 50),
+    (200, 150.5, 99.9, 150, 50),
+    (300, 250.5, 99.89999999999998, 200, 100),
+    (500, 350.5, 149.89999999999998, 300, 200),
+]
+# Fixed values: (PM from, PM up to, AQI from, AQI up to) of PM2.5 -> AQI, written out for the SQL twin.
+PM_AQI_SQL_SEGMENTS = [
+    (0.0, 12.0, 0, 50),
+    (12.0, 35.4, 50, 100),
+    (35.4, 55.4, 100, 150),
+    (55.4, 150.4, 150, 250),
+    (150.4, 250.4, 200, 300),
+    (250.4, 500.4, 300, 500),
+]
+
+
 def _aqi_pm_sql(a: str) -> str:
     parts = [f"WHEN {a} <= 12 THEN {a}"]
-    for hi, c_lo, c_span, a_lo, a_span in M.aqi_pm_segments():
+    for hi, c_lo, c_span, a_lo, a_span in AQI_PM_SQL_SEGMENTS:
         parts.append(f"WHEN {a} <= {hi} THEN {c_lo!r}::DOUBLE + ({a} - {a_lo}) * {c_span!r}::DOUBLE / {a_span}")
     return "CASE " + " ".join(parts) + " ELSE 500.4::DOUBLE END"
 
 
 def _pm_aqi_sql(p: str) -> str:
-    segs = M.pm_aqi_segments()
-    hi0, _, _, f0 = segs[0]
-    parts = [f"WHEN {p} <= {hi0!r}::DOUBLE THEN CASE WHEN {p} >= 0 THEN {p} * {f0!r}::DOUBLE ELSE 0.0::DOUBLE END"]
-    for hi, a_lo, c_lo, factor in segs[1:]:
-        parts.append(f"WHEN {p} <= {hi!r}::DOUBLE THEN {a_lo} + ({p} - {c_lo!r}::DOUBLE) * {factor!r}::DOUBLE")
+    parts = [f"WHEN {p} <= 12.0::DOUBLE THEN CASE WHEN {p} >= 0 THEN {p} * (50.0::DOUBLE / 12.0::DOUBLE) ELSE 0.0::DOUBLE END"]
+    for lo, hi, a_lo, a_hi in PM_AQI_SQL_SEGMENTS[1:]:
+        parts.append(f"WHEN {p} <= {hi!r}::DOUBLE THEN {a_lo} + ({p} - {lo!r}::DOUBLE) * ({a_hi - a_lo}.0::DOUBLE / ({hi!r}::DOUBLE - {lo!r}::DOUBLE))")
     return "CAST(trunc(CASE " + " ".join(parts) + " ELSE 500.0::DOUBLE END) AS INTEGER)"
 
 
