@@ -15,14 +15,14 @@ from airwise.sources import tables as T
 
 def _eda_frame(spark, d):
     """Check-ins left-joined to the env of their user's location - the EDA input."""
-    c = T.checkins(spark, d).select("user_id", (F.col("user_id") % 10).cast("string").alias("location_id"), "date", "rescueUsed", "symptomScore")
+    c = T.checkins(spark, d).select("user_id", T.location_of("user_id").alias("location_id"), "date", "rescueUsed", "symptomScore")
     e = T.env_daily(spark, d).select("location_id", "date", "PM2_5_mean", "AQI", "humidity", "pollen_weed", "rain")
     return c.join(e, ["location_id", "date"], "left").drop("location_id")
 
 
 EDA_SQL = """
 eda AS (SELECT c.user_id, c.date, c.rescueUsed, c.symptomScore, e.PM2_5_mean, e.AQI, e.humidity, e.pollen_weed, e.rain
-        FROM checkins c LEFT JOIN env_daily e ON c.date = e.date AND e.location_id = CAST(c.user_id % 10 AS VARCHAR))"""
+        FROM checkins c LEFT JOIN env_daily e ON c.date = e.date AND e.location_id = CAST(c.user_id % 10 + 10 * (c.user_id // 150) AS VARCHAR))"""
 
 
 def hourly_payload(spark, d, n_hours: int = 72):

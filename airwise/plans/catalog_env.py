@@ -194,7 +194,7 @@ WITH u AS (
   SELECT c.user_id, e.* EXCLUDE (location_id),
          e.temp_max - e.temp_min AS temp_swing,
          coalesce(e.pollen_tree, 0) + coalesce(e.pollen_grass, 0) + coalesce(e.pollen_weed, 0) AS pollen_total
-  FROM (SELECT DISTINCT user_id, CAST(user_id % 10 AS VARCHAR) AS location_id FROM checkins) c
+  FROM (SELECT DISTINCT user_id, CAST(user_id % 10 + 10 * (user_id // 150) AS VARCHAR) AS location_id FROM checkins) c
   JOIN env_daily e ON e.location_id = c.location_id)
 SELECT user_id, date,
   coalesce(PM2_5_mean - lag(PM2_5_mean) OVER w, 0) AS pm25_delta,
@@ -217,9 +217,9 @@ FE03_OUT = ["user_id", "date", "pm25_delta", "pm25_roll3_mean", "pm25_roll7_mean
 
 
 def user_env(spark, d):
-    """Each check-in user's environment history: env of the user's location (user_id % 10)."""
+    """Each check-in user's environment history: env of the user's location."""
     users = (T.checkins(spark, d).select("user_id").distinct()
-             .withColumn("location_id", (F.col("user_id") % 10).cast("string")))
+             .withColumn("location_id", T.location_of("user_id")))
     return users.join(T.env_daily(spark, d), "location_id", "inner").drop("location_id")
 
 
@@ -375,11 +375,11 @@ SELECT c.user_id, c.date,
        OR coalesce(coalesce(e.pollen_tree, 0) + coalesce(e.pollen_grass, 0) + coalesce(e.pollen_weed, 0) > 20, false) AS INTEGER) AS risk,
   CAST(coalesce(c.symptomScore >= 6, false) AS INTEGER) AS flare_day,
   CAST(coalesce(c.symptomScore >= 4, false) AS INTEGER) AS severe
-FROM checkins c LEFT JOIN env_daily e ON e.location_id = CAST(c.user_id % 10 AS VARCHAR) AND e.date = c.date""",
+FROM checkins c LEFT JOIN env_daily e ON e.location_id = CAST(c.user_id % 10 + 10 * (c.user_id // 150) AS VARCHAR) AND e.date = c.date""",
        ["checkins", "env_daily"])
 def q_lb02(spark, d):
     """LB-02/LB-03: personal risk / flare_day / severe labels on check-ins joined to env."""
-    c = T.checkins(spark, d).withColumn("location_id", (F.col("user_id") % 10).cast("string"))
+    c = T.checkins(spark, d).withColumn("location_id", T.location_of("user_id"))
     e = T.env_daily(spark, d)
     j = c.join(e.select("location_id", "date", "AQI", "PM2_5_mean", "pollen_tree", "pollen_grass", "pollen_weed"),
                ["location_id", "date"], "left")

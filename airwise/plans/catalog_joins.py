@@ -114,7 +114,7 @@ def q_fe04(spark, d):
 
 
 @query("jn_08_join_labels", """
-WITH lab AS (SELECT user_id, CAST(user_id % 10 AS VARCHAR) AS location_id, date, flare_nextday FROM (
+WITH lab AS (SELECT user_id, CAST(user_id % 10 + 10 * (user_id // 150) AS VARCHAR) AS location_id, date, flare_nextday FROM (
   SELECT user_id, date, lead(CAST(symptomScore >= 4 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY date) AS flare_nextday
   FROM checkins) WHERE flare_nextday IS NOT NULL)
 SELECT lab.user_id, e.date, e.AQI, e.PM2_5_mean, lab.flare_nextday
@@ -125,7 +125,7 @@ def q_jn08(spark, d):
     from airwise.functions import labels as L
     lab = T.checkins(spark, d).select("user_id", "date", L.severe("symptomScore").alias("flare"))
     lab = W.next_day_label(lab, "user_id", "flare", "flare_nextday") \
-        .select("user_id", (F.col("user_id") % 10).cast("string").alias("location_id"), "date", "flare_nextday")
+        .select("user_id", T.location_of("user_id").alias("location_id"), "date", "flare_nextday")
     e = T.env_daily(spark, d).select("location_id", "date", "AQI", "PM2_5_mean")
     return J.join_labels(e, lab, ["location_id", "date"]).select("user_id", "date", "AQI", "PM2_5_mean", "flare_nextday")
 
@@ -167,11 +167,11 @@ env AS (SELECT location_id, date, CAST(1 + 4 * (AQI / 200) AS DOUBLE) AS score F
 SELECT p.user_id, p.date,
        CASE WHEN coalesce(ns.no_symptoms, false) AND env.score IS NOT NULL THEN env.score ELSE p.score END AS score
 FROM pred p LEFT JOIN ns ON p.user_id = ns.user_id
-LEFT JOIN env ON env.location_id = CAST(p.user_id % 10 AS VARCHAR) AND p.date = env.date""", ["checkins", "env_daily"])
+LEFT JOIN env ON env.location_id = CAST(p.user_id % 10 + 10 * (p.user_id // 150) AS VARCHAR) AND p.date = env.date""", ["checkins", "env_daily"])
 def q_jn11(spark, d):
     """JN-11 + AG-17 + MA-05: users with no symptoms take the env-only score of the date."""
     c = T.checkins(spark, d)
-    pred = c.select("user_id", (F.col("user_id") % 10).cast("string").alias("location_id"), "date",
+    pred = c.select("user_id", T.location_of("user_id").alias("location_id"), "date",
                     M.binary_score(F.col("symptomScore") / 9).alias("score"))
     ns = AG.users_without_symptoms(c.where(F.col("date") < "2024-01-10"))
     env = T.env_daily(spark, d).select("location_id", "date", (1 + 4 * (F.col("AQI") / 200)).alias("score"))

@@ -184,7 +184,7 @@ def _personal_frame(spark, d, users):
     """Users x days with their location's env time features (FE-03) and symptom lags (FE-04), over the
     whole history: callers cut to a window after the lags."""
     env = T.env_daily(spark, d)
-    u = users.withColumn("location_id", (F.col("user_id") % 10).cast("string"))
+    u = users.withColumn("location_id", T.location_of("user_id"))
     ue = u.join(env, "location_id", "inner").drop("location_id")
     tf = FE.user_time_features(ue, "user_id")
     c = T.checkins(spark, d)
@@ -220,7 +220,7 @@ def personalized_flow(spark, d, cache, users, score):
     wanted = J.users_x_dates(users, [r[0] for r in dates.collect()])  # at most PERSONAL_DAYS dates
     if J.cache_is_complete(wanted, cache):
         return J.cached_rows(cache, users, dates), True
-    pred = score(wanted).select("user_id", (F.col("user_id") % 10).cast("string").alias("location_id"), "date", "score")
+    pred = score(wanted).select("user_id", T.location_of("user_id").alias("location_id"), "date", "score")
     no_sym = AG.users_without_symptoms(T.checkins(spark, d).where(F.col("date") < PERSONAL_START))
     env_scores = T.env_daily(spark, d).select("location_id", "date", M.binary_score(M.rule_probability(
         "AQI", "PM2_5_mean", M.pollen_total("pollen_tree", "pollen_grass", "pollen_weed"))).alias("score"))
@@ -276,7 +276,7 @@ full_cache AS (SELECT user_id, date, 1.0::DOUBLE + ((user_id + day(date)) % 5) *
 fr AS (SELECT u.user_id, e.date, e.location_id, e.AQI, e.PM2_5_mean,
          coalesce(e.pollen_tree, 0) + coalesce(e.pollen_grass, 0) + coalesce(e.pollen_weed, 0) AS pollen_total,
          coalesce(c.wheeze, 0) + coalesce(c.cough, 0) + coalesce(c.chestTightness, 0) AS sym
-       FROM u JOIN env_daily e ON e.location_id = CAST(u.user_id % 10 AS VARCHAR) LEFT JOIN checkins c ON c.user_id = u.user_id AND c.date = e.date),
+       FROM u JOIN env_daily e ON e.location_id = CAST(u.user_id % 10 + 10 * (u.user_id // 150) AS VARCHAR) LEFT JOIN checkins c ON c.user_id = u.user_id AND c.date = e.date),
 lg AS (SELECT *, coalesce(lag(sym) OVER (PARTITION BY user_id ORDER BY date), 0) AS sym1 FROM fr),
 ns AS (SELECT user_id, bool_and(wheeze = 0 AND cough = 0 AND chestTightness = 0) AS no_symptoms FROM checkins WHERE date < DATE '2024-01-24' GROUP BY user_id),
 sc AS (SELECT l.user_id, l.date,

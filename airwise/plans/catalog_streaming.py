@@ -10,7 +10,7 @@ from airwise.streaming import streams as SS
 
 
 @query("ss_01_streaming_daily_rollup", """
-WITH r AS (SELECT CAST(user_id % 10 AS VARCHAR) AS location_id, ts, value AS pm FROM events),
+WITH r AS (SELECT CAST(user_id % 10 + 10 * (user_id // 150) AS VARCHAR) AS location_id, ts, value AS pm FROM events),
 cut AS (SELECT max(ts) - INTERVAL 2 DAY AS wm FROM events)
 SELECT location_id, CAST(ts AS DATE) AS date, count(*) AS n, avg(pm) AS PM2_5_mean, max(pm) AS PM2_5_max
 FROM r GROUP BY location_id, CAST(ts AS DATE)
@@ -23,7 +23,7 @@ def q_ss01(spark, d):
 
 
 @query("ss_02_streaming_idempotent_upsert", """
-SELECT CAST(user_id % 10 AS VARCHAR) AS location_id, CAST(ts AS DATE) AS date, count(value) AS n, avg(value) AS PM2_5_mean,
+SELECT CAST(user_id % 10 + 10 * (user_id // 150) AS VARCHAR) AS location_id, CAST(ts AS DATE) AS date, count(value) AS n, avg(value) AS PM2_5_mean,
        max(value) AS PM2_5_max
 FROM events GROUP BY 1, 2""", [])
 def q_ss02(spark, d):

@@ -87,7 +87,7 @@ def calendar_sql(d: str = "date") -> str:
 
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "readings": ("""
-        SELECT event_id, CAST(user_id % 10 AS VARCHAR) AS location_id, user_id, ts,
+        SELECT event_id, CAST(user_id % 10 + 10 * (user_id // 150) AS VARCHAR) AS location_id, user_id, ts,
                CAST(ts AS DATE) AS date, value AS pm, event_type AS kind,
                TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
         FROM events""", []),
@@ -107,8 +107,8 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         FROM readings GROUP BY location_id, date""", ["readings"]),
     "env_daily": (f"""
         SELECT location_id,
-               CAST(30 + CAST(location_id AS INTEGER) AS DOUBLE) AS latitude,
-               CAST(-120 - CAST(location_id AS INTEGER) AS DOUBLE) AS longitude,
+               CAST(30 + CAST(location_id AS INTEGER) % 10 AS DOUBLE) + (CAST(location_id AS INTEGER) // 10) * 0.0001::DOUBLE AS latitude,
+               CAST(-120 - CAST(location_id AS INTEGER) % 10 AS DOUBLE) - (CAST(location_id AS INTEGER) // 10) * 0.0001::DOUBLE AS longitude,
                CASE WHEN CAST(location_id AS INTEGER) % 3 = 0 THEN NULL ELSE '9410' || location_id END AS zip_code,
                date, PM2_5_mean, PM2_5_max, AQI, temp_min, temp_max, humidity, wind, pressure, rain,
                pollen_tree, pollen_grass, pollen_weed, {calendar_sql()}
@@ -154,7 +154,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         SELECT c_custkey AS user_id,
                CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE lower(replace(c_name, '#', '')) || '@example.com' END AS email,
                c_name AS name,
-               CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(c_custkey % 10 AS VARCHAR) END AS location,
+               CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(c_custkey % 10 + 10 * (c_custkey // 1500) AS VARCHAR) END AS location,
                c_name AS profile_name,
                CAST(4 + c_custkey % 3 AS VARCHAR) || '''' || CAST(c_custkey % 12 AS VARCHAR) || '"' AS profile_height,
                CAST(110 + c_custkey % 120 AS VARCHAR) || ' lbs' AS profile_weight,

@@ -41,12 +41,18 @@ def _calendar_cols(date_col: str = "date"):
             D.season_name(F.month(d)).alias("season"), D.is_us_holiday(d).alias("holiday_flag")]
 
 
+def location_of(user: str):
+    """A user's location: ten locations for every 150 users, so places grow with the data."""
+    u = F.col(user)
+    return (u % 10 + 10 * F.floor(u / 150)).cast("string")
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly sensor readings: one row per event (location = user_id % 10)."""
+    """Hourly sensor readings: one row per event, at the location of its user."""
     ev = raw(spark, sf_dir, "events")
     return ev.select(
         "event_id",
-        (F.col("user_id") % 10).cast("string").alias("location_id"),
+        location_of("user_id").alias("location_id"),
         "user_id",
         "ts",
         F.to_date("ts").alias("date"),
@@ -59,7 +65,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def env_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical daily table (21 columns) rolled up from the readings.
 
-    Dense: ~10 locations x 30 days.  The rollup is a hash aggregate with a
+    Dense: ten locations for every 150 users, 30 days.  The rollup is a hash aggregate with a
     map-side partial step, so a hot location costs one partial row per task.
     """
     r = readings(spark, sf_dir)
@@ -80,8 +86,8 @@ def env_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return agg.select(
         "location_id",
-        (30.0 + loc).alias("latitude"),
-        (-120.0 - loc).alias("longitude"),
+        (30.0 + loc % 10 + F.floor(loc / 10) * 0.0001).alias("latitude"),
+        (-120.0 - loc % 10 - F.floor(loc / 10) * 0.0001).alias("longitude"),
         F.when(loc % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("9410"), F.col("location_id"))).alias("zip_code"),
         "date", "PM2_5_mean", "PM2_5_max", "AQI", "temp_min", "temp_max", "humidity", "wind",
         "pressure", "rain", "pollen_tree", "pollen_grass", "pollen_weed",
@@ -153,7 +159,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lower(F.regexp_replace("c_name", "#", "")), F.lit("@example.com"))).alias("email"),
         F.col("c_name").alias("name"),
-        F.when(k % 7 == 0, F.lit("")).otherwise((k % 10).cast("string")).alias("location"),
+        F.when(k % 7 == 0, F.lit("")).otherwise((k % 10 + 10 * F.floor(k / 1500)).cast("string")).alias("location"),
         F.struct(
             F.col("c_name").alias("name"),
             height.alias("height"),

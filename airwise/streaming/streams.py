@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from airwise.functions import mathx as M
 from airwise.operators import sinks as SK
+from airwise.sources import tables as T
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -25,7 +26,7 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parqu
 
 
 def readings_stream(events: DataFrame) -> DataFrame:
-    return events.select("event_id", (F.col("user_id") % 10).cast("string").alias("location_id"),
+    return events.select("event_id", T.location_of("user_id").alias("location_id"),
                          F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("pm"),
                          F.col("event_type").alias("kind"))
 
