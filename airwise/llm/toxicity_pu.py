@@ -66,7 +66,7 @@ def _places(word: bytes, bits: int = BITS) -> list[int]:
 
 def word_places(text: str, bits: int = BITS) -> np.ndarray:
     """Sorted distinct places of a text."""
-    return np.array(sorted({p for w in _words(text) for p in _places(w, bits)}), np.int64)
+    return np.array(sorted({p for w in _words(text) for p in _places(w, bits)}), np.int32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -80,14 +80,14 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return {}, base
     docs = positive + unlabelled
     n, p, u = len(docs), len(positive), len(unlabelled)
-    flat, row = np.concatenate(docs), np.repeat(np.arange(n), [len(d) for d in docs])
+    flat, row = np.concatenate(docs), np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in docs])
     used, support = np.unique(flat[row < p], return_counts=True)
     used = used[support >= SUPPORT]  # a word of one or two documents says nothing about others
     if not len(used):
         return {}, base
-    col = np.minimum(np.searchsorted(used, flat), len(used) - 1)
+    col = np.minimum(np.searchsorted(used, flat), len(used) - 1).astype(np.int32)
     known = used[col] == flat
-    col, row = col[known], row[known]
+    col, row, flat = col[known], row[known], None
     is_p = np.arange(n) < p
     w, b = np.zeros(len(used)), base
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -116,7 +116,7 @@ def _sample(rows: DataFrame, n: int) -> list[np.ndarray]:
             yield pd.DataFrame({"places": [word_places(t).tolist() for t in b["t"]]})
 
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select(text_of().alias("t"))
-    return [np.array(r["places"], np.int64) for r in picked.mapInPandas(places, "places array<long>").toLocalIterator()]
+    return [np.array(r["places"], np.int32) for r in picked.mapInPandas(places, "places array<int>").toLocalIterator()]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
