@@ -113,10 +113,10 @@ def _sample(rows: DataFrame, n: int) -> list[np.ndarray]:
     """Hashed words of the n rows whose ids have the smallest hashes."""
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"places": [word_places(t).tolist() for t in b["t"]]})
+            yield pd.DataFrame({"places": [word_places(t).astype("<i4").tobytes() for t in b["t"]]})
 
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select(text_of().alias("t"))
-    return [np.array(r["places"], np.int32) for r in picked.mapInPandas(places, "places array<int>").toLocalIterator()]
+    return [np.frombuffer(r["places"], "<i4") for r in picked.mapInPandas(places, "places binary").toLocalIterator()]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
