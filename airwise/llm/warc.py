@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airwise.llm.common import scratch_path, text_batches
+from airwise.llm.common import scratch_path, stored, text_batches
 
 BLANK = "\r\n\r\n"
 MIN_REVISIT = 100
@@ -52,8 +52,10 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("html"),
                         F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
-    first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest") \
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("payload_digest").alias("_digest"), "first")
+    # stored, so that the join deals both sides anew and AQE can split a payload that many pages share
+    first = stored(rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
+                   .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                   .select(F.col("payload_digest").alias("_digest"), "first"), "first-payloads")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(first, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") >= min_bytes), "left") \
         .select("page_id", "url", F.when(~revisit, F.col("html")).otherwise("").alias("html"), "payload_bytes", "payload_digest",
