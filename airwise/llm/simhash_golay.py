@@ -127,7 +127,7 @@ def links(fps: DataFrame, bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame
             yield pd.DataFrame({"z": (fp.view(np.uint64)[:, None] ^ flips).ravel().view(np.int64), "fp": np.repeat(fp, 65)})
 
     keys = stored(fps.mapInPandas(key_rows, "k long, fp long"), "golay-keys")
-    sizes = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = stored(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "golay-sizes")  # AQE can split the join
     shared = keys.join(sizes, "k")
     thin = shared.where(F.col("n") <= dense).groupBy("k").agg(F.sort_array(F.collect_list("fp")).alias("m"))
     # a thin bucket holds `dense` fingerprints at most: its pairs are made inside the row
