@@ -6,16 +6,19 @@ points.  Expressions are possessive and anchored at the start of a run, so very
 matched in linear time and without deep recursion.  Validity (IP parts, digit counts, Luhn) is
 tested on the match; failing matches are dropped, not retried.
 
-Bootstrapping.  Every base match, and every other token that holds a digit and has ``min_length``
-characters (an identifier), is an instance; the last ``context`` words before it, lower-cased and
-without other instances between, are a lexical pattern.  Valid base matches are the seeds, with
-score 1.  The graph of distinct (pattern, instance) edges is stored in the shared folder and scored
-in rounds: a pattern's confidence is the mean score of its distinct instances, provided that at
+Bootstrapping.  Every base match, and every other token that holds a digit, has ``min_length``
+characters and touches no valid base match of its row (an identifier), is an instance.  Its lexical
+patterns are the last word and the last ``context`` words before it and the first word after it,
+lower-cased, each with the punctuation between word and value and without other instances between.
+Seeds, with score 1, are the valid base matches and the identifiers assigned (= or :) to a cue word:
+a name of a kind or of a secret.  The graph of distinct (pattern, instance) edges of all patterns is
+stored in the shared folder and scored in rounds: a pattern's confidence is the mean score of its distinct instances, provided that at
 least ``support`` of them score as personal; an instance that is no seed gets the confidence of its
 best confident pattern.  After the rounds, identifiers next to a pattern of ``confidence`` or more
 are spans of kind ``id``.  The same identifier elsewhere is found only where its context is
 confident too, since short numbers recur by chance.
 
+Identifiers that touch a base span are found by running bounds over a row's spans in both orders.
 Everything is built of DataFrame functions.  A hot pattern or instance is reduced by partial
 aggregates over distinct edges, and joins on it are split by AQE.
 
@@ -43,6 +46,8 @@ TOKEN = r"(?<![A-Za-z0-9-])(?=[A-Za-z-]*+[0-9])[A-Za-z0-9-]++"
 #: Characters of a text looked at for the words before a match.
 LOOK_BACK = 80
 CONTEXT = 2
+#: Names of kinds and of secrets that seed an identifier assigned to them.
+CUES = ("apikey", "card", "email", "ip", "mail", "passwd", "password", "phone", "pwd", "secret", "tel", "token")
 MIN_LENGTH = 6
 SUPPORT = 3
 CONFIDENCE = 0.8
@@ -71,45 +76,78 @@ def _valid(kind: Column, m: Column) -> Column:
         .otherwise((F.length(m) >= MIN_LENGTH) & m.rlike("[0-9]"))
 
 
-def _last_words(gap: Column, n: int) -> Column:
-    """The last n lower-cased words of the piece before a match (fewer: all of them; none: empty)."""
-    words = F.array_remove(F.split(ascii_lower(F.substring(gap, -LOOK_BACK, LOOK_BACK)), r"[\s\p{Punct}]+", -1), "")
-    return F.concat_ws(" ", F.slice(words, F.greatest(F.lit(1), F.size(words) - (n - 1)), F.lit(n)))
+def _marks(between: Column) -> Column:
+    """Punctuation between a word and a value, a run of white space as one space."""
+    return F.regexp_replace(between, r"\s+", " ")
+
+
+def _patterns(left: Column, right: Column, context: int) -> Column:
+    """patterns and cue of a match: its words with the punctuation next to it, and whether it is assigned to a cue word."""
+    near = ascii_lower(F.substring(left, -LOOK_BACK, LOOK_BACK))
+    words = F.array_remove(F.split(near, r"[\s\p{Punct}]+", -1), "")
+    marks = _marks(F.regexp_extract(near, r"[\s\p{Punct}]*+$", 0))
+    after = ascii_lower(F.substring(right, 1, LOOK_BACK))
+    word = F.regexp_extract(after, r"^[\s\p{Punct}]*+([^\s\p{Punct}]++)", 1)
+    of = lambda w, m: F.array(*[F.when(F.size(w) >= n, F.concat(F.lit(f"{n}<"), F.concat_ws(" ", F.slice(w, F.size(w) - (n - 1), F.lit(n))), m))
+                                for n in sorted({1, context})],
+                              F.when(word != "", F.concat(F.lit("1>"), _marks(F.regexp_extract(after, r"^[\s\p{Punct}]*+", 0)), word)))
+    both = F.struct(words.alias("w"), marks.alias("m"))
+    # the words of the piece are read once, as the variable of a list of one
+    return F.get(F.transform(F.array(both), lambda x: F.struct(
+        F.filter(of(x["w"], x["m"]), lambda p: p.isNotNull()).alias("patterns"),
+        (F.coalesce(F.get(x["w"], F.size(x["w"]) - 1), F.lit("")).isin(*CUES) & x["m"].rlike("[=:]")).alias("cue"))), 0)
+
+
+def _instances(k: int, kind: str, p: str, context: int):
+    """The matches of a kind as structs, given the pieces between them."""
+    def of(pieces: Column) -> Column:
+        def match(m: Column, i: Column) -> Column:
+            left = F.get(pieces, i)
+            near = _patterns(left, F.get(pieces, i + 1), context)
+            return F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k"), i.alias("i"), m.alias("m"), F.length(left).alias("glen"),
+                            F.length(m).alias("mlen"), (F.when(F.length(m) >= MIN_LENGTH, near) if kind == "id" else near).alias("near"))
+        return F.transform(F.regexp_extract_all("t", F.lit(p), F.lit(0)), match)
+    return of
 
 
 def matches(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     """One row per match and one (kind null) per row without any: row, doc_id, th, tm, kind, k (its rank),
-    s, e, m, before, valid.  Written once to the shared folder."""
+    s, e, m, patterns, cue, valid (an identifier that touches a valid base match is not).  Written once to
+    the shared folder."""
     rows = docs.select("doc_id", text_of().alias("t")).select("doc_id", *text_keys(F.col("t")), "t") \
         .withColumn("row", F.monotonically_increasing_id())
     groups = []
     for k, (kind, p) in enumerate([*PATTERNS.items(), ("id", TOKEN)]):
-        zipped = F.arrays_zip(F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias("m"), F.split("t", p, -1).alias("g"))
-        one = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k"), i.alias("i"),
-                                                        x["m"].alias("m"), F.length(x["g"]).alias("glen"),
-                                                        F.length(x["m"]).alias("mlen"), _last_words(x["g"], context).alias("before")))
-        groups.append(F.when(F.col("t").rlike(p), F.filter(one, lambda x: x["m"].isNotNull()))
-                      .otherwise(F.array().cast("array<struct<kind:string,k:int,i:int,m:string,glen:int,mlen:int,before:string>>")))
+        # the pieces between the matches are read once, as the variable of a list of one
+        groups.append(F.when(F.col("t").rlike(p), F.get(F.transform(F.array(F.split("t", p, -1)), _instances(k, kind, p, context)), 0))
+                      .otherwise(F.array().cast("array<struct<kind:string,k:int,i:int,m:string,glen:int,mlen:int,near:struct<patterns:array<string>,cue:boolean>>>")))
     flat = rows.select("row", "doc_id", "th", "tm", F.explode_outer(F.concat(*groups)).alias("x")).select("row", "doc_id", "th", "tm", "x.*")
     w = Window.partitionBy("row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    ends = flat.withColumn("e", F.sum(F.col("glen") + F.col("mlen")).over(w))
-    return stored(ends.select("row", "doc_id", "th", "tm", "kind", "k", (F.col("e") - F.col("mlen")).alias("s"), "e", "m", "before",
-                              F.when(F.col("kind").isNotNull(), _valid(F.col("kind"), F.col("m"))).alias("valid")), "pii-matches")
+    ends = flat.repartition("row").withColumn("e", F.sum(F.col("glen") + F.col("mlen")).over(w)).withColumn("s", F.col("e") - F.col("mlen")) \
+        .withColumn("valid", F.when(F.col("kind").isNotNull(), _valid(F.col("kind"), F.col("m"))))
+    known = F.col("valid") & (F.col("kind") != "id")
+    up = Window.partitionBy("row").orderBy("s", "k").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("row").orderBy(F.desc("s"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    touches = F.coalesce(F.max(F.when(known, F.col("e"))).over(up) > F.col("s"), F.lit(False)) \
+        | F.coalesce(F.min(F.when(known, F.col("s"))).over(down) < F.col("e"), F.lit(False))
+    return stored(ends.withColumn("touches", touches).select(
+        "row", "doc_id", "th", "tm", "kind", "k", "s", "e", "m", "near.patterns", "near.cue",
+        F.when(F.col("kind") == "id", F.col("valid") & ~F.col("touches")).otherwise(F.col("valid")).alias("valid")), "pii-matches")
 
 
 def confident_patterns(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(before, confidence): the patterns that the scored graph trusts."""
-    named = found.where("valid AND before <> ''")
-    seeds = named.where("kind <> 'id'").select(F.col("m").alias("x"), F.lit(1.0).alias("score")).distinct()
-    edges = stored(named.select("before", F.col("m").alias("x")).distinct(), "pii-edges")
+    """(pattern, confidence): the patterns that the scored graph trusts."""
+    named = found.where("valid")
+    seeds = named.where("kind <> 'id' OR cue").select(F.col("m").alias("x"), F.lit(1.0).alias("score")).distinct()
+    edges = stored(named.select(F.explode("patterns").alias("pattern"), F.col("m").alias("x")).distinct(), "pii-edges")
     scores = seeds
     for r in range(rounds):
-        seen = edges.join(scores, "x", "left").groupBy("before").agg(
+        seen = edges.join(scores, "x", "left").groupBy("pattern").agg(
             F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence"),
             F.count(F.when(F.col("score") >= confidence, 1)).alias("known"))
-        trusted = stored(seen.where((F.col("known") >= support) & (F.col("confidence") >= confidence)).select("before", "confidence"), "pii-patterns")
+        trusted = stored(seen.where((F.col("known") >= support) & (F.col("confidence") >= confidence)).select("pattern", "confidence"), "pii-patterns")
         if r + 1 < rounds:
-            gained = edges.join(trusted, "before").groupBy("x").agg(F.max("confidence").alias("score"))
+            gained = edges.join(trusted, "pattern").groupBy("x").agg(F.max("confidence").alias("score"))
             scores = stored(seeds.union(gained).groupBy("x").agg(F.max("score").alias("score")), "pii-scores")
     return trusted
 
@@ -117,18 +155,17 @@ def confident_patterns(found: DataFrame, support: int = SUPPORT, confidence: flo
 def spans(docs: DataFrame, **limits) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, th, tm, base (sorted (s, k, kind, e) structs) and all (with the discovered)."""
     found = matches(docs)
-    trusted = confident_patterns(found, **limits).select("before", F.lit(True).alias("trusted"))
-    ids = found.where("kind = 'id' AND valid AND before <> ''").join(trusted, "before", "left_semi").select("row", "s", "e", F.lit(True).alias("hit"))
+    trusted = confident_patterns(found, **limits).select("pattern")
+    ids = found.where("kind = 'id' AND valid").select("row", "s", "e", F.explode("patterns").alias("pattern")) \
+        .join(trusted, "pattern", "left_semi").select("row", "s", "e").distinct()
     base = found.where("kind <> 'id' AND valid").select("row", "k", "kind", "s", "e")
     new = ids.select("row", F.lit(len(KINDS)).alias("k"), F.lit("id").alias("kind"), "s", "e")
     span = F.struct("s", "k", "kind", "e")
     per_row = base.unionByName(new).groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("kind") != "id", span))).alias("base"),
                                                        F.sort_array(F.collect_list(F.when(F.col("kind") == "id", span))).alias("new"))
-    # a discovered identifier that touches a base span of its row is part of it, and no span of its own
-    own = F.filter("new", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     empty = F.array().cast("array<struct<s:bigint,k:int,kind:string,e:bigint>>")
     rows = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("tm").alias("tm"))
-    return rows.join(per_row.select("row", "base", F.sort_array(F.concat("base", own)).alias("all")), "row", "left") \
+    return rows.join(per_row.select("row", "base", F.sort_array(F.concat("base", "new")).alias("all")), "row", "left") \
         .withColumn("base", F.coalesce("base", empty)).withColumn("all", F.coalesce("all", empty))
 
 

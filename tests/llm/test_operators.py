@@ -331,6 +331,17 @@ def test_personal_data_learns_contexts(spark):
     assert masked[100] == "contact me [id] soon" and masked[0] == "words here a contact me [email] now and then" and masked[102] == rows[-2][1]
 
 
+def test_personal_data_backs_off_and_looks_right(spark):
+    hexes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(6)]
+    rows = [(k, f'x{"abcdef"[k]}q any{"uvwxyz"[k]} token = "{h}" then{"ghijkl"[k]}') for k, h in enumerate(hexes)]  # one word on the left, each with another before it
+    rows += [(100 + k, f"{w}a {w}b {w}{k}@ex.com wrote on {w}c") for k, w in enumerate("abcdefgh")]  # the word on the right
+    rows += [(200, "pq rs user77xk9 wrote it"), (201, "a token of version 20240101 x"), (202, "lucky number 1234567 here")]
+    got = {r.doc_id: r.spans for r in pii_bootstrap.personal_data(docs_of(spark, rows)).collect()}
+    for (k, t), h in zip(rows, hexes):
+        assert got[k] == f"id:{t.index(h)}:{t.index(h) + 40}"
+    assert got[200] == "id:6:15" and got[201] == got[202] == ""
+
+
 def test_mask_merges_and_keeps_rows(spark):
     rows = [(1, "hi a@b.c, 1.2.3.4 é+1 (377) 555-0271!"), (1, "hi a@b.c, 1.2.3.4 é+1 (377) 555-0271!"), (2, None), (None, "x")]
     df = docs_of(spark, rows)
