@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -469,6 +470,36 @@ def test_repeats_on_the_small_tables(spark):
     assert rows_of(E.queries()["op9_bwt_dedup"](spark, SMALL), REPEATS) == want
 
 
+def hot_name_rows():
+    """Documents that hold one string in different surroundings, some of them shared."""
+    rnd = random.Random(6)
+    side = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(40))
+    sides = [side() for _ in range(50)]
+    return [(k, (rnd.choice(sides) if k % 9 == 0 else side()) + "This very sentence stands in all of them." + (rnd.choice(sides) if k % 7 == 0 else side()))
+            for k in range(12000)]
+
+
+def test_a_hot_name_is_dealt_to_many_buckets():
+    rows, buckets = hot_name_rows(), 64
+    texts = pd.DataFrame({"batch": 5, "doc_id": [k for k, _ in rows], "t": [t.encode() for _, t in rows]})
+    names = pd.concat(bwt_dedup._names_of(8, 50)(iter([texts])))
+    frame = pd.concat(bwt_dedup._pack_texts(iter([texts])))
+    asked = [(5, 2, 0, texts["doc_id"].tolist(), None)]
+    for b, mine in names.groupby("bucket"):
+        shared = bwt_dedup._shared_in_bucket(mine)
+        asked += [(5, kind, b, None, x) for kind, c in ((1, "names"), (4, "hot")) if c in shared for x in shared[c] if x]
+    sent = bwt_dedup._strings_of(8, buckets, 50)(pd.concat([frame, pd.DataFrame(asked, columns=["batch", "kind", "bucket", "ids", "data"])]))
+    sent = sent[sent["kind"] != 1]
+    raw = sent["data"].map(lambda x: len(bwt_dedup._unpack(x, *[""] * 9)[-1])).groupby(sent["bucket"]).sum()
+    assert len(raw) == buckets and raw.max() < 3 * raw.mean()
+
+
+def test_a_hot_name_against_brute_force(spark):
+    rows = hot_name_rows()
+    rows += [(12000, rows[3][1]), (12000, rows[4][1]), (12001, rows[3][1][:70]), (None, rows[5][1])]
+    assert rows_of(bwt_dedup.remove_repeats(docs_of(spark, rows)), REPEATS) == brute_repeats(rows)
+
+
 def test_interval_expansion_finds_equal_windows():
     rnd = random.Random(4)
     strings = [bytes(rnd.choice(b"ab\0\xff") for _ in range(rnd.randint(50, 80))) for _ in range(60)]
