@@ -6,8 +6,8 @@ file is one gzip stream, which nobody can enter in the middle.
 ``normalise`` inflates each such file once, as a stream.  Spark's reader cuts the inflated stream
 at blank lines (CR LF CR LF), in order, within one task per file; the pieces are joined again and
 records are cut by their Content-Length, so blank lines inside a payload are no boundaries.  A
-record is rewritten as its own gzip member.  Only the current record is held in memory.  Archives
-and index leave in one job with Spark's commit protocol, so a lost or repeated task leaves no half
+record is rewritten as its own gzip member.  Only the current record, 4 MiB of members and the
+lines of one index member are held in memory.  Archives and index leave in one job with Spark's commit protocol, so a lost or repeated task leaves no half
 file: ``kind=archive/part-N`` holds the members, ``kind=index/part-N`` the sidecar: gzip members
 of lines, one JSON list per record (offset, length, record id, type, target).
 
@@ -126,7 +126,7 @@ def member(record: bytes) -> bytes:
 
 
 def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    offset, seq, index = 0, 0, []
+    offset, seq, index = 0, 0, []  # index: lines of the index member that isn't full yet
 
     def streams() -> Iterator[tuple[str, Iterator[bytes]]]:
         """The pieces of one file after the other; files of a task follow each other."""
@@ -144,17 +144,25 @@ def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield name, one()
 
     kinds, seqs, values, size = [], [], [], 0
+
+    def index_member() -> None:
+        nonlocal index, size
+        kinds.append("index"), seqs.append(seq), values.append(member("\n".join(index).encode()))
+        index, size = [], size + len(values[-1])
+
     for _, stream in streams():
         for record in split_records(stream):
             f, m = _fields(record.partition(BLANK.encode())[0]), member(record)
             index.append(json.dumps([offset, len(m), f.get("warc-record-id", ""), f.get("warc-type", ""), f.get("warc-target-uri", "")]))
             kinds.append("archive"), seqs.append(seq), values.append(m)
             offset, seq, size = offset + len(m) + len(SYNC), seq + 1, size + len(m)
+            if len(index) == LINES_PER_MEMBER:
+                index_member()
             if size > 1 << 22:
                 yield pd.DataFrame({"kind": kinds, "seq": seqs, "value": values})
                 kinds, seqs, values, size = [], [], [], 0
-    for a in range(0, len(index), LINES_PER_MEMBER):
-        kinds.append("index"), seqs.append(a), values.append(member("\n".join(index[a:a + LINES_PER_MEMBER]).encode()))
+    if index:
+        index_member()
     if kinds:
         yield pd.DataFrame({"kind": kinds, "seq": seqs, "value": values})
 

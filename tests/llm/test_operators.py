@@ -126,6 +126,26 @@ def test_warc_pieces_and_broken_streams():
     assert warc.SYNC not in warc.member(warc.SYNC * 50) and gzip.decompress(warc.SYNC) == b""
 
 
+def test_warc_index_members_leave_while_the_stream_is_read():
+    n, read = 3 * warc.LINES_PER_MEMBER + 7, []
+
+    def batches():
+        for a in range(0, n, 100):
+            read.append(a)
+            few = range(a, min(n, a + 100))
+            block = [random.Random(k).randbytes(3000) for k in few]  # enough bytes for several batches of members
+            yield pd.DataFrame({"file": "a", "value": [x for k, b in zip(few, block) for x in (
+                f"WARC/1.1\r\nWARC-Record-ID: <{k}>\r\nContent-Length: {len(b)}".encode(), b)]})
+
+    lines, early = [], 0
+    for out in warc._rewrite(batches()):
+        assert out["seq"][out["kind"] == "index"].is_monotonic_increasing
+        for v in out["value"][out["kind"] == "index"]:
+            early += read[-1] + 100 < n
+            lines += gzip.decompress(v).decode().removesuffix(warc.BLANK).split("\n")
+    assert [x.split('"')[1] for x in lines] == [f"<{k}>" for k in range(n)] and early
+
+
 # ---- 2 licences -----------------------------------------------------------------------------------------
 
 def test_license_scan_against_brute_force(spark):
