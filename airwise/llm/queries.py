@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwise.llm import bwt_dedup, decontam, license_scan, line_quality, packing, pii_bootstrap, simhash_golay, toxicity_pu, url_lists, warc
+from airwise.llm import bwt_dedup, conv_trie, decontam, license_scan, line_quality, packing, pii_bootstrap, simhash_golay, toxicity_pu, url_lists, warc
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_url_temporal_lists", url_lists.ORACLE_SQL)
 def op5_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.pages_as_of(table(spark, sf_dir, "pages"))
+
+
+@query("op13_prefix_trie")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_trie.trie(table(spark, sf_dir, "conversations"))
