@@ -188,7 +188,8 @@ def _aggregates(paths: DataFrame, lengths: DataFrame, nodes: DataFrame) -> DataF
         .select((-F.col("up")).alias("depth"), "f0", "f1", (F.col("run") + F.coalesce("before", zero)).alias("tail"))
     ends = paths.select("c", *KEY).join(lengths, (lengths["c"] == paths["c"]) & (F.col("depth") == F.col("length"))).select(paths["c"], *KEY)
     lone = lengths.where("length = 0").select("c", *[zero.alias(k) for k in KEY])
-    hashes = stored(sha256_in_order(ends.unionByName(lone), KEY, ["c"], F.col("c").cast("string"), ","), "trie-ends")
+    ended = ends.unionByName(lone).withColumn("piece", F.col("c").cast("string"))
+    hashes = sha256_in_order(ended, KEY, ["c"], [*KEY, "piece"], ",", "trie-ends")
     parents = nodes.where("n_children > 0").select((F.col("depth") + 1).alias("depth"), F.col("f0").alias("p0"), F.col("f1").alias("p1"),
                                                    F.col("conv_id").alias("parent_conv_id"))
     top = nodes.where("depth = 1").withColumn("parent_conv_id", F.lit(root["conv_id"]).cast("long"))

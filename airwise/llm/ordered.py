@@ -13,12 +13,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airwise.llm.common import stored
 
-CHUNK_BYTES = 1 << 16
+CHUNK_BYTES = 1 << 18
 
 
 def _changes(keys: list[np.ndarray], last: tuple | None) -> np.ndarray:
@@ -90,27 +90,43 @@ def plain_sums(ends: list[tuple]) -> list[tuple]:
     return out
 
 
-def sha256_in_order(df: DataFrame, keys: list[str], by: list[str], piece: Column, sep: str) -> DataFrame:
-    """(keys, sha): hex SHA-256 of a group's pieces in the order of ``by``, joined by ``sep``.
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, bytes]]:
+    """(group, piece) of a table whose last column is the piece and whose other columns name the group."""
+    for b in batches:
+        for *key, p in b.itertuples(index=False):
+            yield tuple(key), p.encode("utf-8", "surrogatepass")
 
-    Slices join their pieces to chunks side by side; a hash is a chain, so one task reads a group's
-    chunks, in order and one at a time.  Keys are not null; null pieces are left out."""
-    glue = sep.encode()
+
+def sha256_in_order(df: DataFrame, keys: list[str], by: list[str], take: list[str], sep: str, name: str,
+                    pieces: Callable[[Iterator[pd.DataFrame]], Iterator[tuple[tuple, bytes]]] = _pieces, within: list[str] = ()) -> DataFrame:
+    """(keys, sha): hex SHA-256 of a group's pieces in the order of (by, within), joined by ``sep``.
+
+    ``pieces`` makes (group, piece) of batches with the columns ``take``, in order; rows with equal
+    ``by`` come to one task.  A small group inside a slice is hashed there.  Others, and those
+    at a slice's edges, leave it as chunks: a hash is a chain, so one task reads such a group's chunks in order and one at a time.
+    Keys are not null."""
+    glue, head = sep.encode(), [*keys, "slice", "chunk", "b", "sha"]
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, last, held, size, n = TaskContext.get().partitionId(), None, [], 0, 0
-        for b in batches:
-            out = []
-            for *key, p in b[[*keys, "_piece"]].itertuples(index=False):
-                if held and (key != last or size >= CHUNK_BYTES):
-                    out.append((*last, part, n, glue.join(held)))
-                    held, size, n = [], 0, n + 1
-                last = key
-                held.append(p.encode("utf-8", "surrogatepass"))
-                size += len(held[-1])
-            yield pd.DataFrame(out, columns=[*keys, "slice", "chunk", "b"])
-        if held:
-            yield pd.DataFrame([(*last, part, n, glue.join(held))], columns=[*keys, "slice", "chunk", "b"])
+        part, out, waiting, last, held, size, n, edge = TaskContext.get().partitionId(), [], 0, None, [], 0, 0, True
+        for key, p in pieces(batches):
+            if last is not None and (key != last or size >= CHUNK_BYTES):
+                text = glue.join(held)
+                if key != last and not n and not edge:
+                    out.append((*last, part, 0, None, hashlib.sha256(text).hexdigest()))
+                else:
+                    out.append((*last, part, n, text, None))
+                    waiting += size
+                held, size, n, edge = [], 0, n + 1 if key == last else 0, edge and key == last
+            last = key
+            held.append(p)
+            size += len(p)
+            if len(out) >= 5000 or waiting >= 16 * CHUNK_BYTES:
+                yield pd.DataFrame(out, columns=head)
+                out, waiting = [], 0
+        if last is not None:
+            out.append((*last, part, n, glue.join(held), None))
+        yield pd.DataFrame(out, columns=head)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, h = None, None
@@ -128,8 +144,9 @@ def sha256_in_order(df: DataFrame, keys: list[str], by: list[str], piece: Column
             yield pd.DataFrame([(*last, h.hexdigest())], columns=[*keys, "sha"])
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    head = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    pieces = df.select(*keys, *by, piece.alias("_piece")).where(F.col("_piece").isNotNull())
-    packed = pieces.repartitionByRange(*keys, *by).sortWithinPartitions(*keys, *by).select(*keys, "_piece") \
-        .mapInPandas(chunks, f"{head}, slice int, chunk long, b binary")
-    return packed.repartition(*keys).sortWithinPartitions(*keys, "slice", "chunk").mapInPandas(digest, f"{head}, sha string")
+    named = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    made = df.repartitionByRange(*keys, *by).sortWithinPartitions(*keys, *by, *within).select(*take) \
+        .mapInPandas(chunks, f"{named}, slice int, chunk long, b binary, sha string")
+    made = stored(made, name)
+    chained = made.where("sha is null").drop("sha").repartition(*keys).sortWithinPartitions(*keys, "slice", "chunk").mapInPandas(digest, f"{named}, sha string")
+    return made.where("sha is not null").select(*keys, "sha").unionByName(chained)

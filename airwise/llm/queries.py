@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwise.llm import bwt_dedup, conv_trie, decontam, license_scan, line_quality, packing, pii_bootstrap, simhash_golay, toxicity_pu, url_lists, warc
+from airwise.llm import bwt_dedup, conv_repair, conv_trie, decontam, license_scan, line_quality, packing, pii_bootstrap, simhash_golay, toxicity_pu, url_lists, warc
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +85,8 @@ def op5_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_prefix_trie")
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_structure_repair")
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_repair.repair(table(spark, sf_dir, "conversations"))
