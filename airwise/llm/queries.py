@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwise.llm import bwt_dedup, conv_repair, conv_trie, decontam, license_scan, line_quality, packing, pii_bootstrap, simhash_golay, toxicity_pu, url_lists, warc
+from airwise.llm import bwt_dedup, conv_repair, conv_trie, decontam, license_scan, line_quality, lsh_forest, packing, pii_bootstrap, simhash_golay, toxicity_pu, url_lists, warc
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -90,3 +90,8 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_structure_repair")
 def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_lsh_forest")
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
