@@ -52,6 +52,28 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("th"), F.hash(text).alias("tm")]
 
 
+def beside(docs: DataFrame, verdicts: DataFrame, how: str = "left") -> DataFrame:
+    """Rows of ``docs`` packed in one column ``doc``, joined with ``verdicts`` (doc_id, th, tm and more) by id and content.
+    A packed row can have columns of any name: none meets the names of the verdicts."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("_id"), F.xxhash64(text_of()).alias("_th"), F.hash(text_of()).alias("_tm"))
+    found = verdicts.withColumnsRenamed({"doc_id": "_vid", "th": "_vth", "tm": "_vtm"})
+    out = rows.join(found, F.col("_id").eqNullSafe(F.col("_vid")) & (F.col("_th") == F.col("_vth")) & (F.col("_tm") == F.col("_vtm")), how)
+    return out.drop("_id", "_th", "_tm", "_vid", "_vth", "_vtm")
+
+
+def unpacked(docs: DataFrame, text: Column | None = None, changed: Column | None = None) -> list[Column]:
+    """The columns of ``docs`` from the packed ``doc``; ``text`` replaces the text where ``changed``, and n_chars is counted anew there."""
+    cols = []
+    for f in docs.schema:
+        c = F.col("doc").getField(f.name)
+        if text is not None and f.name == "text":
+            c = F.when(changed, text).otherwise(c)
+        elif text is not None and f.name == "n_chars":
+            c = F.when(changed, F.length(text)).otherwise(c).cast(f.dataType)
+        cols.append(c.alias(f.name))
+    return cols
+
+
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """Connected components of an undirected edge list: (node, root), root the smallest node.
 

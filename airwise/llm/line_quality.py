@@ -7,8 +7,9 @@ ranks (1, 2, 4, 8 words, each rank a pair of ranks of half the length), not by h
 Line frequency: every \n-split line that has a word is normalised (words joined by one space, A-Z
 lowered) and named by two independent hashes.  For each host (``source``) and line the distinct
 documents are counted; exact copies of a text count as one document, since copies are the business
-of deduplication.  A line is above the limit when it stands in more than ``min_docs`` documents of
-the host and in more than ``max_share`` of all the host's documents: template text.  Such lines are
+of deduplication.  A line is above the limit when it stands in more than ``max_docs`` documents of
+the host, however large the host is.  Hosts with few documents have a lower limit, the share ``small_share``
+of their documents, though never below ``min_docs``.  Such lines are template text and are
 removed from every document but the one with the smallest id, so what they say stays in the corpus
 once.  A document is depleted, and rejected, when removal leaves fewer than ``min_left`` of its
 words (a share) or fewer than ``min_words``.
@@ -32,13 +33,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airwise.llm.common import ascii_lower, stored, text_batches, text_keys, text_of
+from airwise.llm.common import ascii_lower, beside, stored, text_batches, text_keys, text_of, unpacked
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MIN_DOCS = 20
-MAX_SHARE = 0.2
+MAX_DOCS = 20
+SMALL_SHARE = 0.2
+MIN_DOCS = 5
 MIN_LEFT = 0.5
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 SPACE = r"[\x20\x09-\x0D]+"
@@ -101,20 +103,21 @@ def facts(docs: DataFrame) -> DataFrame:
                   .select("doc_id", "host", "th", "tm", "c.*", "lines").withColumn("row", F.monotonically_increasing_id()), "line-facts")
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, lh, lm, first): lines above the limits and the smallest id of a document that has them."""
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS, small_share: float = SMALL_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(host, lh, lm, first): lines above the host's limit and the smallest id of a document that has them."""
     seen = rows.select("host", "th", "tm", "doc_id", F.explode("lines").alias("l")) \
         .groupBy("host", "l.lh", "l.lm", "th", "tm").agg(F.min("doc_id").alias("first"))
     lines = seen.groupBy("host", "lh", "lm").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") > min_docs)
     hosts = rows.groupBy("host", "th", "tm").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("_h")).agg(F.count(F.lit(1)).alias("all"))
-    return lines.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).where(F.col("n") > max_share * F.col("all")) \
+    limit = F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(min_docs)), small_share * F.col("all")))
+    return lines.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).where(F.col("n") > limit) \
         .select(F.col("host").alias("_h"), F.col("lh").alias("_lh"), F.col("lm").alias("_lm"), "first")
 
 
-def judged(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT,
-           min_words: int = MIN_WORDS) -> DataFrame:
+def judged(rows: DataFrame, max_docs: int = MAX_DOCS, small_share: float = SMALL_SHARE, min_docs: int = MIN_DOCS,
+           min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
     """``rows`` with n_removed (words in removed lines), removed (their line keys), base_failed and kept."""
-    often = frequent_lines(rows, min_docs, max_share)
+    often = frequent_lines(rows, max_docs, small_share, min_docs)
     gone = rows.select("row", "host", "doc_id", F.explode("lines").alias("l")) \
         .join(often, F.col("host").eqNullSafe(F.col("_h")) & (F.col("l.lh") == F.col("_lh")) & (F.col("l.lm") == F.col("_lm"))) \
         .where(~F.col("doc_id").eqNullSafe(F.col("first"))) \
@@ -137,25 +140,12 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
 
     Verdicts are joined by id and content, so rows with equal ids and different texts stay apart.
     ``n_chars``, where there is one, is counted anew for texts that lost lines."""
-    ok = judged(facts(docs), **limits).where("kept").select(
-        F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("th").alias("_th"), F.col("tm").alias("_tm"),
-        "removed").dropDuplicates(["_d", "_h", "_th", "_tm"])
-    t = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.join(ok, docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].cast("string").eqNullSafe(F.col("_h"))
-                     & (F.xxhash64(t) == F.col("_th")) & (F.hash(t) == F.col("_tm")))
+    ok = judged(facts(docs), **limits).where("kept").select("doc_id", "th", "tm", "host", "removed").dropDuplicates(["doc_id", "th", "tm", "host"])
+    rows = beside(docs, ok, "inner").where(F.col("doc").getField("source").cast("string").eqNullSafe(F.col("host")))
     norm = lambda line: F.concat_ws(" ", _line_words(line))
-    stays = F.filter(F.split(docs["text"], "\n", -1), lambda x: ~F.array_contains(
+    stays = F.filter(F.split(F.col("doc").getField("text"), "\n", -1), lambda x: ~F.array_contains(
         F.col("removed"), F.struct(F.xxhash64(norm(x)).alias("lh"), F.hash(norm(x)).alias("lm"))))
-    text = F.when(F.col("removed").isNotNull(), F.array_join(stays, "\n")).otherwise(docs["text"])
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(text.alias(c))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("removed").isNotNull(), F.length(text)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c))
-        else:
-            cols.append(docs[c])
-    return rows.select(*cols)
+    return rows.select(*unpacked(docs, F.array_join(stays, "\n"), F.col("removed").isNotNull()))
 
 
 ORACLE_SQL = r"""
@@ -170,7 +160,7 @@ lw AS (SELECT doc_id, host, t, line, list_filter(string_split_regex(translate(li
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw WHERE len(lw) > 0 GROUP BY doc_id),
 hosts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host),
 often AS (SELECT l.host, lw, min(doc_id) AS first FROM lw l JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host WHERE len(lw) > 0
-          GROUP BY l.host, lw, h.n HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.2 * h.n),
+          GROUP BY l.host, lw, h.n HAVING count(DISTINCT t) > least(20.0, greatest(5.0, CAST(0.2 AS DOUBLE) * h.n))),
 gone AS (SELECT doc_id, sum(len(lw.lw)) AS n FROM lw JOIN often o ON lw.host IS NOT DISTINCT FROM o.host AND lw.lw = o.lw WHERE doc_id <> first GROUP BY doc_id),
 r AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airwise.llm.common import components, stored, text_batches, text_of
+from airwise.llm.common import components, stored, text_batches, text_of, unpacked
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -157,7 +157,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = MAX_BITS) -> Data
     """``docs`` with one document of each component: the one with its smallest id.  Repeated rows of
     that id leave one of them; rows with a null id have
     no id to be kept by, and stay."""
-    kept = near_duplicates(docs, size, bits).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    one = named.join(kept, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = near_duplicates(docs, size, bits).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("own"))
+    one = packed.join(kept, F.col("own") == F.col("id"), "left_semi").dropDuplicates(["own"])
+    return one.unionByName(packed.where("own is null")).select(*unpacked(docs))
