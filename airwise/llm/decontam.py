@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airwise.llm.common import stored, text_keys, text_of, word_array
+from airwise.llm.common import beside, stored, text_keys, text_of, unpacked, word_array
 
 WINDOW = 10
 #: Windows in one broadcast block: with their words about 150 bytes each, so at most some 75 MB.
@@ -102,9 +102,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark; all columns kept."""
-    found = hits(docs, benchmark, size).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("tm").alias("_tm")).distinct()
-    t = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(t) == F.col("_th")) & (F.hash(t) == F.col("_tm")), "left_anti")
+    found = hits(docs, benchmark, size).select("doc_id", "th", "tm").distinct()
+    return beside(docs, found, "left_anti").select(*unpacked(docs))
 
 
 ORACLE_SQL = r"""

@@ -56,7 +56,8 @@ class Encoder:
 
     In such a vocabulary ids follow the order of merges, so it is given to tiktoken's faster merger as
     ranks.  A text with characters above Latin, whose classes depend on a library's Unicode version, is
-    encoded by tokenizers itself, and so is one with a run of white space or of one word too long for the pattern search.
+    encoded by tokenizers itself, and so is one with a run of white space or of one word too long for the pattern search,
+    and one that holds the content of an added token, which gets that token's id.
     """
 
     def __init__(self, path: str):
@@ -64,13 +65,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        added, byte = set(self.plain.get_added_tokens_decoder()), _byte_of()
+        added, byte = self.plain.get_added_tokens_decoder(), _byte_of()
+        self.added = [t.content for t in added.values()]
         ranks = {bytes(byte[c] for c in token): i for token, i in self.plain.get_vocab().items() if i not in added}
         self.fast = tiktoken.Encoding("byte-level", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if (not text.isascii() and HIGH.search(text)) or (len(text) > LONG and RUN.search(text)):
+        if (not text.isascii() and HIGH.search(text)) or (len(text) > LONG and RUN.search(text)) \
+                or any(t in text for t in self.added):
             return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         ids = array("I", self.fast.encode_ordinary(text))
         if sys.byteorder == "big":

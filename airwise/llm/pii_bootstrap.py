@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airwise.llm.common import ascii_lower, stored, text_keys, text_of
+from airwise.llm.common import ascii_lower, beside, stored, text_keys, text_of, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' expressions, with possessive repeats and starts at a run's first character.
@@ -199,22 +199,11 @@ def mask(docs: DataFrame, **limits) -> DataFrame:
                      F.transform(F.slice(a["out"], F.size(a["out"]), F.lit(1)), lambda y: F.struct(
                          y["s"].alias("s"), F.greatest(y["e"], x["e"]).alias("e"), y["kind"].alias("kind")))).alias("out"))),
         lambda a: a["out"])
-    merged = found.select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("tm").alias("_tm"), joined.alias("_at"))
-    t = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.join(merged, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(t) == F.col("_th")) & (F.hash(t) == F.col("_tm")), "left")
-    at = F.col("_at")
+    rows = beside(docs, found.select("doc_id", "th", "tm", joined.alias("at")))
+    at, t = F.col("at"), F.coalesce(F.col("doc").getField("text").cast("string"), F.lit(""))
     kept = F.transform(at, lambda x, i: F.concat(
         F.substring(t, (F.when(i == 0, 0).otherwise(F.get(at, i - 1)["e"]) + 1).cast("int"),
                     (x["s"] - F.when(i == 0, 0).otherwise(F.get(at, i - 1)["e"])).cast("int")),
         F.concat(F.lit("["), x["kind"], F.lit("]"))))
     tail = F.substring(t, (F.element_at(at, -1)["e"] + 1).cast("int"), F.length(t))
-    text = F.when(at.isNotNull(), F.concat(F.array_join(kept, ""), tail)).otherwise(docs["text"])
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(text.alias(c))
-        elif c == "n_chars":
-            cols.append(F.when(at.isNotNull(), F.length(text)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c))
-        else:
-            cols.append(docs[c])
-    return rows.select(*cols)
+    return rows.select(*unpacked(docs, F.concat(F.array_join(kept, ""), tail), at.isNotNull()))
