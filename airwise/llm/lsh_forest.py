@@ -10,8 +10,8 @@ so a level loses nothing that the one before had.  A region of up to ``crowd`` s
 inside its row.  Sets in any larger region go on to the next level, where regions are smaller: depth follows the region.
 At the last level a crowded region is put in the order of the rest of its signature, and each set is compared with its neighbours,
 those of the longest common prefix; groups of near copies hang together by these.  What stays apart in a crowded region is compared in full,
-blocks of other components against all blocks, and only pairs that pass leave the task.  So there is no cap, and a group of near copies that has become one component
-is never expanded into pairs.
+blocks of other components against all blocks, confirmed on the full sets in the task; only links that join two components leave it.  So there is
+no cap, and a group of near copies that has become one component is never expanded into pairs.
 
 Confirmation.  Pairs whose signatures agree in fewer than 84 of 128 values are no link (at 85 % similarity the
 chance is below 1e-6).  All others are confirmed on the full sets, read again for those documents only: first
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airwise.llm.common import components, stored, text_batches, text_of
+from airwise.llm.common import components, stored, text_batches, text_of, unpacked
 
 SHINGLE = 5
 PERCENT = 85
@@ -42,7 +42,7 @@ AGREE = 84
 DEPTHS = (3, 4, 6, 8, 12)
 MISS = 1e-7
 CROWD = 32
-BLOCK = 256
+BLOCK = 64
 SEED = 12
 MASK = (1 << 64) - 1
 
@@ -163,17 +163,39 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_z, last_k, last_sig = z[-1:], k[-1:], sig[-1:]
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of two blocks that lie in different components and agree."""
-    for b in batches:
-        out = [np.empty((0, 3), np.int64)]
-        for ks, cs, sigs, kt, ct, sigt in b[["ks", "cs", "sigs", "kt", "ct", "sigt"]].itertuples(index=False):
-            x, y = (np.frombuffer(b"".join(s), "<u2").reshape(-1, VALUES) for s in (sigs, sigt))
-            near = _alike(x, y)
-            i, j = np.nonzero((near >= AGREE) & (np.asarray(cs)[:, None] != np.asarray(ct)[None, :]))
-            k, m = np.asarray(ks), np.asarray(kt)
-            out.append(np.stack([np.minimum(k[i], m[j]), np.maximum(k[i], m[j]), near[i, j]], axis=1))
-        yield pd.DataFrame(np.concatenate(out), columns=["u", "v", "agree"])
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted arrays share."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def _across(percent: int):
+    """Links that join the components of two blocks of a crowded region: each pair whose signatures agree and that nothing found
+    in the task joins already is confirmed on the full sets."""
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for ks, cs, sigs, sets, kt, ct, sigt, sett in b[["ks", "cs", "sigs", "sets", "kt", "ct", "sigt", "sett"]].itertuples(index=False):
+                up: dict[int, int] = {}
+
+                def top(c: int) -> int:
+                    while c in up:
+                        c = up[c]
+                    return c
+
+                x, y = (np.frombuffer(b"".join(s), "<u2").reshape(-1, VALUES) for s in (sigs, sigt))
+                n, m = np.array([len(s) for s in sets]), np.array([len(s) for s in sett])
+                close = 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+                for i, j in zip(*np.nonzero(close & (_alike(x, y) >= AGREE) & (np.asarray(cs)[:, None] != np.asarray(ct)[None, :]))):
+                    p, q = top(int(cs[i])), top(int(ct[j]))
+                    if p != q:
+                        both = _same(sets[i], sett[j])
+                        if 100 * both >= percent * (n[i] + m[j] - both):
+                            up[p] = q
+                            out.append((int(ks[i]), int(kt[j])))
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    return links
 
 
 PAIR = "u long, v long, agree long"
@@ -217,19 +239,22 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         .where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
 
 
-def _blocks_apart(rest: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (u, v, agree) of crowded regions that hold several components: the blocks of all components but a region's
+def _blocks_apart(rest: DataFrame, sets: DataFrame, full: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) inside crowded regions that hold several components: the blocks of all components but a region's
     largest against all its blocks."""
     named = rest.select("z", "k").join(comp, F.col("k") == F.col("node"), "left").select("z", "k", F.coalesce("root", "k").alias("c"))
     per = stored(named.groupBy("z", "c").agg(F.count(F.lit(1)).alias("n")), "forest-mixed")
-    mixed = per.groupBy("z").agg(F.count(F.lit(1)).alias("several"), F.max(F.struct("n", "c")).alias("top")).where("several > 1").select("z", F.col("top.c").alias("main"))
-    sized = per.join(mixed, "z").groupBy("z", "main").agg(F.sum("n").alias("all"))
-    rows = named.join(sized, "z").join(sets.select("k", "sig"), "k") \
-        .select("z", "k", "c", "sig", (F.col("c") != F.col("main")).alias("other"), F.pmod(F.xxhash64("k"), F.ceil(F.col("all") / BLOCK)).alias("block"))
-    blocks = stored(rows.groupBy("z", "other", "block").agg(F.collect_list("k").alias("ks"), F.collect_list("c").alias("cs"), F.collect_list("sig").alias("sigs")),
-                    "forest-blocks")
-    every = blocks.select("z", F.col("ks").alias("kt"), F.col("cs").alias("ct"), F.col("sigs").alias("sigt"))
-    return blocks.where("other").select("z", "ks", "cs", "sigs").join(every, "z").mapInPandas(_across, PAIR).distinct()
+    mixed = per.groupBy("z").agg(F.count(F.lit(1)).alias("several"), F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("top")) \
+        .where("several > 1").select("z", "all", F.col("top.c").alias("main"))
+    rows = named.join(mixed, "z").join(sets.select("k", "sig"), "k").join(full, "k") \
+        .select("z", "k", "c", "sig", "set", (F.col("c") != F.col("main")).alias("other"), F.pmod(F.xxhash64("k"), F.ceil(F.col("all") / BLOCK)).alias("block"))
+    parts = [F.collect_list("k").alias("ks"), F.collect_list("c").alias("cs"), F.collect_list("sig").alias("sigs"), F.collect_list("set").alias("sets")]
+    blocks = stored(rows.groupBy("z", "other", "block").agg(*parts), "forest-blocks")
+    text_batches(sets.sparkSession, 4)
+    every = blocks.select("z", F.col("ks").alias("kt"), F.col("cs").alias("ct"), F.col("sigs").alias("sigt"), F.col("sets").alias("sett"))
+    found = stored(blocks.where("other").drop("other", "block").join(every, "z").mapInPandas(_across(percent), "u long, v long").distinct(), "forest-late-links")
+    text_batches(sets.sparkSession, 200)
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, crowd: int = CROWD, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
@@ -245,7 +270,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         """(k, set) of the named sets, from the texts of their first documents."""
         text_batches(docs.sparkSession, 200)
 
-        @F.pandas_udf("set array<long>, s0 long, s1 long, n_shingles long")
         def of(texts: pd.Series) -> pd.DataFrame:
             out = []
             for t in texts:
@@ -254,13 +278,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                 out.append((h.view(np.int64), *np.array([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)], np.uint64).view(np.int64).tolist(), len(h)))
             return pd.DataFrame(out, columns=["set", *name[:2], "n_shingles"])
 
+        # not deterministic: else the join's null checks on its result move it below the semi join, onto all texts
+        of = F.pandas_udf(of, "set array<long>, s0 long, s1 long, n_shingles long").asNondeterministic()
         firsts = sets.join(wanted, "k", "left_semi").select("first").distinct()
         texts = docs.select("doc_id", text_of().alias("t")).join(firsts, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
         made = texts.select(of("t").alias("v")).select("v.*")
         return stored(made.join(sets.drop("sig"), name).groupBy("k").agg(F.min("set").alias("set")), "forest-full-sets")
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct()
-    full = full_sets(wanted)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("k"))
+    full = full_sets((wanted if rest is None else wanted.unionByName(rest.select("k"))).distinct())
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "agree"))
     picks = both.groupBy("u").agg(F.min("v").alias("low"), F.max(F.struct("agree", -F.col("v"))).alias("best"))
     picks = picks.select("u", F.explode(F.array("low", -F.col("best.col2"))).alias("v")) \
@@ -271,9 +297,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     links = links.unionByName(stored(_confirmed(more, full, percent), "forest-more-links"))
     if rest is not None:
         comp = stored(components(links), "forest-components")
-        late = stored(_blocks_apart(rest, sets, comp).join(pairs, ["u", "v"], "left_anti"), "forest-late")
-        full = full_sets(late.select(F.explode(F.array("u", "v")).alias("k")).distinct())
-        links = links.unionByName(stored(_confirmed(late, full, percent), "forest-late-links"))
+        links = links.unionByName(_blocks_apart(rest, sets, full, comp, percent))
     comp = components(links)
     member = sets.join(comp, F.col("k") == F.col("node"), "left").select(*name, "first", F.coalesce("root", "k").alias("root"))
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -283,6 +307,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 
 def keep_one(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that are kept: those whose id is the smallest of their component (rows with a null id stay)."""
+    """The rows of ``docs`` whose id is the smallest of its component (rows with a null id that stand alone stay)."""
     kept = near_duplicates(docs, **limits).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.id")), "left_semi")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("own"))
+    return packed.join(kept, F.col("own").eqNullSafe(F.col("id")), "left_semi").select(*unpacked(docs))
