@@ -3,8 +3,10 @@ fixtures with nulls, empty and very long texts, ties, repeated rows, empty table
 
 from __future__ import annotations
 
+import functools
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -15,19 +17,21 @@ import pytest
 import xxhash
 
 import __spark_entry__ as E
-from airwise.llm import (bwt_dedup, decontam, license_scan, line_quality, packing, pii_bootstrap, queries, simhash_golay, toxicity_pu,
-                         url_lists, warc)
+from airwise.llm import (bwt_dedup, conv_repair, conv_trie, decontam, license_scan, line_quality, lsh_forest, ordered, packing, pii_bootstrap, queries,
+                         simhash_golay, toxicity_pu, url_lists, warc)
 from airwise.llm.common import components, scratch_path
 from tests.conftest import MEDIUM, SMALL
 
+TALK = "conv_id long, turn long, role string, text string"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names clash with results and with names inside the operators.
-CLASH = ", score double, n_words long, fingerprint string, kept boolean, row long, th long, t string, first long, w string, batch long, `at` string"
+CLASH = ", score double, n_words long, fingerprint string, kept boolean, row long, th long, t string, first long, w string, batch long, `at` string" \
+        ", removed string, _d long, _h string, _th long, _tm int, _at string, _keep long, doc string, own long, id long, host string, component_id long, k long, sig string, `set` string, u long"
 
 
 def docs_of(spark, rows, clash=True):
     """(doc_id, text[, source]) rows as a documents table of several partitions."""
-    full = [(r[0], r[1], None, r[2] if len(r) > 2 else "s", None) + ((None,) * 11 if clash else ()) for r in rows]
+    full = [(r[0], r[1], None, r[2] if len(r) > 2 else "s", None) + ((None,) * (CLASH.count(",") if clash else 0)) for r in rows]
     return spark.createDataFrame(full, DOC + (CLASH if clash else "")).repartition(3)
 
 
@@ -68,9 +72,9 @@ def test_query_matches_sql(spark, duck, name):
     assert rows_of(df, cols) == sorted((tuple(r[i] for i in pos) for r in rel.fetchall()), key=repr)
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_all_queries_and_the_pipeline_are_registered():
     names = E.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_empty_tables(spark):
@@ -78,7 +82,8 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    for df in (license_scan.license_labels(docs), line_quality.line_quality(docs), line_quality.keep_good(docs), simhash_golay.near_duplicates(docs),
+    talks = spark.createDataFrame([], TALK)
+    for df in (conv_repair.repair(talks), conv_trie.trie(talks), lsh_forest.near_duplicates(docs), lsh_forest.keep_one(docs), license_scan.license_labels(docs), line_quality.line_quality(docs), line_quality.keep_good(docs), simhash_golay.near_duplicates(docs),
                simhash_golay.keep_one(docs), pii_bootstrap.personal_data(docs), pii_bootstrap.mask(docs), toxicity_pu.toxicity(docs, labels),
                packing.pack(docs, queries.tokenizer_path()), bwt_dedup.remove_repeats(docs), decontam.decontaminate(docs, bench),
                decontam.remove_contaminated(docs, bench), warc.roundtrip(pages), url_lists.pages_as_of(pages)):
@@ -181,7 +186,7 @@ def brute_quality(rows):
         for x in (t or "").split("\n"):
             if norm(x):
                 line_docs.setdefault((h, norm(x)), {}).setdefault(t, []).append(i)
-    often = {k: min((i for ids in d.values() for i in ids if i is not None), default=None) for k, d in line_docs.items() if len(d) > 20 and len(d) > 0.2 * len(host_docs[k[0]])}
+    often = {k: min((i for ids in d.values() for i in ids if i is not None), default=None) for k, d in line_docs.items() if len(d) > min(20, max(5, 0.2 * len(host_docs[k[0]])))}
     out = []
     for i, t, h in rows:
         t = t or ""
@@ -218,6 +223,15 @@ def test_line_quality_against_brute_force(spark):
     assert "Home" in texts[1000] and "Home" not in texts[1001] and prose(1) in texts[1001]
 
 
+@pytest.mark.parametrize("copies", [21, 90, 300])
+def test_a_line_in_a_small_part_of_a_large_host_is_template(spark, copies):
+    """1 to 15 % of a host of 2,000 documents; 20 documents are not above the limit."""
+    prose = lambda k: " ".join(f"w{k}x{j}" for j in range(25))
+    rows = [(k, prose(k) + ("\nall rights of the site reserved" if k < copies else "\nread more of it here" if k < copies + 20 else ""), "big") for k in range(2000)]
+    got = {r.doc_id: (r.n_removed, r.kept) for r in line_quality.line_quality(docs_of(spark, rows, False)).collect()}
+    assert {i for i, (n, _) in got.items() if n} == set(range(1, copies)) and all(k for _, k in got.values())
+
+
 # ---- 4 SimHash ------------------------------------------------------------------------------------------
 
 def brute_fingerprint(t):
@@ -425,7 +439,6 @@ def test_packing_against_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     of = Tokenizer.from_file(queries.tokenizer_path())
-    of.encode_special_tokens = True
     big = 2 ** 60 + 1
     rows = edge_texts() + [(big, "double  spaces   and <|endoftext|> 中文 ½²ª don't\r\n\r\n")]
     got = packing.pack(docs_of(spark, rows), queries.tokenizer_path()).collect()
@@ -564,3 +577,239 @@ def test_decontamination_against_brute_force(spark):
     assert rows_of(decontam.decontaminate(docs, bench, block=40), cols) == sorted(want, key=repr)  # several broadcast blocks
     clean = decontam.remove_contaminated(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(not x[-1] for x in want)
+
+
+# ---- 11 structure repair --------------------------------------------------------------------------------
+
+def least_repair(rows):
+    """(cost, audit, lines) by a plain table from the last row to the first; rows (initial, fault, role, text)."""
+    after, made = {0: 2, 1: 2, 2: 3, 3: 2}, {0: "user", 1: "user", 2: "assistant", 3: "user"}
+    keep = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    low = lambda found: min(found, key=lambda z: z[:2])
+
+    def inserted(table):
+        out = {}
+        for state in range(4):
+            found, cur, pre, lines = [], state, "", ()
+            for k in range(4):
+                if cur in table:
+                    c, a, x = table[cur]
+                    found.append((c + 2 * k, pre + a, lines + x))
+                pre, lines, cur = pre + "I", lines + (made[cur] + ":",), after[cur]
+            if found:
+                out[state] = low(found)
+        return out
+
+    table = inserted({0: (0, "", ()), 3: (0, "", ())})
+    for initial, fault, role, text in reversed(rows):
+        here = {}
+        for state in range(4):
+            ways = [(3, "D", state, ())]
+            if fault not in ("blank", "duplicate"):
+                cut = int(fault == "truncated")
+                ways += [(cut, "K", keep[state, initial], (f"{role}:{text}",))] if (state, initial) in keep else []
+                ways.append((2 + cut, "R", after[state], (f"{made[state]}:{text}",)))
+            found = [(w + table[t][0], e + table[t][1], x + table[t][2]) for w, e, t, x in ways if t in table]
+            if found:
+                here[state] = low(found)
+        table = inserted(here)
+    return table[0]
+
+
+def brute_repair(rows):
+    convs = {}
+    for c, t, r, x in rows:
+        k = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        r, x = " " if r is None else r, " " if x is None else x
+        x = "" if k == 1 else re.sub("[.!?]", "", x) if k == 2 else x
+        convs.setdefault(c, []).extend([] if k == 0 else [(t, "user" if k == 4 else r, x)] * (2 if k == 3 else 1))
+    out = []
+    for c, turns in convs.items():
+        turns.sort(key=lambda z: (z[0] is not None, z[0] or 0))
+        numbers = {t for t, _, _ in turns if t is not None}
+        seen, coded = set(), []
+        for _, r, x in turns:
+            w = x.strip(" \t\n\x0b\x0c\r")
+            coded.append((r[:1], "blank" if not w else "duplicate" if (r, x) in seen else None if w[-1] in ".!?" else "truncated", r, x))
+            seen.add((r, x))
+        n = lambda f: sum(z[1] == f for z in coded)
+        cost, audit, lines = least_repair(coded)
+        out.append((c, max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0, n("blank"), n("duplicate"), n("truncated"),
+                    sum(a[0] + b[0] not in ("su", "ua", "au") for a, b in zip(coded, coded[1:])), cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+REPAIRED = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def test_bidirectional_search_finds_the_least_audit():
+    rnd = random.Random(11)
+    for k in range(3000):
+        rows = [(rnd.choice("suaax" if k % 2 else "uauaua"), rnd.choice([None, None, "blank", "duplicate", "truncated"])) for _ in range(rnd.randint(0, 60 if k % 50 == 0 else 9))]
+        codes = [4 * [None, "blank", "duplicate", "truncated"].index(f) + ("sua".index(i) if i in "sua" else 3) for i, f in rows]
+        assert conv_repair.cheapest(codes) == least_repair([(*r, "", "") for r in rows])[:2]
+
+
+def test_search_over_a_long_conversation():
+    rnd = random.Random(3)
+    codes = [rnd.choice([0, 1, 2, 1, 2, 7, 14, 13]) for _ in range(20000)]
+    cost, audit = conv_repair.cheapest(codes)
+    edits = conv_repair.row_edits(codes, audit)
+    assert len(edits) == len(codes) and 3 * audit.count("D") + 2 * (audit.count("R") + audit.count("I")) <= cost
+    roles = "".join({"K": "suax"[c % 4], "D": ""}.get(e, e.lower()) for c, es in zip(codes, edits) for e in es)
+    assert re.fullmatch("(s?(ua)+)?", roles)
+
+
+def talks_of(spark, rows):
+    extra = ", row long, g long, named boolean, slice int, nth long, c long, depth long, code int, edit string, x string"
+    return spark.createDataFrame([(*r,) + (None,) * 10 for r in rows], TALK + extra).repartition(3)
+
+
+def odd_talks():
+    rnd = random.Random(5)
+    words = ["Yes.", "No!", "why?", "open end", "", " \t", None, "Été.", "x" * 5000 + ".", "a\nb."]
+    rows = [(c, t, rnd.choice(["system", "user", "assistant", "user", "assistant", "tool", "", None]), rnd.choice(words))
+            for c in range(60) for t in range(rnd.randint(1, 7))]
+    rows += [(200, t, "user" if t % 2 else "assistant", f"turn {t % 5000}.") for t in range(6000)]  # one long conversation, over several slices and blocks
+    rows += [(300, None, "user", "no number."), (300, 7, "user", "late."), (301, None, None, None), (302, 2 ** 40, "user", "far."), (302, 1, "system", "near.")]
+    return rows + [(310, 3, "user", "same."), (310, 3, "user", "same."), (310, 3, "user", "same.")]
+
+
+def test_structure_repair_against_brute_force(spark):
+    rows = odd_talks() + [(None, 1, "user", "whose?"), (None, 2, "assistant", "mine.")]
+    got = rows_of(conv_repair.repair(talks_of(spark, rows)), REPAIRED)
+    assert got == brute_repair(rows)
+    small = spark.read.parquet(f"{MEDIUM}/conversations.parquet")
+    assert rows_of(conv_repair.repair(small), REPAIRED) == brute_repair([tuple(r) for r in small.select("conv_id", "turn", "role", "text").collect()])
+
+
+# ---- 12 LSH forest --------------------------------------------------------------------------------------
+
+def brute_near(rows, percent=85):
+    sets = []
+    for i, t in rows:
+        w = plain_words(ascii_lower(t or ""))
+        sets.append((i, frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k:k + 5]) for k in range(len(w) - 4)])))
+    distinct = sorted({s for _, s in sets if s}, key=lambda s: (len(s), repr(sorted(s)[:1])))
+    near = lambda a, b: 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b)
+    root = brute_components(list(range(len(distinct))), lambda a, b: near(distinct[a], distinct[b]))
+    group = {s: root[k] for k, s in enumerate(distinct)}
+    least = {}
+    for i, s in sets:
+        if s and i is not None:
+            least[group[s]] = min(i, least.get(group[s], i))
+    out = []
+    for i, s in sets:
+        c = least.get(group[s]) if s else i
+        out.append((i, len(s), c, i == c))
+    return sorted(out, key=repr)
+
+
+NEAR = ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def near_copies():
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10 ** 6)}"
+    out = []
+    for g in range(12):
+        base = [word() for _ in range(rnd.choice([6, 14, 60, 300]))]
+        for _ in range(8):
+            new = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 40))):
+                new[rnd.randrange(len(new))] = word()
+            out.append(" ".join(new))
+    base = [word() for _ in range(120)]  # a chain: neighbours are near, its ends are not
+    for _ in range(30):
+        base[rnd.randrange(120)] = word()
+        out.append(" ".join(base))
+    shared = [word() for _ in range(80)]  # many texts with one long passage that are no near copies
+    out += [" ".join(shared + [word() for _ in range(25)]) for _ in range(60)]
+    return [(5000 + k, t) for k, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("crowd,depths", [(32, (3, 4, 6, 8, 12)), (3, (3, 4)), (2, (3,))])
+def test_forest_against_brute_force(spark, crowd, depths):
+    rows = edge_texts() + near_copies()
+    assert rows_of(lsh_forest.near_duplicates(docs_of(spark, rows), crowd=crowd, depths=depths), NEAR) == brute_near(rows)
+
+
+def test_forest_keeps_one_with_all_columns(spark):
+    rows = near_copies()
+    kept = lsh_forest.keep_one(docs_of(spark, rows))
+    assert kept.columns == docs_of(spark, rows).columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, _, k in brute_near(rows) if k}
+
+
+def test_trees_lose_nothing_at_the_threshold():
+    for depth in lsh_forest.DEPTHS:
+        assert (1 - 0.85 ** depth) ** lsh_forest.trees(depth) <= lsh_forest.MISS
+    a = lsh_forest.shingle_hashes(" ".join(map(str, range(3000))))
+    b = lsh_forest.shingle_hashes(" ".join(map(str, range(150, 3000))))
+    assert abs(int((lsh_forest.signature(a) == lsh_forest.signature(b)).sum()) / 128 - 0.95) < 0.08
+
+
+# ---- 13 prefix trie -------------------------------------------------------------------------------------
+
+def brute_trie(rows):
+    convs = {}
+    for c, t, r, x in rows:
+        if c is not None:
+            convs.setdefault(c, []).append((t is not None, t or 0, r or "", x or ""))
+    convs = {c: [v[2:] for v in sorted(vs)] for c, vs in convs.items()}
+    built = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = tuple(convs.get(c - int(math.fmod(c, 5)), [])[:h]) + tuple(own[h:])
+    member, below, leaves, saved = {}, {}, {}, {}
+    for c, path in built.items():
+        for d in range(len(path) + 1):
+            member.setdefault(path[:d], []).append(c)
+    for node in member:
+        if node:
+            below.setdefault(node[:-1], []).append(node)
+    for node, m in member.items():
+        for d in range(len(node) + 1):
+            saved[node[:d]] = saved.get(node[:d], 0) + ((len(m) - 1) * len(node[-1][1].encode()) if node else 0)
+            leaves[node[:d]] = leaves.get(node[:d], 0) + (node not in below)
+    return sorted(((min(m), len(n), min(member[n[:-1]]) if n else None, len(m), len(below.get(n, ())), leaves[n], saved[n],
+                    hashlib.sha256(",".join(str(c) for c in sorted(m) if built[c] == n).encode()).hexdigest()) for n, m in member.items()), key=repr)
+
+
+NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def test_trie_against_brute_force(spark):
+    """Shared first turns, whole copies, a long conversation with a copy, turnless ones and negative ids."""
+    rows = [r for r in odd_talks() if r[0] != 200]
+    rows += [(400 + c, t, "user" if t % 2 == 0 else "assistant", f"line {t if t < 1 + c % 4 else (t, c // 7)}") for c in range(80) for t in range(1 + c % 6)]
+    rows += [(c, t, "user", f"long {t}") for c in (600, 605, 610) for t in range(700)] + [(-7, 1, "user", "minus"), (-5, 1, "user", "base"), (None, 1, "user", "nobody")]
+    assert rows_of(conv_trie.trie(talks_of(spark, rows)), NODE) == brute_trie(rows)
+
+
+def test_trie_where_all_conversations_are_turnless(spark):
+    rows = [(c, 1, "user", "x") for c in range(1000) if c % 5 and zlib.crc32(str(c).encode()) % 9 > 0][:5]
+    assert rows_of(conv_trie.trie(talks_of(spark, rows)), NODE) == brute_trie(rows)
+
+
+def test_names_are_verified(spark):
+    turns = spark.createDataFrame([(1, 1, "user", "a", 5, 6), (2, 1, "user", "b", 5, 6)], "conv_id long, turn long, role string, text string, x long, y long")
+    assert not conv_trie.names_hold(turns) and conv_trie.names_hold(turns.limit(1))
+
+
+def test_runs_compose():
+    rnd = np.random.default_rng(2)
+    b = pd.DataFrame({"x": rnd.integers(-2 ** 63, 2 ** 63, 50), "y": rnd.integers(-2 ** 63, 2 ** 63, 50)})
+    whole = conv_trie.lane_values(b, np.arange(1, 51)).sum(0) % conv_trie.P
+    m, n = (conv_trie.lane_values(b.iloc[a:z], np.arange(1, z - a + 1)).sum(0) % conv_trie.P for a, z in ((0, 20), (20, 50)))
+    assert [int(v) for v in whole] == [(int(a) + pow(s, 20, conv_trie.P) * int(z)) % conv_trie.P for a, z, s in zip(m, n, conv_trie.S)]
+    carry = conv_trie.compose([(20, *map(int, m)), (30, *map(int, n)), (1, 0, 0, 0, 0)])
+    assert carry[2][:5] == (50, *map(int, whole))
+
+
+def test_hashes_in_order_over_slices_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK_BYTES", 64)
+    df = spark.range(4000).selectExpr("cast(id % 3 = 0 as int) * (id % 7) as k", "id", "concat('piece ', id) as p").repartition(5)
+    got = {r.k: r.sha for r in ordered.sha256_in_order(df, ["k"], ["id"], ["k", "p"], "|", "t-order").collect()}
+    rows = functools.reduce(lambda a, r: a.setdefault(r.k, []).append((r.id, r.p)) or a, df.collect(), {})
+    assert got == {k: hashlib.sha256("|".join(p for _, p in sorted(v)).encode()).hexdigest() for k, v in rows.items()}

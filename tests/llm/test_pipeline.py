@@ -11,7 +11,7 @@ import corpus_pipeline
 from airwise.llm import queries
 from airwise.llm.common import scratch_path
 from tests.conftest import SMALL
-from tests.llm.test_operators import (brute_components, brute_fingerprint, brute_quality, brute_spans, loose_words, plain_words, ascii_lower)
+from tests.llm.test_operators import (brute_components, brute_fingerprint, brute_quality, brute_spans, loose_words, plain_words, ascii_lower, docs_of)
 
 
 def stage_inputs(spark, docs, sf_dir):
@@ -76,7 +76,6 @@ def test_every_stage(spark):
     from tokenizers import Tokenizer
 
     of = Tokenizer.from_file(queries.tokenizer_path())
-    of.encode_special_tokens = True
     rows, packed = seen["best-fit packing"]
     want = []
     for i, t, _ in rows:
@@ -88,6 +87,13 @@ def test_every_stage(spark):
     assert re.fullmatch(r"[0-9a-f]{16}", f"{brute_fingerprint(ascii_lower('A b c')):016x}")
 
 
+def test_stages_take_columns_of_any_name(spark):
+    docs = docs_of(spark, [(k, f"text {k} " + " ".join(f"w{k}x{j}" for j in range(30)) + f"\nmail me{k}@b.co", "s") for k in range(12)])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SMALL)
+    assert docs.columns == docs_of(spark, []).columns and docs.count() == 12 and all("[email]" in r.text for r in docs.collect())
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
