@@ -85,20 +85,21 @@ def flare_by_threshold(value, threshold) -> Column:
 def flare_and_bins(df: DataFrame, c: str, flare: str = "flare_day", risk: str = "risk", q: float = 0.8,
                    qs=(0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """LB-06 and LB-07 on one column: threshold and bin edges from one pass over its values."""
-    from airwise.operators.quantiles import exact_quantiles
-    points = exact_quantiles(df, c, [q, *qs])
+    from airwise.operators.quantiles import quantiles_array
+    points = quantiles_array(df, c, [q, *qs])
     x = F.col(c)
-    n_below = sum(F.coalesce((points.select(f"q{i + 1}").scalar() < x).cast("int"), F.lit(0)) for i in range(len(qs)))
-    return df.withColumn(flare, flare_by_threshold(x, points.select("q0").scalar())) \
-        .withColumn(risk, F.when(x.isNotNull(), (n_below + 1).cast("int")))
+    at = lambda i: F.col("_points").getItem(i)
+    n_below = sum(F.coalesce((at(i + 1) < x).cast("int"), F.lit(0)) for i in range(len(qs)))
+    return df.withColumn("_points", points).withColumn(flare, flare_by_threshold(x, at(0))) \
+        .withColumn(risk, F.when(x.isNotNull(), (n_below + 1).cast("int"))).drop("_points")
 
 
 def quantile_bins(df: DataFrame, c: str, out: str = "risk", qs=(0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """LB-07: 1..5 by right-closed bins on interpolated quantile edges:
     bin = 1 + number of edges strictly below the value (null stays null).
     Equal edges are allowed (Q21)."""
-    from airwise.operators.quantiles import exact_quantiles
-    edges = exact_quantiles(df, c, list(qs))  # one row, distributed exact quantiles
+    from airwise.operators.quantiles import quantiles_array
+    edges = quantiles_array(df, c, list(qs))  # one scalar subquery for all edges
     x = F.col(c)
-    n_below = sum(F.coalesce((edges.select(f"q{i}").scalar() < x).cast("int"), F.lit(0)) for i in range(len(qs)))
-    return df.withColumn(out, F.when(x.isNotNull(), (n_below + 1).cast("int")))
+    n_below = sum(F.coalesce((F.col("_edges").getItem(i) < x).cast("int"), F.lit(0)) for i in range(len(qs)))
+    return df.withColumn("_edges", edges).withColumn(out, F.when(x.isNotNull(), (n_below + 1).cast("int"))).drop("_edges")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airwise.functions.dates import as_col
-from airwise.operators.quantiles import exact_quantiles
+from airwise.operators.quantiles import quantiles_array
 from airwise.operators.quantiles import quantile as exact_quantile
 
 
@@ -76,11 +76,10 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
 def describe_col(df: DataFrame, c: str) -> DataFrame:
     """AG-09: count, mean, std (n-1), min, quartiles (linear interpolation), max."""
     x = F.col(c).cast("double")
-    q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+    q = quantiles_array(df, c, [0.25, 0.5, 0.75])
     return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                  F.min(x).alias("min"), F.max(x).alias("max")) \
-        .select("count", "mean", "std", "min", q.select("q0").scalar().alias("q25"),
-                q.select("q1").scalar().alias("q50"), q.select("q2").scalar().alias("q75"), "max")
+                  F.min(x).alias("min"), F.max(x).alias("max")).withColumn("_q", q) \
+        .select("count", "mean", "std", "min", F.col("_q").getItem(0).alias("q25"), F.col("_q").getItem(1).alias("q50"), F.col("_q").getItem(2).alias("q75"), "max")
 
 
 def null_counts(df: DataFrame) -> DataFrame:

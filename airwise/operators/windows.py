@@ -6,9 +6,9 @@ row per calendar day: a "hot" location cannot blow up one task.  All
 features of one series share one Window spec, so Catalyst sorts once.
 
 Global order (row index, cumulative sums) never uses an unpartitioned
-window.  ``prefix_sums`` range-partitions the data (balanced by sampling),
-checkpoints that assignment, takes running sums inside each partition, and
-adds per-partition offsets computed from a table with one row per partition.
+window.  ``prefix_sums`` turns the order into bucket numbers (bounds from a KLL
+sketch, so the bucket is a plain expression), takes running sums inside each
+bucket after one shuffle, and adds offsets from a table with one row per bucket.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airwise.functions.dates import as_col
-from airwise.session import cut_lineage
 
 
 def series(key: str | Sequence[str] | None = "location_id", order: str | Sequence[str] = "date"):
@@ -112,51 +112,107 @@ def cycle_pick(values: Sequence, index) -> Column:
 # Global order without a single-partition window
 # --------------------------------------------------------------------------
 
+#: Buckets per shuffle partition: hashing this many to a partition evens out their sizes.
+BUCKETS = 8
+
+
+def _number(c: Column, kind: T.DataType) -> tuple[list[tuple[Column, str]], bool]:
+    """Numbers that grow with ``c`` (each with its sketch type), most significant first, and whether equal numbers mean equal values."""
+    if isinstance(kind, T.StringType):
+        raw = F.encode(c, "UTF-8")
+        part = lambda a: F.conv(F.rpad(F.hex(F.substring(raw, a, 7)), 14, "0"), 16, 10).cast("long")
+        return [(part(1), "bigint"), (part(8), "bigint")], False
+    if isinstance(kind, T.DateType):
+        return [(F.unix_date(c).cast("long"), "bigint")], True
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return [(F.unix_micros(c.cast("timestamp")), "bigint")], True
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return [(c.cast("double"), "double")], True
+    if isinstance(kind, T.DecimalType):
+        return [(c.cast("double"), "double")], False
+    return [(c.cast("long"), "bigint")], True
+
+
+def _levels(df: DataFrame, order: Sequence[Column]) -> list[tuple[Column, str]]:
+    """At most two numbers a row whose order is that of ``order``."""
+    kinds = df.select(*[c.alias(f"o{i}") for i, c in enumerate(order)]).schema
+    out: list[tuple[Column, str]] = []
+    for c, f in zip(order, kinds):
+        numbers, exact = _number(c, f.dataType)
+        out += numbers
+        if not exact or len(out) >= 2:
+            break
+    return out[:2]
+
+
+def sketch_points(c: Column, kind: str, k: int, ranks: Sequence[float]) -> Column:
+    """Aggregate: approximate values of ``c`` at normalised ``ranks`` from one mergeable KLL sketch (null without a value)."""
+    agg, get = (F.kll_sketch_agg_double, F.kll_sketch_get_quantile_double) if kind == "double" else \
+        (F.kll_sketch_agg_bigint, F.kll_sketch_get_quantile_bigint)
+    sketch = agg(c, F.lit(k))
+    return F.when(F.count(c) > 0, get(sketch, F.array(*[F.lit(float(r)) for r in ranks])))
+
+
+def with_bucket(df: DataFrame, order: Sequence[Column], n: int, name: str = "_b") -> DataFrame:
+    """``df`` with a number from 0 to n - 1 that never falls along ``order`` and holds about a share 1 / n of the rows.
+
+    Bounds are quantiles of a KLL sketch of the first order number, one scalar subquery.  A value that
+    spans several bounds (a third of all rows may share it) is spread over their buckets by the
+    next number of the order, on quantiles of its own.  The place among the bounds is a binary search, a
+    projection a step, so that it stays in generated code."""
+    levels = _levels(df, order)
+    k = min(65535, max(1024, 16 * n))
+    ranks = [i / n for i in range(1, n)]
+    points = df.agg(F.struct(*[sketch_points(c, kind, k, ranks).alias(f"b{i}") for i, (c, kind) in enumerate(levels)]).alias("b")).scalar()
+    x, y = F.col("_x0"), F.col("_x1")
+    searches = {"_low": (F.col("_p.b0"), lambda b: b < x)}
+    if len(levels) > 1:
+        searches |= {"_high": (F.col("_p.b0"), lambda b: b <= x), "_share": (F.col("_p.b1"), lambda b: b < y)}
+    out = df.select("*", points.alias("_p"), *[c.alias(f"_x{i}") for i, (c, _) in enumerate(levels)], *[F.lit(0).alias(s) for s in searches])
+    names = [*df.columns, "_p", *[f"_x{i}" for i in range(len(levels))]]
+    for bit in range((n - 1).bit_length() - 1, -1, -1):
+        size = 1 << bit
+        out = out.select(*names, *[(F.col(s) + F.when((F.col(s) + size < n) & before(F.get(bounds, F.col(s) + (size - 1))), size).otherwise(0)).alias(s)
+                                   for s, (bounds, before) in searches.items()])
+    bucket = F.col("_low")
+    if len(levels) > 1:
+        bucket = bucket + F.floor((F.col("_high") - F.col("_low") + 1) * F.col("_share") / n).cast("int")
+    return out.select(*df.columns, F.coalesce(bucket, F.lit(0)).alias(name))
+
+
 def prefix_sums(df: DataFrame, order: Sequence[Column], values: dict[str, Column],
                 num_partitions: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Running sums of ``values`` along a total ``order`` (within each group of ``keys``).
-
-    Adds ``<name>_cum`` (inclusive running sum) and ``<name>_total`` columns.
-    Range partitioning on (keys, order) spreads rows evenly even when one
-    group holds most rows; each task takes running sums of its own slice,
-    and the carry-in of earlier slices comes from a table with one row per
-    (partition, group): broadcast when there are no groups (bounded by the
-    partition count), otherwise joined as AQE sees fit.
+    """Running sums of ``values`` along a total, ascending ``order`` (within each group of ``keys``), nulls first.
+
+    Adds ``<name>_cum`` (inclusive running sum) and ``<name>_total`` columns.  ``with_bucket`` turns the
+    order into a bucket number, a plain expression, so the rows are shuffled once (by bucket and
+    keys); each bucket takes its own running sums, and what earlier buckets hold comes from a table of
+    one row per (bucket, group): broadcast without groups (bounded by the bucket count), otherwise
+    joined as AQE sees fit.  Nothing is checkpointed and nothing runs before the first action.
+
+    The bounds come from one scalar subquery that both branches of the plan share (Spark reuses equal subqueries).  Were
+    they ever different, the running row count of a bucket would pass its total: that raises an error.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = list(values)
-    keys = list(keys)
-    key_cols = [F.col(k) for k in keys]
-    base = df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()])
-    ranged = (base.repartitionByRange(n, *key_cols, *order)
-              .sortWithinPartitions(*key_cols, *order)
-              .withColumn("_pid", F.spark_partition_id()))
-    # Both branches below must see the same partition of every row.  A range
-    # shuffle over a shuffled input is not bit-for-bit repeatable (sampling
-    # sees rows in fetch order), so the slice assignment is materialised once
-    # with a reliable checkpoint in the shared checkpoint folder.
-    ranged = cut_lineage(ranged)
-    w_in = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(f"_v_{k}").over(w_in).alias(f"_l_{k}") for k in names])
-    totals = ranged.groupBy("_pid", *keys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
-    w_all = Window.partitionBy(*keys).orderBy("_pid")
+    n = BUCKETS * (num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names, keys = [*values, "_rows"], list(keys)
+    base = with_bucket(df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()], F.lit(1).cast("long").alias("_v__rows")), order, n)
+    inside = Window.partitionBy("_b", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = base.select("*", *[F.sum(f"_v_{k}").over(inside).alias(f"_l_{k}") for k in names])
+    totals = base.groupBy("_b", *keys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
+    w = Window.partitionBy(*keys).orderBy("_b")
     offsets = totals.select(
-        "_pid", *keys,
-        *[F.coalesce(F.sum(f"_t_{k}").over(w_all.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-          .alias(f"_o_{k}") for k in names],
-        *[F.sum(f"_t_{k}").over(w_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-          .alias(f"_g_{k}") for k in names],
-    )
-    join_keys = ["_pid", *keys]
-    # Without group keys the offsets table has one row per partition (a proven bound), so
-    # it is broadcast; with group keys its size depends on the group count, so the join
-    # strategy is left to AQE's runtime statistics.
-    out = local.join(F.broadcast(offsets) if not keys else offsets, join_keys, "inner")
-    cols = [c for c in df.columns]
-    return out.select(*cols,
-                      *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).alias(f"{k}_cum") for k in names],
-                      *[F.col(f"_g_{k}").alias(f"{k}_total") for k in names])
+        F.col("_b").alias("_ob"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_t__rows"),
+        *[F.coalesce(F.sum(f"_t_{k}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{k}") for k in values],
+        *[F.sum(f"_t_{k}").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"_g_{k}") for k in values])
+    on = F.col("_b") == F.col("_ob")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    # one row a bucket without keys, a proven bound; with keys AQE chooses by size
+    out = local.join(F.broadcast(offsets) if not keys else offsets, on)
+    sure = lambda c: F.when(F.col("_l__rows") <= F.col("_t__rows"), c).otherwise(F.raise_error(F.lit("bucket bounds differ between branches")))
+    return out.select(*df.columns, *[sure(F.col(f"_o_{k}") + F.col(f"_l_{k}")).alias(f"{k}_cum") for k in values],
+                      *[F.col(f"_g_{k}").alias(f"{k}_total") for k in values])
 
 
 def row_index(df: DataFrame, order: Sequence[Column], name: str = "row_idx") -> DataFrame:
