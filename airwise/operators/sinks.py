@@ -1,9 +1,9 @@
 """Sinks and upserts (SNK-01 .. SNK-11).
 
 Plain parquet has no MERGE, so every upsert is a join/union plan that
-produces the new table state; ``write_*`` persists it.  Writes of
-date-partitioned tables use dynamic partition overwrite, so only the
-partitions touched by the new rows are rewritten.  Scratch output goes
+produces the new table state; ``write_*`` persists it.  ``upsert_partitions`` does
+so on a stored date-partitioned table and reads and rewrites (by dynamic partition overwrite) only the
+partitions touched by the new rows.  Scratch output goes
 under the cluster's shared ``spark.checkpoint.dir``, never a local folder.
 """
 
@@ -108,19 +108,54 @@ def nest_checkins(users: DataFrame, checkins: DataFrame, key: str = "user_id") -
     return users.join(arr, key, "left")
 
 
-def append_checkin(users: DataFrame, new: DataFrame, key: str = "user_id", arr: str = "checkIns") -> DataFrame:
-    """SNK-07: append new check-ins to each user's array; unknown users are a no-op.
+def append_checkin(users: DataFrame, new: DataFrame, key: str = "user_id", arr: str = "checkIns", order: Sequence[str] = ()) -> DataFrame:
+    """SNK-07: merge new check-ins into each user's array by day; unknown users are a no-op.
 
-    New rows are first reduced to one per (user, date), the last under the order of all their
-    columns, so a user's additions are bounded by the calendar."""
-    rest = [c for c in new.columns if c not in (key, "date")]
-    new = new.groupBy(key, "date").agg(F.max(F.struct(*rest)).alias("_last")).select(
-        key, *[F.col(f"_last.{c}").alias(c) if c != "date" else F.col(c) for c in new.columns if c != key])
-    add = new.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in new.columns if c != key]))).alias("_add"))
+    Of several new records of a day the last under ``order`` counts (ties, and no order: the largest
+    record), and it takes the place of a record of that day that is already stored, so a repeated
+    run changes nothing.  Days stored twice are mended on the way: the later element stays.  The array is ordered by
+    date and bounded by the calendar: one record a day.  ``order`` columns that the stored record has not are left out of it."""
+    fields = [f.name for f in users.schema[arr].dataType.elementType.fields]
+    record = F.struct(*[F.col(c) for c in fields])
+    last = new.groupBy(key, "date").agg(F.max(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], record.alias("_r"))).alias("_last"))
+    add = last.groupBy(key).agg(F.collect_list(F.col("_last._r")).alias("_add"))
     j = users.join(add, key, "left")
-    return j.withColumn(arr, F.when(F.col("_add").isNull(), F.col(arr))
-                        .otherwise(F.concat(F.coalesce(F.col(arr), F.array().cast(j.schema[arr].dataType)), F.col("_add")))) \
-            .drop("_add")
+    old = F.coalesce(F.col(arr), F.array().cast(j.schema[arr].dataType))
+    dates = lambda a: F.transform(a, lambda x: x["date"])
+    once = F.filter(old, lambda x, i: ~F.array_contains(dates(F.slice(old, i + 2, F.size(old))), x["date"]))
+    kept = F.filter(once, lambda x: ~F.array_contains(dates(F.col("_add")), x["date"]))
+    merged = F.array_sort(F.concat(kept, F.col("_add")), lambda a, b: F.when(a["date"] < b["date"], -1).when(a["date"] > b["date"], 1).otherwise(0))
+    return j.withColumn(arr, F.when(F.col("_add").isNull(), F.col(arr)).otherwise(merged)).drop("_add")
+
+
+def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], how: str = "merge",
+                      set_cols: Sequence[str] | None = None, part: str = "date") -> int:
+    """SNK-03 / SNK-04 / SNK-06 on a stored table laid out by ``part`` (``write_daily``): only the partitions that ``new``
+    touches are read and written again; all others keep their files.
+
+    ``how``: "replace" (a new row replaces the row of its key), "merge" (``upsert_merge``), or "delete_insert" (all old
+    rows of a key that ``new`` has go, in these partitions).  The touched days come to the driver: a
+    set bounded by the calendar, which makes the scan's partition filter static.  The merged partitions are
+    checkpointed before they are written, since they come from the files that they replace.  Returns the number of partitions written.
+    A retry after a failure gives the same table."""
+    from airwise.session import cut_lineage
+
+    days = [r[0] for r in new.select(part).distinct().collect()]
+    if not days:
+        return 0
+    table = spark.read.parquet(path)
+    hit = F.col(part).isin([d for d in days if d is not None])
+    old = table.where(hit | F.col(part).isNull() if None in days else hit)
+    if how == "merge":
+        out = upsert_merge(old, new, keys, set_cols)[0]
+    elif how == "replace":
+        out = upsert_replace(old, new, keys)
+    elif how == "delete_insert":
+        out = old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new.select(*old.columns))
+    else:
+        raise ValueError(f"unknown upsert: {how}")
+    write_daily(cut_lineage(out.select(*table.columns)), path)
+    return len(days)
 
 
 def upsert_users(old: DataFrame, new: DataFrame, now: Column, key: str = "user_id",

@@ -3,10 +3,13 @@ model-matrix features (FE-05/06), dataset build (FE-07) and model training/scori
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from airwise.functions import arrays as A
 from airwise.functions import labels as L
+from airwise.operators import ensembles as EN
 from airwise.operators import joins as J
 from airwise.operators import models as MD
 from airwise.operators import projections as P
@@ -15,6 +18,7 @@ from airwise.operators import stats as STS
 from airwise.operators import windows as W
 from airwise.plans import features as FE
 from airwise.operators import quantiles as Q
+from airwise.operators import sinks as SK
 from airwise.plans.catalog_env import PROBA_SQL, fe01_sql, lb01_sql
 from airwise.plans.registry import query
 from airwise.plans.sqlviews import calendar_sql
@@ -233,9 +237,13 @@ WEATHER_COLS = ["temp_min", "temp_max", "humidity", "wind", "pressure", "rain"]
 _MEASURES = AIR_COLS + WEATHER_COLS
 
 
+def _gapped_sql(cols, every):
+    return ", ".join(f"CASE WHEN (CAST(location_id AS INTEGER) + day(date)) % {every} <> 0 THEN {c} END AS {c}" for c in cols)
+
+
 FE07_BASE = f"""
-w AS (SELECT location_id, date, {', '.join(WEATHER_COLS)} FROM daily_big WHERE (CAST(location_id AS INTEGER) + day(date)) % 7 <> 0),
-a AS (SELECT location_id, date, {', '.join(AIR_COLS)} FROM daily_big WHERE (CAST(location_id AS INTEGER) + day(date)) % 11 <> 0),
+w AS (SELECT location_id, date, {_gapped_sql(WEATHER_COLS, 7)} FROM daily_big),
+a AS (SELECT location_id, date, {_gapped_sql(AIR_COLS, 11)} FROM daily_big),
 wa AS (SELECT coalesce(w.location_id, a.location_id) AS location_id, coalesce(w.date, a.date) AS date, {', '.join(_MEASURES)}
        FROM w FULL OUTER JOIN a ON w.location_id = a.location_id AND w.date = a.date),
 p AS (SELECT location_id, date, latitude, longitude, zip_code, pollen_tree, pollen_grass, pollen_weed FROM daily_big),
@@ -243,6 +251,13 @@ ds AS (SELECT e.*, p.latitude, p.longitude, p.zip_code, p.pollen_tree, p.pollen_
        FROM wa e LEFT JOIN p ON p.location_id = e.location_id AND p.date = e.date LEFT JOIN trends t ON e.date = t.date)"""
 
 
+def _gapped_measures(b):
+    """JN-01 over whole tables: weather and air of every location and day, whose measures are null on some days."""
+    k = F.col("location_id").cast("int") + F.dayofmonth("date")
+    gap = lambda cols, every: [F.when(k % every != 0, F.col(c)).alias(c) for c in cols]
+    return J.join_weather_air(b.select("location_id", "date", *gap(WEATHER_COLS, 7)), b.select("location_id", "date", *gap(AIR_COLS, 11)))
+
+
 @query("fe_07_dataset_build", "WITH " + FE07_BASE + f""",
 f AS (SELECT *, coalesce(last_value(n_orders IGNORE NULLS) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                          first_value(n_orders IGNORE NULLS) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS tv
@@ -254,13 +269,11 @@ SELECT location_id AS locationid, latitude, longitude, zip_code, date, {', '.joi
        CAST(1 + (tv > edges[1])::INTEGER + (tv > edges[2])::INTEGER + (tv > edges[3])::INTEGER + (tv > edges[4])::INTEGER AS INTEGER) AS risk
 FROM f, q""", ["daily_big", "trends"])
 def q_fe07(spark, d):
-    """FE-07: daily weather and air (each with gaps) joined full outer (JN-01), place and pollen, trends
+    """FE-07: daily weather and air (each over the whole table, measures missing on some days) joined full outer (JN-01), place and pollen, trends
     (JN-02), ffill/bfill (WN-11), calendar columns, flare by p80 (LB-06), risk quintiles (LB-07), trends
     renamed (PRJ-12), known columns first (PRJ-09): the 24-column data set."""
     b = T.daily_big(spark, d)
-    k = F.col("location_id").cast("int") + F.dayofmonth("date")
-    e = J.join_weather_air(b.where(k % 7 != 0).select("location_id", "date", *WEATHER_COLS),
-                           b.where(k % 11 != 0).select("location_id", "date", *AIR_COLS))
+    e = _gapped_measures(b)
     place = b.select("location_id", "date", "latitude", "longitude", "zip_code", "pollen_tree", "pollen_grass", "pollen_weed")
     ds = J.join_trends(e.join(place, ["location_id", "date"], "left"), T.trends(spark, d))
     ds = ds.withColumn("trend", W.ffill_bfill("n_orders", W.series("location_id")).cast("double")).drop("n_orders")
@@ -283,6 +296,71 @@ def q_ml_general(spark, d):
     return train_general(spark, d)
 
 
+#: A stored ensemble (a parameter of the query below): a leaf is a margin; an inner node is (feature, threshold, left, right), left where the
+#: feature is at most the threshold; a one-hot feature is "column=category".
+STORED_TREES = [
+    ("AQI", 62.5, ("PM2_5_mean", 14.25, -0.9, ("season=summer", 0.5, -0.35, 0.2)), ("humidity", 71.0, 0.4, ("wind", 6.5, 0.85, 0.55))),
+    ("pollen_tree", 2.5, ("temp_max", 24.0, -0.4, ("AQI", 48.0, -0.1, 0.3)), ("season=spring", 0.5, 0.15, 0.6)),
+    ("rain", 0.75, ("pollen_weed", 1.5, ("PM2_5_max", 22.5, -0.25, 0.2), 0.35), ("season=winter", 0.5, -0.3, -0.5)),
+]
+STORED_WEIGHTS = [1.0, 0.6, 0.4]
+SEASONS = ["fall", "spring", "summer", "winter"]
+_CUTS = [0.25, 0.5]
+
+
+def stored_bundle(features: list) -> EN.Bundle:
+    """The stored ensemble over ``features`` (column names, or (column, category) of one-hot ones)."""
+    place = {f if isinstance(f, str) else f"{f[0]}={f[1]}": i for i, f in enumerate(features)}
+    nodes: list[tuple] = []
+
+    def add(tree: int, spec, ids) -> int:
+        at = next(ids)
+        if not isinstance(spec, tuple):
+            nodes.append((tree, at, None, None, None, None, None, [float(spec)], STORED_WEIGHTS[tree]))
+            return at
+        feature, cut, left, right = spec
+        nodes.append((tree, at, place[feature], float(cut), None, add(tree, left, ids), add(tree, right, ids), None, STORED_WEIGHTS[tree]))
+        return at
+
+    for t, spec in enumerate(STORED_TREES):
+        add(t, spec, itertools.count())
+    return EN.Bundle("boosted", features, {"season": SEASONS}, nodes, {"target": "y", "target_type": "binary"})
+
+
+def _tree_sql(spec) -> str:
+    if not isinstance(spec, tuple):
+        return repr(float(spec))
+    feature, cut, left, right = spec
+    column, _, category = feature.partition("=")
+    x = f"(season = '{category}')::INTEGER" if category else column
+    return f"(CASE WHEN {x} <= {cut} THEN {_tree_sql(left)} ELSE {_tree_sql(right)} END)"
+
+
+def _stored_sql() -> str:
+    margin = " + ".join(f"CAST({w} AS DOUBLE) * {_tree_sql(t)}" for w, t in zip(STORED_WEIGHTS, STORED_TREES))
+    return f"""
+m AS (SELECT location_id, date, {margin} AS margin FROM daily_big),
+p AS (SELECT location_id, date, 1.0 / (1.0 + exp(-2.0 * margin)) AS p FROM m)
+SELECT location_id, date, 1.0 - p AS p0, p AS p1, CAST(p > 1.0 - p AS INTEGER) AS prediction,
+       floor((1 + 4 * p) * 10 + 0.5) / 10 AS shown, CASE WHEN p < 0.25 THEN 'low' WHEN p < 0.5 THEN 'moderate' ELSE 'high' END AS level,
+       'y' AS target FROM p"""
+
+
+@query("ml_13_16_stored_ensemble", "WITH " + _stored_sql(), ["daily_big"])
+def q_stored_ensemble(spark, d):
+    """ML-13 + ML-16 + ML-03 + PRJ-15 + MA-19: a saved bundle of trees is loaded and compiled to columns; features by
+    exclusion of ids, date and target, seasons one-hot; probabilities, prediction and the score rounded half up to one place for every
+    supplier-day."""
+    df = T.daily_big(spark, d)
+    num, _ = P.feature_columns(df, target="y")
+    bundle = EN.load(EN.save(stored_bundle([*num, *[("season", s) for s in SEASONS]]), SK.scratch_path(spark, "stored-ensemble")))
+    out = EN.score(bundle, df, ["location_id", "date"])
+    p = F.col("p")
+    return out.select("location_id", "date", F.col("probs")[0].alias("p0"), p.alias("p1"), "prediction",
+                      (F.floor((1 + 4 * p) * 10 + 0.5) / 10).alias("shown"),
+                      F.when(p < _CUTS[0], "low").when(p < _CUTS[1], "moderate").otherwise("high").alias("level"), F.lit(bundle.meta["target"]).alias("target"))
+
+
 @query("ml_05_07_14_sl_07_model_search")
 def q_ml_search(spark, d):
     """ML-04/05/07/14 + SL-07: balanced RF random search over expanding folds, then an LR

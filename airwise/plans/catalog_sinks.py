@@ -36,7 +36,7 @@ new AS (SELECT location_id, date,
 @query("snk_03_upsert_replace", "WITH " + OLD_NEW_SQL + """
 SELECT * FROM new
 UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.location_id = o.location_id AND n.date = o.date)""",
-       ["daily_big"])
+       ["env_daily"])
 def q_snk03(spark, d):
     """SNK-03: the new row fully replaces the old row of its (location_id, date)."""
     old, new = _old_new(spark, d)
@@ -127,6 +127,63 @@ def q_snk07(spark, d):
                       F.array_max(F.transform("checkIns", lambda x: x["date"])).alias("last_date"))
 
 
+@query("snk_07_merge_checkins_by_day", """
+WITH e AS (SELECT user_id, event_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, ts, value / 100 AS exerciseMinutes,
+             greatest(0, least(3, CAST(json_extract_string(props, '$.k') AS INTEGER) - 50)) AS wheeze, day(ts) AS d FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, date ORDER BY (d >= 10) DESC, ts DESC, event_id DESC) AS i FROM e)
+SELECT r.user_id, CAST(row_number() OVER (PARTITION BY r.user_id ORDER BY date) - 1 AS INTEGER) AS pos, date, wheeze, exerciseMinutes
+FROM r JOIN (SELECT c_custkey AS user_id FROM customer) u ON r.user_id = u.user_id WHERE i = 1""", [])
+def q_snk07_by_day(spark, d):
+    """SNK-07: the whole arrays after a merge by day: records of the first half of the month are stored (the last of a
+    day by time), then those from the 10th on arrive, several a day and for unknown users too; the last of a day replaces
+    what is stored for it."""
+    e = T.raw(spark, d, "events").select(
+        "user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), "ts", (F.col("value") / 100).alias("exerciseMinutes"),
+        F.greatest(F.lit(0), F.least(F.lit(3), F.get_json_object("props", "$.k").cast("int") - 50)).alias("wheeze"))
+    users = T.raw(spark, d, "customer").select(F.col("c_custkey").alias("user_id"),
+                                               F.array().cast("array<struct<date:string,wheeze:int,exerciseMinutes:double>>").alias("checkIns"))
+    first = SK.append_checkin(users, e.where(F.dayofmonth("ts") < 16), order=["ts", "event_id"])
+    both = SK.append_checkin(first, e.where(F.dayofmonth("ts") >= 10), order=["ts", "event_id"])
+    return both.select("user_id", F.posexplode("checkIns").alias("pos", "c")).select("user_id", "pos", "c.date", "c.wheeze", "c.exerciseMinutes")
+
+
+def _stored_upsert(spark, d, how):
+    """Stored: even locations, and all before the 20th; new: every third day of all locations, measured again."""
+    b = T.env_daily(spark, d).select("location_id", "date", "PM2_5_mean", "AQI", "pollen_tree")
+    old = b.where((F.col("location_id").cast("int") % 2 == 0) | (F.dayofmonth("date") < 20))
+    new = b.where(F.dayofmonth("date") % 3 == 0).select(
+        "location_id", "date", (F.col("PM2_5_mean") + 1).alias("PM2_5_mean"),
+        F.when(F.col("location_id").cast("int") % 5 != 0, F.col("AQI")).alias("AQI"), "pollen_tree")
+    path = SK.write_daily(old, SK.scratch_path(spark, f"upsert-{how}"))
+    SK.upsert_partitions(spark, path, new, ["location_id", "date"], how)
+    return spark.read.parquet(path).select(*old.columns)
+
+
+_TOUCHED_SQL = """WITH b AS (SELECT location_id, date, PM2_5_mean, AQI, pollen_tree FROM env_daily),
+old AS (SELECT * FROM b WHERE CAST(location_id AS INTEGER) % 2 = 0 OR day(date) < 20),
+fresh AS (SELECT location_id, date, PM2_5_mean + 1 AS PM2_5_mean, CASE WHEN CAST(location_id AS INTEGER) % 5 <> 0 THEN AQI END AS AQI, pollen_tree
+        FROM b WHERE day(date) % 3 = 0)"""
+
+
+@query("snk_03_upsert_touched_partitions", _TOUCHED_SQL + """
+SELECT * FROM fresh UNION ALL SELECT o.* FROM old o WHERE NOT EXISTS (SELECT 1 FROM fresh n WHERE n.location_id = o.location_id AND n.date = o.date)""",
+       ["env_daily"])
+def q_snk03_touched(spark, d):
+    """SNK-03 on a stored table: the new rows replace theirs; days without new rows keep their files."""
+    return _stored_upsert(spark, d, "replace")
+
+
+@query("snk_04_merge_touched_partitions", _TOUCHED_SQL + """
+SELECT coalesce(o.location_id, n.location_id) AS location_id, coalesce(o.date, n.date) AS date,
+       CASE WHEN n.location_id IS NOT NULL THEN n.PM2_5_mean ELSE o.PM2_5_mean END AS PM2_5_mean,
+       CASE WHEN n.location_id IS NOT NULL THEN n.AQI ELSE o.AQI END AS AQI,
+       CASE WHEN n.location_id IS NOT NULL THEN n.pollen_tree ELSE o.pollen_tree END AS pollen_tree
+FROM old o FULL OUTER JOIN fresh n ON o.location_id = n.location_id AND o.date = n.date""", ["env_daily"])
+def q_snk04_touched(spark, d):
+    """SNK-04 on a stored table: bulk $set of the touched days only."""
+    return _stored_upsert(spark, d, "merge")
+
+
 @query("snk_08_upsert_users", """
 WITH old AS (SELECT * FROM users WHERE user_id % 3 <> 0),
 new AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'new-' || name END AS name,

@@ -51,22 +51,29 @@ def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append
 def upsert_batches(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> str:
     """SS-02: continuous idempotent upsert of daily values.
 
-    The state of a (key, day) is mergeable: count, sum and maximum.  A micro-batch reads the newest
-    state of the days it touches, adds its own, and writes these days only, under its batch id
-    (``date=<day>/batch=<id>``).  States of the same or a later batch are not read, so a retried
-    batch overwrites its own files with the same content.  ``read_upserted`` takes each day's newest
-    batch and derives the mean.  ``keys`` must hold ``date``."""
+    The state of a (key, day) is mergeable: count, sum and maximum.  A micro-batch asks the file
+    system for the newest earlier batch of each day it touches (folder names are the manifest), reads exactly these
+    folders, adds its own rows, and writes these days only, under its batch id (``date=<day>/batch=<id>``).
+    What it reads does not grow with the days stored.  States of the same or a later batch are not read, so a
+    retried batch overwrites its own files with the same content.  Afterwards folders older than the
+    state it has read are deleted: a day holds two batches at most, the newest and the one that a retry needs.
+    ``read_upserted`` takes each day's newest batch and derives the mean.  ``keys`` must hold ``date``."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         new = batch.groupBy(*keys).agg(F.count("pm").alias("n"), F.sum("pm").alias("total"), F.max("pm").alias("PM2_5_max"))
-        if _exists(spark, target):
-            days = new.select(F.col("date").alias("_day")).distinct()
-            old = _newest(spark.read.parquet(target).where(F.col("batch") < batch_id)).join(days, F.col("date").eqNullSafe(F.col("_day")), "left_semi")
+        days = [r[0] for r in batch.select("date").distinct().collect()]  # the calendar days of one micro-batch
+        stored = {d: [b for b in _batches(spark, target, d) if b < batch_id] for d in days}
+        paths = [f"{target}/{_folder(d)}/batch={max(b)}" for d, b in stored.items() if b]
+        if paths:
+            old = spark.read.option("basePath", target).parquet(*paths)
             new = old.select(*new.columns).unionByName(new).groupBy(*keys).agg(
                 F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("PM2_5_max").alias("PM2_5_max"))
         new.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite") \
             .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(target)
+        for d, b in stored.items():
+            for n in sorted(b)[:-1]:
+                _path(spark, f"{target}/{_folder(d)}/batch={n}", delete=True)
 
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -74,21 +81,33 @@ def upsert_batches(stream: DataFrame, target: str, checkpoint: str, keys: list[s
     return target
 
 
-def _newest(state: DataFrame) -> DataFrame:
-    """The rows of each day's newest batch."""
-    top = state.groupBy(F.col("date").alias("_d")).agg(F.max("batch").alias("_b"))
-    return state.join(top, F.col("date").eqNullSafe(F.col("_d")) & (F.col("batch") == F.col("_b"))).drop("_d", "_b")
+def _folder(day) -> str:
+    return f"date={day if day is not None else '__HIVE_DEFAULT_PARTITION__'}"
 
 
-def read_upserted(spark: SparkSession, target: str) -> DataFrame:
-    """SS-02 table: keys, n, PM2_5_mean, PM2_5_max."""
-    return _newest(spark.read.parquet(target)).withColumn("PM2_5_mean", F.col("total") / F.col("n")).drop("total", "batch")
+def _path(spark: SparkSession, pattern: str, delete: bool = False) -> list[str]:
+    """Paths that match, from Spark's own file system; with ``delete`` the path itself is removed."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if delete:
+        fs.delete(p, True)
+        return []
+    return [s.getPath().toString() for s in fs.globStatus(p) or []]
+
 
+def _batches(spark: SparkSession, target: str, day) -> list[int]:
+    """Batches stored for a day."""
+    return [int(p.rsplit("=", 1)[1]) for p in _path(spark, f"{target}/{_folder(day)}/batch=*")]
 
-def _exists(spark: SparkSession, target: str) -> bool:
-    """Whether a batch has been committed below ``target`` (asked of Spark's own file system)."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/date=*")
-    return bool(list(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []))
+
+def read_upserted(spark: SparkSession, target: str) -> DataFrame:
+    """SS-02 table: keys, n, PM2_5_mean, PM2_5_max.  Only the newest batch folder of each day is read."""
+    newest: dict[str, int] = {}
+    for p in _path(spark, f"{target}/date=*/batch=*"):
+        day, n = p.rsplit("/batch=", 1)
+        newest[day] = max(int(n), newest.get(day, -1))
+    table = spark.read.option("basePath", target).parquet(*[f"{day}/batch={n}" for day, n in newest.items()])
+    return table.withColumn("PM2_5_mean", F.col("total") / F.col("n")).drop("total", "batch")
 
 
 def checkin_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:

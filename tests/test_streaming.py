@@ -63,6 +63,39 @@ def test_foreach_batch_upsert_merges_days_and_is_idempotent(spark):
     assert [r[0] for r in later.select("date").distinct().collect()] == [day]
 
 
+def test_a_batch_reads_only_the_days_it_touches(spark):
+    """Files read by a later batch don't grow with the days stored, old batches go, and a retry changes nothing."""
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    folder = tempfile.mkdtemp(prefix="airwise-stream-")
+    out, ck = SS.scratch(spark, "t-ss02-days")
+    days = [r[0] for r in ev.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+
+    def run(checkpoint):
+        r = SS.readings_stream(SS.event_stream(spark, folder)).withColumn("date", F.to_date("ts"))
+        SS.upsert_batches(r, out, checkpoint, ["location_id", "date"])
+
+    for k in range(4):  # everything in four batches, then one day three times
+        _land(spark, folder, ev.where(F.col("event_id") % 4 == k), f"p{k}")
+        run(ck)
+    for k in range(3):
+        _land(spark, folder, ev.where(F.to_date("ts") == F.lit(days[0])), f"q{k}")
+        run(ck)
+    assert all(1 <= len(SS._batches(spark, out, d)) <= 2 for d in days)
+    assert max(SS._batches(spark, out, days[0])) == 6 and max(SS._batches(spark, out, days[1])) == 3
+    table = {(r["location_id"], r["date"]): r["n"] for r in SS.read_upserted(spark, out).collect()}
+    one = ev.where(F.to_date("ts") == F.lit(days[0])).count()
+    assert sum(n for (_, d), n in table.items() if d == days[0]) == 4 * one and sum(table.values()) == ev.count() + 3 * one
+    read = []
+    original = spark.read.__class__.parquet
+    try:
+        spark.read.__class__.parquet = lambda self, *p, **kw: read.extend(p) or original(self, *p, **kw)
+        _land(spark, folder, ev.where(F.to_date("ts") == F.lit(days[1])), "r")
+        run(ck)
+    finally:
+        spark.read.__class__.parquet = original
+    assert [p for p in read if p.startswith(out)] == [f"{out}/date={days[1]}/batch=3"]
+
+
 def test_checkins_keep_the_first_by_time(spark):
     """The first record of a user's day wins whatever file it comes in."""
     ev = spark.read.parquet(f"{SMALL}/events.parquet")
