@@ -208,3 +208,22 @@ def _root(spark, root, children: int, totals) -> DataFrame:
     return spark.range(1).select(long(0, "depth"), long(0, "f0"), long(0, "f1"), long(root["conv_id"], "conv_id"), long(None, "parent_conv_id"),
                                  long(root["n_convs"], "n_convs"), long(children, "n_children"), long(totals["leaf"] or 1, "n_leaves"),
                                  long(totals["held"] or 0, "saved_tokens"))
+
+
+ORACLE_SQL = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+             {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS e FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(e ORDER BY pos) AS l FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, l, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h FROM l),
+b AS (SELECT h.conv_id, list_concat(coalesce(base.l[1:h], []), h.l[h + 1:]) AS p FROM h LEFT JOIN l base ON base.conv_id = h.conv_id - h.conv_id % 5),
+k AS (SELECT conv_id, d, p[1:d] AS k, d = len(p) AS ends FROM (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM b)),
+nodes AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS e FROM k GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, CASE WHEN nodes.d = 0 THEN 0 ELSE (n_convs - 1) * strlen(nodes.k[-1].x) END AS w
+          FROM nodes LEFT JOIN kids ON kids.d = nodes.d AND kids.k = nodes.k),
+sub AS (SELECT a AS d, k[1:a] AS k, sum(w) AS saved, sum((n_children = 0)::INTEGER) AS leaves FROM (SELECT k, w, n_children, unnest(range(0, d + 1)) AS a FROM full_) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.e, '')) AS ends_sha256
+FROM full_ f JOIN sub ON sub.d = f.d AND sub.k = f.k LEFT JOIN nodes up ON up.d = f.d - 1 AND up.k = f.k[1:f.d - 1]
+"""

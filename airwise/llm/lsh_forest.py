@@ -311,3 +311,18 @@ def keep_one(docs: DataFrame, **limits) -> DataFrame:
     kept = near_duplicates(docs, **limits).where("kept").select(F.col("doc_id").alias("id")).distinct()
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("own"))
     return packed.join(kept, F.col("own").eqNullSafe(F.col("id")), "left_semi").select(*unpacked(docs))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+g AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT doc_id AS d, doc_id AS x FROM documents UNION SELECT r.d, g.v FROM r JOIN g ON g.u = r.x),
+c AS (SELECT d, min(x) AS component_id FROM r GROUP BY d)
+SELECT d AS doc_id, coalesce(n, 0) AS n_shingles, component_id, d = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.d
+"""

@@ -82,7 +82,7 @@ def op5_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.pages_as_of(table(spark, sf_dir, "pages"))
 
 
-@query("op13_prefix_trie")
+@query("op13_prefix_trie", conv_trie.ORACLE_SQL)
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -92,6 +92,6 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_repair.repair(table(spark, sf_dir, "conversations"))
 
 
-@query("op12_lsh_forest")
+@query("op12_lsh_forest", lsh_forest.ORACLE_SQL)
 def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
