@@ -2,26 +2,31 @@
 
 Base: a document's words are searched for license phrases whose words stand consecutively.
 
-Method: a block is a line with words, as the set of its words; a template is a set of words.  A block
-matches when it contains at least ``threshold`` of a template's words.  The join finds every match
-and verifies few blocks:
-
-* template words are put in one global order, rarest in the corpus first (blocks that hold a word
-  are counted over all documents; only the templates' vocabulary comes to the driver);
+Method: a block is a run of consecutive words of the whole text, as long as the template's wording
+divided by the threshold, so line breaks and comment marks inside a notice don't matter, and words
+that stand scattered are no notice.  A template is a set of words; a block matches when it contains
+at least ``threshold`` of them.  The join finds every match and verifies few blocks:
+
+* texts are cut into pieces of ``PIECE`` words that overlap by the longest block, so every block lies
+  whole in a piece and a very long text is many rows.  Template words are put in one global order,
+  rarest in the corpus first (pieces that hold a word are counted over all documents; only the
+  templates' vocabulary comes to the driver); a piece's template words stand in that order;
 * prefix: a match misses at most ``n - need`` of a template's n words, so it holds one of the first
-  ``n - need + 1``.  Blocks are joined with this index of prefix words only;
-* length: a block of fewer than ``need`` words can't match;
-* position: when the first prefix word found is the template's i-th, the i - 1 before it are
-  missing, so at most ``n - i + 1`` can be shared;
-* candidates are verified by intersecting the sets.
+  ``n - need + 1``.  Pieces are joined with this index of prefix words only, by the first they hold;
+* length: a piece of fewer than ``need`` template words can't match;
+* position: when the first prefix word found is the template's i-th and the piece's j-th, at most the
+  words from there on in both can be shared;
+* candidates are verified: the sets are intersected, then the blocks that start at a template word
+  (each best block can be moved to one).
 
 All of it is DataFrame functions; the prefix index has a row per template and prefix word and is
 broadcast, its size being that of the templates.  Only matches and word counts are shuffled, so a hot
 source or a license line that a third of all documents hold is as cheap as any.
 
-Rows: null text has no words; repeated rows get a row each; a null doc_id stays null; extra columns
-are ignored; an empty table gives an empty result.  A document without any match has empty labels
-and score 0; a base label's score is 1, another's the best containment found.
+Rows: null text has no words; very long texts are read whole, a piece a row; repeated rows get a row
+each; a null doc_id stays null; extra columns are ignored; an empty table gives an empty result.  A
+document without any match has empty labels and score 0; a base label's score is 1, another's the
+best containment found.
 """
 
 from __future__ import annotations
@@ -50,46 +55,59 @@ TEMPLATES = {
             "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
 }
 THRESHOLD = 0.8
+#: Words of a piece beyond which the next one starts.
+PIECE = 256
 
 
-def _templates(templates: dict[str, list[str]]) -> list[tuple[str, tuple[str, ...]]]:
-    return [(label, tuple(sorted(set(t.split())))) for label, texts in sorted(templates.items()) for t in texts]
+def _templates(templates: dict[str, list[str]], threshold: float) -> list[tuple[str, tuple[str, ...], int, int]]:
+    """label, distinct words, how many of them a match needs, words of a block."""
+    up = lambda x: ceil(round(x, 9))
+    return [(label, tuple(sorted(set(t.split()))), up(threshold * len(set(t.split()))), up(len(t.split()) / threshold))
+            for label, texts in sorted(templates.items()) for t in texts]
 
 
 def _words_of(xs) -> Column:
     return F.array(*[F.lit(x) for x in xs])
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, th, tm, block: the distinct words of every line that has words."""
-    rows = docs.select("doc_id", text_of().alias("t")).select("doc_id", *text_keys(F.col("t")), F.explode(F.split("t", "\n", -1)).alias("line"))
-    return rows.select("doc_id", "th", "tm", F.array_distinct(word_array(F.col("line"))).alias("block"))
+def pieces(docs: DataFrame, overlap: int) -> DataFrame:
+    """doc_id, th, tm, piece: the words of every text, cut into overlapping pieces."""
+    rows = docs.select("doc_id", text_of().alias("t")).select("doc_id", *text_keys(F.col("t")), word_array(F.col("t")).alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.size("w"), F.lit(PIECE))
+    return rows.select("doc_id", "th", "tm", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.lit(PIECE + overlap)))).alias("piece"))
 
 
-def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """In how many blocks each word of the (small) vocabulary stands."""
-    found = blocks(docs).select(F.explode(F.array_intersect("block", _words_of(vocabulary))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+def word_frequencies(docs: DataFrame, vocabulary: list[str], overlap: int) -> dict[str, int]:
+    """In how many pieces each word of the (small) vocabulary stands."""
+    found = pieces(docs, overlap).select(F.explode(F.array_intersect(_words_of(vocabulary), "piece")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     return {r["w"]: r["n"] for r in found.collect()}  # a row per word of the vocabulary at most
 
 
 def similar_blocks(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, th, tm, label, containment: every block that contains ``threshold`` of a template's words."""
+    """doc_id, th, tm, label, containment: the best block of every text that contains ``threshold`` of a template's words."""
     spark = docs.sparkSession
-    known = _templates(templates or TEMPLATES)
-    count = word_frequencies(docs, sorted({w for _, t in known for w in t}))
+    known = _templates(templates or TEMPLATES, threshold)
+    overlap = max(span for *_, span in known) - 1
+    vocabulary = sorted({w for _, t, _, _ in known for w in t})
+    count = word_frequencies(docs, vocabulary, overlap)
+    rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
     index = []
-    for k, (label, words) in enumerate(known):
-        ordered = sorted(words, key=lambda w: (count.get(w, 0), w))
-        need = ceil(round(threshold * len(words), 9))
-        index += [(w, k, label, i, len(words), need, ordered) for i, w in enumerate(ordered[:len(words) - need + 1])]
-    prefix = spark.createDataFrame(index, "w string, template int, label string, i int, n int, need int, words array<string>")
-    rare = sorted({x[0] for x in index})
-    # the prefix words of a block become rows; the block goes along for the check
-    probes = blocks(docs).withColumn("w", F.explode(F.array_intersect("block", _words_of(rare))))
+    for k, (label, words, need, span) in enumerate(known):
+        ordered = sorted(words, key=rank.get)
+        index += [(w, k, label, i, len(words), need, span, ordered, ordered[:i]) for i, w in enumerate(ordered[:len(words) - need + 1])]
+    prefix = spark.createDataFrame(index, "w string, template int, label string, i int, n int, need int, span int, words array<string>, rarer array<string>")
+    rare = sorted({x[0] for x in index}, key=rank.get)
+    # the template words of a piece in the global order; its prefix words become rows, and the piece goes along for the check
+    tokens = pieces(docs, overlap).withColumn("held", F.array_intersect(_words_of(sorted(rank, key=rank.get)), "piece"))
+    probes = tokens.withColumn("w", F.explode(F.array_intersect(_words_of(rare), "held")))
+    left = F.size("held") - F.array_position("held", F.col("w")) + 1
     hits = probes.join(F.broadcast(prefix), "w") \
-        .where((F.size("block") >= F.col("need")) & (F.col("n") - F.col("i") >= F.col("need"))) \
-        .withColumn("shared", F.size(F.array_intersect("block", "words"))).where(F.col("shared") >= F.col("need"))
-    return hits.groupBy("doc_id", "th", "tm", "label").agg(F.max(F.col("shared") / F.col("n")).alias("containment"))
+        .where((F.size("held") >= F.col("need")) & (left >= F.col("need")) & (F.col("n") - F.col("i") >= F.col("need"))) \
+        .where(~F.arrays_overlap("held", "rarer") & (F.size(F.array_intersect("held", "words")) >= F.col("need")))
+    starts = F.filter(F.sequence(F.lit(1), F.size("piece")), lambda p: F.array_contains(F.col("words"), F.get("piece", p - 1)))
+    best = F.array_max(F.transform(starts, lambda p: F.size(F.array_intersect(F.slice("piece", p, F.col("span")), "words"))))
+    return hits.select("doc_id", "th", "tm", "label", "n", "need", best.alias("shared")).where("shared >= need") \
+        .groupBy("doc_id", "th", "tm", "label").agg(F.max(F.col("shared") / F.col("n")).alias("containment"))
 
 
 def phrase_starts(words: Column, phrase: str) -> Column:
@@ -129,20 +147,19 @@ def license_labels(docs: DataFrame, phrases: dict[str, str] | None = None, templ
 
 
 def oracle_sql() -> str:
-    """The whole result in DuckDB SQL: every line against every template, without filters."""
+    """The whole result in DuckDB SQL: every block that starts at a template's word against the template, without the join's filters."""
     words = lambda c: (f"list_filter(string_split_regex(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
                        r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
-    known = ", ".join(f"('{label}', {list(t)})" for label, t in _templates(TEMPLATES))
+    known = ", ".join(f"('{label}', {list(t)}, {need}, {span})" for label, t, need, span in _templates(TEMPLATES, THRESHOLD))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, {words('t')} AS w FROM d),
-ph(p, label, n) AS (VALUES {phrases}), tp(label, words) AS (VALUES {known}),
+ph(p, label, n) AS (VALUES {phrases}), tp(label, words, need, span) AS (VALUES {known}),
 spot AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, p, label, n, unnest(range(0, len(w) - n + 1)) AS i FROM w, ph WHERE len(w) >= n)
        WHERE array_to_string(w[i + 1:i + n], ' ') = p),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM spot GROUP BY doc_id),
-bl AS (SELECT doc_id, list_distinct({words('line')}) AS block FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-m AS (SELECT doc_id, label, len(list_intersect(block, words)) / CAST(len(words) AS DOUBLE) AS c FROM bl, tp
-      WHERE len(list_intersect(block, words)) >= ceil(round({THRESHOLD} * len(words), 9))),
+bl AS (SELECT doc_id, label, words, need, unnest([list_intersect(w[i:i + span - 1], words) FOR i IN range(1, len(w) + 1) IF list_contains(words, w[i])]) AS shared FROM w, tp),
+m AS (SELECT doc_id, label, len(shared) / CAST(len(words) AS DOUBLE) AS c FROM bl WHERE len(shared) >= need),
 ls AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM spot) GROUP BY doc_id),
 mx AS (SELECT doc_id, max(c) AS c FROM m GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,

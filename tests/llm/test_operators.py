@@ -155,25 +155,30 @@ def test_warc_index_members_leave_while_the_stream_is_read():
 
 def test_license_scan_against_brute_force(spark):
     rows = edge_texts() + [(300, "Permission is granted, hereby, free of charge to any person: obtaining copy of this software and associated files"),
-                           (301, "all\nrights reserved"), (302, "MIT\nLicense and mit-license MIT License license mit license"), (303, "released under the MIT licence")]
+                           (301, "all\nrights reserved"), (304, "these rights are of all users and none is reserved"),
+                           (305, "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"),
+                           (306, "Redistribution and use in source and binary forms, with or without modification,\n * are permitted provided that the\n\n * following conditions are met:"),
+                           (307, "filler of the license " * 80 + "redistribution and use in source and binary forms with or without any permitted provided that the following conditions are " + "x " * 300),
+                           (302, "MIT\nLicense and mit-license MIT License license mit license"), (303, "released under the MIT licence")]
     got = {(r["doc_id"], r["n_words"]): r for r in license_scan.license_labels(docs_of(spark, rows)).collect()}
-    known = [(label, set(t.split())) for label, ts in license_scan.TEMPLATES.items() for t in ts]
+    known = [(label, set(t.split()), math.ceil(len(t.split()) / 0.8)) for label, ts in license_scan.TEMPLATES.items() for t in ts]
     for i, t in rows:
         w = loose_words(t)
         spots = [(k, label) for p, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k:k + len(p.split())] == p.split()]
         best, theirs = 0.0, set()
-        for line in (t or "").split("\n"):
-            b = set(loose_words(line))
-            for label, words in known:
-                if len(b & words) >= 0.8 * len(words) - 1e-9:
-                    theirs.add(label)
-                    best = max(best, len(b & words) / len(words))
+        for label, words, span in known:
+            shared = max((len(set(w[k:k + span]) & words) for k in range(len(w))), default=0)
+            if shared >= 0.8 * len(words) - 1e-9:
+                theirs.add(label)
+                best = max(best, shared / len(words))
         r = got[(i, len(w))]
         starts = [k for k, _ in spots]
         assert (r.n_base, r.first_word, r.last_word) == (len(spots), min(starts, default=None), max(starts, default=None)), i
         assert r.base_labels == ",".join(sorted({x for _, x in spots})) and r.labels == ",".join(sorted({x for _, x in spots} | theirs))
         assert r.score == (1.0 if spots else best)
     assert license_scan.license_labels(docs_of(spark, rows)).count() == len(rows)
+    labels = {i: r.labels for (i, _), r in got.items()}
+    assert [labels[i] for i in (301, 304, 305, 306, 307)] == ["arr", "", "mit", "bsd", "bsd"]
 
 
 # ---- 3 quality ------------------------------------------------------------------------------------------
