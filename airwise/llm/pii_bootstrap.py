@@ -12,9 +12,12 @@ patterns are the last word and the last ``context`` words before it and the firs
 lower-cased, each with the punctuation between word and value and without other instances between.
 Seeds, with score 1, are the valid base matches and the identifiers assigned (= or :) to a cue word:
 a name of a kind or of a secret.  The graph of distinct (pattern, instance) edges of all patterns is
-stored in the shared folder and scored in rounds: a pattern's confidence is the mean score of its distinct instances, provided that at
-least ``support`` of them score as personal; an instance that is no seed gets the confidence of its
-best confident pattern.  After the rounds, identifiers next to a pattern of ``confidence`` or more
+stored in the shared folder and scored in rounds: a pattern's confidence is the mean score of its
+distinct instances times its weight, provided that at least ``support`` of them score as personal; an
+instance that is no seed gets the confidence of its best confident pattern.  The weight is the share
+of the pattern's places next to instances among all its places in all texts, so a function word, which
+mostly stands next to plain words, is never trusted.  Weights only lower confidences, so the rounds
+run without them first and the texts are searched for the few patterns trusted then.  After the rounds, identifiers next to a pattern of ``confidence`` or more
 are spans of kind ``id``.  The same identifier elsewhere is found only where its context is
 confident too, since short numbers recur by chance.
 
@@ -22,7 +25,9 @@ Identifiers that touch a base span are found by running bounds over a row's span
 Everything is built of DataFrame functions.  A hot pattern or instance is reduced by partial
 aggregates over distinct edges, and joins on it are split by AQE.
 
-Rows: null text is empty; repeated rows get a row each; a null doc_id stays null; extra columns are
+Words next to a match are read up to 80 characters away; a word that crosses this bound is left out.
+
+Rows: null text is empty; very long texts are read whole; repeated rows get a row each; a null doc_id stays null; extra columns are
 ignored; an empty table gives an empty result.  Where nothing is found base_sha256 is the hash of
 the empty string and spans the empty string.
 """
@@ -43,7 +48,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TOKEN = r"(?<![A-Za-z0-9-])(?=[A-Za-z-]*+[0-9])[A-Za-z0-9-]++"
-#: Characters of a text looked at for the words before a match.
+#: Characters of a text looked at for the words next to a match.
 LOOK_BACK = 80
 CONTEXT = 2
 #: Names of kinds and of secrets that seed an identifier assigned to them.
@@ -84,10 +89,11 @@ def _marks(between: Column) -> Column:
 def _patterns(left: Column, right: Column, context: int) -> Column:
     """patterns and cue of a match: its words with the punctuation next to it, and whether it is assigned to a cue word."""
     near = ascii_lower(F.substring(left, -LOOK_BACK, LOOK_BACK))
+    near = F.when(F.length(left) > LOOK_BACK, F.regexp_replace(near, r"^[^\s\p{Punct}]++", "")).otherwise(near)
     words = F.array_remove(F.split(near, r"[\s\p{Punct}]+", -1), "")
     marks = _marks(F.regexp_extract(near, r"[\s\p{Punct}]*+$", 0))
-    after = ascii_lower(F.substring(right, 1, LOOK_BACK))
-    word = F.regexp_extract(after, r"^[\s\p{Punct}]*+([^\s\p{Punct}]++)", 1)
+    after = ascii_lower(F.when(F.length(right) > LOOK_BACK, F.substring(right, 1, LOOK_BACK)).otherwise(F.concat(right, F.lit(" "))))
+    word = F.regexp_extract(after, r"^[\s\p{Punct}]*+([^\s\p{Punct}]++)(?=[\s\p{Punct}])", 1)
     of = lambda w, m: F.array(*[F.when(F.size(w) >= n, F.concat(F.lit(f"{n}<"), F.concat_ws(" ", F.slice(w, F.size(w) - (n - 1), F.lit(n))), m))
                                 for n in sorted({1, context})],
                               F.when(word != "", F.concat(F.lit("1>"), _marks(F.regexp_extract(after, r"^[\s\p{Punct}]*+", 0)), word)))
@@ -135,15 +141,12 @@ def matches(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
         F.when(F.col("kind") == "id", F.col("valid") & ~F.col("touches")).otherwise(F.col("valid")).alias("valid")), "pii-matches")
 
 
-def confident_patterns(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, confidence): the patterns that the scored graph trusts."""
-    named = found.where("valid")
-    seeds = named.where("kind <> 'id' OR cue").select(F.col("m").alias("x"), F.lit(1.0).alias("score")).distinct()
-    edges = stored(named.select(F.explode("patterns").alias("pattern"), F.col("m").alias("x")).distinct(), "pii-edges")
+def _scored(edges: DataFrame, seeds: DataFrame, support: int, confidence: float, rounds: int) -> DataFrame:
+    """(pattern, confidence) after the rounds, from edges (pattern, x, weight) and seeds (x, score)."""
     scores = seeds
     for r in range(rounds):
         seen = edges.join(scores, "x", "left").groupBy("pattern").agg(
-            F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence"),
+            (F.avg(F.coalesce("score", F.lit(0.0))) * F.first("weight")).alias("confidence"),
             F.count(F.when(F.col("score") >= confidence, 1)).alias("known"))
         trusted = stored(seen.where((F.col("known") >= support) & (F.col("confidence") >= confidence)).select("pattern", "confidence"), "pii-patterns")
         if r + 1 < rounds:
@@ -152,10 +155,44 @@ def confident_patterns(found: DataFrame, support: int = SUPPORT, confidence: flo
     return trusted
 
 
+def plain_places(docs: DataFrame, patterns: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """(pattern, plain): at how many places of all texts each of ``patterns`` stands next to a word that is in no match."""
+    mark = "0" * MIN_LENGTH
+    t = text_of()
+    for p in [*PATTERNS.values(), TOKEN[:-2] + f"{{{MIN_LENGTH},}}+"]:
+        t = F.regexp_replace(t, p, mark)
+    # every word with the marks behind it, beside the words that follow
+    words = docs.select(ascii_lower(t).alias("t")).select(F.regexp_extract_all("t", F.lit(r"[^\s\p{Punct}]++[\s\p{Punct}]*+"), F.lit(0)).alias("w")).where(F.size("w") > 1)
+    names = [f"w{k}" for k in range(context + 1)]
+    runs = F.arrays_zip(*[F.slice("w", F.lit(k + 1), F.size("w")) for k in range(context + 1)]).cast(f"array<struct<{','.join(f'{n}:string' for n in names)}>>")
+    rows = words.select(F.explode(runs).alias("x")).select("x.*")
+    plain = lambda c: c.isNotNull() & ~F.contains(c, F.lit(mark))
+    word = lambda c: F.regexp_extract(c, r"^[^\s\p{Punct}]++", 0)
+    found = [F.when(plain(F.col(names[n])), F.concat(F.lit(f"{n}<"), F.concat_ws(" ", *[word(F.col(x)) for x in names[:n - 1]], _marks(F.col(names[n - 1])))))
+             for n in sorted({1, context})]
+    found.append(F.when(plain(F.col("w0")), F.concat(F.lit("1>"), _marks(F.regexp_extract("w0", r"[\s\p{Punct}]*+$", 0)), word(F.col("w1")))))
+    return rows.select(F.explode(F.array(*found)).alias("pattern")).join(patterns.select("pattern"), "pattern", "left_semi") \
+        .groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
+
+
+def confident_patterns(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, confidence): the patterns that the scored graph trusts."""
+    named = found.where("valid")
+    seeds = named.where("kind <> 'id' OR cue").select(F.col("m").alias("x"), F.lit(1.0).alias("score")).distinct()
+    places = named.select(F.explode("patterns").alias("pattern"), F.col("m").alias("x"))
+    edges = stored(places.groupBy("pattern", "x").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
+    first = _scored(edges.withColumn("weight", F.lit(1.0)), seeds, support, confidence, rounds).select("pattern")
+    kept = edges.join(first, "pattern", "left_semi")
+    inside = kept.groupBy("pattern").agg(F.sum("n").alias("inside"))
+    weights = stored(inside.join(plain_places(docs, first), "pattern", "left")
+                     .select("pattern", (F.col("inside") / (F.col("inside") + F.coalesce("plain", F.lit(0)))).alias("weight")), "pii-weights")
+    return _scored(stored(kept.join(weights, "pattern"), "pii-edges"), seeds, support, confidence, rounds)
+
+
 def spans(docs: DataFrame, **limits) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, th, tm, base (sorted (s, k, kind, e) structs) and all (with the discovered)."""
     found = matches(docs)
-    trusted = confident_patterns(found, **limits).select("pattern")
+    trusted = confident_patterns(docs, found, **limits).select("pattern")
     ids = found.where("kind = 'id' AND valid").select("row", "s", "e", F.explode("patterns").alias("pattern")) \
         .join(trusted, "pattern", "left_semi").select("row", "s", "e").distinct()
     base = found.where("kind <> 'id' AND valid").select("row", "k", "kind", "s", "e")

@@ -382,6 +382,83 @@ def test_personal_data_backs_off_and_looks_right(spark):
     assert got[200] == "id:6:15" and got[201] == got[202] == ""
 
 
+def brute_identifiers(rows):
+    """Per row the identifiers that the bootstrapped graph finds: plain loops over places, patterns and instances."""
+    gap = r"[ \t\n\x0b\f\r" + re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + "]"
+    solid = gap.replace("[", "[^", 1)
+    kinds = [*PII.items(), ("id", r"(?<![A-Za-z0-9-])(?=[A-Za-z-]*+[0-9])[A-Za-z0-9-]++")]
+    one = lambda m: re.sub(r"[ \t\n\x0b\f\r]+", " ", m)
+    edges, places, seeds, found, plain = {}, {}, set(), [], {}
+    for row, (_, t) in enumerate(rows):
+        t = t or ""
+        base = [(s, e, kind) for s, _, kind, e in brute_spans(t)]
+        for kind, expression in kinds:
+            end, ms = 0, list(re.finditer(expression, t))
+            for k, m in enumerate(ms):
+                left, right = t[end:m.start()], t[m.end():ms[k + 1].start() if k + 1 < len(ms) else len(t)]
+                end = m.end()
+                if kind == "id" and (len(m[0]) < 6 or any(s < m.end() and m.start() < e for s, e, _ in base)) or kind != "id" and (*m.span(), kind) not in base:
+                    continue
+                near, after = ascii_lower(left[-80:]), ascii_lower(right[:80])
+                if len(left) > 80:
+                    near = re.sub("^" + solid + "+", "", near)
+                words, marks = re.findall(solid + "+", near), one(re.search(gap + "*$", near)[0])
+                mine = {f"{n}<" + " ".join(words[-n:]) + marks for n in (1, 2) if len(words) >= n}
+                w = re.match(f"({gap}*)({solid}+)", after)
+                if w and not (len(right) > 80 and w.end() == 80):
+                    mine.add("1>" + one(w[1]) + w[2])
+                for x in mine:
+                    edges.setdefault(x, set()).add(m[0])
+                    places[x] = places.get(x, 0) + 1
+                if kind != "id" or words and words[-1] in pii_bootstrap.CUES and re.search("[=:]", marks):
+                    seeds.add(m[0])
+                if kind == "id":
+                    found.append((row, m.start(), m.end(), mine))
+        for expression in [*PII.values(), kinds[-1][1][:-2] + "{6,}+"]:
+            t = re.sub(expression, "000000", t)
+        w = re.findall(f"({solid}+)({gap}*)", ascii_lower(t))
+        for k, (x, marks) in enumerate(w):
+            if "000000" not in x:
+                near = [f"1<{w[k - 1][0]}{one(w[k - 1][1])}"] if k else []
+                near += [f"2<{w[k - 2][0]} {w[k - 1][0]}{one(w[k - 1][1])}"] if k > 1 else []
+                near += [f"1>{one(marks)}{w[k + 1][0]}"] if k + 1 < len(w) else []
+                for p in near:
+                    plain[p] = plain.get(p, 0) + 1
+    scores = dict.fromkeys(seeds, 1.0)
+    for _ in range(3):
+        trusted = {}
+        for p, xs in edges.items():
+            c = sum(scores.get(x, 0.0) for x in xs) / len(xs) * places[p] / (places[p] + plain.get(p, 0))
+            if sum(scores.get(x, 0.0) >= 0.8 for x in xs) >= 3 and c >= 0.8:
+                trusted[p] = c
+        scores = dict.fromkeys(seeds, 1.0)
+        for p, c in trusted.items():
+            scores.update({x: max(c, scores.get(x, 0.0)) for x in edges[p]})
+    return trusted, sorted((row, s, e) for row, s, e, mine in found if mine & trusted.keys())
+
+
+def test_personal_data_graph_against_brute_force(spark):
+    rnd = random.Random(11)
+    hexes = [hashlib.sha1(str(k).encode()).hexdigest()[:rnd.choice([8, 20, 40])] for k in range(60)]
+    values = [*hexes, "a.b@c.de", "x9@y.org", "10.0.0.1", "+1 (377) 555-0271", "4111111111111111", "1990", "plain"]
+    fill = ["of", "the", "to", "mail", "z" * 90, "call,", "user-77-abc", "Über", "at\n", "12"]
+    shapes = ['token = "{}" then', "contact {} now", "the {} of", "my id: {};", "see ({}) to", "password:{} x"]
+    rows = edge_texts() + [(1000 + k, " ".join(rnd.choice([rnd.choice(fill), rnd.choice(shapes).format(rnd.choice(values))]) for _ in range(rnd.randint(0, 25)))) for k in range(150)]
+    rows += [(2000 + k, f"the of the {w} to the of") for k, w in enumerate(["it", "12", "an 1.2.3.4", "b@c.de", "code 77aabb11"] * 4)]
+    trusted, want = brute_identifiers(rows)
+    got = [(tuple(map(int, x.split(":")[1:])), r.doc_id) for r in pii_bootstrap.personal_data(docs_of(spark, rows)).collect() for x in r.spans.split(",") if x.startswith("id:")]
+    assert sorted(((i is None, i or 0), se) for se, i in got) == sorted(((rows[k][0] is None, rows[k][0] or 0), (s, e)) for k, s, e in want)
+    assert len(want) > 50 and '1<token = "' in trusted and not trusted.keys() & {"1<the ", "1> of"}
+
+
+def test_personal_data_does_not_trust_function_words(spark):
+    """Words that stand before few harmless numbers, but mostly before plain words, are no evidence."""
+    rows = [(k, f"write to {w}{k}@ex.com about the {w} and go to work or to {w} on foot") for k, w in enumerate("abcdefgh")]
+    rows += [(100, "he came to 1234567 of them"), (101, "write to user77xk9 soon")]
+    got = {r.doc_id: r.spans for r in pii_bootstrap.personal_data(docs_of(spark, rows)).collect()}
+    assert got[100] == "" and got[101] == "id:9:18"  # "write to " is evidence, "to " is not
+
+
 def test_mask_merges_and_keeps_rows(spark):
     rows = [(1, "hi a@b.c, 1.2.3.4 é+1 (377) 555-0271!"), (1, "hi a@b.c, 1.2.3.4 é+1 (377) 555-0271!"), (2, None), (None, "x")]
     df = docs_of(spark, rows)
