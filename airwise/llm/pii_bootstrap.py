@@ -161,18 +161,29 @@ def plain_places(docs: DataFrame, patterns: DataFrame, context: int = CONTEXT) -
     t = text_of()
     for p in [*PATTERNS.values(), TOKEN[:-2] + f"{{{MIN_LENGTH},}}+"]:
         t = F.regexp_replace(t, p, mark)
-    # every word with the marks behind it, beside the words that follow
-    words = docs.select(ascii_lower(t).alias("t")).select(F.regexp_extract_all("t", F.lit(r"[^\s\p{Punct}]++[\s\p{Punct}]*+"), F.lit(0)).alias("w")).where(F.size("w") > 1)
+    t = F.regexp_replace(ascii_lower(t), r"\s\s+|[\t\n\x0B\f\r]", " ")
+    # every word with the marks behind it, beside the words that follow and the next one with the marks before it
+    words = docs.select(t.alias("t")).select(F.regexp_extract_all("t", F.lit(r"[^\s\p{Punct}]++[\s\p{Punct}]*+"), F.lit(0)).alias("w"),
+                                             F.regexp_extract_all("t", F.lit(r"[\s\p{Punct}]*+[^\s\p{Punct}]++"), F.lit(0)).alias("v"))
+    after = lambda c, k: F.slice(c, F.lit(k + 1), F.size(c))
     names = [f"w{k}" for k in range(context + 1)]
-    runs = F.arrays_zip(*[F.slice("w", F.lit(k + 1), F.size("w")) for k in range(context + 1)]).cast(f"array<struct<{','.join(f'{n}:string' for n in names)}>>")
+    runs = F.arrays_zip(*[after("w", k) for k in range(context + 1)], after("v", 1)).cast(f"array<struct<{','.join(f'{n}:string' for n in names)},next:string>>")
     rows = words.select(F.explode(runs).alias("x")).select("x.*")
+    # a place is looked up by the word next to it; the words before that are compared where it is found
     plain = lambda c: c.isNotNull() & ~F.contains(c, F.lit(mark))
-    word = lambda c: F.regexp_extract(c, r"^[^\s\p{Punct}]++", 0)
-    found = [F.when(plain(F.col(names[n])), F.concat(F.lit(f"{n}<"), F.concat_ws(" ", *[word(F.col(x)) for x in names[:n - 1]], _marks(F.col(names[n - 1])))))
-             for n in sorted({1, context})]
-    found.append(F.when(plain(F.col("w0")), F.concat(F.lit("1>"), _marks(F.regexp_extract("w0", r"[\s\p{Punct}]*+$", 0)), word(F.col("w1")))))
-    return rows.select(F.explode(F.array(*found)).alias("pattern")).join(patterns.select("pattern"), "pattern", "left_semi") \
-        .groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
+    counts = sorted({1, context})
+    keys = [F.when(plain(F.col(names[n])), F.struct(F.concat(F.lit(f"{n}<"), F.col(names[n - 1])).alias("key"), F.lit(n - 1).alias("before"))) for n in counts]
+    keys.append(F.when(plain(F.col("w0")) & F.col("next").isNotNull(), F.struct(F.concat(F.lit("1>"), F.col("next")).alias("key"), F.lit(0).alias("before"))))
+    heads = F.concat_ws(" ", *[F.regexp_extract(c, r"^[^\s\p{Punct}]++", 0) for c in names[:context - 1]]) if context > 1 else F.lit("")
+    head, key = F.lit(""), F.col("pattern")
+    for n in counts:
+        part = lambda k: F.regexp_extract("pattern", rf"^{n}<((?:[^\s\p{{Punct}}]++ ){{{n - 1}}})(.*)$", k)  # noqa: B023, E731
+        mine = F.startswith("pattern", F.lit(f"{n}<"))
+        head, key = F.when(mine, F.rtrim(part(1))).otherwise(head), F.when(mine, F.concat(F.lit(f"{n}<"), part(2))).otherwise(key)
+    wanted = patterns.select("pattern", head.alias("head"), key.alias("key"))
+    return rows.select(*names, F.explode(F.array(*keys)).alias("k")).where("k.key IS NOT NULL") \
+        .withColumn("key", F.col("k.key")).join(wanted, "key") \
+        .where((F.col("k.before") == 0) | (heads == F.col("head"))).groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
 
 
 def confident_patterns(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
