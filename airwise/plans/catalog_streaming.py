@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airwise.plans.registry import query
+from airwise.sources import tables as T
 from airwise.streaming import streams as SS
 
 
@@ -46,3 +47,16 @@ def q_ss03(spark, d):
     SS.run_to_parquet(SS.checkin_stream(SS.event_stream(spark, d)), out, ck)
     return spark.read.parquet(out).select("user_id", "date", "event_id", F.col("wheeze").cast("double").alias("wheeze"),
                                           F.col("exerciseMinutes").cast("double").alias("exerciseMinutes"))
+
+
+@query("ss_03_streaming_checkin_arrivals", """
+SELECT user_id, CAST(ts AS DATE) AS date, CAST(1 AS BIGINT) AS n, true AS of_that_day
+FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2""", [])
+def q_ss03_arrivals(spark, d):
+    """SS-03: one check-in per (user, date), the first to arrive, joined back to its event: it is an event of that user and day."""
+    out, ck = SS.scratch(spark, "ss03-arrivals")
+    SS.run_to_parquet(SS.checkin_arrivals(SS.event_stream(spark, d)), out, ck, conf=SS.ROCKSDB)
+    kept = spark.read.parquet(out)
+    events = T.raw(spark, d, "events").select("event_id", F.col("user_id").alias("u"), F.to_date("ts").alias("day"))
+    return kept.join(events, "event_id").groupBy("user_id", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and((F.col("u") == F.col("user_id")) & (F.col("day") == F.col("date"))).alias("of_that_day"))

@@ -40,11 +40,27 @@ def daily_rollup_stream(readings: DataFrame, delay: str = "2 days") -> DataFrame
             .select("location_id", F.to_date(F.col("w.start")).alias("date"), "n", "PM2_5_mean", "PM2_5_max"))
 
 
-def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> str:
-    """Run a streaming query over everything available, into parquet (fault tolerant)."""
-    q = (df.writeStream.outputMode(mode).format("parquet").option("path", out)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+#: State on the executors' disks instead of their heaps; a commit uploads only what changed since the last one.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append", conf: dict[str, str] | None = None) -> str:
+    """Run a streaming query over everything available, into parquet (fault tolerant).  ``conf`` holds
+    settings for this query alone; the session's own come back when it has ended."""
+    spark = df.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        q = (df.writeStream.outputMode(mode).format("parquet").option("path", out)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return out
 
 
@@ -110,13 +126,31 @@ def read_upserted(spark: SparkSession, target: str) -> DataFrame:
     return table.withColumn("PM2_5_mean", F.col("total") / F.col("n")).drop("total", "batch")
 
 
+def _checkins(events: DataFrame) -> DataFrame:
+    return events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"),
+                         M.clamp_number(F.get_json_object("props", "$.k").try_cast("int") - 50, 0, 3).alias("wheeze"),
+                         M.clamp_number(F.col("value") / 100, 0, 1440).alias("exerciseMinutes"))
+
+
+def checkin_arrivals(events: DataFrame, days: int = 1) -> DataFrame:
+    """SS-03, first by arrival: the first record of a (user, date) that comes in leaves at once, before its
+    day closes, and later ones of that day are dropped.  State is one key per user and open day, run it with ``ROCKSDB``.
+
+    With a delay of a day or more no double passes: the key of a record at t is kept until the watermark
+    is beyond t + delay, which is after the end of its day, and from then on any other record of that day is late
+    itself.  Which of the records of one micro-batch stays is open; ``checkin_stream`` takes the first by time
+    and waits for it.  Rows without a time or user are check-ins of no one's day and are dropped."""
+    if days < 1:
+        raise ValueError("a delay below one day lets doubles of a day pass")
+    c = _checkins(events).where("user_id IS NOT NULL AND ts IS NOT NULL").withColumn("date", F.to_date("ts"))
+    return c.withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["user_id", "date"])
+
+
 def checkin_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """SS-03: check-in records clamped (MA-12); the first record per (user, date) by (time, event id)
     is kept.  The order is total, so neither arrival nor file order matters.  A day is emitted once
     the watermark passes its end; records later than that are dropped."""
-    c = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"),
-                      M.clamp_number(F.get_json_object("props", "$.k").try_cast("int") - 50, 0, 3).alias("wheeze"),
-                      M.clamp_number(F.col("value") / 100, 0, 1440).alias("exerciseMinutes"))
+    c = _checkins(events)
     record = F.struct("ts", "event_id", "wheeze", "exerciseMinutes")
     first = c.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(F.min(record).alias("r"))
     return first.select("user_id", F.to_date(F.col("w.start")).alias("date"), "r.event_id", "r.wheeze", "r.exerciseMinutes")

@@ -108,3 +108,34 @@ def test_checkins_keep_the_first_by_time(spark):
     want = ev.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.min(F.struct("ts", "event_id")).alias("x")).select("user_id", "date", "x.event_id")
     known = {(r["user_id"], r["date"]): r["event_id"] for r in want.collect()}
     assert got and all(known[k] == v for k, v in got.items())
+
+
+def test_first_checkin_leaves_at_once_and_doubles_over_files_are_dropped(spark):
+    """Every user's days are split over three files in three runs: a day's record is out after the first run, while
+    the day is open, later doubles change nothing, and what comes after the watermark passed its day is dropped."""
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    folder = tempfile.mkdtemp(prefix="airwise-stream-")
+    out, ck = SS.scratch(spark, "t-ss03-arrivals")
+    last = ev.agg(F.max(F.to_date("ts"))).first()[0]
+    first = ev.agg(F.min(F.to_date("ts"))).first()[0]
+    body = ev.where(F.to_date("ts") > F.lit(first))
+
+    def run():
+        SS.run_to_parquet(SS.checkin_arrivals(SS.event_stream(spark, folder)), out, ck, conf=SS.ROCKSDB)
+        return {(r["user_id"], r["date"]): r["event_id"] for r in spark.read.parquet(out).collect()}, spark.read.parquet(out).count()
+
+    open_days = body.where(F.to_date("ts") >= F.date_sub(F.lit(last), 1))
+    _land(spark, folder, open_days.where("event_id % 3 = 0"), "a")
+    one, n = run()
+    assert n == len(one) and any(day == last for _, day in one)
+    for k in (1, 2):
+        _land(spark, folder, open_days.where(f"event_id % 3 = {k}"), f"b{k}")
+        table, n = run()
+        assert n == len(table)
+        assert all(table[key] == i for key, i in one.items())
+    keys = {(r["user_id"], r["d"]) for r in open_days.select("user_id", F.to_date("ts").alias("d")).distinct().collect()}
+    late = {k for k in keys if k not in table}
+    assert set(table) <= keys and not any(day == last for _, day in late)
+    _land(spark, folder, ev.where(F.to_date("ts") == F.lit(first)), "late")
+    assert run()[0] == table
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != SS.ROCKSDB["spark.sql.streaming.stateStore.providerClass"]
