@@ -594,21 +594,54 @@ def hot_name_rows():
             for k in range(12000)]
 
 
-def test_a_hot_name_is_dealt_to_many_buckets():
-    rows, buckets = hot_name_rows(), 64
-    texts = pd.DataFrame({"batch": 5, "doc_id": [k for k, _ in rows], "t": [t.encode() for _, t in rows]})
-    names = pd.concat(bwt_dedup._names_of(8, 50)(iter([texts])))
-    frame = pd.concat(bwt_dedup._pack_texts(iter([texts])))
-    asked = [(5, 2, 0, texts["doc_id"].tolist(), None)]
+def told(names, kinds, limit):
+    """What a batch is told of its names: frames of ``_names_of`` answered bucket by bucket."""
+    out = []
     for b, mine in names.groupby("bucket"):
-        shared = bwt_dedup._shared_in_bucket(mine)
-        asked += [(5, kind, b, None, x) for kind, c in ((1, "names"), (4, "hot")) if c in shared for x in shared[c] if x]
-    sent = bwt_dedup._strings_of(8, buckets, 50)(pd.concat([frame, pd.DataFrame(asked, columns=["batch", "kind", "bucket", "ids", "data"])]))
+        shared = bwt_dedup._shared_in_bucket(limit)(mine)
+        out += [(5, kind, b, None, x) for kind, c in zip(kinds, ("names", "hot")) for x in shared[c] if x]
+    return out
+
+
+def strings_sent(rows, buckets, length=50):
+    """One batch through names, second names and strings, in this process: the batch's frame and what it sends."""
+    texts = pd.DataFrame({"batch": 5, "doc_id": [k for k, _ in rows], "t": [t.encode() for _, t in rows]})
+    columns = ["batch", "kind", "bucket", "ids", "data"]
+    frame = pd.concat([*bwt_dedup._pack_texts(iter([texts])), pd.DataFrame([(5, 2, 0, texts["doc_id"].tolist(), None)], columns=columns)])
+    asked = told(pd.concat(bwt_dedup._names_of(8, length)(iter([texts]))), (1, 4), bwt_dedup.NAME_BYTES)
+    hot = pd.concat([frame, pd.DataFrame(asked, columns=columns)])
+    asked += told(bwt_dedup._fine_names_of(8, 8, length)(hot), (5, 6), bwt_dedup.FINE_BYTES)
+    return frame, bwt_dedup._strings_of(8, 8, buckets, length)(pd.concat([frame, pd.DataFrame(asked, columns=columns)]))
+
+
+def test_a_hot_name_is_dealt_to_many_buckets():
+    buckets = 64
+    _, sent = strings_sent(hot_name_rows(), buckets)
     sent = sent[sent["kind"] != 1]
     raw = sent["data"].map(lambda x: len(bwt_dedup._unpack(x, *[""] * 9)[-1])).groupby(sent["bucket"]).sum()
     assert len(raw) == buckets and raw.max() < 3 * raw.mean()
 
 
+@pytest.mark.parametrize("limit, fine, kinds", [(0, 0, {2}), (0, 1 << 40, {4}), (3000, 3000, {0, 2, 4})])
+def test_hot_names_by_second_names_and_windows(monkeypatch, limit, fine, kinds):
+    """With a small limit all names, or the larger ones, take the second name, and the larger of those go by windows; rows stay those of brute force."""
+    monkeypatch.setattr(bwt_dedup, "NAME_BYTES", limit)
+    monkeypatch.setattr(bwt_dedup, "FINE_BYTES", fine)
+    monkeypatch.setattr(bwt_dedup, "WINDOW_BYTES", 4000)
+    rnd = random.Random(9)
+    lines = ["".join(rnd.choice("abc \0") for _ in range(rnd.randint(5, 30))) + "\n" for _ in range(12)]
+    rows = [(k, "".join(rnd.choice(lines) for _ in range(rnd.randint(1, 30)))) for k in range(150)]
+    rows += [(k, t) for k, t in hot_name_rows()[:400] if k >= 150] + [(900, "y" * 9000), (901, "y" * 60), (902, "ab" * 500)]
+    rows = list({t: (k, t) for k, t in reversed(rows)}.values())  # the search sees one document of each text
+    frame, sent = strings_sent(rows, 7)
+    assert set(sent["kind"]) - {1} == kinds
+    gone = pd.concat([bwt_dedup._settle(50)(mine) for _, mine in sent.groupby("bucket")])
+    cut = bwt_dedup._cut_out(pd.concat([frame, gone[gone["batch"] == 5]]))
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in cut.itertuples()}
+    want = {i: (removed, spans, sha) for i, _, removed, spans, sha in brute_repeats(rows) if removed}
+    assert {i: x for i, x in got.items() if x[0]} == want
+
+
 def test_a_hot_name_against_brute_force(spark):
     rows = hot_name_rows()
     rows += [(12000, rows[3][1]), (12000, rows[4][1]), (12001, rows[3][1][:70]), (None, rows[5][1])]
