@@ -236,10 +236,11 @@ def feature_columns(df: DataFrame, target: str | None = None, exclude: Sequence[
 
 def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """PRJ-16: numeric nulls -> exact column median (0 when the column is all null).
-    All medians come from one pass, inlined as one scalar map."""
+    All medians come from one pass, as one scalar map that is named once."""
     from airwise.operators.quantiles import fill_with, medians
-    meds = medians(df, cols)
-    return df.select(*[fill_with(meds, c) if c in cols else F.col(c) for c in df.columns])
+    from airwise.operators.windows import free_name
+    meds = free_name(df, "_medians")
+    return df.withColumn(meds, medians(df, cols)).select(*[fill_with(F.col(meds), c) if c in cols else F.col(c) for c in df.columns])
 
 
 def pick_score(df: DataFrame, target: str | None = None) -> Column:

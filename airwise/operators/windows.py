@@ -22,6 +22,13 @@ from pyspark.sql import types as T
 from airwise.functions.dates import as_col
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def series(key: str | Sequence[str] | None = "location_id", order: str | Sequence[str] = "date"):
     """The shared per-series window (WN-08: key None = one series)."""
     keys = [key] if isinstance(key, str) else list(key or [])
