@@ -91,3 +91,28 @@ def test_precision_at_k_ranks_ties_exactly(spark):
         got = precision_at_k(df, "p", "y", frac, tie="id").first()
         assert (got.k, got.n) == (k, 5000) and abs(got.precision_at_k - sum(r.y for r in rows[:k]) / k) < 1e-12
     assert tuple(precision_at_k(df.limit(0), "p", "y", 0.2, tie="id").first()) == (None, 0, None)
+
+
+def test_bucket_search_does_not_grow_the_plan(spark):
+    """More buckets are more steps of one search, not more projections, and the places are those of a plain binary search."""
+    from bisect import bisect_left
+
+    df = spark.range(900).select((F.col("id") * 37 % 100).alias("o"), "id")  # few enough for an exact sketch
+    shape = lambda n: W.with_bucket(df, [F.col("o"), F.col("id")], n, "b")._jdf.queryExecution().analyzed().toString().count("Project [")
+    assert shape(16) == shape(1024)
+    rows = W.with_bucket(df, [F.col("o")], 64, "b").collect()
+    bounds = df.agg(W.sketch_points(F.col("o"), "bigint", 1024, [i / 64 for i in range(1, 64)])).first()[0]
+    assert {(r.o, r.b) for r in rows} == {(r.o, bisect_left(bounds, r.o)) for r in rows}
+
+
+def test_index_plans_at_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("h"), (F.col("id") % 3).alias("y"), "id")
+        out = W.prefix_sums(df, [F.col("h"), F.col("id")], {"one": F.lit(1).cast("long")}, keys=["y"])
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {i: n for y in range(3) for n, (_, i) in enumerate(sorted((r.h, r.id) for r in rows if r.y == y), 1)}
+    assert {r.id: r.one_cum for r in rows} == want and all(r.one_total == 1000 for r in rows)
