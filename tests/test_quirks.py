@@ -134,3 +134,15 @@ def test_fallback_features_when_history_too_short(spark):
     df = spark.createDataFrame(rows, cols)
     out = FE.flare_features_or_fallback(df)
     assert out.count() == 3 and "temp_range" in out.columns
+
+
+def test_incomplete_rows_are_dropped_by_single_conditions(spark):
+    """Null and NaN drop a row, as ``na.drop``; a frame fitted over many renamed columns still plans."""
+    names = [f"c{i}" for i in range(24)]
+    rows = [[float(i)] * 24 for i in range(6)]
+    rows[1][3], rows[2][23], rows[3][0] = None, float("nan"), float("inf")
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    kept = FE.drop_incomplete_rows(df, names)
+    assert "atleastnnonnulls" not in kept._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(r.c1 for r in kept.collect()) == sorted(r.c1 for r in df.na.drop("any", subset=names).collect()) == [0.0, 3.0, 4.0, 5.0]
+    assert sorted(r.c1 for r in MD.impute(kept, kept, names).collect()) == [0.0, 3.0, 4.0, 5.0]
