@@ -7,7 +7,7 @@ Window operator (one sort per series).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airwise.functions import mathx as M
@@ -107,17 +107,23 @@ def env_features_flare(df: DataFrame, key: str = "location_id") -> DataFrame:
 
 
 def _flare_rows(df: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
-    """All rows with the features, and the features' names.  The 3-row mean follows from the value and its
-    two lags; the 7-row mean is one sum and one count over the same frame."""
+    """All rows with the features, and the features' names.  The 3-row and 7-row means follow from the value and its
+    lags, added from the oldest on as a frame does (a null among them is a null mean): a sliding frame of 7 rows would add every value seven times
+    through an aggregate buffer."""
     base = flare_derived(df)
     w = W.series(key)
-    cols = []
-    for c in FLARE_BASE_COLS:
-        cols += [W.lag(c, w, 1).alias(f"{c}_lag1"), W.lag(c, w, 2).alias(f"{c}_lag2"), W.rolling_full(c, w, 7).alias(f"{c}_roll7")]
-    out = base.select("*", *cols)
-    three = {f"{c}_roll3": (F.col(f"{c}_lag2") + F.col(f"{c}_lag1") + F.col(c)) / 3.0 for c in FLARE_BASE_COLS}
+    back = {(c, i): W.free_name(base, f"{c}_lag{i}") if i > 2 else f"{c}_lag{i}" for c in FLARE_BASE_COLS for i in range(1, 7)}
+    out = base.select("*", *[W.lag(c, w, i).alias(name) for (c, i), name in back.items()])
+
+    def mean(c: str, n: int, start: Column) -> Column:
+        for i in range(n - 1, 0, -1):
+            start = start + F.col(back[c, i])
+        return (start + F.col(c)) / float(n)
+
+    means = {f"{c}_roll3": (F.col(f"{c}_lag2") + F.col(f"{c}_lag1") + F.col(c)) / 3.0 for c in FLARE_BASE_COLS}
+    means |= {f"{c}_roll7": mean(c, 7, F.lit(0.0)) for c in FLARE_BASE_COLS}
     feats = FLARE_BASE_COLS + [f"{c}_{s}" for c in FLARE_BASE_COLS for s in ("lag1", "lag2", "roll3", "roll7")]
-    return out.select(*base.columns, *[three[f].alias(f) if f in three else F.col(f) for f in feats if f not in base.columns]), feats
+    return out.select(*base.columns, *[means[f].alias(f) if f in means else F.col(f) for f in feats if f not in base.columns]), feats
 
 
 def flare_features_or_fallback(df: DataFrame, key: str = "location_id") -> DataFrame:

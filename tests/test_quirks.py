@@ -146,3 +146,15 @@ def test_incomplete_rows_are_dropped_by_single_conditions(spark):
     assert "atleastnnonnulls" not in kept._jdf.queryExecution().optimizedPlan().toString().lower()
     assert sorted(r.c1 for r in kept.collect()) == sorted(r.c1 for r in df.na.drop("any", subset=names).collect()) == [0.0, 3.0, 4.0, 5.0]
     assert sorted(r.c1 for r in MD.impute(kept, kept, names).collect()) == [0.0, 3.0, 4.0, 5.0]
+
+
+def test_flare_means_come_from_lags(spark):
+    """No frame of seven rows is summed for each row; the means are those of a frame, null where a value is missing."""
+    rows = [("a", dt.date(2024, 1, 1 + i), None if i == 9 else float(i * i)) for i in range(18)]
+    others = [F.lit(1.0).alias(c) for c in FE.FLARE_BASE_COLS if c not in ("PM2_5_mean", "temp_range", "pm_spike", "humid_x_pm", "wind_x_pm")]
+    df = spark.createDataFrame(rows, "location_id string, date date, PM2_5_mean double").select("*", *others)
+    out, _ = FE._flare_rows(df, "location_id")
+    assert "RowFrame, -6" not in out._jdf.queryExecution().optimizedPlan().toString()
+    values = [r[2] for r in rows]
+    want = [None if i < 6 or None in values[i - 6:i + 1] else sum(values[i - 6:i + 1]) / 7 for i in range(18)]
+    assert [r.PM2_5_mean_roll7 for r in out.orderBy("date").collect()] == want
