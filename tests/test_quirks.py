@@ -154,7 +154,7 @@ def test_flare_means_come_from_lags(spark):
     others = [F.lit(1.0).alias(c) for c in FE.FLARE_BASE_COLS if c not in ("PM2_5_mean", "temp_range", "pm_spike", "humid_x_pm", "wind_x_pm")]
     df = spark.createDataFrame(rows, "location_id string, date date, PM2_5_mean double").select("*", *others)
     out, _ = FE._flare_rows(df, "location_id")
-    assert "RowFrame, -6" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RowFrame, -6, currentrow" not in out._jdf.queryExecution().optimizedPlan().toString()
     values = [r[2] for r in rows]
     want = [None if i < 6 or None in values[i - 6:i + 1] else sum(values[i - 6:i + 1]) / 7 for i in range(18)]
     assert [r.PM2_5_mean_roll7 for r in out.orderBy("date").collect()] == want
