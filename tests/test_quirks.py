@@ -158,3 +158,11 @@ def test_flare_means_come_from_lags(spark):
     values = [r[2] for r in rows]
     want = [None if i < 6 or None in values[i - 6:i + 1] else sum(values[i - 6:i + 1]) / 7 for i in range(18)]
     assert [r.PM2_5_mean_roll7 for r in out.orderBy("date").collect()] == want
+
+
+def test_standardize_names_its_statistics_once(spark):
+    df = spark.range(4).select("id", *[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(3)], F.lit(5.0).alias("k"))
+    out = MD.standardize(df, df, ["c0", "c1", "c2", "k"])
+    assert out._jdf.queryExecution().analyzed().toString().count("scalar-subquery") <= 1
+    assert [round(r.c2, 6) for r in out.orderBy("id").collect()] == [-1.341641, -0.447214, 0.447214, 1.341641]
+    assert {r.k for r in out.collect()} == {0.0}
