@@ -116,3 +116,13 @@ def test_index_plans_at_many_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     want = {i: n for y in range(3) for n, (_, i) in enumerate(sorted((r.h, r.id) for r in rows if r.y == y), 1)}
     assert {r.id: r.one_cum for r in rows} == want and all(r.one_total == 1000 for r in rows)
+
+
+def test_index_names_its_sketch_once_a_branch(spark):
+    """The bucket is never null, so no null check repeats the search, and with it the sketch of the whole table, below the joins."""
+    df = spark.range(3000).select((F.col("id") * 7 % 50).alias("g"), "id")
+    for keys in ([], ["g"]):
+        out = W.prefix_sums(df, [F.col("g"), F.col("id")], {"one": F.lit(1).cast("long")}, keys=keys)
+        assert out._jdf.queryExecution().executedPlan().toString().count("kll_sketch_agg") <= 8  # two numbers, partial and final, two branches
+    nulls = spark.createDataFrame([(None, 1), (2.0, 2), (None, 3), (float("nan"), 4)], "o double, id long")
+    assert [(r.id, r.row_idx) for r in W.row_index(nulls, [F.col("o"), F.col("id")]).orderBy("row_idx").collect()] == [(1, 0), (3, 1), (2, 2), (4, 3)]
