@@ -24,6 +24,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/airwise-out/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in a fresh folder and read again: for a table that several passes read a few columns of."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """SNK-01: CSV with a header."""
     df.write.mode(mode).option("header", True).csv(path)

@@ -277,7 +277,8 @@ def q_fe07(spark, d):
     place = b.select("location_id", "date", "latitude", "longitude", "zip_code", "pollen_tree", "pollen_grass", "pollen_weed")
     ds = J.join_trends(e.join(place, ["location_id", "date"], "left"), T.trends(spark, d))
     ds = ds.withColumn("trend", W.ffill_bfill("n_orders", W.series("location_id")).cast("double")).drop("n_orders")
-    ds = ds.select("*", *T._calendar_cols())
+    # stored once: the passes of the quantiles read one column of it, not the tables, joins and windows again
+    ds = SK.stored(ds.select("*", *T._calendar_cols()), "data-set")
     ds = L.flare_and_bins(ds, "trend")
     ds = P.rename_trend(ds, "allergy").withColumnRenamed("location_id", "locationid")
     return P.order_columns(ds, ["locationid", "latitude", "longitude", "zip_code", "date", *_MEASURES])

@@ -77,3 +77,25 @@ def test_untrainable_data_is_refused(spark):
         FL.assert_trainable(one, "y")
     with pytest.raises(ValueError, match="rows"):
         FL.assert_trainable(one.limit(3), "y")
+
+
+def test_data_set_passes_read_stored_rows(spark, tmp_path):
+    """FE-07: the passes of the quantiles read the stored data set; the landed tables are read and joined once, for all rows."""
+    from __spark_entry__ import queries
+
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int")).cast("timestamp")
+    i = F.col("id")
+    spark.range(240).select((i % 3).alias("l_suppkey"), day(i % 40).alias("l_shipdate"), (i % 50).cast("double").alias("l_quantity"), (i * 10.0).alias("l_extendedprice"),
+                            (i % 8 / 100).alias("l_tax"), (i % 5 / 100).alias("l_discount"), (i % 7).cast("int").alias("l_linenumber"),
+                            F.element_at(F.array(*map(F.lit, "RAN")), (i % 3 + 1).cast("int")).alias("l_returnflag"), F.when(i % 2 == 0, "O").otherwise("F").alias("l_linestatus")) \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(300).select(i.alias("o_orderkey"), day(i * i % 30).alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    out = queries()["fe_07_dataset_build"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "l_suppkey" not in plan and "o_orderdate" not in plan
+    rows = out.collect()
+    assert len({(r.locationid, r.date) for r in rows}) == len(rows) == spark.read.parquet(f"{tmp_path}/lineitem.parquet").select("l_suppkey", "l_shipdate").distinct().count()
+    trend = sorted(r.google_trends_allergy for r in rows)
+    at = 0.8 * (len(trend) - 1)
+    edge = trend[int(at)] + (trend[min(int(at) + 1, len(trend) - 1)] - trend[int(at)]) * (at - int(at))
+    assert all(r.flare_day == int(r.google_trends_allergy >= edge) for r in rows)
