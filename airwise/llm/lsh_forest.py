@@ -207,14 +207,14 @@ def _forest(sets: DataFrame, percent: int, crowd: int, depths: tuple[int, ...])
     for level, depth in enumerate(depths):
         keys = stored(_regions(alive, depth, percent), "forest-regions")
         sizes = stored(keys.groupBy("z").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "forest-sizes")
-        members = keys.join(sizes, "z")
-        thin = members.where(F.col("n") <= crowd).join(sets.select("k", "sig"), "k").groupBy("z") \
+        within = lambda some: keys.join(sizes.where(some).select("z"), "z", "left_semi")  # noqa: E731  a region's size is one row: no row is multiplied
+        thin = within(F.col("n") <= crowd).join(sets.select("k", "sig"), "k").groupBy("z") \
             .agg(F.collect_list("k").alias("ks"), F.collect_list("sig").alias("sigs"))
         pairs = stored(thin.mapInPandas(_pairs_inside, PAIR).distinct(), "forest-pairs")
         found = pairs if found is None else found.unionByName(pairs)
         if sizes.where(F.col("n") > crowd).isEmpty():
             return found, None
-        full = members.where(F.col("n") > crowd)
+        full = within(F.col("n") > crowd)
         if level < len(depths) - 1:
             names = full.select("k").distinct()
             alive = stored(sets.join(names, "k", "left_semi"), "forest-crowd")

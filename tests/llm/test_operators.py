@@ -849,6 +849,21 @@ def test_forest_against_brute_force(spark, crowd, depths):
     assert rows_of(lsh_forest.near_duplicates(docs_of(spark, rows), crowd=crowd, depths=depths), NEAR) == brute_near(rows)
 
 
+def test_forest_regions_are_filtered_not_multiplied(spark, monkeypatch):
+    """Rows of thin and of crowded regions are picked by semi joins with the regions' sizes: none can come out more often than it went in."""
+    plans, store = [], lsh_forest.stored
+
+    def watch(df, name):
+        if name in ("forest-pairs", "forest-crowded"):
+            plans.append(df._jdf.queryExecution().analyzed().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(lsh_forest, "stored", watch)
+    rows = near_copies()
+    assert rows_of(lsh_forest.near_duplicates(docs_of(spark, rows), crowd=3, depths=(3, 4)), NEAR) == brute_near(rows)
+    assert len(plans) == 3 and all("Join LeftSemi" in p for p in plans)
+
+
 def test_forest_keeps_one_with_all_columns(spark):
     rows = near_copies()
     kept = lsh_forest.keep_one(docs_of(spark, rows))
