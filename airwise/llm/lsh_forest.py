@@ -43,6 +43,7 @@ DEPTHS = (3, 4, 6, 8, 12)
 MISS = 1e-7
 CROWD = 32
 BLOCK = 64
+FILTER_BITS = 24
 SEED = 12
 MASK = (1 << 64) - 1
 
@@ -225,6 +226,18 @@ def _forest(sets: DataFrame, percent: int, crowd: int, depths: tuple[int, ...])
     return found.unionByName(near), rest
 
 
+def likely(df: DataFrame, c: str, wanted: DataFrame, of: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``df`` whose ``c`` may be among the values ``of`` of ``wanted``: all that are and, by chance of a hash, few others.  The hashes'
+    bits go to the tasks as bitmaps of 32,768 bits, so what is sent is bounded (2 MiB) whatever the input; more values than
+    bits only let more rows through.  An exact semi join follows; this one spares it the shuffle of the rows that it would drop."""
+    place = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << bits))  # noqa: E731  null hashes too, so both names are never null
+    maps = wanted.groupBy(F.shiftright(place(of), 15).alias("_map")).agg(F.bitmap_construct_agg(place(of) % 32768).alias("_bits"))
+    at = (place(c) % 32768).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return df.withColumn("_at", F.shiftright(place(c), 15)).join(F.broadcast(maps), F.col("_at") == F.col("_map")) \
+        .where(F.getbit(byte, at % 8) == 1).select(*df.columns)
+
+
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose full sets are similar enough."""
     a, b = full.select(F.col("k").alias("u"), F.col("set").alias("a")), full.select(F.col("k").alias("v"), F.col("set").alias("b"))
@@ -280,8 +293,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
         # not deterministic: else the join's null checks on its result move it below the semi join, onto all texts
         of = F.pandas_udf(of, "set array<long>, s0 long, s1 long, n_shingles long").asNondeterministic()
-        firsts = sets.join(wanted, "k", "left_semi").select("first").distinct()
-        texts = docs.select("doc_id", text_of().alias("t")).join(firsts, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+        firsts = stored(sets.join(wanted, "k", "left_semi").select("first").distinct(), "forest-firsts")
+        texts = likely(docs.select("doc_id", text_of().alias("t")), "doc_id", firsts, "first").join(firsts, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
         made = texts.select(of("t").alias("v")).select("v.*")
         return stored(made.join(sets.drop("sig"), name).groupBy("k").agg(F.min("set").alias("set")), "forest-full-sets")
 

@@ -864,6 +864,27 @@ def test_forest_regions_are_filtered_not_multiplied(spark, monkeypatch):
     assert len(plans) == 3 and all("Join LeftSemi" in p for p in plans)
 
 
+def test_forest_filters_texts_before_they_are_shuffled(spark, monkeypatch):
+    """Texts of documents in no candidate pair are dropped by the filter's bits where they are read; nothing wanted is lost, null ids included."""
+    plans, store = [], lsh_forest.stored
+
+    def watch(df, name):
+        if name == "forest-full-sets":
+            plans.append(df._jdf.queryExecution().analyzed().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(lsh_forest, "stored", watch)
+    rows = near_copies() + [(None, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (9999, "a b c d e f g h i j k l m n o p q r s t u v w x y z 1")]
+    assert rows_of(lsh_forest.near_duplicates(docs_of(spark, rows)), NEAR) == brute_near(rows)
+    assert len(plans) == 1 and "bitmap_construct_agg" in plans[0] and "Join LeftSemi" in plans[0]
+    ids = spark.range(40000).selectExpr("if(id = 7, null, id) i", "'x' t")
+    wanted = spark.createDataFrame([(None,), (0,), *[(i,) for i in range(30000, 30100)]], "w long")
+    for bits in (15, 24):
+        left = lsh_forest.likely(ids, "i", wanted, "w", bits)
+        found = {r.i for r in left.collect()}
+        assert left.columns == ["i", "t"] and {None, 0, *range(30000, 30100)} <= found and len(found) < (400 if bits == 15 else 110)
+
+
 def test_forest_keeps_one_with_all_columns(spark):
     rows = near_copies()
     kept = lsh_forest.keep_one(docs_of(spark, rows))
