@@ -202,40 +202,43 @@ def _across(percent: int):
 PAIR = "u long, v long, agree long"
 
 
-def _forest(sets: DataFrame, percent: int, crowd: int, depths: tuple[int, ...]) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (u, v, agree) from thin regions and from neighbours, and the crowded regions (z, k) of the last level."""
+def _forest(sets: DataFrame, percent: int, crowd: int, depths: tuple[int, ...]) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Pairs (u, v, agree) from thin regions and from neighbours, the crowded regions (z, k) of the last level, and the sets of that level."""
     found, rest, alive = None, None, sets
     for level, depth in enumerate(depths):
         keys = stored(_regions(alive, depth, percent), "forest-regions")
         sizes = stored(keys.groupBy("z").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "forest-sizes")
+        if level == 0:  # most sets are alone in their regions; later levels hold only sets of crowded ones
+            keys = stored(likely(keys, "z", sizes, "z"), "forest-shared")
         within = lambda some: keys.join(sizes.where(some).select("z"), "z", "left_semi")  # noqa: E731  a region's size is one row: no row is multiplied
-        thin = within(F.col("n") <= crowd).join(sets.select("k", "sig"), "k").groupBy("z") \
+        thin = within(F.col("n") <= crowd).join(alive.select("k", "sig"), "k").groupBy("z") \
             .agg(F.collect_list("k").alias("ks"), F.collect_list("sig").alias("sigs"))
         pairs = stored(thin.mapInPandas(_pairs_inside, PAIR).distinct(), "forest-pairs")
         found = pairs if found is None else found.unionByName(pairs)
         if sizes.where(F.col("n") > crowd).isEmpty():
-            return found, None
+            return found, None, alive
         full = within(F.col("n") > crowd)
         if level < len(depths) - 1:
             names = full.select("k").distinct()
-            alive = stored(sets.join(names, "k", "left_semi"), "forest-crowd")
+            alive = stored(alive.select("k", "sig").join(names, "k", "left_semi"), "forest-crowd")
         else:
             rest = stored(full.select("z", "k", "o"), "forest-crowded")
-    in_order = rest.join(sets.select("k", "sig"), "k").repartitionByRange("z", "o", "k").sortWithinPartitions("z", "o", "k").select("z", "k", "sig")
+    in_order = rest.join(alive.select("k", "sig"), "k").repartitionByRange("z", "o", "k").sortWithinPartitions("z", "o", "k").select("z", "k", "sig")
     near = stored(in_order.mapInPandas(_neighbours, PAIR).distinct(), "forest-neighbours")
-    return found.unionByName(near), rest
+    return found.unionByName(near), rest, alive
 
 
 def likely(df: DataFrame, c: str, wanted: DataFrame, of: str, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of ``df`` whose ``c`` may be among the values ``of`` of ``wanted``: all that are and, by chance of a hash, few others.  The hashes'
     bits go to the tasks as bitmaps of 32,768 bits, so what is sent is bounded (2 MiB) whatever the input; more values than
-    bits only let more rows through.  An exact semi join follows; this one spares it the shuffle of the rows that it would drop."""
+    bits only let more rows through.  An exact join follows; this one spares it the shuffle of the rows that it would drop.  The last condition
+    holds for each row; it is not deterministic, so the optimizer can't move the semi join that follows below the filter, onto all rows."""
     place = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << bits))  # noqa: E731  null hashes too, so both names are never null
     maps = wanted.groupBy(F.shiftright(place(of), 15).alias("_map")).agg(F.bitmap_construct_agg(place(of) % 32768).alias("_bits"))
     at = (place(c) % 32768).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
     return df.withColumn("_at", F.shiftright(place(c), 15)).join(F.broadcast(maps), F.col("_at") == F.col("_map")) \
-        .where(F.getbit(byte, at % 8) == 1).select(*df.columns)
+        .where(F.getbit(byte, at % 8) == 1).where(F.spark_partition_id() >= 0).select(*df.columns)
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -276,7 +279,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     name = ["s0", "s1", "n_shingles"]
     sets = stored(rows.where("sig is not null").groupBy(*name).agg(F.min("doc_id").alias("first"), F.min("sig").alias("sig"))
                   .withColumn("k", F.monotonically_increasing_id()), "forest-sets")
-    pairs, rest = _forest(sets, percent, crowd, depths)
+    pairs, rest, alive = _forest(sets, percent, crowd, depths)
     pairs = stored(pairs.distinct(), "forest-candidates")
 
     def full_sets(wanted: DataFrame) -> DataFrame:
@@ -296,7 +299,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         firsts = stored(sets.join(wanted, "k", "left_semi").select("first").distinct(), "forest-firsts")
         texts = likely(docs.select("doc_id", text_of().alias("t")), "doc_id", firsts, "first").join(firsts, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
         made = texts.select(of("t").alias("v")).select("v.*")
-        return stored(made.join(sets.drop("sig"), name).groupBy("k").agg(F.min("set").alias("set")), "forest-full-sets")
+        # one row per set before the join on the same columns: the sets are shuffled once
+        return stored(made.groupBy(*name).agg(F.min("set").alias("set")).join(sets.select(*name, "k"), name).select("k", "set"), "forest-full-sets")
 
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("k"))
     full = full_sets((wanted if rest is None else wanted.unionByName(rest.select("k"))).distinct())
@@ -310,7 +314,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     links = links.unionByName(stored(_confirmed(more, full, percent), "forest-more-links"))
     if rest is not None:
         comp = stored(components(links), "forest-components")
-        links = links.unionByName(_blocks_apart(rest, sets, full, comp, percent))
+        links = links.unionByName(_blocks_apart(rest, alive, full, comp, percent))
     comp = components(links)
     member = sets.join(comp, F.col("k") == F.col("node"), "left").select(*name, "first", F.coalesce("root", "k").alias("root"))
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))

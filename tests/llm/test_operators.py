@@ -885,6 +885,30 @@ def test_forest_filters_texts_before_they_are_shuffled(spark, monkeypatch):
         assert left.columns == ["i", "t"] and {None, 0, *range(30000, 30100)} <= found and len(found) < (400 if bits == 15 else 110)
 
 
+def test_forest_semi_joins_stay_above_the_filter(spark, monkeypatch):
+    """No semi join that shuffles moves below the filter's bits; signatures come from the sets still in play; full sets are shuffled once."""
+    plans, store = {}, lsh_forest.stored
+
+    def watch(df, name):
+        plans.setdefault(name, []).append((df._jdf.queryExecution().optimizedPlan().toString(), df.inputFiles(), df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, name)
+
+    monkeypatch.setattr(lsh_forest, "stored", watch)
+    rows, before = near_copies(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert rows_of(lsh_forest.near_duplicates(docs_of(spark, rows), crowd=3, depths=(3, 4)), NEAR) == brute_near(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    (texts, _, _), (shared, _, _) = plans["forest-full-sets"][0], plans["forest-shared"][0]
+    assert 0 <= texts.find("Join LeftSemi") < texts.find("getbit") and "getbit" in shared
+    pairs = plans["forest-pairs"]
+    assert len(pairs) == 2 and not any("forest-sets" in f for f in pairs[1][1]) and any("forest-crowd" in f for f in pairs[1][1])
+    (_, _, full), = plans["forest-full-sets"]
+    above = full[:full.index("ArrowEvalPython")]
+    assert above.count("Exchange hashpartitioning(s0") == 1 and "Exchange hashpartitioning(k" not in above
+
+
 def test_forest_keeps_one_with_all_columns(spark):
     rows = near_copies()
     kept = lsh_forest.keep_one(docs_of(spark, rows))
