@@ -48,6 +48,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TOKEN = r"(?<![A-Za-z0-9-])(?=[A-Za-z-]*+[0-9])[A-Za-z0-9-]++"
+#: A character that every match of a kind holds; the others hold a digit.  Texts without it are not searched for the kind.
+HOLDS = {"email": "@", "phone": "+"}
 #: Characters of a text looked at for the words next to a match.
 LOOK_BACK = 80
 CONTEXT = 2
@@ -59,6 +61,11 @@ CONFIDENCE = 0.8
 ROUNDS = 3
 
 
+def _may_match(kind: str, t: Column) -> Column:
+    """Whether a text holds what every match of the kind has: a look for one character, before an expression is tried at each place."""
+    return F.contains(t, F.lit(HOLDS[kind])) if kind in HOLDS else t.rlike("[0-9]")
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -125,7 +132,7 @@ def matches(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     groups = []
     for k, (kind, p) in enumerate([*PATTERNS.items(), ("id", TOKEN)]):
         # the pieces between the matches are read once, as the variable of a list of one
-        groups.append(F.when(F.col("t").rlike(p), F.get(F.transform(F.array(F.split("t", p, -1)), _instances(k, kind, p, context)), 0))
+        groups.append(F.when(_may_match(kind, F.col("t")) & F.col("t").rlike(p), F.get(F.transform(F.array(F.split("t", p, -1)), _instances(k, kind, p, context)), 0))
                       .otherwise(F.array().cast("array<struct<kind:string,k:int,i:int,m:string,glen:int,mlen:int,near:struct<patterns:array<string>,cue:boolean>>>")))
     flat = rows.select("row", "doc_id", "th", "tm", F.explode_outer(F.concat(*groups)).alias("x")).select("row", "doc_id", "th", "tm", "x.*")
     w = Window.partitionBy("row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -156,34 +163,38 @@ def _scored(edges: DataFrame, seeds: DataFrame, support: int, confidence: float,
 
 
 def plain_places(docs: DataFrame, patterns: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """(pattern, plain): at how many places of all texts each of ``patterns`` stands next to a word that is in no match."""
+    """(pattern, plain): at how many places of all texts each of ``patterns`` stands next to a word that is in no match.
+
+    Words are cut out of a text once.  The places of a text are numbers, and each place makes its pattern from the words around it, so
+    no list of words is copied and a place is looked up by the whole pattern."""
     mark = "0" * MIN_LENGTH
-    t = text_of()
-    for p in [*PATTERNS.values(), TOKEN[:-2] + f"{{{MIN_LENGTH},}}+"]:
-        t = F.regexp_replace(t, p, mark)
-    t = F.regexp_replace(ascii_lower(t), r"\s\s+|[\t\n\x0B\f\r]", " ")
-    # every word with the marks behind it, beside the words that follow and the next one with the marks before it
-    words = docs.select(t.alias("t")).select(F.regexp_extract_all("t", F.lit(r"[^\s\p{Punct}]++[\s\p{Punct}]*+"), F.lit(0)).alias("w"),
-                                             F.regexp_extract_all("t", F.lit(r"[\s\p{Punct}]*+[^\s\p{Punct}]++"), F.lit(0)).alias("v"))
-    after = lambda c, k: F.slice(c, F.lit(k + 1), F.size(c))
-    names = [f"w{k}" for k in range(context + 1)]
-    runs = F.arrays_zip(*[after("w", k) for k in range(context + 1)], after("v", 1)).cast(f"array<struct<{','.join(f'{n}:string' for n in names)},next:string>>")
-    rows = words.select(F.explode(runs).alias("x")).select("x.*")
-    # a place is looked up by the word next to it; the words before that are compared where it is found
-    plain = lambda c: c.isNotNull() & ~F.contains(c, F.lit(mark))
+    t = F.col("t")
+    texts = docs.select(text_of().alias("t"))
+    masked = lambda kind, p, may: F.when(may, F.regexp_replace("t", p, mark)).otherwise(t).alias("t")
+    email, *others = [*PATTERNS.items(), ("id", TOKEN[:-2] + f"{{{MIN_LENGTH},}}+")]
+    # a digit is looked for once: a mark has digits, so no text loses all of them
+    texts = texts.select(masked(*email, _may_match(email[0], t))).select("t", t.rlike("[0-9]").alias("digit"))
+    for kind, p in others:
+        texts = texts.select(masked(kind, p, _may_match(kind, t) if kind in HOLDS else F.col("digit")), "digit")
+    # where all characters are of one byte lower() changes A-Z alone
+    lowered = texts.select(F.when(F.octet_length("t") == F.length("t"), F.lower("t")).otherwise(ascii_lower(t)).alias("t"))
+    texts = lowered.select(F.regexp_replace("t", r"\s\s+|[\t\n\x0B\f\r]", " ").alias("t"))
+    # the words, and what stands before, between and behind them
+    word = r"[^\s\p{Punct}]++"
+    words = texts.select(F.regexp_extract_all("t", F.lit(word), F.lit(0)).alias("w"), F.split("t", word, -1).alias("m")).withColumn("n", F.size("w"))
     counts = sorted({1, context})
-    keys = [F.when(plain(F.col(names[n])), F.struct(F.concat(F.lit(f"{n}<"), F.col(names[n - 1])).alias("key"), F.lit(n - 1).alias("before"))) for n in counts]
-    keys.append(F.when(plain(F.col("w0")) & F.col("next").isNotNull(), F.struct(F.concat(F.lit("1>"), F.col("next")).alias("key"), F.lit(0).alias("before"))))
-    heads = F.concat_ws(" ", *[F.regexp_extract(c, r"^[^\s\p{Punct}]++", 0) for c in names[:context - 1]]) if context > 1 else F.lit("")
-    head, key = F.lit(""), F.col("pattern")
-    for n in counts:
-        part = lambda k: F.regexp_extract("pattern", rf"^{n}<((?:[^\s\p{{Punct}}]++ ){{{n - 1}}})(.*)$", k)  # noqa: B023, E731
-        mine = F.startswith("pattern", F.lit(f"{n}<"))
-        head, key = F.when(mine, F.rtrim(part(1))).otherwise(head), F.when(mine, F.concat(F.lit(f"{n}<"), part(2))).otherwise(key)
-    wanted = patterns.select("pattern", head.alias("head"), key.alias("key"))
-    return rows.select(*names, F.explode(F.array(*keys)).alias("k")).where("k.key IS NOT NULL") \
-        .withColumn("key", F.col("k.key")).join(wanted, "key") \
-        .where((F.col("k.before") == 0) | (heads == F.col("head"))).groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
+    # no filter on the words: it would go down to the scan and make them twice
+    rows = words.select("w", "m", "n", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") * (len(counts) + 1) - 1))).alias("i")) \
+        .select("w", "m", "n", "i", (F.col("i") % F.col("n")).alias("a"))
+    at, marks = lambda k: F.get("w", F.col("a") + k), F.get("m", F.col("a") + 1)
+    plain = lambda c: c.isNotNull() & ~F.contains(c, F.lit(mark))
+    key = F.when((F.col("i") < F.col("n")) & plain(at(0)), F.concat(F.lit("1>"), marks, at(1)))
+    for j, n in enumerate(counts):
+        before = [x for k in range(1 - n, 0) for x in (at(k), F.lit(" "))]
+        key = key.when((F.col("i") >= F.col("n") * (j + 1)) & (F.col("i") < F.col("n") * (j + 2)) & plain(at(1)), F.concat(F.lit(f"{n}<"), *before, at(0), marks))
+    # never null: a filter on null would make every pattern twice
+    return rows.select(F.coalesce(key, F.lit("")).alias("pattern")).join(patterns.select("pattern"), "pattern", "left_semi") \
+        .groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
 
 
 def confident_patterns(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:

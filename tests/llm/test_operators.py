@@ -459,6 +459,16 @@ def test_personal_data_does_not_trust_function_words(spark):
     assert got[100] == "" and got[101] == "id:9:18"  # "write to " is evidence, "to " is not
 
 
+def test_plain_places_are_made_from_one_list_of_words(spark):
+    """Counts by hand (texts without @, + or digits are not searched for matches); words are cut out once and only numbers of places are exploded."""
+    docs = docs_of(spark, [(1, "Go  to the\nend, to the x@y.com to the 1234567 of"), (2, "to the"), (3, "É to the end, a +1 (377) 555-0271 of it"), (4, None), (5, "")])
+    wanted = ["1<to ", "2<to the ", "2<é to ", "1>, to", "1> end", "1<the ", "1> of", "1<a ", "1<never "]
+    found = pii_bootstrap.plain_places(docs, spark.createDataFrame([(p,) for p in wanted], "pattern string"))
+    assert {r.pattern: r.plain for r in found.collect()} == {"1<to ": 5, "2<to the ": 2, "1>, to": 1, "1> end": 2, "1<the ": 2}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(") == 1 and plan.count("regexp_extract_all(") == 1 and "arrays_zip" not in plan
+
+
 def test_mask_merges_and_keeps_rows(spark):
     rows = [(1, "hi a@b.c, 1.2.3.4 é+1 (377) 555-0271!"), (1, "hi a@b.c, 1.2.3.4 é+1 (377) 555-0271!"), (2, None), (None, "x")]
     df = docs_of(spark, rows)
