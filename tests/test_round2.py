@@ -110,3 +110,15 @@ def test_daily_duplicates_come_from_one_rollup(spark):
     assert sorted(dup.collect(), key=repr) == sorted([("a", 1, 2.5), ("a", 1, 1.5), ("b", 1, None), ("b", 1, None)], key=repr)
     assert dup._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
     assert sorted(_measured_twice(b).collect(), key=repr) == sorted(b.unionByName(b.withColumn("PM2_5_mean", F.col("PM2_5_mean") - 1)).collect(), key=repr)
+
+
+def test_general_model_reads_the_tables_once(spark, monkeypatch):
+    """Only the split rows are made from the tables; what follows, the row counts included, reads them as stored."""
+    from airwise.plans import training as TR
+
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    stored, cut = [], TR.cut_lineage
+    monkeypatch.setattr(TR, "cut_lineage", lambda df: (stored.append(reads(df)), cut(df))[1])
+    out = TR.train_general(spark, "/root/testdata/sf0.001", max_iter=2)
+    assert stored[0] > 0 and not any(stored[1:]) and reads(out) == 0
+    assert out.first().n_train > 0
